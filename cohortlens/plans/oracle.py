@@ -10,7 +10,7 @@ through ``DECIMAL(20,10)``, NULLs last in ascending order, truncation by
 
 from __future__ import annotations
 
-from cohortlens.schema import NULL_LABEL, PASS_WORDS, RATINGS
+from cohortlens.schema import NULL_LABEL, PASS_WORDS, RATINGS, STUDY_TABLES
 from cohortlens.sources.fixtures import oracle_with_clause
 
 NL = f"'{NULL_LABEL}'"
@@ -141,3 +141,92 @@ REPORT_SQL: dict[str, str] = {
         + " FROM st_feedback f LEFT JOIN st_participants p USING (participant_id)) "
         f"GROUP BY GROUPING SETS ({_sets_sql(F_SETS)})"),
 }
+
+
+# -- data management ---------------------------------------------------------
+
+VIEW = {"participants": "st_participants", "code_submissions": "st_submissions",
+        "feedback": "st_feedback", "events": "st_events"}
+PLAN_ORDER = ("code_submissions", "feedback", "events", "participants")
+
+
+def _ids_values(lines: list[tuple[int, str]]) -> str:
+    vals = ", ".join(f"(CAST({n} AS BIGINT), '{v}')" for n, v in lines)
+    return f"ids AS (SELECT * FROM (VALUES {vals}) AS t(line_no, participant_id))"
+
+
+ERASE_CTE = ("erase AS (SELECT DISTINCT participant_id FROM st_participants "
+             "WHERE participant_id IN (SELECT participant_id FROM ids))")
+
+
+def _in_erase(table: str) -> str:
+    return (f"(SELECT COUNT(*) FROM {VIEW[table]} "
+            "WHERE participant_id IN (SELECT participant_id FROM erase))")
+
+
+def _retained(table: str, ids: str) -> str:
+    return with_views(
+        f"SELECT * FROM {VIEW[table]} t WHERE NOT EXISTS "
+        "(SELECT 1 FROM erase x WHERE x.participant_id = t.participant_id)", [ids, ERASE_CTE])
+
+
+def _plan(ids: str) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, 'participant_id' AS id_column, {_in_erase(t)} AS n_rows"
+        for t in PLAN_ORDER)
+    return with_views(f"SELECT * FROM ({parts}) WHERE n_rows > 0", [ids, ERASE_CTE])
+
+
+def _summary(ids: str) -> str:
+    cols = ", ".join(f"{_in_erase(t)} AS rows_{t}" for t in STUDY_TABLES)
+    total = " + ".join(_in_erase(t) for t in STUDY_TABLES)
+    return with_views(f"SELECT (SELECT COUNT(*) FROM erase) AS n_participants, {cols}, "
+                      f"{total} AS total_rows", [ids, ERASE_CTE])
+
+
+def _result(ids: str) -> str:
+    total = " + ".join(_in_erase(t) for t in STUDY_TABLES)
+    return with_views("SELECT (SELECT COUNT(*) FROM erase) AS successful_deletions, "
+                      f"CAST(0 AS BIGINT) AS failed_deletions, {total} AS total_rows_deleted",
+                      [ids, ERASE_CTE])
+
+
+def data_sql(single_id: str, id_lines: list[tuple[int, str]]) -> dict[str, str]:
+    one = _ids_values([(1, single_id)])
+    batch = _ids_values(id_lines)
+    out = {
+        "erase_plan": _plan(one),
+        **{f"erase_retained_{t}": _retained(t, one) for t in STUDY_TABLES},
+        "erase_batch_status": with_views(
+            "SELECT i.line_no, i.participant_id, EXISTS (SELECT 1 FROM st_participants p "
+            "WHERE p.participant_id = i.participant_id) AS found FROM ids i", [batch]),
+        "erase_batch_summary": _summary(batch),
+        **{f"erase_batch_retained_{t}": _retained(t, batch) for t in STUDY_TABLES},
+        "erase_batch_result": _result(batch),
+        "clear_table": with_views(
+            "SELECT 'events' AS table_name, COUNT(*) AS n_rows_cleared FROM st_events "
+            "UNION ALL SELECT 'events_after', 0"),
+        "export_all_csv": with_views(" UNION ALL ".join(
+            f"SELECT '{t}' AS table_name, 'exported' AS status, COUNT(*) AS n_rows FROM {VIEW[t]}"
+            for t in STUDY_TABLES)),
+        "export_table_csv": with_views(
+            "SELECT CAST(event_id AS VARCHAR) AS event_id, participant_id, event_type, "
+            "strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 <> 0 "
+            "THEN '.' || lpad(CAST(microsecond(ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END "
+            "AS ts FROM st_events"),
+    }
+    return out
+
+
+def report_long_sql() -> str:
+    """R-2 in SQL: every report unpivoted, one UNION ALL branch per metric."""
+    from cohortlens.plans.reports import REPORT_SHAPES, TITLES, section_of
+    branches = []
+    for name, (keys, metrics) in REPORT_SHAPES.items():
+        k = [f"CAST(r.{c} AS VARCHAR)" for c in keys] + ["CAST(NULL AS VARCHAR)"] * (2 - len(keys))
+        for m in metrics:
+            branches.append(
+                f"SELECT '{section_of(name)}' AS section, '{name}' AS report, "
+                f"'{TITLES[name]}' AS title, {k[0]} AS key_1, {k[1]} AS key_2, "
+                f"'{m}' AS metric, CAST(r.{m} AS DOUBLE) AS value FROM ({REPORT_SQL[name]}) r")
+    return "\nUNION ALL\n".join(branches)

@@ -1,17 +1,37 @@
-"""Registered queries over the fixture study tables, and their oracles."""
+"""Registered queries over the fixture study tables, and their oracles.
+
+Reports are pure functions of the study tables. Data-management queries
+(erasure, clearing, export) write into a fresh folder under the shared
+checkpoint directory and return frames that Spark derives from the tables
+or from what was written.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cohortlens.operators import erasure
 from cohortlens.plans import oracle, reports
-from cohortlens.session import apply_defaults
+from cohortlens.schema import STUDY_TABLES, StudyError
+from cohortlens.session import apply_defaults, new_work_path
 from cohortlens.sources.fixtures import fixture_tables
+from cohortlens.sources.idlist import ids_frame, scan_id_list
+from cohortlens.sources.sinks import export_all_csv, export_table_csv, read_back_csv
+from cohortlens.sources.snapshots import create_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Fixed test inputs of the erasure queries: one id for the single erase, and
+# the text of an id file (surrounding blanks, a blank line, a CRLF line end,
+# a repeated id, an unknown id, and an id with feedback but no participant).
+SINGLE_ERASE_ID = "3"
+ID_FILE_TEXT = " 3 \n\n7\r\n7\n99999\n1999"
+# (line number, id) as the id file reader must see them
+ID_FILE_LINES = [(1, "3"), (3, "7"), (4, "7"), (5, "99999"), (6, "1999")]
+
 REPORTS: dict[str, Callable] = {
     **{name: fn for section in reports.SECTIONS.values() for name, fn in section.items()},
     "participants_counts_onepass": reports.participants_counts_onepass,
@@ -27,11 +47,137 @@ def _report_query(fn: Callable) -> Query:
     return run
 
 
+def _report_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apply_defaults(spark)
+    return reports.report_long(reports.section_report(fixture_tables(spark, sf_dir), "all"))
+
+
+# -- erasure -----------------------------------------------------------------
+
+
+def write_id_file(spark: SparkSession, text: str) -> str:
+    """Write ``text`` as an id file in the shared folder; return its path."""
+    path = new_work_path(spark, "ids")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def _single_erase_set(spark: SparkSession, sf_dir: str):
+    tables = fixture_tables(spark, sf_dir)
+    ids = ids_frame(spark, [SINGLE_ERASE_ID])
+    return tables, erasure.materialize_erase_set(ids, tables.participants)
+
+
+def _batch_inputs(spark: SparkSession, sf_dir: str):
+    tables = fixture_tables(spark, sf_dir)
+    ids = scan_id_list(spark, write_id_file(spark, ID_FILE_TEXT))
+    return tables, ids
+
+
+def _erase_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apply_defaults(spark)
+    tables, erase = _single_erase_set(spark, sf_dir)
+    return erasure.plan_counts(tables, erase)
+
+
+def _erase_retained(table: str, batch: bool) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        apply_defaults(spark)
+        if batch:
+            tables, ids = _batch_inputs(spark, sf_dir)
+            erase = erasure.materialize_erase_set(ids, tables.participants)
+        else:
+            tables, erase = _single_erase_set(spark, sf_dir)
+        return erasure.retained(tables.get(table), erase)
+    return run
+
+
+def _batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apply_defaults(spark)
+    tables, ids = _batch_inputs(spark, sf_dir)
+    return erasure.batch_status(ids, tables.participants)
+
+
+def _batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apply_defaults(spark)
+    tables, ids = _batch_inputs(spark, sf_dir)
+    return erasure.batch_summary(tables, erasure.materialize_erase_set(ids, tables.participants))
+
+
+def _batch_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full batch erase on a fresh snapshot store; rows before minus after."""
+    apply_defaults(spark)
+    tables, ids = _batch_inputs(spark, sf_dir)
+    store = create_store(spark, new_work_path(spark, "store"), tables)
+    n = erasure.materialize_erase_set(ids, store.tables().participants).n
+    outcome = erasure.erase_participants(store, ids, erasure.batch_confirmation(n))
+    if outcome.status != "erased":
+        raise StudyError(f"batch erase did not run: {outcome.status}")
+    return outcome.frames["result"]
+
+
+def _clear_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apply_defaults(spark)
+    store = create_store(spark, new_work_path(spark, "store"), fixture_tables(spark, sf_dir))
+    outcome = erasure.clear_table(store, "events", "YES")
+    if outcome.status != "cleared":
+        raise StudyError(f"clear did not run: {outcome.status}")
+    after = store.tables().events
+    # rows cleared (from the old version) and rows left (from the new one)
+    return outcome.frames["status"].unionByName(
+        after.agg(F.lit("events_after").alias("table_name"),
+                  F.count(F.lit(1)).alias("n_rows_cleared")))
+
+
+# -- export ------------------------------------------------------------------
+
+
+def _export_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export the four tables, then count what was written by reading it back."""
+    apply_defaults(spark)
+    out_dir = new_work_path(spark, "export")
+    manifest = export_all_csv(spark, fixture_tables(spark, sf_dir), out_dir)
+    parts = []
+    for r in manifest.collect():  # four manifest rows
+        parts.append(read_back_csv(spark, r["path"]).agg(
+            F.lit(r["table_name"]).alias("table_name"), F.lit(r["status"]).alias("status"),
+            F.count(F.lit(1)).alias("n_rows")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _export_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export events (timestamps, NULLs) and read the text back."""
+    apply_defaults(spark)
+    out_dir = new_work_path(spark, "export")
+    _, _, path = export_table_csv(fixture_tables(spark, sf_dir).events, "events", out_dir)
+    return read_back_csv(spark, path)
+
+
+DATA_QUERIES: dict[str, Query] = {
+    "erase_plan": _erase_plan,
+    **{f"erase_retained_{t}": _erase_retained(t, batch=False) for t in STUDY_TABLES},
+    "erase_batch_status": _batch_status,
+    "erase_batch_summary": _batch_summary,
+    **{f"erase_batch_retained_{t}": _erase_retained(t, batch=True) for t in STUDY_TABLES},
+    "erase_batch_result": _batch_result,
+    "clear_table": _clear_events,
+    "export_all_csv": _export_all,
+    "export_table_csv": _export_events,
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: _report_query(fn) for name, fn in REPORTS.items()}
+    out["report_long"] = _report_long
+    out.update(DATA_QUERIES)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    out = dict(oracle.REPORT_SQL)
-    return {k: v for k, v in out.items() if k in queries()}
+    out = {**oracle.REPORT_SQL, **oracle.data_sql(SINGLE_ERASE_ID, ID_FILE_LINES),
+           "report_long": oracle.report_long_sql()}
+    names = queries()
+    return {k: v for k, v in out.items() if k in names}

@@ -219,27 +219,50 @@ def section_of(name: str) -> str:
     raise KeyError(name)
 
 
+# Key (string) and metric (numeric) columns of every report, in order.
+REPORT_SHAPES: dict[str, tuple[list[str], list[str]]] = {
+    "participants_total": ([], ["total_participants"]),
+    "participants_by_skill_level": (["skill_level"], ["n"]),
+    "participants_by_intervention_type": (["intervention_type"], ["n"]),
+    "participants_by_snippet_id": (["snippet_id"], ["n"]),
+    "participants_skill_x_intervention": (["skill_level", "intervention_type"], ["n"]),
+    "participants_skill_x_snippet": (["skill_level", "snippet_id"], ["n"]),
+    "participants_finished": ([], ["finished"]),
+    "participants_duration_avg": ([], ["n_durations", "avg_secs"]),
+    "participants_duration_median": ([], ["median_secs"]),
+    "duration_cast_policy": ([], ["n_candidates", "n_castable", "n_uncastable"]),
+    "submissions_total": ([], ["total_submissions"]),
+    "submissions_by_status": (["status"], ["n"]),
+    "submissions_pass_rate": ([], ["total_rows", "passed_rows", "pass_rate_percent"]),
+    "submissions_time_stats": ([], ["n_with_time", "avg_ms", "min_ms", "max_ms"]),
+    "feedback_means_overall": ([], [f"avg_{c}" for c in RATINGS]),
+    "feedback_means_by_intervention": (["intervention_type"], ["n", *RATINGS]),
+    "feedback_means_by_skill": (["skill_level"], ["n", *RATINGS]),
+    "feedback_means_by_snippet": (["snippet_id"], ["n", *RATINGS]),
+    "events_by_type": (["event_type"], ["n"]),
+    "events_top_participants": (["participant_id"], ["n"]),
+}
+
+
 def report_long(reports: dict[str, DataFrame]) -> DataFrame:
     """All results in one long table.
 
-    ``(section, report, title, key_1, key_2, metric, value)``: string columns
-    of a result become the keys (left to right), every numeric column becomes
-    one ``(metric, value)`` row; ``value`` is double. Each result is unpivoted
-    with ``stack`` and the pieces are unioned, so the whole report is one
-    plan that can be written as one Parquet table.
+    ``(section, report, title, key_1, key_2, metric, value)``: the key
+    columns of a result fill ``key_1``/``key_2``; every metric column
+    becomes one ``(metric, value)`` row with a double ``value``. Each result
+    is unpivoted with ``stack`` and the pieces are unioned, so the whole
+    report is one plan that can be written as one Parquet table.
     """
     pieces = []
     for name, df in reports.items():
-        keys = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-        metrics = [f.name for f in df.schema.fields if f.name not in keys]
-        if not metrics:
-            continue
-        key_cols = [F.col(k) for k in keys[:2]] + [F.lit(None).cast("string")] * (2 - len(keys[:2]))
+        keys, metrics = REPORT_SHAPES[name]
+        key_cols = [F.col(k).cast("string") for k in keys] + \
+            [F.lit(None).cast("string")] * (2 - len(keys))
         stack_args = ", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in metrics)
         piece = (df.select(*[c.alias(f"__k{i}") for i, c in enumerate(key_cols)], *metrics)
                  .selectExpr("__k0", "__k1", f"stack({len(metrics)}, {stack_args}) AS (metric, value)")
                  .select(F.lit(section_of(name)).alias("section"), F.lit(name).alias("report"),
-                         F.lit(TITLES.get(name, name)).alias("title"),
+                         F.lit(TITLES[name]).alias("title"),
                          F.col("__k0").alias("key_1"), F.col("__k1").alias("key_2"),
                          "metric", "value"))
         pieces.append(piece)
