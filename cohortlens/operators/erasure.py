@@ -6,22 +6,23 @@ new snapshot. ``left_anti`` keeps rows whose id is NULL, as ``id = v`` never
 matches NULL in the source system (a ``NOT IN`` would drop them). Ids that are
 not participants are never erased, even if child tables hold rows for them.
 
-The erase set is materialised once with ``checkpoint()`` (in the shared
-checkpoint folder) and counted, so that the four table scans neither
-recompute it nor guess its size: it is broadcast only when the count is at
-most ``max_broadcast_ids``, and shuffled otherwise. The big tables are
+The erase set is written once to the shared checkpoint folder and counted in
+the same job, so that the four table scans neither recompute it nor guess its
+size: it is broadcast only when the count is at most ``max_broadcast_ids``,
+and shuffled otherwise. The big tables are
 streamed through the join either way and are never collected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cohortlens.schema import ERASE_ORDER, ID_COLUMN, STUDY_TABLES, StudyError, check_table_name
-from cohortlens.session import work_dir
+from cohortlens.session import new_work_path
 from cohortlens.sources.snapshots import SnapshotStore
 from cohortlens.sources.tables import StudyTables
 
@@ -55,10 +56,18 @@ def erase_ids(ids: DataFrame, participants: DataFrame) -> DataFrame:
 
 def materialize_erase_set(ids: DataFrame, participants: DataFrame, *,
                           max_broadcast_ids: int = MAX_BROADCAST_IDS) -> EraseSet:
+    """Write the erase set once to the shared folder and count it.
+
+    One job: the semi join runs once, its row count is observed in the same
+    write, and the four table joins read the small written table instead of
+    recomputing it (this also cuts the lineage back to the id file).
+    """
     spark = participants.sparkSession
-    work_dir(spark)  # make sure a shared checkpoint folder is set
-    erase = erase_ids(ids, participants).checkpoint(eager=True)
-    return EraseSet(erase, erase.count(), max_broadcast_ids)
+    path = new_work_path(spark, "erase-set")
+    obs = Observation("erase_set")
+    erase_ids(ids, participants).observe(obs, F.count(F.lit(1)).alias("n")) \
+        .write.mode("errorifexists").parquet(path)
+    return EraseSet(spark.read.parquet(path), obs.get["n"], max_broadcast_ids)
 
 
 def rows_of(table: DataFrame, erase: EraseSet) -> DataFrame:
@@ -154,16 +163,22 @@ class EraseOutcome:
         return self.status != "cancelled"
 
 
-def erase_participants(store: SnapshotStore, ids: DataFrame, confirm: str | None, *,
+Confirm = str | None | Callable[["EraseOutcome"], str | None]
+
+
+def erase_participants(store: SnapshotStore, ids: DataFrame, confirm: Confirm, *,
                        single: bool = False,
                        max_broadcast_ids: int = MAX_BROADCAST_IDS) -> EraseOutcome:
     """Erase the listed participants from all four tables as one new version.
 
     ``single=True`` is the one-id form, confirmed with ``YES``; otherwise the
     confirmation must be ``DELETE ALL <n> PARTICIPANTS`` with ``n`` the
-    number of distinct listed ids that are participants. A wrong
-    confirmation returns ``cancelled`` and writes nothing; the outcome then
-    carries the summary and the expected confirmation.
+    number of distinct listed ids that are participants. ``confirm`` may be
+    the text itself or a callable that receives the pending outcome (with
+    its summary frames and ``n_participants``) and returns the text, as an
+    interactive prompt would. A wrong confirmation returns ``cancelled`` and
+    writes nothing; the outcome then carries the summary and the expected
+    confirmation.
     """
     before = store.tables()
     erase = materialize_erase_set(ids, before.participants, max_broadcast_ids=max_broadcast_ids)
@@ -172,6 +187,8 @@ def erase_participants(store: SnapshotStore, ids: DataFrame, confirm: str | None
     if erase.n == 0:
         return EraseOutcome("nothing_to_do", n_participants=0, frames=frames)
     expected = "YES" if single else batch_confirmation(erase.n)
+    if callable(confirm):
+        confirm = confirm(EraseOutcome("pending", n_participants=erase.n, frames=frames))
     if confirm != expected:
         return EraseOutcome("cancelled", n_participants=erase.n,
                             expected_confirmation=expected, frames=frames)
@@ -193,7 +210,7 @@ def erase_participant(store: SnapshotStore, participant_id: str, confirm: str |
     return erase_participants(store, ids, confirm, single=True, **kw)
 
 
-def clear_table(store: SnapshotStore, table: str, confirm: str | None) -> EraseOutcome:
+def clear_table(store: SnapshotStore, table: str, confirm: Confirm) -> EraseOutcome:
     """Empty one table (schema kept) as a new version; confirmed with ``YES``."""
     check_table_name(table)
     current = store.tables()
@@ -203,6 +220,8 @@ def clear_table(store: SnapshotStore, table: str, confirm: str | None) -> EraseO
                        F.count(F.lit(1)).alias("n_rows_cleared"))
     if n == 0:
         return EraseOutcome("nothing_to_do", frames={"status": status_of})
+    if callable(confirm):
+        confirm = confirm(EraseOutcome("pending", n_participants=0, frames={"status": status_of}))
     if confirm != "YES":
         return EraseOutcome("cancelled", expected_confirmation="YES",
                             frames={"status": status_of})

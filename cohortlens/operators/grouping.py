@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import label, round_half_up
-from cohortlens.operators.means import merged_mean, partial_sums
+from cohortlens.operators.means import (MAX_BROADCAST_ROWS, choose_strategy, merged_mean,
+                                        partial_sums)
 from cohortlens.schema import ID_COLUMN, NULL_LABEL
 
 TOTAL_SET = "total"
@@ -50,27 +51,37 @@ def counts_onepass(df: DataFrame, sets: Sequence[Sequence[str]], *,
 
 def means_onepass(facts: DataFrame, lookup: DataFrame, sets: Sequence[Sequence[str]],
                   values: Sequence[str], *, join_key: str = ID_COLUMN,
+                  strategy: str = "auto", max_broadcast_rows: int = MAX_BROADCAST_ROWS,
                   null_label: str = NULL_LABEL, n: str = "n", digits: int = 2) -> DataFrame:
     """Row counts and rounded means for every grouping set, one scan, one join.
 
     Dimensions found in ``facts`` are taken from it; the others come from
-    ``lookup`` via ``facts LEFT JOIN lookup USING (join_key)``. Facts are
-    pre-aggregated per (join key, own dimensions) before the join, so a hot
-    key is collapsed before any shuffle and the join is one-to-one per key.
+    ``lookup`` via ``facts LEFT JOIN lookup USING (join_key)``. A small
+    ``lookup`` (checked count) is broadcast into the scan of ``facts``; a
+    large one meets facts pre-aggregated per (join key, own dimensions), so
+    a hot key is collapsed before any shuffle and the join is one-to-one.
     """
     dims = _dims_in(sets)
     own = [d for d in dims if d in facts.columns and d != join_key]
     looked_up = [d for d in dims if d not in own]
-    pre = partial_sums(
-        facts.select(join_key, *[label(d, null_label).alias(d) for d in own], *values),
-        [join_key, *own], values)
-    joined = pre.join(lookup.select(join_key, *looked_up), join_key, "left")
-    labelled = joined.select(
-        *[F.col(d) for d in own],
-        *[label(d, null_label).alias(d) for d in looked_up],
-        *[c for c in pre.columns if c.startswith("__")])
+    how = choose_strategy(lookup, strategy, max_broadcast_rows)
+    right = lookup.select(join_key, *looked_up)
+    if how == "preaggregate":
+        pre = partial_sums(
+            facts.select(join_key, *[label(d, null_label).alias(d) for d in own], *values),
+            [join_key, *own], values)
+        joined = pre.join(right, join_key, "left")
+        carried = [c for c in pre.columns if c.startswith("__")]
+        aggs = [F.sum("__rows").alias(n),
+                *[round_half_up(merged_mean(c), digits).alias(c) for c in values]]
+    else:
+        if how == "broadcast":
+            right = F.broadcast(right)
+        joined = facts.select(join_key, *own, *values).join(right, join_key, "left")
+        carried = list(values)
+        aggs = [F.count(F.lit(1)).alias(n),
+                *[round_half_up(F.avg(c), digits).alias(c) for c in values]]
+    labelled = joined.select(*[label(d, null_label).alias(d) for d in dims], *carried)
     out = labelled.groupingSets([[F.col(d) for d in s] for s in sets], *dims).agg(
-        grouping_set_name(dims).alias("grouping_set"),
-        F.sum("__rows").alias(n),
-        *[round_half_up(merged_mean(c), digits).alias(c) for c in values])
+        grouping_set_name(dims).alias("grouping_set"), *aggs)
     return out.select("grouping_set", *dims, n, *values)

@@ -1,16 +1,20 @@
 """Rounded means of rating columns, overall and per group.
 
 Grouping by a label that lives in another table (feedback rated by the
-participant's arm) is a LEFT JOIN on ``participant_id`` followed by a group-by.
-At scale both tables are large and one participant may own a third of all
-feedback rows, which would make the join's partition for that key enormous.
-So by default the fact side is first reduced to one row per join key
-(sum and non-null count of every rating, plus the row count) with a partial
-aggregate, which collapses hot keys inside each map task; the join is then
-one-to-one per key and the final re-aggregation is over a handful of labels.
-The join strategy itself is left to Catalyst and AQE: a small participants
-table is broadcast after its size is measured, a large one is sort-merged
-with the already key-partitioned pre-aggregate.
+participant's arm) is a LEFT JOIN on ``participant_id`` followed by a
+group-by. Two plans, chosen by a checked size of the label table:
+
+* ``broadcast``: the label table has at most ``max_broadcast_rows`` rows
+  (counted, column-pruned): it is broadcast and the fact table is streamed
+  through a map-side hash join straight into a partial aggregate over a
+  handful of labels. The fact table is never shuffled, so a participant who
+  owns a third of all rows costs nothing extra.
+* ``preaggregate``: a larger label table. The fact side is first reduced to
+  one row per join key (sum and non-null count of every rating, plus the
+  row count) by a partial aggregate, which collapses hot keys inside each
+  map task before any shuffle; the join is then one-to-one per key and
+  reuses the pre-aggregate's hash partitioning, and the final re-aggregation
+  is over a handful of labels.
 """
 
 from __future__ import annotations
@@ -52,34 +56,59 @@ def means(df: DataFrame, values: Sequence[str], *, prefix: str = "avg_",
     return df.agg(*[round_half_up(F.avg(c), digits).alias(f"{prefix}{c}") for c in values])
 
 
+MAX_BROADCAST_ROWS = 1_000_000
+STRATEGIES = ("auto", "broadcast", "preaggregate", "direct")
+
+
+def choose_strategy(lookup: DataFrame, strategy: str = "auto",
+                    max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> str:
+    """``broadcast`` when the label table is small enough, else ``preaggregate``.
+
+    The check counts at most ``max_broadcast_rows + 1`` rows of the label
+    table with every column pruned, so it costs little even on a big table.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}, got {strategy!r}")
+    if strategy != "auto":
+        return strategy
+    n = lookup.select(F.lit(1)).limit(max_broadcast_rows + 1).count()
+    return "broadcast" if n <= max_broadcast_rows else "preaggregate"
+
+
 def means_by(df: DataFrame, key: str, values: Sequence[str], *,
              lookup: DataFrame | None = None, join_key: str = ID_COLUMN,
-             preaggregate: bool = True, null_label: str = NULL_LABEL,
-             n: str = "n", digits: int = 2, ordered: bool = True) -> DataFrame:
+             strategy: str = "auto", max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+             null_label: str = NULL_LABEL, n: str = "n", digits: int = 2,
+             ordered: bool = True) -> DataFrame:
     """Row count and rounded means of ``values`` per label of ``key``.
 
     Without ``lookup`` the key is a column of ``df``. With ``lookup`` the key
     comes from ``lookup`` through ``df LEFT JOIN lookup USING (join_key)``;
     fact rows without a match and lookup rows with a NULL key both land in
     the ``(null)`` group. ``lookup`` must hold each join key at most once.
+    ``strategy`` picks the join plan (see the module notes); ``direct``
+    joins without pre-aggregation or hint and leaves the choice to Spark.
     """
     if lookup is None:
         out = df.groupBy(label(key, null_label).alias(key)).agg(
             F.count(F.lit(1)).alias(n),
             *[round_half_up(F.avg(c), digits).alias(c) for c in values])
-    elif not preaggregate:
-        right = lookup.select(join_key, key)
-        joined = df.select(join_key, *values).join(right, join_key, "left")
-        out = joined.groupBy(label(key, null_label).alias(key)).agg(
-            F.count(F.lit(1)).alias(n),
-            *[round_half_up(F.avg(c), digits).alias(c) for c in values])
     else:
-        pre = partial_sums(df, [join_key], values)
+        how = choose_strategy(lookup, strategy, max_broadcast_rows)
         right = lookup.select(join_key, key)
-        joined = pre.join(right, join_key, "left")
-        out = joined.groupBy(label(key, null_label).alias(key)).agg(
-            F.sum("__rows").alias(n),
-            *[round_half_up(merged_mean(c), digits).alias(c) for c in values])
+        if how == "preaggregate":
+            pre = partial_sums(df, [join_key], values)
+            joined = pre.join(right, join_key, "left")
+            out = joined.groupBy(label(key, null_label).alias(key)).agg(
+                F.sum("__rows").alias(n),
+                *[round_half_up(merged_mean(c), digits).alias(c) for c in values])
+        else:
+            if how == "broadcast":
+                right = F.broadcast(right)
+            joined = df.select(join_key, *values).join(right, join_key, "left")
+            out = joined.groupBy(label(key, null_label).alias(key)).agg(
+                F.count(F.lit(1)).alias(n),
+                *[round_half_up(F.avg(c), digits).alias(c) for c in values])
     if ordered:
         out = out.orderBy(F.col(n).desc(), F.col(key).asc_nulls_last())
     return out

@@ -20,7 +20,7 @@ from cohortlens.session import apply_defaults, new_work_path
 from cohortlens.sources.fixtures import fixture_tables
 from cohortlens.sources.idlist import ids_frame, scan_id_list
 from cohortlens.sources.sinks import export_all_csv, export_table_csv, read_back_csv
-from cohortlens.sources.snapshots import create_store
+from cohortlens.sources.snapshots import SnapshotStore, create_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,7 +49,7 @@ def _report_query(fn: Callable) -> Query:
 
 def _report_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
-    return reports.report_long(reports.section_report(fixture_tables(spark, sf_dir), "all"))
+    return reports.report_long_onepass(fixture_tables(spark, sf_dir))
 
 
 # -- erasure -----------------------------------------------------------------
@@ -104,13 +104,28 @@ def _batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return erasure.batch_summary(tables, erasure.materialize_erase_set(ids, tables.participants))
 
 
+# The fixture study tables published once per application; every erase or
+# clear query works on its own branch of it (a manifest naming the same
+# files), as on a study database that already exists.
+_BASE_STORES: dict[tuple[str, str], SnapshotStore] = {}
+
+
+def fixture_store(spark: SparkSession, sf_dir: str) -> SnapshotStore:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BASE_STORES:
+        _BASE_STORES[key] = create_store(spark, new_work_path(spark, "study"),
+                                         fixture_tables(spark, sf_dir))
+    return _BASE_STORES[key].branch(new_work_path(spark, "store"))
+
+
 def _batch_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full batch erase on a fresh snapshot store; rows before minus after."""
     apply_defaults(spark)
-    tables, ids = _batch_inputs(spark, sf_dir)
-    store = create_store(spark, new_work_path(spark, "store"), tables)
-    n = erasure.materialize_erase_set(ids, store.tables().participants).n
-    outcome = erasure.erase_participants(store, ids, erasure.batch_confirmation(n))
+    _, ids = _batch_inputs(spark, sf_dir)
+    store = fixture_store(spark, sf_dir)
+    # confirm as a user would: with the text the summary asks for
+    outcome = erasure.erase_participants(
+        store, ids, lambda pending: erasure.batch_confirmation(pending.n_participants))
     if outcome.status != "erased":
         raise StudyError(f"batch erase did not run: {outcome.status}")
     return outcome.frames["result"]
@@ -118,7 +133,7 @@ def _batch_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clear_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
-    store = create_store(spark, new_work_path(spark, "store"), fixture_tables(spark, sf_dir))
+    store = fixture_store(spark, sf_dir)
     outcome = erasure.clear_table(store, "events", "YES")
     if outcome.status != "cleared":
         raise StudyError(f"clear did not run: {outcome.status}")
@@ -136,10 +151,12 @@ def _export_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export the four tables, then count what was written by reading it back."""
     apply_defaults(spark)
     out_dir = new_work_path(spark, "export")
-    manifest = export_all_csv(spark, fixture_tables(spark, sf_dir), out_dir)
+    tables = fixture_tables(spark, sf_dir)
+    manifest = export_all_csv(spark, tables, out_dir)
     parts = []
     for r in manifest.collect():  # four manifest rows
-        parts.append(read_back_csv(spark, r["path"]).agg(
+        columns = tables.get(r["table_name"]).columns
+        parts.append(read_back_csv(spark, r["path"], columns).agg(
             F.lit(r["table_name"]).alias("table_name"), F.lit(r["status"]).alias("status"),
             F.count(F.lit(1)).alias("n_rows")))
     out = parts[0]
@@ -152,8 +169,9 @@ def _export_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export events (timestamps, NULLs) and read the text back."""
     apply_defaults(spark)
     out_dir = new_work_path(spark, "export")
-    _, _, path = export_table_csv(fixture_tables(spark, sf_dir).events, "events", out_dir)
-    return read_back_csv(spark, path)
+    events = fixture_tables(spark, sf_dir).events
+    _, _, path = export_table_csv(events, "events", out_dir)
+    return read_back_csv(spark, path, events.columns)
 
 
 DATA_QUERIES: dict[str, Query] = {

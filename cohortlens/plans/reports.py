@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import passed_expr
+from cohortlens.functions.exprs import passed_expr, round_half_up
 from cohortlens.operators.counting import (count_by, count_by_pair, count_rows,
                                            count_where_not_null, top_by_count)
 from cohortlens.operators.durations import cast_report, duration_median, duration_stats
@@ -94,14 +94,14 @@ def feedback_means_overall(t: StudyTables) -> DataFrame:
     return means(t.feedback, RATINGS, prefix="avg_")
 
 
-def feedback_means_by_intervention(t: StudyTables, preaggregate: bool = True) -> DataFrame:
+def feedback_means_by_intervention(t: StudyTables, strategy: str = "auto") -> DataFrame:
     return means_by(t.feedback, "intervention_type", RATINGS, lookup=t.participants,
-                    preaggregate=preaggregate)
+                    strategy=strategy)
 
 
-def feedback_means_by_skill(t: StudyTables, preaggregate: bool = True) -> DataFrame:
+def feedback_means_by_skill(t: StudyTables, strategy: str = "auto") -> DataFrame:
     return means_by(t.feedback, "skill_level", RATINGS, lookup=t.participants,
-                    preaggregate=preaggregate)
+                    strategy=strategy)
 
 
 def feedback_means_by_snippet(t: StudyTables) -> DataFrame:
@@ -131,13 +131,13 @@ def participants_counts_onepass(t: StudyTables) -> DataFrame:
     return counts_onepass(t.participants, PARTICIPANT_SETS)
 
 
-def feedback_means_onepass(t: StudyTables) -> DataFrame:
+def feedback_means_onepass(t: StudyTables, strategy: str = "auto") -> DataFrame:
     """F1-F4 from one scan of feedback and one join.
 
     ``snippet_id`` is feedback's own column; the arm and skill come from
     participants.
     """
-    return means_onepass(t.feedback, t.participants, FEEDBACK_SETS, RATINGS)
+    return means_onepass(t.feedback, t.participants, FEEDBACK_SETS, RATINGS, strategy=strategy)
 
 
 # -- sections ----------------------------------------------------------------
@@ -270,3 +270,113 @@ def report_long(reports: dict[str, DataFrame]) -> DataFrame:
     for p in pieces[1:]:
         out = out.unionByName(p)
     return out
+
+
+def _lookup(mapping: dict[str, str], key):
+    """Literal map lookup as a Spark expression."""
+    pairs = []
+    for k, v in mapping.items():
+        pairs += [F.lit(k), F.lit(v)]
+    return F.create_map(*pairs)[key]
+
+
+def _long(df, report, keys, metrics):
+    """Unpivot ``df`` into ``(report, key_1, key_2, metric, value)`` rows.
+
+    ``report`` is a report name or a Column giving it per row; ``keys`` are
+    up to two Columns; ``metrics`` maps metric name -> Column.
+    """
+    key_cols = list(keys) + [F.lit(None).cast("string")] * (2 - len(keys))
+    rep = F.lit(report) if isinstance(report, str) else report
+    inner = df.select(rep.alias("report"), key_cols[0].cast("string").alias("key_1"),
+                      key_cols[1].cast("string").alias("key_2"),
+                      *[c.cast("double").alias(f"__m{i}") for i, c in enumerate(metrics.values())])
+    args = ", ".join(f"'{m}', __m{i}" for i, m in enumerate(metrics))
+    return inner.selectExpr("report", "key_1", "key_2",
+                            f"stack({len(metrics)}, {args}) AS (metric, value)")
+
+
+def report_long_onepass(t: StudyTables) -> DataFrame:
+    """Every report of every section in long form, from shared scans.
+
+    The same rows as ``report_long(section_report(t, 'all'))`` with far fewer
+    scans: P1-P6 from one grouping-sets scan, P7/P8/P10 from one aggregate,
+    S1/S3/S4 from one aggregate, F1-F4 from one scan and one join; only the
+    exact median, S2, E1 and E2 have scans of their own. Nothing is sorted:
+    a long table has no order (the top-50 keeps its limit, which is the
+    report itself).
+    """
+    from cohortlens.operators.durations import OK, US, duration_frame, mean_of_integers
+
+    p = t.participants
+    pieces = []
+    # P1-P6
+    r3 = participants_counts_onepass(t)
+    gs = F.col("grouping_set")
+    names3 = {"total": "participants_total", "skill_level": "participants_by_skill_level",
+              "intervention_type": "participants_by_intervention_type",
+              "snippet_id": "participants_by_snippet_id",
+              "skill_level,intervention_type": "participants_skill_x_intervention",
+              "skill_level,snippet_id": "participants_skill_x_snippet"}
+    key1 = F.coalesce("skill_level", "intervention_type", "snippet_id")
+    key2 = F.when(F.col("skill_level").isNotNull(), F.coalesce("intervention_type", "snippet_id"))
+    pieces.append(_long(r3.where(gs == "total"), "participants_total", [],
+                        {"total_participants": F.col("n")}))
+    pieces.append(_long(r3.where(gs != "total"), _lookup(names3, gs), [key1, key2],
+                        {"n": F.col("n")}))
+    # P7, P8, P10 in one aggregate over participants
+    cand = p.select(
+        (F.col("started_at").isNotNull() & F.col("ended_at").isNotNull()).alias("__fin"),
+        *[F.col(c) for c in ("started_at", "ended_at")])
+    d = duration_frame(cand.where("__fin"))
+    agg = d.agg(F.count(F.lit(1)).alias("n_candidates"),
+                F.count_if(F.col(OK)).alias("n_castable"),
+                F.count_if(~F.col(OK)).alias("n_uncastable"),
+                F.count(F.col(US)).alias("n_durations"),
+                (mean_of_integers(F.col(US)) / F.lit(1e6)).alias("avg_secs"))
+    fin = count_where_not_null(p, ["started_at", "ended_at"], "finished")
+    pieces.append(_long(fin, "participants_finished", [], {"finished": F.col("finished")}))
+    pieces.append(_long(agg, "participants_duration_avg", [],
+                        {"n_durations": F.col("n_durations"), "avg_secs": F.col("avg_secs")}))
+    pieces.append(_long(agg, "duration_cast_policy", [],
+                        {m: F.col(m) for m in ("n_candidates", "n_castable", "n_uncastable")}))
+    pieces.append(_long(participants_duration_median(t), "participants_duration_median", [],
+                        {"median_secs": F.col("median_secs")}))
+    # S1, S3, S4 in one aggregate; S2 on its own
+    s = t.code_submissions
+    passed = F.coalesce(passed_expr(), F.lit(False))
+    sagg = s.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(passed).alias("passed_rows"),
+                 F.count("time_taken_ms").alias("n_with_time"),
+                 round_half_up(F.avg("time_taken_ms"), 0).alias("avg_ms"),
+                 F.min("time_taken_ms").alias("min_ms"), F.max("time_taken_ms").alias("max_ms"))
+    pct = round_half_up(F.lit(100.0) * F.col("passed_rows") / F.nullif(F.col("total_rows"), F.lit(0)), 2)
+    pieces.append(_long(sagg, "submissions_total", [], {"total_submissions": F.col("total_rows")}))
+    pieces.append(_long(sagg, "submissions_pass_rate", [],
+                        {"total_rows": F.col("total_rows"), "passed_rows": F.col("passed_rows"),
+                         "pass_rate_percent": pct}))
+    pieces.append(_long(sagg, "submissions_time_stats", [],
+                        {m: F.col(m) for m in ("n_with_time", "avg_ms", "min_ms", "max_ms")}))
+    pieces.append(_long(count_by(s, "status", ordered=False), "submissions_by_status",
+                        [F.col("status")], {"n": F.col("n")}))
+    # F1-F4
+    r4 = feedback_means_onepass(t)
+    names4 = {"intervention_type": "feedback_means_by_intervention",
+              "skill_level": "feedback_means_by_skill", "snippet_id": "feedback_means_by_snippet"}
+    pieces.append(_long(r4.where(gs == "total"), "feedback_means_overall", [],
+                        {f"avg_{c}": F.col(c) for c in RATINGS}))
+    pieces.append(_long(r4.where(gs != "total"), _lookup(names4, gs),
+                        [F.coalesce("intervention_type", "skill_level", "snippet_id")],
+                        {"n": F.col("n"), **{c: F.col(c) for c in RATINGS}}))
+    # E1, E2
+    pieces.append(_long(count_by(t.events, "event_type", null_label=None, ordered=False),
+                        "events_by_type", [F.col("event_type")], {"n": F.col("n")}))
+    pieces.append(_long(events_top_participants(t), "events_top_participants",
+                        [F.col("participant_id")], {"n": F.col("n")}))
+
+    out = pieces[0]
+    for piece in pieces[1:]:
+        out = out.unionByName(piece)
+    sections = {name: section_of(name) for name in TITLES if name in REPORT_SHAPES}
+    return out.select(_lookup(sections, F.col("report")).alias("section"), "report",
+                      _lookup(TITLES, F.col("report")).alias("title"),
+                      "key_1", "key_2", "metric", "value")

@@ -17,9 +17,6 @@ from pyspark.sql.utils import AnalysisException
 from cohortlens.functions.exprs import strip_ws
 from cohortlens.schema import ID_COLUMN, StudyError
 
-# Split tables larger than this are joined back without a broadcast.
-MAX_BROADCAST_SPLITS = 100_000
-
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, line_no, value)`` for every physical line of the text file(s)."""
@@ -40,8 +37,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     offsets = splits.select(
         "file", "block", "first_row",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"))
-    if offsets.count() <= MAX_BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
+    # One row per input split: small, and measured at run time by AQE, which
+    # turns the join into a broadcast when the shuffled side is small.
     return lines.join(offsets, ["file", "block"]).select(
         "file",
         (F.col("lines_before") + F.col("row_id") - F.col("first_row") + 1).alias("line_no"),

@@ -11,6 +11,7 @@ The row count of each export is observed inside the write job itself.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -78,14 +79,17 @@ def export_all_csv(spark: SparkSession, tables: StudyTables, output_dir: str) ->
     """Export the four tables; return the manifest ``(table_name, status,
     n_rows, path)``. A failing table is recorded as ``failed`` and the others
     still run."""
-    rows = []
-    for name in STUDY_TABLES:
+    def one(name: str) -> tuple[str, str, int, str]:
         try:
             status, n, path = export_table_csv(tables.get(name), name, output_dir)
         except Exception as exc:  # noqa: BLE001 - recorded in the manifest
             status, n, path = f"failed: {type(exc).__name__}", 0, os.path.join(
                 output_dir, f"{name}.csv")
-        rows.append((name, status, n, path))
+        return name, status, n, path
+
+    # four independent write jobs, submitted together
+    with ThreadPoolExecutor(max_workers=len(STUDY_TABLES)) as pool:
+        rows = list(pool.map(one, STUDY_TABLES))
     return spark.createDataFrame(rows, MANIFEST_SCHEMA)
 
 
@@ -99,6 +103,13 @@ def export_summary(manifest: DataFrame) -> DataFrame:
         F.min(F.regexp_replace("path", r"/[^/]+\.csv$", "")).alias("output_dir"))
 
 
-def read_back_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read an export as text columns (empty field -> NULL)."""
-    return spark.read.options(header="true", escape='"', quote='"').csv(path)
+def read_back_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Read an export as text columns (empty field -> NULL).
+
+    With ``columns`` the schema is given (every column text, as exported), so
+    no job is spent reading the header to infer it.
+    """
+    reader = spark.read.options(header="true", escape='"', quote='"')
+    if columns is not None:
+        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+    return reader.csv(path)

@@ -14,6 +14,7 @@ the new manifest points at their previous path.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -34,34 +35,46 @@ class Entry:
 
 
 class SnapshotStore:
-    """Study tables under ``root``, published as numbered versions."""
+    """Study tables under ``root``, published as numbered versions.
+
+    Manifests read or written through this object are remembered, so a
+    sequence of operations lists the manifest folder once and reads each
+    manifest at most once.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._latest: int | None = None
+        self._known_empty = False
+        self._entries: dict[int, dict[str, Entry]] = {}
 
     # -- reading -------------------------------------------------------------
 
-    def _manifests(self) -> DataFrame | None:
+    def latest_version(self, refresh: bool = False) -> int | None:
+        """Newest published version (``None`` for an empty store)."""
+        if not refresh and (self._latest is not None or self._known_empty):
+            return self._latest
         try:
-            return self.spark.read.schema(MANIFEST_SCHEMA + ", version int").json(
-                f"{self.root}/_manifests")
+            versions = (self.spark.read.schema(MANIFEST_SCHEMA + ", version int")
+                        .json(f"{self.root}/_manifests")
+                        .agg(F.max("version").alias("v")).first()["v"])
         except AnalysisException:
-            return None
-
-    def latest_version(self) -> int | None:
-        m = self._manifests()
-        if m is None:
-            return None
-        return m.agg(F.max("version").alias("v")).first()["v"]
+            versions = None
+        self._latest = versions
+        self._known_empty = versions is None
+        return versions
 
     def manifest(self, version: int | None = None) -> dict[str, Entry]:
         """Table entries of ``version`` (default: the latest)."""
         v = self.latest_version() if version is None else version
         if v is None:
             raise StudyError(f"no published snapshot under {self.root!r}")
-        rows = self.spark.read.schema(MANIFEST_SCHEMA).json(self._manifest_path(v)).collect()
-        return {r["table_name"]: Entry(r["table_name"], r["path"], r["n_rows"]) for r in rows}
+        if v not in self._entries:
+            rows = self.spark.read.schema(MANIFEST_SCHEMA).json(self._manifest_path(v)).collect()
+            self._entries[v] = {r["table_name"]: Entry(r["table_name"], r["path"], r["n_rows"])
+                                for r in rows}
+        return self._entries[v]
 
     def tables(self, version: int | None = None) -> StudyTables:
         entries = self.manifest(version)
@@ -90,15 +103,43 @@ class SnapshotStore:
             raise StudyError(f"first snapshot needs all tables; missing {', '.join(missing)}")
         version = (parent or 0) + 1
         entries = dict(base)
-        for name, df in changes.items():
+
+        def write(name: str) -> Entry:
             path = self._table_path(name, version)
             obs = Observation(f"rows_{name}_{version}")
-            df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(path)
-            entries[name] = Entry(name, path, obs.get["n"])
+            changes[name].observe(obs, F.count(F.lit(1)).alias("n")) \
+                .write.mode("errorifexists").parquet(path)
+            return Entry(name, path, obs.get["n"])
+
+        # The tables are independent jobs: submit them together so that small
+        # tables do not leave the cluster idle while a big one finishes.
+        with ThreadPoolExecutor(max_workers=max(1, len(changes))) as pool:
+            for entry in pool.map(write, list(changes)):
+                entries[entry.table_name] = entry
+        self._write_manifest(version, entries, parent, note)
+        return version
+
+    def _write_manifest(self, version: int, entries: dict[str, Entry], parent: int | None,
+                        note: str) -> None:
         rows = [(e.table_name, e.path, e.n_rows, parent, note) for e in entries.values()]
         (self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1)
          .write.mode("errorifexists").json(self._manifest_path(version)))
-        return version
+        self._entries[version] = dict(entries)
+        self._latest, self._known_empty = version, False
+
+    def branch(self, root: str, version: int | None = None,
+               note: str = "branch") -> SnapshotStore:
+        """A new store at ``root`` whose version 1 is ``version`` of this one.
+
+        Nothing is copied: the new manifest names the same table paths, which
+        are never written again, so both stores can move on independently.
+        """
+        entries = self.manifest(version)
+        other = SnapshotStore(self.spark, root)
+        if other.latest_version() is not None:
+            raise StudyError(f"a store already exists at {root!r}")
+        other._write_manifest(1, entries, None, note)
+        return other
 
 
 def create_store(spark: SparkSession, root: str, tables: StudyTables,

@@ -45,8 +45,15 @@ def test_not_null_filters_reach_the_scan(spark, tables001, scratch):
     assert "ReadSchema: struct<started_at:string,ended_at:string>" in p
 
 
+def test_small_lookup_is_broadcast(tables001):
+    p = plan(R.feedback_means_by_intervention(tables001))
+    assert "BroadcastHashJoin" in p and "LeftOuter" in p
+    # the fact side is not shuffled by participant before the join
+    assert "Exchange hashpartitioning(participant_id" not in p
+
+
 def test_preaggregation_below_join(tables001):
-    df = R.feedback_means_by_intervention(tables001)
+    df = R.feedback_means_by_intervention(tables001, strategy="preaggregate")
     text = df._jdf.queryExecution().optimizedPlan().toString()
     # the aggregate over participant_id sits below the join
     join_at = text.index("Join LeftOuter")

@@ -56,10 +56,14 @@ def test_means_onepass_equals_separate(tables001):
     assert as_set(total) == as_set(R.feedback_means_overall(tables001))
 
 
-def test_preaggregated_equals_direct(tables001):
+def test_join_strategies_agree(tables001):
     for fn in (R.feedback_means_by_intervention, R.feedback_means_by_skill):
-        assert fn(tables001, preaggregate=True).collect() == \
-            fn(tables001, preaggregate=False).collect()
+        want = fn(tables001, strategy="direct").collect()
+        assert fn(tables001, strategy="preaggregate").collect() == want
+        assert fn(tables001, strategy="broadcast").collect() == want
+    want = as_set(R.feedback_means_onepass(tables001, strategy="direct"))
+    assert as_set(R.feedback_means_onepass(tables001, strategy="preaggregate")) == want
+    assert as_set(R.feedback_means_onepass(tables001, strategy="broadcast")) == want
 
 
 def test_retained_plus_erased_is_original(spark, tables001):
