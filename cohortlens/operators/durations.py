@@ -19,10 +19,11 @@ two or three. Nothing proportional to the data ever leaves the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import micros_between, parse_ts, ts_candidate
+from cohortlens.session import new_work_path
 
 MODES = ("row", "strict")
 US = "__us"
@@ -119,13 +120,23 @@ def exact_median(values: DataFrame, value: str, *, buckets: int = 4096) -> tuple
     """Exact median of an integral column as ``2 * median`` (an integer).
 
     Returns ``(frame, twice_median)``: ``frame`` is a one-row Spark aggregate
-    over ``values`` holding ``twice_median`` (NULL when there is no value),
-    so that the answer stays exact for integers. The driver only ever holds
+    over the values holding ``twice_median`` (NULL when there is no value),
+    so that the answer stays exact for integers. The non-NULL values are
+    first written once to the shared checkpoint folder, with their count,
+    minimum and maximum observed in the same job; the histogram passes and
+    the final frame read that compact column instead of recomputing the
+    input (and the lineage is cut there). The driver only ever holds
     histograms of at most ``buckets`` rows.
     """
-    v = values.select(F.col(value).cast("long").alias("__v")).where(F.col("__v").isNotNull())
-    stats = v.agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"),
-                  F.max("__v").alias("hi")).first()
+    spark = values.sparkSession
+    path = new_work_path(spark, "median-values")
+    obs = Observation("median_values")
+    (values.select(F.col(value).cast("long").alias("__v")).where(F.col("__v").isNotNull())
+     .observe(obs, F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"),
+              F.max("__v").alias("hi"))
+     .write.mode("errorifexists").parquet(path))
+    stats = obs.get
+    v = spark.read.parquet(path)
     n = stats["n"]
     if not n:
         frame = v.where(F.lit(False)).agg((F.min("__v") + F.max("__v")).alias("twice_median"))

@@ -1,9 +1,10 @@
 """Several groupings in one scan (GROUPING SETS).
 
 The source system runs one full scan per count or per mean table. Here all
-groupings of one table go through a single scan: Spark's ``Expand`` copies
-each row once per grouping set inside the scan's stage, the partial
-aggregate collapses the copies immediately, and only one shuffle follows.
+groupings of one table go through a single scan: rows are first reduced to
+partial sums at the finest grain (all dimensions together), and Spark's
+``Expand`` then copies each of those few rows once per grouping set before
+the roll-up aggregate.
 Labels are coalesced *before* grouping, so a NULL in the output always means
 "grouped out" and never a NULL label; ``grouping_set`` names the set.
 """
@@ -16,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import label, round_half_up
-from cohortlens.operators.means import (MAX_BROADCAST_ROWS, choose_strategy, merged_mean,
-                                        partial_sums)
+from cohortlens.operators.means import (MAX_BROADCAST_ROWS, _cnt, _sum, choose_strategy,
+                                        merged_mean, partial_sums)
 from cohortlens.schema import ID_COLUMN, NULL_LABEL
 
 TOTAL_SET = "total"
@@ -40,12 +41,18 @@ def _dims_in(sets: Sequence[Sequence[str]]) -> list[str]:
 
 def counts_onepass(df: DataFrame, sets: Sequence[Sequence[str]], *,
                    null_label: str = NULL_LABEL, n: str = "n") -> DataFrame:
-    """Row counts for every grouping set in ``sets`` from one scan."""
+    """Row counts for every grouping set in ``sets`` from one scan.
+
+    Rows are first counted at the finest grain (all dimensions together),
+    then the grouping sets roll those counts up, so ``Expand`` copies the
+    few finest-grain rows instead of every input row.
+    """
     dims = _dims_in(sets)
-    labelled = df.select(*[label(d, null_label).alias(d) for d in dims])
-    out = labelled.groupingSets([[F.col(d) for d in s] for s in sets], *dims).agg(
+    fine = (df.select(*[label(d, null_label).alias(d) for d in dims])
+            .groupBy(*dims).agg(F.count(F.lit(1)).alias("__rows")))
+    out = fine.groupingSets([[F.col(d) for d in s] for s in sets], *dims).agg(
         grouping_set_name(dims).alias("grouping_set"),
-        F.count(F.lit(1)).alias(n))
+        F.sum("__rows").alias(n))
     return out.select("grouping_set", *dims, n)
 
 
@@ -60,28 +67,29 @@ def means_onepass(facts: DataFrame, lookup: DataFrame, sets: Sequence[Sequence[s
     ``lookup`` (checked count) is broadcast into the scan of ``facts``; a
     large one meets facts pre-aggregated per (join key, own dimensions), so
     a hot key is collapsed before any shuffle and the join is one-to-one.
+    Either way the joined rows are reduced to partial sums at the finest
+    grain of all dimensions before the grouping sets roll them up.
     """
     dims = _dims_in(sets)
     own = [d for d in dims if d in facts.columns and d != join_key]
     looked_up = [d for d in dims if d not in own]
     how = choose_strategy(lookup, strategy, max_broadcast_rows)
     right = lookup.select(join_key, *looked_up)
+    sums = [_sum(c) for c in values] + [_cnt(c) for c in values]
     if how == "preaggregate":
         pre = partial_sums(
             facts.select(join_key, *[label(d, null_label).alias(d) for d in own], *values),
             [join_key, *own], values)
         joined = pre.join(right, join_key, "left")
-        carried = [c for c in pre.columns if c.startswith("__")]
-        aggs = [F.sum("__rows").alias(n),
-                *[round_half_up(merged_mean(c), digits).alias(c) for c in values]]
+        fine = (joined.select(*[label(d, null_label).alias(d) for d in dims], "__rows", *sums)
+                .groupBy(*dims).agg(*[F.sum(c).alias(c) for c in ["__rows", *sums]]))
     else:
         if how == "broadcast":
             right = F.broadcast(right)
         joined = facts.select(join_key, *own, *values).join(right, join_key, "left")
-        carried = list(values)
-        aggs = [F.count(F.lit(1)).alias(n),
-                *[round_half_up(F.avg(c), digits).alias(c) for c in values]]
-    labelled = joined.select(*[label(d, null_label).alias(d) for d in dims], *carried)
-    out = labelled.groupingSets([[F.col(d) for d in s] for s in sets], *dims).agg(
-        grouping_set_name(dims).alias("grouping_set"), *aggs)
+        fine = partial_sums(joined.select(*[label(d, null_label).alias(d) for d in dims], *values),
+                            dims, values)
+    out = fine.groupingSets([[F.col(d) for d in s] for s in sets], *dims).agg(
+        grouping_set_name(dims).alias("grouping_set"), F.sum("__rows").alias(n),
+        *[round_half_up(merged_mean(c), digits).alias(c) for c in values])
     return out.select("grouping_set", *dims, n, *values)

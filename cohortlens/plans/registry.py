@@ -68,9 +68,20 @@ def _single_erase_set(spark: SparkSession, sf_dir: str):
     return tables, erasure.materialize_erase_set(ids, tables.participants)
 
 
+_ID_FILES: dict[str, str] = {}
+
+
+def fixture_id_file(spark: SparkSession) -> str:
+    """The fixture id file, written once per application (an input file)."""
+    key = spark.sparkContext.applicationId
+    if key not in _ID_FILES:
+        _ID_FILES[key] = write_id_file(spark, ID_FILE_TEXT)
+    return _ID_FILES[key]
+
+
 def _batch_inputs(spark: SparkSession, sf_dir: str):
     tables = fixture_tables(spark, sf_dir)
-    ids = scan_id_list(spark, write_id_file(spark, ID_FILE_TEXT))
+    ids = scan_id_list(spark, fixture_id_file(spark))
     return tables, ids
 
 
