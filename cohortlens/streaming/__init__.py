@@ -1,0 +1,10 @@
+"""No streaming operators.
+
+The study reports read four tables that a web backend fills row by row, but
+every report, export and erasure is a batch computation over whole tables;
+nothing in the study's own processing has windows, watermarks or state. So
+this package holds no operators. The batch operators are plain DataFrame
+transformations and accept a streaming ``events`` frame where Spark allows
+the same plan (e.g. ``count_by`` in complete output mode); no separate
+streaming variants are built.
+"""
