@@ -79,9 +79,9 @@ def fixture_id_file(spark: SparkSession) -> str:
     return _ID_FILES[key]
 
 
-def _batch_inputs(spark: SparkSession, sf_dir: str):
+def _batch_inputs(spark: SparkSession, sf_dir: str, line_numbers: bool = False):
     tables = fixture_tables(spark, sf_dir)
-    ids = scan_id_list(spark, fixture_id_file(spark))
+    ids = scan_id_list(spark, fixture_id_file(spark), line_numbers=line_numbers)
     return tables, ids
 
 
@@ -105,7 +105,7 @@ def _erase_retained(table: str, batch: bool) -> Query:
 
 def _batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
-    tables, ids = _batch_inputs(spark, sf_dir)
+    tables, ids = _batch_inputs(spark, sf_dir, line_numbers=True)
     return erasure.batch_status(ids, tables.participants)
 
 

@@ -46,15 +46,24 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def scan_id_list(spark: SparkSession, path: str, *, require_ids: bool = True) -> DataFrame:
+def scan_id_list(spark: SparkSession, path: str, *, require_ids: bool = True,
+                 line_numbers: bool = True) -> DataFrame:
     """``(line_no, participant_id)``: stripped, non-blank ids in file order.
 
+    ``line_numbers=False`` gives ``(participant_id)`` only, a plain parallel
+    text scan, for uses that need the set of ids but not their order.
     A missing file, or (with ``require_ids``) a file without any id, is
     refused with :class:`StudyError`.
     """
-    lines = numbered_lines(spark, path)
-    ids = (lines.select("line_no", strip_ws("value").alias(ID_COLUMN))
-           .where(F.col(ID_COLUMN) != ""))
+    if line_numbers:
+        lines = numbered_lines(spark, path)
+        ids = lines.select("line_no", strip_ws("value").alias(ID_COLUMN))
+    else:
+        try:
+            ids = spark.read.text(path).select(strip_ws("value").alias(ID_COLUMN))
+        except AnalysisException as exc:
+            raise StudyError(f"id file {path!r} does not exist") from exc
+    ids = ids.where(F.col(ID_COLUMN) != "")
     if require_ids and ids.isEmpty():
         raise StudyError(f"no participant ids found in {path!r}")
     return ids

@@ -7,8 +7,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlens.schema import STUDY_TABLES, check_table_name, validate
+from cohortlens.schema import ID_COLUMN, STUDY_TABLES, StudyError, check_table_name, validate
 
 
 @dataclass(frozen=True)
@@ -30,12 +31,30 @@ class StudyTables:
     def with_table(self, name: str, df: DataFrame) -> StudyTables:
         return replace(self, **{check_table_name(name): df})
 
-    def validated(self) -> StudyTables:
+    def validated(self, check_keys: bool = False) -> StudyTables:
+        """Check required columns; with ``check_keys`` also that every
+        participant id is present and unique (one aggregate job)."""
         for name, df in self.items():
             validate(df, name)
+        if check_keys:
+            check_unique_ids(self.participants)
         return self
 
 
+def check_unique_ids(participants: DataFrame, key: str = ID_COLUMN) -> None:
+    """Raise when a participant id is NULL or appears more than once.
+
+    Joins on the id assume one row per participant; a repeated id would
+    silently multiply rows, so it is refused instead of deduplicated. One
+    partial+final aggregate; only up to five offending ids reach the driver.
+    """
+    bad = (participants.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+           .where(F.col(key).isNull() | (F.col("n") > 1)).limit(5).collect())
+    if bad:
+        shown = ", ".join(f"{r[key]!r} x{r['n']}" for r in bad)
+        raise StudyError(f"participant ids must be unique and not NULL; found {shown}")
+
+
 def scan_table(spark: SparkSession, name: str, path: str | None = None,
                fmt: str = "parquet", options: dict[str, str] | None = None) -> DataFrame:
     """Whole-table scan of an allow-listed study table.
@@ -51,8 +70,8 @@ def scan_table(spark: SparkSession, name: str, path: str | None = None,
 
 
 def load_study(spark: SparkSession, root: str, fmt: str = "parquet",
-               options: dict[str, str] | None = None) -> StudyTables:
+               options: dict[str, str] | None = None, check_keys: bool = False) -> StudyTables:
     """Load ``root/<table>`` for the four study tables."""
     return StudyTables(**{
         t: scan_table(spark, t, os.path.join(root, t), fmt, options) for t in STUDY_TABLES
-    })
+    }).validated(check_keys)
