@@ -44,8 +44,12 @@ class EraseSet:
     n: int
     max_broadcast_ids: int = MAX_BROADCAST_IDS
 
+    @property
+    def broadcast(self) -> bool:
+        return self.n <= self.max_broadcast_ids
+
     def join_side(self) -> DataFrame:
-        return F.broadcast(self.ids) if self.n <= self.max_broadcast_ids else self.ids
+        return F.broadcast(self.ids) if self.broadcast else self.ids
 
 
 def erase_ids(ids: DataFrame, participants: DataFrame) -> DataFrame:
@@ -71,12 +75,24 @@ def materialize_erase_set(ids: DataFrame, participants: DataFrame, *,
 
 
 def rows_of(table: DataFrame, erase: EraseSet) -> DataFrame:
-    return table.join(erase.join_side(), ID_COLUMN, "left_semi")
+    """Rows of ``table`` that the erase removes."""
+    keyed = table if erase.broadcast else table.where(F.col(ID_COLUMN).isNotNull())
+    return keyed.join(erase.join_side(), ID_COLUMN, "left_semi").select(*table.columns)
 
 
 def retained(table: DataFrame, erase: EraseSet) -> DataFrame:
-    """Rows of ``table`` that survive the erase (same columns, same order)."""
-    return table.join(erase.join_side(), ID_COLUMN, "left_anti").select(*table.columns)
+    """Rows of ``table`` that survive the erase (same columns, same order).
+
+    With a shuffled erase set, rows whose id is NULL (they never match) do
+    not go through the join: hashed on the key they would all land in one
+    partition, however many there are.
+    """
+    col = F.col(ID_COLUMN)
+    if erase.broadcast:
+        return table.join(erase.join_side(), ID_COLUMN, "left_anti").select(*table.columns)
+    kept = (table.where(col.isNotNull()).join(erase.join_side(), ID_COLUMN, "left_anti")
+            .select(*table.columns))
+    return kept.unionByName(table.where(col.isNull()))
 
 
 def retained_tables(tables: StudyTables, erase: EraseSet) -> StudyTables:
