@@ -288,12 +288,12 @@ def _long(df, report, keys, metrics):
     """
     key_cols = list(keys) + [F.lit(None).cast("string")] * (2 - len(keys))
     rep = F.lit(report) if isinstance(report, str) else report
-    inner = df.select(rep.alias("report"), key_cols[0].cast("string").alias("key_1"),
-                      key_cols[1].cast("string").alias("key_2"),
-                      *[c.cast("double").alias(f"__m{i}") for i, c in enumerate(metrics.values())])
-    args = ", ".join(f"'{m}', __m{i}" for i, m in enumerate(metrics))
-    return inner.selectExpr("report", "key_1", "key_2",
-                            f"stack({len(metrics)}, {args}) AS (metric, value)")
+    pairs = []
+    for m, c in metrics.items():
+        pairs += [F.lit(m), c.cast("double")]
+    return df.select(rep.alias("report"), key_cols[0].cast("string").alias("key_1"),
+                     key_cols[1].cast("string").alias("key_2"),
+                     F.stack(F.lit(len(metrics)), *pairs).alias("metric", "value"))
 
 
 def report_long_onepass(t: StudyTables) -> DataFrame:
@@ -306,7 +306,8 @@ def report_long_onepass(t: StudyTables) -> DataFrame:
     a long table has no order (the top-50 keeps its limit, which is the
     report itself).
     """
-    from cohortlens.operators.durations import OK, US, duration_frame, mean_of_integers
+    from cohortlens.functions.exprs import micros_between, parse_ts, ts_candidate
+    from cohortlens.operators.durations import mean_of_integers
 
     p = t.participants
     pieces = []
@@ -324,18 +325,19 @@ def report_long_onepass(t: StudyTables) -> DataFrame:
                         {"total_participants": F.col("n")}))
     pieces.append(_long(r3.where(gs != "total"), _lookup(names3, gs), [key1, key2],
                         {"n": F.col("n")}))
-    # P7, P8, P10 in one aggregate over participants
-    cand = p.select(
-        (F.col("started_at").isNotNull() & F.col("ended_at").isNotNull()).alias("__fin"),
-        *[F.col(c) for c in ("started_at", "ended_at")])
-    d = duration_frame(cand.where("__fin"))
-    agg = d.agg(F.count(F.lit(1)).alias("n_candidates"),
-                F.count_if(F.col(OK)).alias("n_castable"),
-                F.count_if(~F.col(OK)).alias("n_uncastable"),
-                F.count(F.col(US)).alias("n_durations"),
-                (mean_of_integers(F.col(US)) / F.lit(1e6)).alias("avg_secs"))
-    fin = count_where_not_null(p, ["started_at", "ended_at"], "finished")
-    pieces.append(_long(fin, "participants_finished", [], {"finished": F.col("finished")}))
+    # P7, P8, P10 in one aggregate over participants (conditional counts)
+    start, end = F.col("started_at"), F.col("ended_at")
+    cand = ts_candidate(start) & ts_candidate(end)
+    s_ts, e_ts = parse_ts(start), parse_ts(end)
+    ok = cand & s_ts.isNotNull() & e_ts.isNotNull()
+    us = F.when(ok, micros_between(s_ts, e_ts))
+    agg = p.agg(F.count_if(start.isNotNull() & end.isNotNull()).alias("finished"),
+                F.count_if(cand).alias("n_candidates"),
+                F.count_if(ok).alias("n_castable"),
+                F.count_if(cand & ~ok).alias("n_uncastable"),
+                F.count(us).alias("n_durations"),
+                (mean_of_integers(us) / F.lit(1e6)).alias("avg_secs"))
+    pieces.append(_long(agg, "participants_finished", [], {"finished": F.col("finished")}))
     pieces.append(_long(agg, "participants_duration_avg", [],
                         {"n_durations": F.col("n_durations"), "avg_secs": F.col("avg_secs")}))
     pieces.append(_long(agg, "duration_cast_policy", [],
@@ -375,7 +377,7 @@ def report_long_onepass(t: StudyTables) -> DataFrame:
 
     out = pieces[0]
     for piece in pieces[1:]:
-        out = out.unionByName(piece)
+        out = out.union(piece)  # every piece has the same five columns in order
     sections = {name: section_of(name) for name in TITLES if name in REPORT_SHAPES}
     return out.select(_lookup(sections, F.col("report")).alias("section"), "report",
                       _lookup(TITLES, F.col("report")).alias("title"),
