@@ -50,10 +50,35 @@ def counts_onepass(df: DataFrame, sets: Sequence[Sequence[str]], *,
     dims = _dims_in(sets)
     fine = (df.select(*[label(d, null_label).alias(d) for d in dims])
             .groupBy(*dims).agg(F.count(F.lit(1)).alias("__rows")))
-    out = fine.groupingSets([[F.col(d) for d in s] for s in sets], *dims).agg(
-        grouping_set_name(dims).alias("grouping_set"),
-        F.sum("__rows").alias(n))
-    return out.select("grouping_set", *dims, n)
+    return _roll_up(fine, sets, dims, [F.sum("__rows").alias(n)], n)
+
+
+def _roll_up(fine: DataFrame, sets: Sequence[Sequence[str]], dims: list[str],
+             aggs: list[Column], n: str) -> DataFrame:
+    """GROUPING SETS over the finest-grain rows.
+
+    The empty set () is a global aggregate, so that it yields its row even
+    when the input is empty (as SQL's grand total does); the other sets go
+    through one ``groupingSets``. Both read the same finest-grain aggregate,
+    whose shuffle Spark computes once and reuses.
+    """
+    keyed = [s for s in sets if s]
+    parts = []
+    if len(keyed) < len(sets):
+        total = fine.agg(*aggs)
+        parts.append(total.select(F.lit(TOTAL_SET).alias("grouping_set"),
+                                  *[F.lit(None).cast("string").alias(d) for d in dims],
+                                  F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n),
+                                  *[c for c in total.columns if c != n]))
+    if keyed:
+        out = fine.groupingSets([[F.col(d) for d in s] for s in keyed], *dims).agg(
+            grouping_set_name(dims).alias("grouping_set"), *aggs)
+        parts.append(out.select("grouping_set", *dims, *[c for c in out.columns
+                                                         if c not in dims and c != "grouping_set"]))
+    result = parts[0]
+    for p in parts[1:]:
+        result = result.union(p)
+    return result
 
 
 def means_onepass(facts: DataFrame, lookup: DataFrame, sets: Sequence[Sequence[str]],
@@ -89,7 +114,6 @@ def means_onepass(facts: DataFrame, lookup: DataFrame, sets: Sequence[Sequence[s
         joined = facts.select(join_key, *own, *values).join(right, join_key, "left")
         fine = partial_sums(joined.select(*[label(d, null_label).alias(d) for d in dims], *values),
                             dims, values)
-    out = fine.groupingSets([[F.col(d) for d in s] for s in sets], *dims).agg(
-        grouping_set_name(dims).alias("grouping_set"), F.sum("__rows").alias(n),
-        *[round_half_up(merged_mean(c), digits).alias(c) for c in values])
-    return out.select("grouping_set", *dims, n, *values)
+    aggs = [F.sum("__rows").alias(n),
+            *[round_half_up(merged_mean(c), digits).alias(c) for c in values]]
+    return _roll_up(fine, sets, dims, aggs, n).select("grouping_set", *dims, n, *values)

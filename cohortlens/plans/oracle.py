@@ -28,14 +28,24 @@ def with_views(body: str, extra: list[str] | None = None) -> str:
     return f"{head}\n{body}"
 
 
+def _parts(body: str, extra: list[str] | None = None) -> tuple[str, list[str]]:
+    """A report statement as (body, extra CTEs), without the fixture views."""
+    return body, list(extra or [])
+
+
+def bare_sql(body: str, extra: list[str]) -> str:
+    """The statement over tables already named ``st_*`` (no fixture views)."""
+    return ("WITH " + ",\n".join(extra) + "\n" + body) if extra else body
+
+
 def _label_count(view: str, key: str) -> str:
-    return with_views(
+    return _parts(
         f"SELECT COALESCE({key}, {NL}) AS {key}, COUNT(*) AS n FROM {view} "
         f"GROUP BY 1 ORDER BY n DESC, {key} NULLS LAST")
 
 
 def _pair_count(view: str, k1: str, k2: str) -> str:
-    return with_views(
+    return _parts(
         f"SELECT COALESCE({k1}, {NL}) AS {k1}, COALESCE({k2}, {NL}) AS {k2}, COUNT(*) AS n "
         f"FROM {view} GROUP BY 1, 2 ORDER BY 1 NULLS LAST, 2 NULLS LAST")
 
@@ -56,7 +66,7 @@ def _means_cols(prefix: str = "") -> str:
 
 
 def _means_by_joined(key: str) -> str:
-    return with_views(
+    return _parts(
         f"SELECT COALESCE(p.{key}, {NL}) AS {key}, COUNT(*) AS n, {_means_cols()} "
         "FROM st_feedback f LEFT JOIN st_participants p USING (participant_id) "
         f"GROUP BY 1 ORDER BY n DESC, {key} NULLS LAST")
@@ -86,53 +96,53 @@ PASS_CTE = (
     "ELSE NULL END AS passed FROM st_submissions)"
 )
 
-REPORT_SQL: dict[str, str] = {
-    "participants_total": with_views("SELECT COUNT(*) AS total_participants FROM st_participants"),
+REPORT_PARTS: dict[str, tuple[str, list[str]]] = {
+    "participants_total": _parts("SELECT COUNT(*) AS total_participants FROM st_participants"),
     "participants_by_skill_level": _label_count("st_participants", "skill_level"),
     "participants_by_intervention_type": _label_count("st_participants", "intervention_type"),
     "participants_by_snippet_id": _label_count("st_participants", "snippet_id"),
     "participants_skill_x_intervention": _pair_count("st_participants", "skill_level",
                                                      "intervention_type"),
     "participants_skill_x_snippet": _pair_count("st_participants", "skill_level", "snippet_id"),
-    "participants_finished": with_views(
+    "participants_finished": _parts(
         "SELECT COUNT(*) AS finished FROM st_participants "
         "WHERE started_at IS NOT NULL AND ended_at IS NOT NULL"),
-    "participants_duration_avg": with_views(
+    "participants_duration_avg": _parts(
         "SELECT COUNT(us) AS n_durations, CAST(SUM(us) AS DOUBLE) / COUNT(us) / 1e6 AS avg_secs "
         "FROM durations", [DURATIONS_CTE]),
-    "participants_duration_median": with_views(
+    "participants_duration_median": _parts(
         "SELECT CAST(TRUNC(MEDIAN(us) / 1e6) AS BIGINT) AS median_secs FROM durations "
         "WHERE us IS NOT NULL", [DURATIONS_CTE]),
-    "duration_cast_policy": with_views(
+    "duration_cast_policy": _parts(
         "SELECT COUNT(*) AS n_candidates, COUNT(us) AS n_castable, "
         "COUNT(*) - COUNT(us) AS n_uncastable FROM durations", [DURATIONS_CTE]),
-    "submissions_total": with_views("SELECT COUNT(*) AS total_submissions FROM st_submissions"),
+    "submissions_total": _parts("SELECT COUNT(*) AS total_submissions FROM st_submissions"),
     "submissions_by_status": _label_count("st_submissions", "status"),
-    "submissions_pass_rate": with_views(
+    "submissions_pass_rate": _parts(
         "SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE passed IS TRUE) AS passed_rows, "
         + rnd("100.0 * COUNT(*) FILTER (WHERE passed IS TRUE) / NULLIF(COUNT(*), 0)", 2)
         + " AS pass_rate_percent FROM eval", [PASS_CTE]),
-    "submissions_time_stats": with_views(
+    "submissions_time_stats": _parts(
         "SELECT COUNT(time_taken_ms) AS n_with_time, "
         + rnd("AVG(time_taken_ms)", 0) + " AS avg_ms, "
         "MIN(time_taken_ms) AS min_ms, MAX(time_taken_ms) AS max_ms FROM st_submissions"),
-    "feedback_means_overall": with_views(f"SELECT {_means_cols('avg_')} FROM st_feedback"),
+    "feedback_means_overall": _parts(f"SELECT {_means_cols('avg_')} FROM st_feedback"),
     "feedback_means_by_intervention": _means_by_joined("intervention_type"),
     "feedback_means_by_skill": _means_by_joined("skill_level"),
-    "feedback_means_by_snippet": with_views(
+    "feedback_means_by_snippet": _parts(
         f"SELECT COALESCE(f.snippet_id, {NL}) AS snippet_id, COUNT(*) AS n, {_means_cols()} "
         "FROM st_feedback f GROUP BY 1 ORDER BY n DESC, snippet_id NULLS LAST"),
-    "events_by_type": with_views(
+    "events_by_type": _parts(
         "SELECT event_type, COUNT(*) AS n FROM st_events GROUP BY 1 "
         "ORDER BY n DESC, event_type NULLS LAST"),
-    "events_top_participants": with_views(
+    "events_top_participants": _parts(
         "SELECT participant_id, COUNT(*) AS n FROM st_events GROUP BY participant_id "
         "ORDER BY n DESC, participant_id NULLS LAST LIMIT 50"),
-    "participants_counts_onepass": with_views(
+    "participants_counts_onepass": _parts(
         f"SELECT {_set_name(P_DIMS)} AS grouping_set, {', '.join(P_DIMS)}, COUNT(*) AS n FROM "
         f"(SELECT {', '.join(f'COALESCE({d}, {NL}) AS {d}' for d in P_DIMS)} FROM st_participants) "
         f"GROUP BY GROUPING SETS ({_sets_sql(P_SETS)})"),
-    "feedback_means_onepass": with_views(
+    "feedback_means_onepass": _parts(
         f"SELECT {_set_name(F_DIMS)} AS grouping_set, {', '.join(F_DIMS)}, COUNT(*) AS n, "
         f"{_means_cols()} FROM (SELECT COALESCE(f.snippet_id, {NL}) AS snippet_id, "
         f"COALESCE(p.intervention_type, {NL}) AS intervention_type, "
@@ -143,6 +153,10 @@ REPORT_SQL: dict[str, str] = {
 }
 
 
+REPORT_SQL: dict[str, str] = {name: with_views(body, extra)
+                              for name, (body, extra) in REPORT_PARTS.items()}
+
+
 # -- data management ---------------------------------------------------------
 
 VIEW = {"participants": "st_participants", "code_submissions": "st_submissions",
