@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.schema import STUDY_TABLES, check_table_name
+from cohortlens.session import work_dir
 from cohortlens.sources.tables import StudyTables
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "nullValue": "",
@@ -55,13 +56,18 @@ def csv_text(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def export_table_csv(df: DataFrame, table_name: str, output_dir: str) -> tuple[str, int, str]:
+def export_table_csv(df: DataFrame, table_name: str,
+                     output_dir: str | None = None) -> tuple[str, int, str]:
     """Write one table to ``output_dir/<table>.csv/``.
 
-    Returns ``(status, n_rows, path)``; an empty table writes nothing and has
-    status ``empty`` (still a success, as in the source system).
+    ``output_dir`` defaults to the shared scratch folder (never a local
+    directory on a cluster). Returns ``(status, n_rows, path)``; an empty
+    table writes nothing and has status ``empty`` (still a success, as in
+    the source system).
     """
     check_table_name(table_name)
+    if output_dir is None:
+        output_dir = work_dir(df.sparkSession)
     path = os.path.join(output_dir, f"{table_name}.csv")
     if df.isEmpty():
         return "empty", 0, path
@@ -75,10 +81,14 @@ def default_export_dir(base: str) -> str:
     return os.path.join(base, datetime.now().strftime("db_export_%Y%m%d_%H%M%S"))
 
 
-def export_all_csv(spark: SparkSession, tables: StudyTables, output_dir: str) -> DataFrame:
+def export_all_csv(spark: SparkSession, tables: StudyTables,
+                   output_dir: str | None = None) -> DataFrame:
     """Export the four tables; return the manifest ``(table_name, status,
     n_rows, path)``. A failing table is recorded as ``failed`` and the others
-    still run."""
+    still run. ``output_dir`` defaults to a timestamped ``db_export_...``
+    folder under the shared scratch folder."""
+    if output_dir is None:
+        output_dir = default_export_dir(work_dir(spark))
     def one(name: str) -> tuple[str, str, int, str]:
         try:
             status, n, path = export_table_csv(tables.get(name), name, output_dir)

@@ -98,3 +98,22 @@ def test_exact_median_matches_statistics(spark, values, buckets):
     assert twice == s[(n - 1) // 2] + s[n // 2]
     assert frame.first()["twice_median"] == twice
     assert twice / 2 == statistics.median(values)
+
+
+def test_long_report_onepass_equals_separate(tables001):
+    separate = R.report_long(R.section_report(tables001, "all"))
+    onepass = R.report_long_onepass(tables001)
+    assert as_set(onepass) == as_set(separate)
+    assert onepass.count() == 284
+
+
+def test_section_report_choices(tables001):
+    from cohortlens.schema import StudyError
+    assert list(R.section_report(tables001, "events")) == ["events_by_type",
+                                                          "events_top_participants"]
+    try:
+        R.section_report(tables001, "users")
+    except StudyError:
+        pass
+    else:  # pragma: no cover
+        raise AssertionError("unknown section accepted")
