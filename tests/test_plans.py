@@ -63,3 +63,18 @@ def test_preaggregation_below_join(tables001):
 def test_column_pruning(tables001):
     p = plan(R.events_by_type(tables001))
     assert "ReadSchema: struct<event_id:bigint,event_type:string>" in p
+
+
+def test_preaggregate_join_shuffles_each_side_once(spark, tables001):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = R.feedback_means_by_intervention(tables001, strategy="preaggregate")
+        p = plan(df)
+        assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+        # fact side: partial aggregate, one exchange, final aggregate, then the join
+        # reuses that partitioning; participants: one exchange
+        assert p.count("Exchange hashpartitioning(participant_id") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")

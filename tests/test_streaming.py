@@ -1,0 +1,21 @@
+"""The counting operators accept a streaming events frame unchanged."""
+
+import os
+
+from cohortlens.operators.counting import count_by
+
+
+def test_count_by_on_a_stream(spark, scratch, tables001):
+    src = os.path.join(scratch, "events-in")
+    tables001.events.write.parquet(src)
+    stream = spark.readStream.schema(tables001.events.schema).parquet(src)
+    q = (count_by(stream, "event_type", null_label=None).writeStream
+         .outputMode("complete").format("memory").queryName("ev_counts")
+         .option("checkpointLocation", os.path.join(scratch, "ckpt")).start())
+    try:
+        q.processAllAvailable()
+        got = [tuple(r) for r in spark.sql("SELECT * FROM ev_counts").collect()]
+    finally:
+        q.stop()
+    want = [tuple(r) for r in count_by(tables001.events, "event_type", null_label=None).collect()]
+    assert got == want
