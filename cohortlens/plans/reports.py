@@ -283,17 +283,29 @@ def _lookup(mapping: dict[str, str], key):
 def _long(df, report, keys, metrics):
     """Unpivot ``df`` into ``(report, key_1, key_2, metric, value)`` rows.
 
-    ``report`` is a report name or a Column giving it per row; ``keys`` are
+    ``report`` is a report name, or a Column giving it per row; ``keys`` are
     up to two Columns; ``metrics`` maps metric name -> Column.
     """
+    return _long_entries(df, keys, [(report, m, c) for m, c in metrics.items()])
+
+
+def _long_entries(df, keys, entries):
+    """Unpivot with one ``(report, metric, value)`` triple per entry.
+
+    ``report`` and ``metric`` may be names or Columns, so one aggregate can
+    feed several reports (or a per-row report name) through a single
+    ``stack``, and each aggregate appears once in the plan.
+    """
     key_cols = list(keys) + [F.lit(None).cast("string")] * (2 - len(keys))
-    rep = F.lit(report) if isinstance(report, str) else report
-    pairs = []
-    for m, c in metrics.items():
-        pairs += [F.lit(m), c.cast("double")]
-    return df.select(rep.alias("report"), key_cols[0].cast("string").alias("key_1"),
+    args = []
+    for report, metric, value in entries:
+        args += [F.lit(report) if isinstance(report, str) else report,
+                 F.lit(metric) if isinstance(metric, str) else metric,
+                 value.cast("double")]
+    return df.select(key_cols[0].cast("string").alias("key_1"),
                      key_cols[1].cast("string").alias("key_2"),
-                     F.stack(F.lit(len(metrics)), *pairs).alias("metric", "value"))
+                     F.stack(F.lit(len(entries)), *args).alias("report", "metric", "value")) \
+        .select("report", "key_1", "key_2", "metric", "value")
 
 
 def report_long_onepass(t: StudyTables) -> DataFrame:
@@ -311,9 +323,10 @@ def report_long_onepass(t: StudyTables) -> DataFrame:
 
     p = t.participants
     pieces = []
-    # P1-P6
-    r3 = participants_counts_onepass(t)
     gs = F.col("grouping_set")
+    is_total = gs == "total"
+    # P1-P6: one grouping-sets aggregate, one row each
+    r3 = participants_counts_onepass(t)
     names3 = {"total": "participants_total", "skill_level": "participants_by_skill_level",
               "intervention_type": "participants_by_intervention_type",
               "snippet_id": "participants_by_snippet_id",
@@ -321,10 +334,9 @@ def report_long_onepass(t: StudyTables) -> DataFrame:
               "skill_level,snippet_id": "participants_skill_x_snippet"}
     key1 = F.coalesce("skill_level", "intervention_type", "snippet_id")
     key2 = F.when(F.col("skill_level").isNotNull(), F.coalesce("intervention_type", "snippet_id"))
-    pieces.append(_long(r3.where(gs == "total"), "participants_total", [],
-                        {"total_participants": F.col("n")}))
-    pieces.append(_long(r3.where(gs != "total"), _lookup(names3, gs), [key1, key2],
-                        {"n": F.col("n")}))
+    pieces.append(_long_entries(r3, [key1, key2], [
+        (_lookup(names3, gs), F.when(is_total, F.lit("total_participants")).otherwise(F.lit("n")),
+         F.col("n"))]))
     # P7, P8, P10 in one aggregate over participants (conditional counts)
     start, end = F.col("started_at"), F.col("ended_at")
     cand = ts_candidate(start) & ts_candidate(end)
@@ -337,11 +349,12 @@ def report_long_onepass(t: StudyTables) -> DataFrame:
                 F.count_if(cand & ~ok).alias("n_uncastable"),
                 F.count(us).alias("n_durations"),
                 (mean_of_integers(us) / F.lit(1e6)).alias("avg_secs"))
-    pieces.append(_long(agg, "participants_finished", [], {"finished": F.col("finished")}))
-    pieces.append(_long(agg, "participants_duration_avg", [],
-                        {"n_durations": F.col("n_durations"), "avg_secs": F.col("avg_secs")}))
-    pieces.append(_long(agg, "duration_cast_policy", [],
-                        {m: F.col(m) for m in ("n_candidates", "n_castable", "n_uncastable")}))
+    pieces.append(_long_entries(agg, [], [
+        ("participants_finished", "finished", F.col("finished")),
+        ("participants_duration_avg", "n_durations", F.col("n_durations")),
+        ("participants_duration_avg", "avg_secs", F.col("avg_secs")),
+        *[("duration_cast_policy", m, F.col(m))
+          for m in ("n_candidates", "n_castable", "n_uncastable")]]))
     pieces.append(_long(participants_duration_median(t), "participants_duration_median", [],
                         {"median_secs": F.col("median_secs")}))
     # S1, S3, S4 in one aggregate; S2 on its own
@@ -352,23 +365,27 @@ def report_long_onepass(t: StudyTables) -> DataFrame:
                  round_half_up(F.avg("time_taken_ms"), 0).alias("avg_ms"),
                  F.min("time_taken_ms").alias("min_ms"), F.max("time_taken_ms").alias("max_ms"))
     pct = round_half_up(F.lit(100.0) * F.col("passed_rows") / F.nullif(F.col("total_rows"), F.lit(0)), 2)
-    pieces.append(_long(sagg, "submissions_total", [], {"total_submissions": F.col("total_rows")}))
-    pieces.append(_long(sagg, "submissions_pass_rate", [],
-                        {"total_rows": F.col("total_rows"), "passed_rows": F.col("passed_rows"),
-                         "pass_rate_percent": pct}))
-    pieces.append(_long(sagg, "submissions_time_stats", [],
-                        {m: F.col(m) for m in ("n_with_time", "avg_ms", "min_ms", "max_ms")}))
+    pieces.append(_long_entries(sagg, [], [
+        ("submissions_total", "total_submissions", F.col("total_rows")),
+        ("submissions_pass_rate", "total_rows", F.col("total_rows")),
+        ("submissions_pass_rate", "passed_rows", F.col("passed_rows")),
+        ("submissions_pass_rate", "pass_rate_percent", pct),
+        *[("submissions_time_stats", m, F.col(m))
+          for m in ("n_with_time", "avg_ms", "min_ms", "max_ms")]]))
     pieces.append(_long(count_by(s, "status", ordered=False), "submissions_by_status",
                         [F.col("status")], {"n": F.col("n")}))
-    # F1-F4
+    # F1-F4: one grouping-sets aggregate; the total row has no n and avg_ names
     r4 = feedback_means_onepass(t)
-    names4 = {"intervention_type": "feedback_means_by_intervention",
+    names4 = {"total": "feedback_means_overall",
+              "intervention_type": "feedback_means_by_intervention",
               "skill_level": "feedback_means_by_skill", "snippet_id": "feedback_means_by_snippet"}
-    pieces.append(_long(r4.where(gs == "total"), "feedback_means_overall", [],
-                        {f"avg_{c}": F.col(c) for c in RATINGS}))
-    pieces.append(_long(r4.where(gs != "total"), _lookup(names4, gs),
-                        [F.coalesce("intervention_type", "skill_level", "snippet_id")],
-                        {"n": F.col("n"), **{c: F.col(c) for c in RATINGS}}))
+    f_long = _long_entries(
+        r4, [F.coalesce("intervention_type", "skill_level", "snippet_id")],
+        [(_lookup(names4, gs), "n", F.col("n")),
+         *[(_lookup(names4, gs),
+            F.when(is_total, F.lit(f"avg_{c}")).otherwise(F.lit(c)), F.col(c)) for c in RATINGS]])
+    pieces.append(f_long.where((F.col("report") != "feedback_means_overall")
+                               | (F.col("metric") != "n")))
     # E1, E2
     pieces.append(_long(count_by(t.events, "event_type", null_label=None, ordered=False),
                         "events_by_type", [F.col("event_type")], {"n": F.col("n")}))

@@ -20,6 +20,9 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # coalesce shuffle partitions to the advisory size rather than keeping one
+    # per core: fewer, fuller tasks (Spark's advice for busy clusters)
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
 }
 
 
