@@ -150,15 +150,27 @@ def exact_median(values: DataFrame, value: str, *, buckets: int = 4096) -> tuple
 
 
 def duration_median(df: DataFrame, start: str = "started_at", end: str = "ended_at",
-                    mode: str = "row", *, buckets: int = 4096) -> DataFrame:
-    """``median_secs``: exact median duration truncated to whole seconds."""
+                    mode: str = "row", *, method: str = "exact", buckets: int = 4096,
+                    accuracy: int = 10_000) -> DataFrame:
+    """``median_secs``: median duration truncated to whole seconds.
+
+    ``method="exact"`` (default) is the distributed exact median above;
+    ``method="approx"`` is one ``percentile_approx`` aggregate (a bounded
+    sketch per task, relative rank error about ``1/accuracy``) for when one
+    pass matters more than exactness.
+    """
     _check_mode(mode)
+    if method not in ("exact", "approx"):
+        raise ValueError(f"method must be 'exact' or 'approx', got {method!r}")
     d = duration_frame(df, start, end)
     if mode == "strict":
         bad = d.agg(F.count_if(~F.col(OK)).alias("bad")).first()["bad"]
         if bad:
             d = d.where(F.lit(False))
+    if method == "approx":
+        us = F.percentile_approx(F.col(US), F.lit(0.5), F.lit(accuracy))
+        return d.where(F.col(OK)).agg(us.alias("__m")) \
+            .select(F.expr("__m div 1000000L").alias("median_secs"))
     frame, _ = exact_median(d.where(F.col(OK)), US, buckets=buckets)
     # twice the median in micros -> seconds, truncated toward zero
     return frame.select(F.expr("twice_median div 2000000L").alias("median_secs"))
-

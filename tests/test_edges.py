@@ -274,3 +274,12 @@ def test_id_list_without_line_numbers(spark, scratch):
         fh.write(" 3 \n\n7\r\n7\n")
     got = sorted(r[0] for r in scan_id_list(spark, path, line_numbers=False).collect())
     assert got == ["3", "7", "7"]
+
+
+def test_approx_median_option(spark, tables001):
+    from cohortlens.plans import reports as R
+    exact = R.participants_duration_median(tables001).first()["median_secs"]
+    approx = duration_median(tables001.participants, method="approx").first()["median_secs"]
+    assert abs(approx - exact) <= 60
+    with pytest.raises(ValueError):
+        duration_median(tables001.participants, method="mean")
