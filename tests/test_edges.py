@@ -283,3 +283,27 @@ def test_approx_median_option(spark, tables001):
     assert abs(approx - exact) <= 60
     with pytest.raises(ValueError):
         duration_median(tables001.participants, method="mean")
+
+
+def test_inspect_actions(spark, scratch):
+    from cohortlens.plans.actions import inspect
+    store = create_store(spark, scratch, _small_tables(spark))
+    rep = inspect(store, section="events")
+    assert rep.action == "reports"
+    assert [tuple(r) for r in rep.frames["events_by_type"].collect()] == [
+        ("view", 2), ("click", 1), (None, 1)]
+    # precedence: removal wins over export and reports; wrong confirmation writes nothing
+    out = inspect(store, remove_participant="a", export_all=True, confirm="no")
+    assert out.action == "remove_participant" and not out.ok and store.latest_version() == 1
+    out = inspect(store, clear_table="events", confirm="YES")
+    assert out.action == "clear_table" and out.ok and store.tables().events.count() == 0
+    ex = inspect(store, export_table="participants", output_dir=os.path.join(scratch, "x"))
+    assert ex.detail["status"] == "exported" and ex.detail["n_rows"] == 2
+    path = os.path.join(scratch, "ids.txt")
+    with open(path, "w") as fh:
+        fh.write("a\nq\n")
+    out = inspect(store, remove_participants_file=path,
+                  confirm=lambda pending: batch_confirmation(pending.n_participants))
+    assert out.ok and out.outcome.status == "erased"
+    assert [tuple(r) for r in out.frames["status"].orderBy("line_no").collect()] == [
+        (1, "a", True), (2, "q", False)]
