@@ -13,10 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import passed_expr, round_half_up
+from cohortlens.functions.exprs import (micros_between, parse_ts, passed_expr, round_half_up,
+                                        ts_candidate)
 from cohortlens.operators.counting import (count_by, count_by_pair, count_rows,
                                            count_where_not_null, top_by_count)
-from cohortlens.operators.durations import cast_report, duration_median, duration_stats
+from cohortlens.operators.durations import (cast_report, duration_median, duration_stats,
+                                            mean_of_integers)
 from cohortlens.operators.grouping import counts_onepass, means_onepass
 from cohortlens.operators.means import means, means_by
 from cohortlens.operators.rates import numeric_stats, rate
@@ -256,20 +258,19 @@ def report_long(reports: dict[str, DataFrame]) -> DataFrame:
     pieces = []
     for name, df in reports.items():
         keys, metrics = REPORT_SHAPES[name]
-        key_cols = [F.col(k).cast("string") for k in keys] + \
-            [F.lit(None).cast("string")] * (2 - len(keys))
-        stack_args = ", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in metrics)
-        piece = (df.select(*[c.alias(f"__k{i}") for i, c in enumerate(key_cols)], *metrics)
-                 .selectExpr("__k0", "__k1", f"stack({len(metrics)}, {stack_args}) AS (metric, value)")
-                 .select(F.lit(section_of(name)).alias("section"), F.lit(name).alias("report"),
-                         F.lit(TITLES[name]).alias("title"),
-                         F.col("__k0").alias("key_1"), F.col("__k1").alias("key_2"),
-                         "metric", "value"))
-        pieces.append(piece)
+        pieces.append(_long(df, name, [F.col(k) for k in keys], {m: F.col(m) for m in metrics}))
+    return _titled(pieces)
+
+
+def _titled(pieces: list[DataFrame]) -> DataFrame:
+    """Union long pieces and add each report's section and title."""
     out = pieces[0]
-    for p in pieces[1:]:
-        out = out.unionByName(p)
-    return out
+    for piece in pieces[1:]:
+        out = out.union(piece)  # every piece has the same five columns in order
+    sections = {name: section_of(name) for name in REPORT_SHAPES}
+    return out.select(_lookup(sections, F.col("report")).alias("section"), "report",
+                      _lookup(TITLES, F.col("report")).alias("title"),
+                      "key_1", "key_2", "metric", "value")
 
 
 def _lookup(mapping: dict[str, str], key):
@@ -318,9 +319,6 @@ def report_long_onepass(t: StudyTables) -> DataFrame:
     a long table has no order (the top-50 keeps its limit, which is the
     report itself).
     """
-    from cohortlens.functions.exprs import micros_between, parse_ts, ts_candidate
-    from cohortlens.operators.durations import mean_of_integers
-
     p = t.participants
     pieces = []
     gs = F.col("grouping_set")
@@ -392,10 +390,4 @@ def report_long_onepass(t: StudyTables) -> DataFrame:
     pieces.append(_long(events_top_participants(t), "events_top_participants",
                         [F.col("participant_id")], {"n": F.col("n")}))
 
-    out = pieces[0]
-    for piece in pieces[1:]:
-        out = out.union(piece)  # every piece has the same five columns in order
-    sections = {name: section_of(name) for name in TITLES if name in REPORT_SHAPES}
-    return out.select(_lookup(sections, F.col("report")).alias("section"), "report",
-                      _lookup(TITLES, F.col("report")).alias("title"),
-                      "key_1", "key_2", "metric", "value")
+    return _titled(pieces)
