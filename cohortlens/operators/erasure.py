@@ -216,7 +216,7 @@ def erase_participants(store: SnapshotStore, ids: DataFrame, confirm: Confirm, *
     return EraseOutcome("erased", version, erase.n, expected, frames)
 
 
-def erase_participant(store: SnapshotStore, participant_id: str, confirm: str | None,
+def erase_participant(store: SnapshotStore, participant_id: str, confirm: Confirm,
                       **kw) -> EraseOutcome:
     """Erase one participant (confirmed with ``YES``)."""
     if not participant_id or not participant_id.strip():
