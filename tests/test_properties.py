@@ -117,3 +117,28 @@ def test_section_report_choices(tables001):
         pass
     else:  # pragma: no cover
         raise AssertionError("unknown section accepted")
+
+
+def test_hot_participant_all_strategies_agree(spark, tables001):
+    """One participant owns about a third of all feedback rows; another third
+    of events has a NULL id. Every join plan must give the same answers."""
+    from pyspark.sql import functions as F
+    fb = tables001.feedback
+    hot = fb.limit(30000).withColumn("participant_id", F.lit("3"))
+    ev = tables001.events
+    null_ev = ev.limit(5000).withColumn("participant_id", F.lit(None).cast("string"))
+    skewed = tables001.with_table("feedback", fb.unionByName(hot)) \
+        .with_table("events", ev.unionByName(null_ev))
+    want = as_set(R.feedback_means_by_intervention(skewed, strategy="direct"))
+    for strategy in ("broadcast", "preaggregate"):
+        assert as_set(R.feedback_means_by_intervention(skewed, strategy=strategy)) == want
+    assert as_set(R.feedback_means_onepass(skewed, strategy="preaggregate")) == \
+        as_set(R.feedback_means_onepass(skewed, strategy="broadcast"))
+    ids = ids_frame(spark, ["3"])
+    small = erasure.materialize_erase_set(ids, skewed.participants)
+    big = erasure.materialize_erase_set(ids, skewed.participants, max_broadcast_ids=0)
+    for name in ("feedback", "events"):
+        a = erasure.retained(skewed.get(name), small)
+        b = erasure.retained(skewed.get(name), big)
+        assert a.count() == b.count()
+        assert a.exceptAll(b).count() == 0
