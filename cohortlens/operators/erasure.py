@@ -99,34 +99,37 @@ def retained_tables(tables: StudyTables, erase: EraseSet) -> StudyTables:
     return StudyTables(**{t: retained(df, erase) for t, df in tables.items()})
 
 
+def _tagged_rows(frames: list[tuple[str, DataFrame]], value: int = 1) -> DataFrame:
+    """One ``(k, v)`` row per input row, tagged with its frame's name.
+
+    Counting several frames through one union and one aggregate costs one
+    small shuffle, not one per frame; no data column is read.
+    """
+    parts = [df.select(F.lit(k).alias("k"), F.lit(value).alias("v")) for k, df in frames]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
 def plan_counts(tables: StudyTables, erase: EraseSet, order=PLAN_ORDER) -> DataFrame:
     """``(table_name, id_column, n_rows)`` for every table with rows to erase."""
-    parts = [rows_of(tables.get(t), erase).agg(
-        F.lit(t).alias("table_name"), F.lit(ID_COLUMN).alias("id_column"),
-        F.count(F.lit(1)).alias("n_rows")) for t in order]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("n_rows") > 0)
+    rows = _tagged_rows([(t, rows_of(tables.get(t), erase)) for t in order])
+    rank = F.create_map(*[x for i, t in enumerate(order) for x in (F.lit(t), F.lit(i))])
+    return (rows.groupBy(F.col("k").alias("table_name"))
+            .agg(F.count(F.lit(1)).alias("n_rows"))
+            .orderBy(rank[F.col("table_name")])
+            .select("table_name", F.lit(ID_COLUMN).alias("id_column"), "n_rows"))
 
 
 def batch_summary(tables: StudyTables, erase: EraseSet) -> DataFrame:
     """One row: participants to erase and rows per table, and the total."""
-    parts = [erase.ids.agg(F.lit("__ids").alias("k"), F.count(F.lit(1)).alias("v"))]
-    parts += [rows_of(tables.get(t), erase).agg(F.lit(t).alias("k"),
-                                                 F.count(F.lit(1)).alias("v"))
-              for t in STUDY_TABLES]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-
-    def pick(k: str):
-        return F.coalesce(F.sum(F.when(F.col("k") == k, F.col("v"))), F.lit(0)).cast("bigint")
-
-    return u.agg(pick("__ids").alias("n_participants"),
-                 *[pick(t).alias(f"rows_{t}") for t in STUDY_TABLES],
-                 F.coalesce(F.sum(F.when(F.col("k") != "__ids", F.col("v"))), F.lit(0))
-                 .cast("bigint").alias("total_rows"))
+    rows = _tagged_rows([("__ids", erase.ids)]
+                        + [(t, rows_of(tables.get(t), erase)) for t in STUDY_TABLES])
+    k = F.col("k")
+    return rows.agg(F.count_if(k == "__ids").alias("n_participants"),
+                    *[F.count_if(k == t).alias(f"rows_{t}") for t in STUDY_TABLES],
+                    F.count_if(k != "__ids").alias("total_rows"))
 
 
 def batch_status(ids: DataFrame, participants: DataFrame) -> DataFrame:
@@ -147,17 +150,14 @@ def batch_result(before: StudyTables, after: StudyTables, erase: EraseSet,
                  failed: int = 0) -> DataFrame:
     """One row: successful and failed erasures and rows removed, measured as
     rows before minus rows after over the four tables."""
-    parts = [erase.ids.agg(F.lit("ids").alias("k"), F.count(F.lit(1)).alias("v"))]
-    for t in STUDY_TABLES:
-        parts.append(before.get(t).agg(F.lit("rows").alias("k"), F.count(F.lit(1)).alias("v")))
-        parts.append(after.get(t).agg(F.lit("rows").alias("k"), (-F.count(F.lit(1))).alias("v")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.agg(
-        F.sum(F.when(F.col("k") == "ids", F.col("v"))).cast("bigint").alias("successful_deletions"),
+    rows = _tagged_rows([("ids", erase.ids)]
+                        + [("before", df) for _, df in before.items()]
+                        + [("after", df) for _, df in after.items()])
+    k = F.col("k")
+    return rows.agg(
+        F.count_if(k == "ids").alias("successful_deletions"),
         F.lit(failed).cast("bigint").alias("failed_deletions"),
-        F.sum(F.when(F.col("k") == "rows", F.col("v"))).cast("bigint").alias("total_rows_deleted"))
+        (F.count_if(k == "before") - F.count_if(k == "after")).alias("total_rows_deleted"))
 
 
 # -- whole operations on a snapshot store ------------------------------------
