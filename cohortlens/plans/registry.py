@@ -164,15 +164,19 @@ def _export_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     out_dir = new_work_path(spark, "export")
     tables = fixture_tables(spark, sf_dir)
     manifest = export_all_csv(spark, tables, out_dir)
-    parts = []
+    written, empty = None, []
     for r in manifest.collect():  # four manifest rows
-        columns = tables.get(r["table_name"]).columns
-        parts.append(read_back_csv(spark, r["path"], columns).agg(
-            F.lit(r["table_name"]).alias("table_name"), F.lit(r["status"]).alias("status"),
-            F.count(F.lit(1)).alias("n_rows")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        if r["status"] != "exported":
+            empty.append((r["table_name"], r["status"], 0))
+            continue
+        rows = read_back_csv(spark, r["path"], tables.get(r["table_name"]).columns).select(
+            F.lit(r["table_name"]).alias("table_name"), F.lit(r["status"]).alias("status"))
+        written = rows if written is None else written.union(rows)
+    # one aggregate over the read-back rows of all exported tables
+    out = written.groupBy("table_name", "status").agg(F.count(F.lit(1)).alias("n_rows"))
+    if empty:
+        out = out.union(spark.createDataFrame(empty, "table_name string, status string, "
+                                                     "n_rows bigint"))
     return out
 
 
