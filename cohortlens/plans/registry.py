@@ -172,12 +172,12 @@ def _export_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = read_back_csv(spark, r["path"], tables.get(r["table_name"]).columns).select(
             F.lit(r["table_name"]).alias("table_name"), F.lit(r["status"]).alias("status"))
         written = rows if written is None else written.union(rows)
+    schema = "table_name string, status string, n_rows bigint"
+    if written is None:
+        return spark.createDataFrame(empty, schema)
     # one aggregate over the read-back rows of all exported tables
     out = written.groupBy("table_name", "status").agg(F.count(F.lit(1)).alias("n_rows"))
-    if empty:
-        out = out.union(spark.createDataFrame(empty, "table_name string, status string, "
-                                                     "n_rows bigint"))
-    return out
+    return out.union(spark.createDataFrame(empty, schema)) if empty else out
 
 
 def _export_events(spark: SparkSession, sf_dir: str) -> DataFrame:
