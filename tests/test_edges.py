@@ -307,3 +307,32 @@ def test_inspect_actions(spark, scratch):
     assert out.ok and out.outcome.status == "erased"
     assert [tuple(r) for r in out.frames["status"].orderBy("line_no").collect()] == [
         (1, "a", True), (2, "q", False)]
+
+
+def test_line_numbers_across_many_splits(spark, scratch):
+    """Force the id file into many input splits; line numbers must still be
+    the physical ones (per file), as Python's own enumeration gives them."""
+    import random
+    from cohortlens.sources.idlist import numbered_lines
+    rng = random.Random(3)
+    os.makedirs(scratch, exist_ok=True)
+    expected = {}
+    for f in range(2):
+        lines = [rng.choice(["", "  ", f"id{rng.randint(0, 50)}", f" x{i} "]) for i in range(700)]
+        path = os.path.join(scratch, f"ids{f}.txt")
+        with open(path, "w", newline="") as fh:
+            fh.write("\r\n".join(lines) + "\n")
+        expected[f"ids{f}.txt"] = [(i + 1, v) for i, v in enumerate(lines)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = numbered_lines(spark, scratch)
+        assert df.rdd.getNumPartitions() > 10
+        got = {}
+        for r in df.collect():
+            got.setdefault(os.path.basename(r["file"]), []).append((r["line_no"], r["value"]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {k: sorted(v) for k, v in got.items()} == expected

@@ -78,3 +78,13 @@ def test_preaggregate_join_shuffles_each_side_once(spark, tables001):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_no_python_workers_in_any_registered_query(spark):
+    import __spark_entry__ as entry
+    from tests.conftest import SF001
+    for name, q in entry.queries().items():
+        p = plan(q(spark, SF001))
+        for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas",
+                     "MapInPandas", "PythonUDF", "CartesianProduct", "BroadcastNestedLoopJoin"):
+            assert node not in p, (name, node)
