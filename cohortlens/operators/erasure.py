@@ -38,15 +38,26 @@ def batch_confirmation(n_participants: int) -> str:
 
 @dataclass
 class EraseSet:
-    """Distinct ids to erase, materialised, with their count."""
+    """Distinct ids to erase with a proven bound on their number.
+
+    ``n`` is the exact count when the set was materialised; ``bound`` is an
+    upper bound known without a job (the count itself, or the length of an
+    id list given in code). The set is broadcast only when the bound is at
+    most ``max_broadcast_ids``.
+    """
 
     ids: DataFrame
-    n: int
+    n: int | None
     max_broadcast_ids: int = MAX_BROADCAST_IDS
+    bound: int | None = None
+
+    def __post_init__(self) -> None:
+        if self.bound is None:
+            self.bound = self.n
 
     @property
     def broadcast(self) -> bool:
-        return self.n <= self.max_broadcast_ids
+        return self.bound is not None and self.bound <= self.max_broadcast_ids
 
     def join_side(self) -> DataFrame:
         return F.broadcast(self.ids) if self.broadcast else self.ids
@@ -74,6 +85,15 @@ def materialize_erase_set(ids: DataFrame, participants: DataFrame, *,
     return EraseSet(spark.read.parquet(path), obs.get["n"], max_broadcast_ids)
 
 
+def erase_set_of(spark, ids: list[str], participants: DataFrame, *,
+                 max_broadcast_ids: int = MAX_BROADCAST_IDS) -> EraseSet:
+    """Lazy erase set for ids given in code: bounded by ``len(ids)``, so it
+    can be broadcast without counting or writing it first (for a single
+    table join; ``materialize_erase_set`` is the form for several joins)."""
+    frame = spark.createDataFrame([(i,) for i in ids], f"{ID_COLUMN} string")
+    return EraseSet(erase_ids(frame, participants), None, max_broadcast_ids, bound=len(ids))
+
+
 def rows_of(table: DataFrame, erase: EraseSet) -> DataFrame:
     """Rows of ``table`` that the erase removes."""
     keyed = table if erase.broadcast else table.where(F.col(ID_COLUMN).isNotNull())

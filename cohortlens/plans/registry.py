@@ -18,7 +18,7 @@ from cohortlens.plans import oracle, reports
 from cohortlens.schema import STUDY_TABLES, StudyError
 from cohortlens.session import apply_defaults, new_work_path
 from cohortlens.sources.fixtures import fixture_tables
-from cohortlens.sources.idlist import ids_frame, scan_id_list
+from cohortlens.sources.idlist import scan_id_list
 from cohortlens.sources.sinks import export_all_csv, export_table_csv, read_back_csv
 from cohortlens.sources.snapshots import SnapshotStore, create_store
 
@@ -64,8 +64,7 @@ def write_id_file(spark: SparkSession, text: str) -> str:
 
 def _single_erase_set(spark: SparkSession, sf_dir: str):
     tables = fixture_tables(spark, sf_dir)
-    ids = ids_frame(spark, [SINGLE_ERASE_ID])
-    return tables, erasure.materialize_erase_set(ids, tables.participants)
+    return tables, erasure.erase_set_of(spark, [SINGLE_ERASE_ID], tables.participants)
 
 
 _ID_FILES: dict[str, str] = {}

@@ -85,6 +85,10 @@ def test_shuffled_erase_equals_broadcast(spark, tables001):
     big = erasure.materialize_erase_set(ids, tables001.participants, max_broadcast_ids=0)
     assert as_set(erasure.retained(tables001.events, small)) == \
         as_set(erasure.retained(tables001.events, big))
+    lazy = erasure.erase_set_of(spark, ["3", "7"], tables001.participants)
+    assert lazy.broadcast and lazy.n is None
+    assert as_set(erasure.retained(tables001.events, lazy)) == \
+        as_set(erasure.retained(tables001.events, small))
 
 
 @settings(max_examples=15, deadline=None)
