@@ -101,7 +101,11 @@ def test_exact_median_matches_statistics(spark, values, buckets):
     n = len(s)
     assert twice == s[(n - 1) // 2] + s[n // 2]
     assert frame.first()["twice_median"] == twice
-    assert twice / 2 == statistics.median(values)
+    # against the standard library, in exact arithmetic where it is exact
+    if n % 2:
+        assert twice == 2 * statistics.median(values)  # an int for odd n
+    elif max(abs(v) for v in values) < 2**52:
+        assert twice / 2 == statistics.median(values)
 
 
 def test_long_report_onepass_equals_separate(tables001):
