@@ -113,6 +113,14 @@ REPORT_PARTS: dict[str, tuple[str, list[str]]] = {
     "participants_duration_median": _parts(
         "SELECT CAST(TRUNC(MEDIAN(us) / 1e6) AS BIGINT) AS median_secs FROM durations "
         "WHERE us IS NOT NULL", [DURATIONS_CTE]),
+    "participants_duration_avg_strict": _parts(
+        "SELECT CASE WHEN COUNT(*) = COUNT(us) THEN COUNT(us) END AS n_durations, "
+        "CASE WHEN COUNT(*) = COUNT(us) THEN CAST(SUM(us) AS DOUBLE) / COUNT(us) / 1e6 END "
+        "AS avg_secs FROM durations", [DURATIONS_CTE]),
+    "participants_duration_median_strict": _parts(
+        "SELECT CASE WHEN (SELECT COUNT(*) = COUNT(us) FROM durations) "
+        "THEN CAST(TRUNC(MEDIAN(us) / 1e6) AS BIGINT) END AS median_secs FROM durations "
+        "WHERE us IS NOT NULL", [DURATIONS_CTE]),
     "duration_cast_policy": _parts(
         "SELECT COUNT(*) AS n_candidates, COUNT(us) AS n_castable, "
         "COUNT(*) - COUNT(us) AS n_uncastable FROM durations", [DURATIONS_CTE]),

@@ -36,6 +36,8 @@ REPORTS: dict[str, Callable] = {
     **{name: fn for section in reports.SECTIONS.values() for name, fn in section.items()},
     "participants_counts_onepass": reports.participants_counts_onepass,
     "feedback_means_onepass": reports.feedback_means_onepass,
+    "participants_duration_avg_strict": reports.participants_duration_avg_strict,
+    "participants_duration_median_strict": reports.participants_duration_median_strict,
 }
 
 

@@ -64,6 +64,16 @@ def participants_duration_median(t: StudyTables, mode: str = "row") -> DataFrame
     return duration_median(t.participants, "started_at", "ended_at", mode)
 
 
+def participants_duration_avg_strict(t: StudyTables) -> DataFrame:
+    """P8 under the strict policy: NULL statistics if any candidate fails to parse."""
+    return participants_duration_avg(t, mode="strict")
+
+
+def participants_duration_median_strict(t: StudyTables) -> DataFrame:
+    """P9 under the strict policy."""
+    return participants_duration_median(t, mode="strict")
+
+
 def duration_cast_policy(t: StudyTables) -> DataFrame:
     return cast_report(t.participants, "started_at", "ended_at")
 
