@@ -153,7 +153,8 @@ def batch_summary(tables: StudyTables, erase: EraseSet) -> DataFrame:
 
 
 def batch_status(ids: DataFrame, participants: DataFrame) -> DataFrame:
-    """``(line_no, participant_id, found)`` for every listed id, repeats kept.
+    """``(line_no, participant_id, found)`` for every listed id, repeats kept,
+    in file order.
 
     The listed ids probe participants with a semi join (the id list is the
     small side); the found ids are then left-joined back to the list.
@@ -163,7 +164,8 @@ def batch_status(ids: DataFrame, participants: DataFrame) -> DataFrame:
              .distinct().withColumn("found", F.lit(True)))
     return (ids.select("line_no", ID_COLUMN)
             .join(found, ID_COLUMN, "left")
-            .select("line_no", ID_COLUMN, F.coalesce("found", F.lit(False)).alias("found")))
+            .select("line_no", ID_COLUMN, F.coalesce("found", F.lit(False)).alias("found"))
+            .orderBy("line_no"))
 
 
 def batch_result(before: StudyTables, after: StudyTables, erase: EraseSet,

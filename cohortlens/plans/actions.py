@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from cohortlens.operators import erasure
 from cohortlens.plans.reports import report_long, section_report
 from cohortlens.sources.idlist import scan_id_list
-from cohortlens.sources.sinks import default_export_dir, export_all_csv, export_table_csv
+from cohortlens.sources.sinks import export_all_csv, export_table_csv
 from cohortlens.sources.snapshots import SnapshotStore
 
 
@@ -58,7 +58,7 @@ def inspect(store: SnapshotStore, *, section: str = "all", clear_table: str | No
         return ActionResult("export_table", True,
                             detail={"status": status, "n_rows": n, "path": path})
     if export_all:
-        manifest = export_all_csv(spark, tables, output_dir or default_export_dir(store.root))
+        manifest = export_all_csv(spark, tables, output_dir)
         return ActionResult("export_all", True, {"manifest": manifest})
     reports = section_report(tables, section)
     return ActionResult("reports", True, {**reports, "report_long": report_long(reports)})
