@@ -83,12 +83,14 @@ def _roll_up(fine: DataFrame, sets: Sequence[Sequence[str]], dims: list[str],
 
 def means_onepass(facts: DataFrame, lookup: DataFrame, sets: Sequence[Sequence[str]],
                   values: Sequence[str], *, join_key: str = ID_COLUMN,
+                  fact_dims: Sequence[str] | None = None,
                   strategy: str = "auto", max_broadcast_rows: int = MAX_BROADCAST_ROWS,
                   null_label: str = NULL_LABEL, n: str = "n", digits: int = 2) -> DataFrame:
     """Row counts and rounded means for every grouping set, one scan, one join.
 
-    Dimensions found in ``facts`` are taken from it; the others come from
-    ``lookup`` via ``facts LEFT JOIN lookup USING (join_key)``. A small
+    ``fact_dims`` are the dimensions taken from ``facts`` (default: those
+    present in it); the others come from ``lookup`` via
+    ``facts LEFT JOIN lookup USING (join_key)``. A small
     ``lookup`` (checked count) is broadcast into the scan of ``facts``; a
     large one meets facts pre-aggregated per (join key, own dimensions), so
     a hot key is collapsed before any shuffle and the join is one-to-one.
@@ -96,7 +98,9 @@ def means_onepass(facts: DataFrame, lookup: DataFrame, sets: Sequence[Sequence[s
     grain of all dimensions before the grouping sets roll them up.
     """
     dims = _dims_in(sets)
-    own = [d for d in dims if d in facts.columns and d != join_key]
+    if fact_dims is None:
+        fact_dims = [d for d in dims if d in facts.columns and d != join_key]
+    own = [d for d in dims if d in fact_dims]
     looked_up = [d for d in dims if d not in own]
     how = choose_strategy(lookup, strategy, max_broadcast_rows)
     right = lookup.select(join_key, *looked_up)

@@ -149,7 +149,8 @@ def feedback_means_onepass(t: StudyTables, strategy: str = "auto") -> DataFrame:
     ``snippet_id`` is feedback's own column; the arm and skill come from
     participants.
     """
-    return means_onepass(t.feedback, t.participants, FEEDBACK_SETS, RATINGS, strategy=strategy)
+    return means_onepass(t.feedback, t.participants, FEEDBACK_SETS, RATINGS,
+                         fact_dims=["snippet_id"], strategy=strategy)
 
 
 # -- sections ----------------------------------------------------------------

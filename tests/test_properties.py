@@ -150,3 +150,12 @@ def test_hot_participant_all_strategies_agree(spark, tables001):
         b = erasure.retained(skewed.get(name), big)
         assert a.count() == b.count()
         assert a.exceptAll(b).count() == 0
+
+
+def test_onepass_takes_arm_from_participants_even_if_feedback_has_one(tables001):
+    from pyspark.sql import functions as F
+    fb = tables001.feedback.withColumn("intervention_type", F.lit("bogus"))
+    t = tables001.with_table("feedback", fb)
+    one = R.feedback_means_onepass(t).where("grouping_set = 'intervention_type'")
+    assert as_set(one.select("intervention_type", "n", *R.RATINGS)) == \
+        as_set(R.feedback_means_by_intervention(tables001))
