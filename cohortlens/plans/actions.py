@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from cohortlens.operators import erasure
-from cohortlens.plans.reports import report_long, section_report
+from cohortlens.plans.reports import report_long, report_long_onepass, section_report
 from cohortlens.sources.idlist import scan_id_list
 from cohortlens.sources.sinks import export_all_csv, export_table_csv
 from cohortlens.sources.snapshots import SnapshotStore
@@ -61,4 +61,6 @@ def inspect(store: SnapshotStore, *, section: str = "all", clear_table: str | No
         manifest = export_all_csv(spark, tables, output_dir)
         return ActionResult("export_all", True, {"manifest": manifest})
     reports = section_report(tables, section)
-    return ActionResult("reports", True, {**reports, "report_long": report_long(reports)})
+    # all sections: the long form from shared scans; one section: its own results
+    long = report_long_onepass(tables) if section == "all" else report_long(reports)
+    return ActionResult("reports", True, {**reports, "report_long": long})
