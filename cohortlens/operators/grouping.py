@@ -85,6 +85,7 @@ def means_onepass(facts: DataFrame, lookup: DataFrame, sets: Sequence[Sequence[s
                   values: Sequence[str], *, join_key: str = ID_COLUMN,
                   fact_dims: Sequence[str] | None = None,
                   strategy: str = "auto", max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                  lookup_rows: int | None = None,
                   null_label: str = NULL_LABEL, n: str = "n", digits: int = 2) -> DataFrame:
     """Row counts and rounded means for every grouping set, one scan, one join.
 
@@ -102,7 +103,7 @@ def means_onepass(facts: DataFrame, lookup: DataFrame, sets: Sequence[Sequence[s
         fact_dims = [d for d in dims if d in facts.columns and d != join_key]
     own = [d for d in dims if d in fact_dims]
     looked_up = [d for d in dims if d not in own]
-    how = choose_strategy(lookup, strategy, max_broadcast_rows)
+    how = choose_strategy(lookup, strategy, max_broadcast_rows, lookup_rows)
     right = lookup.select(join_key, *looked_up)
     sums = [_sum(c) for c in values] + [_cnt(c) for c in values]
     if how == "preaggregate":

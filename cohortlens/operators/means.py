@@ -61,16 +61,21 @@ STRATEGIES = ("auto", "broadcast", "preaggregate", "direct")
 
 
 def choose_strategy(lookup: DataFrame, strategy: str = "auto",
-                    max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> str:
+                    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                    lookup_rows: int | None = None) -> str:
     """``broadcast`` when the label table is small enough, else ``preaggregate``.
 
-    The check counts at most ``max_broadcast_rows + 1`` rows of the label
-    table with every column pruned, so it costs little even on a big table.
+    ``lookup_rows``, when known (a snapshot manifest), decides without a
+    job; otherwise the check counts at most ``max_broadcast_rows + 1`` rows
+    of the label table with every column pruned, so it costs little even on
+    a big table.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, got {strategy!r}")
     if strategy != "auto":
         return strategy
+    if lookup_rows is not None:
+        return "broadcast" if lookup_rows <= max_broadcast_rows else "preaggregate"
     n = lookup.select(F.lit(1)).limit(max_broadcast_rows + 1).count()
     return "broadcast" if n <= max_broadcast_rows else "preaggregate"
 
@@ -78,6 +83,7 @@ def choose_strategy(lookup: DataFrame, strategy: str = "auto",
 def means_by(df: DataFrame, key: str, values: Sequence[str], *,
              lookup: DataFrame | None = None, join_key: str = ID_COLUMN,
              strategy: str = "auto", max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+             lookup_rows: int | None = None,
              null_label: str = NULL_LABEL, n: str = "n", digits: int = 2,
              ordered: bool = True) -> DataFrame:
     """Row count and rounded means of ``values`` per label of ``key``.
@@ -94,7 +100,7 @@ def means_by(df: DataFrame, key: str, values: Sequence[str], *,
             F.count(F.lit(1)).alias(n),
             *[round_half_up(F.avg(c), digits).alias(c) for c in values])
     else:
-        how = choose_strategy(lookup, strategy, max_broadcast_rows)
+        how = choose_strategy(lookup, strategy, max_broadcast_rows, lookup_rows)
         right = lookup.select(join_key, key)
         if how == "preaggregate":
             pre = partial_sums(df, [join_key], values)

@@ -108,12 +108,12 @@ def feedback_means_overall(t: StudyTables) -> DataFrame:
 
 def feedback_means_by_intervention(t: StudyTables, strategy: str = "auto") -> DataFrame:
     return means_by(t.feedback, "intervention_type", RATINGS, lookup=t.participants,
-                    strategy=strategy)
+                    strategy=strategy, lookup_rows=t.known_rows("participants"))
 
 
 def feedback_means_by_skill(t: StudyTables, strategy: str = "auto") -> DataFrame:
     return means_by(t.feedback, "skill_level", RATINGS, lookup=t.participants,
-                    strategy=strategy)
+                    strategy=strategy, lookup_rows=t.known_rows("participants"))
 
 
 def feedback_means_by_snippet(t: StudyTables) -> DataFrame:
@@ -150,7 +150,8 @@ def feedback_means_onepass(t: StudyTables, strategy: str = "auto") -> DataFrame:
     participants.
     """
     return means_onepass(t.feedback, t.participants, FEEDBACK_SETS, RATINGS,
-                         fact_dims=["snippet_id"], strategy=strategy)
+                         fact_dims=["snippet_id"], strategy=strategy,
+                         lookup_rows=t.known_rows("participants"))
 
 
 # -- sections ----------------------------------------------------------------

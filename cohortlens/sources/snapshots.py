@@ -77,8 +77,10 @@ class SnapshotStore:
         return self._entries[v]
 
     def tables(self, version: int | None = None) -> StudyTables:
+        """The tables of ``version``, with their row counts from the manifest."""
         entries = self.manifest(version)
-        return StudyTables(**{t: self.spark.read.parquet(entries[t].path) for t in STUDY_TABLES})
+        return StudyTables(**{t: self.spark.read.parquet(entries[t].path) for t in STUDY_TABLES},
+                           row_counts={t: entries[t].n_rows for t in STUDY_TABLES})
 
     # -- writing -------------------------------------------------------------
 

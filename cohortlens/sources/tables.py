@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,22 +14,32 @@ from cohortlens.schema import ID_COLUMN, STUDY_TABLES, StudyError, check_table_n
 
 @dataclass(frozen=True)
 class StudyTables:
-    """The four study tables as lazy DataFrames."""
+    """The four study tables as lazy DataFrames.
+
+    ``row_counts`` holds exact row counts when they are known without a job
+    (tables read from a snapshot manifest); operators use them for size
+    checks instead of counting.
+    """
 
     participants: DataFrame
     code_submissions: DataFrame
     feedback: DataFrame
     events: DataFrame
+    row_counts: dict[str, int] | None = None
 
     def get(self, name: str) -> DataFrame:
         return getattr(self, check_table_name(name))
 
     def items(self) -> Iterator[tuple[str, DataFrame]]:
-        for f in fields(self):
-            yield f.name, getattr(self, f.name)
+        for name in STUDY_TABLES:
+            yield name, getattr(self, name)
+
+    def known_rows(self, name: str) -> int | None:
+        return (self.row_counts or {}).get(name)
 
     def with_table(self, name: str, df: DataFrame) -> StudyTables:
-        return replace(self, **{check_table_name(name): df})
+        counts = {k: v for k, v in (self.row_counts or {}).items() if k != name} or None
+        return replace(self, **{check_table_name(name): df}, row_counts=counts)
 
     def validated(self, check_keys: bool = False) -> StudyTables:
         """Check required columns; with ``check_keys`` also that every

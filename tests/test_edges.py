@@ -336,3 +336,15 @@ def test_line_numbers_across_many_splits(spark, scratch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert {k: sorted(v) for k, v in got.items()} == expected
+
+
+def test_store_tables_carry_row_counts(spark, scratch, tables001):
+    from cohortlens.plans import reports as R
+    store = create_store(spark, scratch, tables001)
+    t = store.tables()
+    assert t.known_rows("participants") == 1500 and t.known_rows("feedback") == 60000
+    assert t.with_table("participants", t.participants).known_rows("participants") is None
+    # the size check uses the manifest count (no job) and still broadcasts
+    df = R.feedback_means_by_intervention(t)
+    assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+    assert df.collect() == R.feedback_means_by_intervention(tables001).collect()
