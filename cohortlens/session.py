@@ -62,8 +62,10 @@ def work_dir(spark: SparkSession) -> str:
     """Shared scratch folder: the cluster's checkpoint directory.
 
     Read from the session (``spark.checkpoint.dir`` or an earlier
-    ``setCheckpointDir``). Only when neither is set, as in local tests, a
-    fresh temporary folder is made and registered as the checkpoint dir.
+    ``setCheckpointDir``). Only when neither is set and Spark runs in local
+    mode, as in tests, a fresh temporary folder is made and registered as
+    the checkpoint dir; on a cluster a machine-local folder would be invisible
+    to the executors, so an unset folder is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -73,6 +75,9 @@ def work_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                           "(HDFS, S3, ...); cohortlens writes intermediates there")
     local = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
