@@ -348,3 +348,15 @@ def test_store_tables_carry_row_counts(spark, scratch, tables001):
     df = R.feedback_means_by_intervention(t)
     assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
     assert df.collect() == R.feedback_means_by_intervention(tables001).collect()
+
+
+def test_export_summary(spark, scratch):
+    from cohortlens.sources.sinks import export_summary
+    small = _small_tables(spark)
+    empty_events = small.with_table("events", small.events.where(F.lit(False)))
+    man = export_all_csv(spark, empty_events, scratch)
+    got = {r["table_name"]: r["status"] for r in man.collect()}
+    assert got["events"] == "empty" and got["participants"] == "exported"
+    row = export_summary(man).first()
+    assert (row["tables_succeeded"], row["tables_total"], row["total_rows"]) == (4, 4, 6)
+    assert row["output_dir"] == scratch
