@@ -29,21 +29,22 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def norm(v):
+    # exact: doubles must be bit-for-bit equal (a value hash sees every bit)
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 9)
+        return v
     if hasattr(v, "isoformat"):
         return v.isoformat()
     if v is not None and type(v).__name__ == "Decimal":
-        return round(float(v), 9)
+        return float(v)
     return v
 
 
 def canon(rows, cols):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(norm(r[i]) for i in order) for r in rows]
-    return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
+    return sorted(out, key=lambda t: tuple((x is None, repr(x)) for x in t))
 
 
 def compare(spark, sf_dir, names=None):
