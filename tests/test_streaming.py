@@ -19,3 +19,19 @@ def test_count_by_on_a_stream(spark, scratch, tables001):
         q.stop()
     want = [tuple(r) for r in count_by(tables001.events, "event_type", null_label=None).collect()]
     assert got == want
+
+
+def test_top_by_count_on_a_stream(spark, scratch, tables001):
+    from cohortlens.operators.counting import top_by_count
+    src = os.path.join(scratch, "events-in")
+    tables001.events.write.parquet(src)
+    stream = spark.readStream.schema(tables001.events.schema).parquet(src)
+    q = (top_by_count(stream, "participant_id", 50).writeStream
+         .outputMode("complete").format("memory").queryName("ev_top")
+         .option("checkpointLocation", os.path.join(scratch, "ckpt")).start())
+    try:
+        q.processAllAvailable()
+        got = [tuple(r) for r in spark.sql("SELECT * FROM ev_top").collect()]
+    finally:
+        q.stop()
+    assert got == [tuple(r) for r in top_by_count(tables001.events, "participant_id", 50).collect()]
