@@ -1,4 +1,4 @@
-"""Reference SQL for every registered query, runnable by DuckDB.
+"""Oracle SQL for every registered query, runnable by DuckDB.
 
 Each statement is self-contained: it starts with the fixture ``WITH`` list
 over the driver's tables (``customer``, ``orders``, ``lineitem``,
