@@ -116,7 +116,9 @@ def _rank_values(values: DataFrame, ranks: list[int], n: int, lo: int, hi: int,
                 raise RuntimeError("rank outside histogram")
 
 
-def exact_median(values: DataFrame, value: str, *, buckets: int = 4096) -> tuple[DataFrame, int | None]:
+def exact_median(values: DataFrame, value: str, *, buckets: int = 4096,
+                 keep: Column | None = None,
+                 void_if: Column | None = None) -> tuple[DataFrame, int | None]:
     """Exact median of an integral column as ``2 * median`` (an integer).
 
     Returns ``(frame, twice_median)``: ``frame`` is a one-row Spark aggregate
@@ -127,17 +129,28 @@ def exact_median(values: DataFrame, value: str, *, buckets: int = 4096) -> tuple
     the final frame read that compact column instead of recomputing the
     input (and the lineage is cut there). The driver only ever holds
     histograms of at most ``buckets`` rows.
+
+    ``keep`` filters the rows whose values count; ``void_if`` (strict
+    policies) is counted over all rows in the same write, and any match
+    makes the median NULL.
     """
     spark = values.sparkSession
     path = new_work_path(spark, "median-values")
     obs = Observation("median_values")
-    (values.select(F.col(value).cast("long").alias("__v")).where(F.col("__v").isNotNull())
+    src = values
+    void = None
+    if void_if is not None:
+        void = Observation("median_void")
+        src = src.observe(void, F.count_if(void_if).alias("n"))
+    if keep is not None:
+        src = src.where(keep)
+    (src.select(F.col(value).cast("long").alias("__v")).where(F.col("__v").isNotNull())
      .observe(obs, F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"),
               F.max("__v").alias("hi"))
      .write.mode("errorifexists").parquet(path))
     stats = obs.get
     v = spark.read.parquet(path)
-    n = stats["n"]
+    n = 0 if void is not None and void.get["n"] else stats["n"]
     if not n:
         frame = v.where(F.lit(False)).agg((F.min("__v") + F.max("__v")).alias("twice_median"))
         return frame, None
@@ -163,14 +176,13 @@ def duration_median(df: DataFrame, start: str = "started_at", end: str = "ended_
     if method not in ("exact", "approx"):
         raise ValueError(f"method must be 'exact' or 'approx', got {method!r}")
     d = duration_frame(df, start, end)
-    if mode == "strict":
-        bad = d.agg(F.count_if(~F.col(OK)).alias("bad")).first()["bad"]
-        if bad:
-            d = d.where(F.lit(False))
+    strict = mode == "strict"
     if method == "approx":
         us = F.percentile_approx(F.col(US), F.lit(0.5), F.lit(accuracy))
-        return d.where(F.col(OK)).agg(us.alias("__m")) \
-            .select(F.expr("__m div 1000000L").alias("median_secs"))
-    frame, _ = exact_median(d.where(F.col(OK)), US, buckets=buckets)
+        m = F.when(F.count_if(~F.col(OK)) == 0, us) if strict else us
+        return d.agg(m.alias("__m")).select(F.expr("__m div 1000000L").alias("median_secs"))
+    # strict: unparsable candidates are counted inside the values write itself
+    frame, _ = exact_median(d, US, buckets=buckets, keep=F.col(OK),
+                            void_if=~F.col(OK) if strict else None)
     # twice the median in micros -> seconds, truncated toward zero
     return frame.select(F.expr("twice_median div 2000000L").alias("median_secs"))

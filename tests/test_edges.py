@@ -360,3 +360,14 @@ def test_export_summary(spark, scratch):
     row = export_summary(man).first()
     assert (row["tables_succeeded"], row["tables_total"], row["total_rows"]) == (4, 4, 6)
     assert row["output_dir"] == scratch
+
+
+def test_strict_median_when_all_parse(spark):
+    ok = _participants(spark, [("2024-01-01T00:00:00Z", f"2024-01-01T00:00:{s:02d}Z")
+                               for s in (10, 20, 40)])
+    assert duration_median(ok, mode="strict").first()["median_secs"] == 20
+    assert duration_median(ok, mode="strict", method="approx").first()["median_secs"] == 20
+    bad = ok.unionByName(_participants(spark, [("2024-01-01T00:00:00Z", "not-a-time")]))
+    assert duration_median(bad, mode="strict").first()["median_secs"] is None
+    assert duration_median(bad, mode="strict", method="approx").first()["median_secs"] is None
+    assert duration_median(bad).first()["median_secs"] == 20
