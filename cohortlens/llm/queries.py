@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash, substr
+from . import bpe, langid, licenses, mixing, simhash, sketch, substr
 from .common import read_table
 
 
@@ -32,6 +32,20 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sketch.fingerprint_edits(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+        sketch.fingerprint(F.col("sketch")).alias("fingerprint"),
+        sketch.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketch.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketch.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.encode_decode(docs, VOCABULARY, public_tokenizers.PATTERN)
@@ -48,10 +62,21 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "lang_pred", "score"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_simhash_near_dedup,
+        op2_mix_sources,
+        op5_document_fingerprints,
         op6_byte_bpe,
         op7_substring_dedup,
         op8_language_id,
+        op10_license_scan,
     )}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op10_license_scan": licenses.oracle()}
