@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, mixing, simhash, sketch, substr
+from . import ann, bpe, html_text, langid, licenses, mixing, simhash, sketch, substr, toxicity
 from .common import read_table
 
 
@@ -36,6 +36,15 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"),
+                      F.col("vec_id") % 50 == 0, k=5)
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = sketch.fingerprint_edits(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select(
@@ -62,6 +71,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "lang_pred", "score"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", "toxic")
+    model = toxicity.learn(docs, labels)
+    return toxicity.score(docs.withColumn("held_out", fold("doc_id", 5) == 0), model).drop("text")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -70,10 +86,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_simhash_near_dedup,
         op2_mix_sources,
+        op3_nearest_neighbours,
+        op4_html_extraction,
         op5_document_fingerprints,
         op6_byte_bpe,
         op7_substring_dedup,
         op8_language_id,
+        op9_toxicity,
         op10_license_scan,
     )}
 
