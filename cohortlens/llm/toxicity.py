@@ -147,41 +147,44 @@ def learn_words(rows: DataFrame, toxic: int, clean: int, least: float = 0.01, ch
                 doubt: float = 0.02) -> frozenset[str]:
     """Words and stems of ``rows(text, toxic)`` that mark the toxic rows.
 
-    A form is learnt if ``least`` of the toxic rows have it, in as many different contexts
-    (word and next word), and the clean rows with it are at most ``doubt`` of that; and if rows drawn
+    A form is learnt if ``least`` of the toxic rows have it (near copies count once), in as many
+    different contexts (word and next word), and the clean rows with it are at most ``doubt`` of that; and if rows drawn
     without regard to the labels would all be toxic with less than ``chance``. The first
     condition bounds the lexicon, whatever the corpus; the last keeps chance finds of small samples out.
     """
     def contexts(batches):
         for b in text_slices(batches, "text", 4 << 20):
-            pairs: set[tuple[str, int]] = set()
-            counts: dict[str, list[int]] = {}
-            for text, bad in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+            bad: set[tuple[str, str, int]] = set()
+            good: dict[str, int] = {}
+            for text, toxic_row in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 tokens = (text or "").split()
                 known = {t: core(t) for t in set(tokens)}
                 seen = {f for w in known.values() if w for f in forms(w)}
-                for f in seen:
-                    counts.setdefault(f, [0, 0])[bad] += 1
-                if bad:
-                    words = [w for t in tokens if (w := known[t])]
-                    for w, after in set(pairwise([*words, ""])):
-                        at = zlib.crc32(f"{w} {after}".encode())
-                        pairs.update((f, at) for f in forms(w))
+                if not toxic_row:
+                    for f in seen:
+                        good[f] = good.get(f, 0) + 1
+                    continue
+                words = [w for t in tokens if (w := known[t])]
+                # near copies mostly share the smallest hash of their three-word shingles
+                copy = min((zlib.crc32(" ".join(x).encode()) for x in zip(words, words[1:], words[2:], strict=False)),
+                           default=zlib.crc32(" ".join(words).encode()))
+                bad.update(("text", f, copy) for f in seen)
+                for w, after in set(pairwise([*words, ""])):
+                    at = zlib.crc32(f"{w} {after}".encode())
+                    bad.update(("context", f, at) for f in forms(w))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs] + list(counts), pa.string()),
-                 pa.array([p[1] for p in pairs] + [None] * len(counts), pa.int64()),
-                 pa.array([None] * len(pairs) + [c[1] for c in counts.values()], pa.int64()),
-                 pa.array([None] * len(pairs) + [c[0] for c in counts.values()], pa.int64())],
-                names=["form", "context", "bad", "good"])
-
-    found = stage(rows.mapInArrow(contexts, "form string, context bigint, bad bigint, good bigint"), "contexts")
-    enough = max(np.log(chance) / np.log(toxic / (toxic + clean)), least * toxic)
-    docs = (found.where("context is null").groupBy("form")
-            .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-            .where((F.col("bad") >= float(enough)) & (F.col("good") <= doubt * F.col("bad"))))
-    varied = (found.where("context is not null").select("form", "context").distinct()
-              .groupBy("form").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= float(enough)))
-    return frozenset(r["form"] for r in docs.join(varied, "form", "left_semi").select("form").collect())
+                [pa.array([x[0] for x in bad] + ["clean"] * len(good), pa.string()),
+                 pa.array([x[1] for x in bad] + list(good), pa.string()),
+                 pa.array([x[2] for x in bad] + list(good.values()), pa.int64())], names=["kind", "form", "n"])
+
+    found = stage(rows.mapInArrow(contexts, "kind string, form string, n bigint"), "contexts")
+    enough = float(max(np.log(chance) / np.log(toxic / (toxic + clean)), least * toxic))
+    bad = (found.where("kind <> 'clean'").distinct().groupBy("form")
+           .agg(F.count_if(F.col("kind") == "text").alias("texts"), F.count_if(F.col("kind") == "context").alias("contexts"))
+           .where((F.col("texts") >= enough) & (F.col("contexts") >= enough)))
+    good = found.where("kind = 'clean'").groupBy("form").agg(F.sum("n").alias("good"))
+    kept = bad.join(good, "form", "left").where(F.coalesce("good", F.lit(0)) <= doubt * F.col("texts"))
+    return frozenset(r["form"] for r in kept.select("form").collect())
 
 
 class Model:
@@ -217,7 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     fit = fit.withColumn("weight", F.when(F.col("toxic") == 1, n[0] / n[1]).otherwise(1.0))
     part, calm = (fit.where("fold <> 0"), fit.where("fold = 0")) if n[1] >= 100 else (fit, fit)
     inputs = VectorAssembler(inputCols=["__f_" + f for f in FEATURES], outputCol="__x")
-    trees = GBTClassifier(featuresCol="__x", labelCol="toxic", weightCol="weight", maxDepth=3, maxIter=20, stepSize=0.3,
+    trees = GBTClassifier(featuresCol="__x", labelCol="toxic", weightCol="weight", maxDepth=3, maxIter=20, stepSize=0.3, minInstancesPerNode=10,
                           predictionCol="__predicted", seed=5)
     trees = (trees.setRawPredictionCol("__raw").setProbabilityCol("__probability")
              .fit(inputs.transform(part)))
