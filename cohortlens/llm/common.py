@@ -56,6 +56,12 @@ def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns renamed c0, c1, ... (so that none clashes), and the names' map."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def share(spark: SparkSession, model: object):
     """Broadcast the state of ``model`` (plain arrays, lists and names)."""
     return spark.sparkContext.broadcast(vars(model))

@@ -229,7 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(learnt, trees, (steps.boundaries.toArray(), steps.predictions.toArray()))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Every column of ``docs`` plus ``score`` (0 to 1) and ``predicted`` (1 if the score is 0.5 or more)."""
     docs = docs.drop("score", "predicted")
     names = docs.columns
@@ -237,7 +237,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         value = F.lit(model.constant)
         return docs.withColumn("score", value).withColumn("predicted", (value >= 0.5).cast("int"))
     x, y = model.steps
-    judged = _margins(with_features(docs, model.learnt), model.trees)
+    judged = _margins(with_features(docs, model.learnt, text_col), model.trees)
     return (judged.withColumn("score", _between(F.col("__margin"), x.tolist(), y.tolist()))
             .select(*(F.col(f"`{c}`") for c in names), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
 
