@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import bpe, mixing, simhash, substr, toxicity
-from cohortlens.llm.common import read_table, stage
+from cohortlens.llm.common import numbered, read_table, stage
 from cohortlens.llm.queries import VOCABULARY, fold
 
 
@@ -22,8 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go; the labels of one id in five are left out of the learning."""
     labels = read_table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", "toxic")
     model = toxicity.learn(docs, labels)
-    judged = toxicity.score(docs.select(F.struct(*docs.columns).alias("doc"), "text"), model)
-    return judged.where("predicted = 0").select("doc.*")
+    plain, names = numbered(docs)
+    judged = toxicity.score(plain, model, text_col=names["text"])
+    return judged.where("predicted = 0").select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +34,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in repeated passages of 35 words are cut; documents with nothing removed stay as they are."""
-    row = F.struct(*docs.columns).alias("doc")
-    cut = substr.remove_repeats(docs.select(row, "doc_id", "text"))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("doc.text"))
-    size = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("doc.n_chars"))
-    made = {"text": text, "n_chars": size.cast(docs.schema["n_chars"].dataType)}
-    return cut.select(*(made[c].alias(c) if c in made else F.col(f"doc.`{c}`") for c in docs.columns))
+    plain, names = numbered(docs)
+    cut = substr.remove_repeats(plain, id_col=names["doc_id"], text_col=names["text"])
+    changed = F.col("n_removed") > 0
+    made = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col(names["text"])),
+            "n_chars": F.when(changed, F.length("kept_text")).otherwise(F.col(names["n_chars"]))
+            .cast(docs.schema["n_chars"].dataType)}
+    return cut.select(*(made.get(c, F.col(n)).alias(c) for c, n in names.items()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
