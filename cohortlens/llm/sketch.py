@@ -116,19 +116,22 @@ def fingerprint_edits(docs: DataFrame, words: int = WORDS, scale: int = SCALE, w
     next_sketch.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keys = ["numbered", "id", "th"]
-    texts = docs.select(*_key(), "text", sketch(F.col("text"), words, scale, whole).alias("sk"))
-    placed = (texts.withColumn("id_", F.coalesce("id", F.lit(0)))
-              .join(_previous(docs).withColumn("id_", F.coalesce("id", F.lit(0))).drop("id"),
-                    ["numbered", "id_", "th"]))
-    ahead = (placed.select(F.col("p_numbered").alias("numbered"), F.coalesce("p_id", F.lit(0)).alias("id_"),
-                           F.col("p_th").alias("th"),
-                           F.expr("left(text, cast(floor(p_n / 4) as int))").alias("lent"),
-                           F.col("sk").alias("next_sketch"))
-             .dropDuplicates(["numbered", "id_", "th"]))
+    keys = ["numbered", "id_", "th"]
+    plain = F.coalesce("id", F.lit(0)).alias("id_")
+    texts = docs.select(*_key(), "text").select("numbered", plain, "th", "text")
+    before = _previous(docs).select("numbered", plain, "th", "p_numbered", F.coalesce("p_id", F.lit(0)).alias("p_id"),
+                                    "p_th", "p_n")
+    # the one shuffle of the texts serves both sides: each document lends its start and its sketch
+    # to the document before it
+    placed = texts.join(before, keys)
+    made = sketch(F.col("text"), words, scale, whole)
+    ahead = (placed.select(F.col("p_numbered").alias("numbered"), F.col("p_id").alias("id_"), F.col("p_th").alias("th"),
+                           F.expr("left(text, cast(floor(p_n / 4) as int))").alias("lent"), made.alias("next_sketch"))
+             .dropDuplicates(keys))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    return (placed.join(ahead, ["numbered", "id_", "th"])
-            .select(F.col("id").alias("doc_id"), n.cast("long").alias("n_chars"), F.col("sk").alias("sketch"),
-                    "next_sketch", F.concat(F.left(F.col("text"), n - quarter), "lent").alias("edited_text"))
+    return (texts.join(ahead, keys)
+            .select(F.when(F.col("numbered"), F.col("id_")).alias("doc_id"), n.cast("long").alias("n_chars"),
+                    made.alias("sketch"), "next_sketch",
+                    F.concat(F.left(F.col("text"), n - quarter), "lent").alias("edited_text"))
             .withColumn("edited_sketch", sketch(F.col("edited_text"), words, scale, whole)))
