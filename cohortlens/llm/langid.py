@@ -141,10 +141,12 @@ def learn(labelled: DataFrame, min_share: float = MIN_SHARE, sample: int = SAMPL
     """
     rows = (labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
             .where("lang is not null and text is not null"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
-    taken = (rows.join(sizes, "lang")
-             .where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) * F.col("rows") < F.lit(sample << 20))
-             .select("lang", "text"))
+    # one number for each language, as many as the filters have bits
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return Filters({})
+    limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, (sample << 20) // n)])
+    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < limit[F.col("lang")])
 
     def count(batches):
         for b in text_slices(batches, "text", 4 << 20):
