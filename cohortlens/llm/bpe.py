@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import share, shared, text_slices
 
 LONG = 512
-CACHE = 200_000
+CACHE = 400_000
 
 _NONE = np.int64(1 << 40)  # above every rank
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -104,10 +104,12 @@ class Encoder:
 
     def matrix(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of pieces of like length, all rows merging together."""
-        width = max(map(len, pieces))
-        ids = np.full((len(pieces), width), -1, dtype=np.int64)
-        for i, p in enumerate(pieces):
-            ids[i, :len(p)] = self.byte[np.frombuffer(p, dtype=np.uint8)]
+        sizes = np.array(list(map(len, pieces)))
+        width = int(sizes.max())
+        padded = int(sizes.min()) < width
+        data = b"".join(p.ljust(width, b"\0") for p in pieces) if padded else b"".join(pieces)
+        ids = self.byte[np.frombuffer(data, dtype=np.uint8)].reshape(len(pieces), width)
+        ids[np.arange(width) >= sizes[:, None]] = -1
         out: list[tuple[int, ...]] = [()] * len(pieces)
         rows = np.arange(len(pieces))
         while True:
@@ -118,8 +120,9 @@ class Encoder:
                 more = least < _NONE
             else:
                 more = np.zeros(len(ids), dtype=bool)
-            for r, row in zip(rows[~more].tolist(), ids[~more].tolist(), strict=True):
-                out[r] = tuple(x for x in row if x >= 0)
+            done = ids[~more].tolist()
+            for r, row in zip(rows[~more].tolist(), done, strict=True):
+                out[r] = tuple(x for x in row if x >= 0) if padded else tuple(row)
             if not more.any():
                 return out
             rows, ids, best, least = rows[more], ids[more], best[more], least[more]
@@ -161,7 +164,7 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of new pieces into the cache."""
-        buckets: dict[int, list[str]] = {}
+        buckets: dict[int, list[tuple[str, bytes]]] = {}
         for p in pieces:
             data = p.encode()
             whole = self.rank.get(data)
@@ -170,21 +173,28 @@ class Encoder:
             elif len(data) > LONG:
                 self.cache[p] = self.long(data)
             else:
-                buckets.setdefault((len(data) - 1) // 4 if len(data) <= 32 else 7 + len(data).bit_length(),
-                                   []).append(p)
+                buckets.setdefault(len(data) if len(data) <= 24 else -len(data).bit_length(), []).append((p, data))
         for group in buckets.values():
             for at in range(0, len(group), 8192):
                 part = group[at:at + 8192]
-                self.cache.update(zip(part, self.matrix([p.encode() for p in part]), strict=True))
+                self.cache.update(zip([p for p, _ in part], self.matrix([d for _, d in part]), strict=True))
 
-    def encode(self, pieces: list[str]) -> list[int]:
-        new = set(pieces).difference(self.cache)
+    def prepare(self, pieces: set[str]) -> None:
+        """Make sure that the cache has all of ``pieces``."""
+        new = pieces.difference(self.cache)
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
-            new = set(pieces)
+            new = pieces
         self.learn(new)
+
+    def ids(self, pieces: list[str]) -> list[int]:
+        """The ids of prepared pieces."""
         return list(chain.from_iterable(map(self.cache.__getitem__, pieces)))
 
+    def encode(self, pieces: list[str]) -> list[int]:
+        self.prepare(set(pieces))
+        return self.ids(pieces)
+
 
 def decode(tokens: list[bytes], ids) -> bytes:
     return b"".join(map(tokens.__getitem__, ids))
@@ -207,12 +217,13 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str
             texts = [t or "" for t in b.column(text_col).to_pylist()]
             rows: list[list[np.ndarray]] = [[] for _ in texts]
             back: list[bytes] = []
-            # the pieces of all short texts of the slice are learnt together
+            # the pieces of all short texts of the slice are prepared together
             short = [find.findall(t) if len(t) <= 1 << 20 else None for t in texts]
-            encoder.encode(list(set(chain.from_iterable(p for p in short if p))))
+            known = set(chain.from_iterable(p for p in short if p))
+            encoder.prepare(known)
             for t, pieces, row in zip(texts, short, rows, strict=True):
                 if pieces is not None:
-                    ids = encoder.encode(pieces)
+                    ids = encoder.ids(pieces)
                     row.append(np.array(ids, dtype=np.int32))
                     back.append(decode(encoder.tokens, ids))
                     continue
@@ -222,6 +233,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str
                     row.append(np.array(ids, dtype=np.int32))
                     parts.append(decode(encoder.tokens, ids))
                 back.append(b"".join(parts))
+                encoder.prepare(known)  # the long text may have cleared the cache
             sizes = [sum(map(len, r)) for r in rows]
             flat = list(chain.from_iterable(rows))
             values = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
