@@ -242,9 +242,11 @@ def one_of_each(docs: DataFrame, words: int = 3, radius: int = 2, shard_size: in
     first = F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "row")
     keep = (prints.join(_classes(prints, radius, shard_size), "fp")
             .groupBy("root").agg(F.min(first).alias("first"))
-            .select(F.col("first.doc_id").alias("kept_id"), F.col("first.row").alias("kept_row")))
-    d = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("did"), row)
-    found = d.join(keep, F.col("did").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row")))
-    # wholly repeated rows all meet the keeper's key: one of them stays
-    nth = F.row_number().over(Window.partitionBy("did", "row").orderBy("did"))
+            .select("first.unnumbered", F.coalesce("first.doc_id", F.lit(0)).alias("did"), "first.row"))
+    key = ["unnumbered", "did", "row"]
+    d = docs.select(F.struct("*").alias("doc"), F.col("doc_id").isNull().alias("unnumbered"),
+                    F.coalesce("doc_id", F.lit(0)).alias("did"), row)
+    found = d.join(keep, key)
+    # wholly repeated rows all meet the keeper's key: one of them stays (the join's own partitions)
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("did"))
     return found.withColumn("nth", nth).where("nth = 1").select("doc.*")
