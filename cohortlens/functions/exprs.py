@@ -13,15 +13,21 @@ from cohortlens.schema import NULL_LABEL, PASS_WORDS
 
 ColumnLike = Column | str
 
-# Rounding goes through an exact decimal so that halves round away from zero,
-# as the source database's numeric type does (1.005 -> 1.01, 8.325 -> 8.33).
-ROUND_DECIMAL = "decimal(20,10)"
-
 # A timestamp text is a candidate when it holds one of these characters; it is
-# parsed only when it starts with a four-digit year (a bare '12:30' would
-# otherwise be taken as today's date).
+# parsed only in one of two ISO forms: extended (date, or date and time to the minute
+# at least) and basic (20240103T101010, with fraction and offset if any).
 TS_CANDIDATE_PATTERN = r"[:+ZT-]"
-TS_LEADING_DATE_PATTERN = r"^\s*[0-9]{4}-"
+TS_EXTENDED_PATTERN = (r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+                       r"([T ][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}(\.[0-9]{1,6})?)?\s*(Z|[+-][0-9]{2}(:?[0-9]{2})?)?)?\s*$")
+TS_BASIC_PATTERN = (r"^\s*([0-9]{4})([0-9]{2})([0-9]{2})T([0-9]{2})([0-9]{2})([0-9]{2})(\.[0-9]{1,6})?"
+                    r"(Z|[+-][0-9]{2}(:?[0-9]{2})?)?\s*$")
+TS_BASIC_AS_EXTENDED = (r"\1-\2-\3T\4:\5:\6\7\8")  # back references by backslash
+# offsets without a colon, or without minutes, after a time
+TS_OFFSETS = ((r"(:[0-9.]+\s*[+-][0-9]{2})([0-9]{2})\s*$", r"\1:\2"), (r"(:[0-9.]+\s*[+-][0-9]{2})\s*$", r"\1:00"))
+
+# What Unicode counts as blank and str.strip() takes off
+BLANK_CLASS = (r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}"
+               r"\x{3000}]")
 
 
 def col(c: ColumnLike) -> Column:
@@ -34,13 +40,31 @@ def label(c: ColumnLike, null_label: str = NULL_LABEL) -> Column:
 
 
 def round_half_up(c: ColumnLike, digits: int) -> Column:
-    """Round half away from zero through an exact decimal; result is double."""
-    return F.round(col(c).cast(ROUND_DECIMAL), digits).cast("double")
+    """Round a double half away from zero by its decimal text (1.005 -> 1.01); any size."""
+    return F.round(col(c).cast("double"), digits)
+
+
+def rounded_ratio(total: Column, n: Column, digits: int) -> Column:
+    """``total / n`` of two exact integers, rounded half away from zero; NULL when ``n`` is 0.
+
+    All steps are integer arithmetic in ``decimal(38,0)``, so there is no double rounding and no
+    cap on the quotient; the result is the double nearest to the rounded quotient.
+    """
+    scale = 10 ** digits
+    t, n = total.cast("decimal(38,0)"), F.nullif(n, F.lit(0)).cast("decimal(25,0)")
+    size = F.abs(t)
+    rest = (size % n).cast("decimal(25,0)")
+    whole = ((size - rest) / n).cast("decimal(38,0)")
+    twice = (n * 2).cast("decimal(26,0)")
+    up = (rest * (2 * scale) + n).cast("decimal(37,0)")
+    part = ((up - up % twice) / twice).cast("decimal(20,0)")
+    value = (whole * scale).cast("decimal(38,0)") + part
+    return F.when(t < 0, -value).otherwise(value).cast("double") / F.lit(float(scale))
 
 
 def strip_ws(c: ColumnLike) -> Column:
-    """Strip all leading and trailing whitespace (``trim`` drops spaces only)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Strip all leading and trailing blanks, Unicode's too (``trim`` drops spaces only)."""
+    return F.regexp_replace(col(c), f"^{BLANK_CLASS}+|{BLANK_CLASS}+$", "")
 
 
 def passed_expr(tests_total: ColumnLike = "tests_total",
@@ -63,9 +87,12 @@ def ts_candidate(c: ColumnLike) -> Column:
 
 
 def parse_ts(c: ColumnLike) -> Column:
-    """Text to timestamp, NULL when it cannot be parsed (never an error)."""
+    """ISO text to timestamp, NULL when it is none (never an error)."""
     c = col(c)
-    return F.when(c.rlike(TS_LEADING_DATE_PATTERN), c.try_cast("timestamp"))
+    text = F.regexp_replace(c, TS_BASIC_PATTERN, TS_BASIC_AS_EXTENDED.replace("\\", "$"))
+    for pattern, new in TS_OFFSETS:
+        text = F.regexp_replace(text, pattern, new.replace("\\", "$"))
+    return F.when(c.rlike(TS_EXTENDED_PATTERN) | c.rlike(TS_BASIC_PATTERN), text.try_cast("timestamp"))
 
 
 def micros_between(start: Column, end: Column) -> Column:

@@ -16,9 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import label, round_half_up
-from cohortlens.operators.means import (MAX_BROADCAST_ROWS, _cnt, _sum, choose_strategy,
-                                        merged_mean, partial_sums)
+from cohortlens.functions.exprs import label
+from cohortlens.operators.means import _cnt, _sum, merged_mean, partial_sums
 from cohortlens.schema import ID_COLUMN, NULL_LABEL
 
 TOTAL_SET = "total"
@@ -84,41 +83,29 @@ def _roll_up(fine: DataFrame, sets: Sequence[Sequence[str]], dims: list[str],
 def means_onepass(facts: DataFrame, lookup: DataFrame, sets: Sequence[Sequence[str]],
                   values: Sequence[str], *, join_key: str = ID_COLUMN,
                   fact_dims: Sequence[str] | None = None,
-                  strategy: str = "auto", max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-                  lookup_rows: int | None = None,
                   null_label: str = NULL_LABEL, n: str = "n", digits: int = 2) -> DataFrame:
     """Row counts and rounded means for every grouping set, one scan, one join.
 
     ``fact_dims`` are the dimensions taken from ``facts`` (default: those
     present in it); the others come from ``lookup`` via
-    ``facts LEFT JOIN lookup USING (join_key)``. A small
-    ``lookup`` (checked count) is broadcast into the scan of ``facts``; a
-    large one meets facts pre-aggregated per (join key, own dimensions), so
-    a hot key is collapsed before any shuffle and the join is one-to-one.
-    Either way the joined rows are reduced to partial sums at the finest
-    grain of all dimensions before the grouping sets roll them up.
+    ``facts LEFT JOIN lookup USING (join_key)``. Facts are pre-aggregated per
+    (join key, own dimensions), so a hot key is collapsed before any shuffle and
+    the join is one-to-one; the joined rows are reduced to partial sums at the
+    finest grain of all dimensions before the grouping sets roll them up.
     """
     dims = _dims_in(sets)
     if fact_dims is None:
         fact_dims = [d for d in dims if d in facts.columns and d != join_key]
     own = [d for d in dims if d in fact_dims]
     looked_up = [d for d in dims if d not in own]
-    how = choose_strategy(lookup, strategy, max_broadcast_rows, lookup_rows)
     right = lookup.select(join_key, *looked_up)
     sums = [_sum(c) for c in values] + [_cnt(c) for c in values]
-    if how == "preaggregate":
-        pre = partial_sums(
-            facts.select(join_key, *[label(d, null_label).alias(d) for d in own], *values),
-            [join_key, *own], values)
-        joined = pre.join(right, join_key, "left")
-        fine = (joined.select(*[label(d, null_label).alias(d) for d in dims], "__rows", *sums)
-                .groupBy(*dims).agg(*[F.sum(c).alias(c) for c in ["__rows", *sums]]))
-    else:
-        if how == "broadcast":
-            right = F.broadcast(right)
-        joined = facts.select(join_key, *own, *values).join(right, join_key, "left")
-        fine = partial_sums(joined.select(*[label(d, null_label).alias(d) for d in dims], *values),
-                            dims, values)
+    pre = partial_sums(
+        facts.select(join_key, *[label(d, null_label).alias(d) for d in own], *values),
+        [join_key, *own], values)
+    joined = pre.join(right, join_key, "left")
+    fine = (joined.select(*[label(d, null_label).alias(d) for d in dims], "__rows", *sums)
+            .groupBy(*dims).agg(*[F.sum(c).alias(c) for c in ["__rows", *sums]]))
     aggs = [F.sum("__rows").alias(n),
-            *[round_half_up(merged_mean(c), digits).alias(c) for c in values]]
+            *[merged_mean(facts, c, digits).alias(c) for c in values]]
     return _roll_up(fine, sets, dims, aggs, n).select("grouping_set", *dims, n, *values)

@@ -2,19 +2,15 @@
 
 Grouping by a label that lives in another table (feedback rated by the
 participant's arm) is a LEFT JOIN on ``participant_id`` followed by a
-group-by. Two plans, chosen by a checked size of the label table:
-
-* ``broadcast``: the label table has at most ``max_broadcast_rows`` rows
-  (counted, column-pruned): it is broadcast and the fact table is streamed
-  through a map-side hash join straight into a partial aggregate over a
-  handful of labels. The fact table is never shuffled, so a participant who
-  owns a third of all rows costs nothing extra.
-* ``preaggregate``: a larger label table. The fact side is first reduced to
-  one row per join key (sum and non-null count of every rating, plus the
-  row count) by a partial aggregate, which collapses hot keys inside each
-  map task before any shuffle; the join is then one-to-one per key and
-  reuses the pre-aggregate's hash partitioning, and the final re-aggregation
-  is over a handful of labels.
+group-by. There is one plan for every size: the fact side is first reduced to
+one row per join key (exact sum and non-null count of every rating, plus the
+row count) by a partial aggregate, which collapses hot keys inside each map
+task before any shuffle; the join is then one-to-one per key, and the final
+aggregate is over a handful of labels. Whether the label table is broadcast is
+left to Spark's byte threshold and adaptive execution.
+
+Sums are exact: integers are added as integers (64-bit columns as decimals) and
+divided once at the end.
 """
 
 from __future__ import annotations
@@ -23,8 +19,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortlens.functions.exprs import label, round_half_up
+from cohortlens.functions.exprs import label, round_half_up, rounded_ratio
 from cohortlens.schema import ID_COLUMN, NULL_LABEL
 
 
@@ -36,54 +33,56 @@ def _cnt(c: str) -> str:
     return f"__cnt_{c}"
 
 
+def exact(df: DataFrame, c: str) -> tuple[Column, int | None]:
+    """A column to add up without loss, and how many of its units make one (None: a double)."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.LongType):
+        return F.col(c).cast("decimal(38,0)"), 1
+    if isinstance(kind, T.IntegralType):
+        return F.col(c), 1
+    if isinstance(kind, T.DecimalType):
+        units = F.col(c).cast(f"decimal(38,{kind.scale})") * F.lit(10 ** kind.scale).cast("decimal(38,0)")
+        return units.cast("decimal(38,0)"), 10 ** kind.scale
+    return F.col(c).cast("double"), None
+
+
+def rounded_mean(total: Column, n: Column, unit: int | None, digits: int) -> Column:
+    """Rounded mean from a sum of ``exact`` columns and a count; NULL when the count is 0."""
+    if unit is None:
+        return round_half_up(F.try_divide(total, n), digits)
+    return rounded_ratio(total, n * unit, digits)
+
+
 def partial_sums(df: DataFrame, keys: Sequence[str], values: Sequence[str],
                  rows: str = "__rows") -> DataFrame:
     """Per key: row count, and sum and non-null count of every value column."""
     aggs = [F.count(F.lit(1)).alias(rows)]
     for c in values:
-        aggs += [F.sum(c).alias(_sum(c)), F.count(c).alias(_cnt(c))]
+        aggs += [F.sum(exact(df, c)[0]).alias(_sum(c)), F.count(c).alias(_cnt(c))]
     return df.groupBy(*keys).agg(*aggs)
 
 
-def merged_mean(c: str) -> Column:
-    """Mean of ``c`` from partial sums; NULL when the group has no value."""
-    return F.try_divide(F.sum(_sum(c)), F.sum(_cnt(c)))
+def merged_mean(df: DataFrame, c: str, digits: int) -> Column:
+    """Rounded mean of ``c``, a column of ``df``, from its partial sums."""
+    unit = exact(df, c)[1]
+    total = F.col(_sum(c)) if unit is None else F.col(_sum(c)).cast("decimal(38,0)")
+    return rounded_mean(F.sum(total), F.sum(_cnt(c)), unit, digits)
+
+
+def column_mean(df: DataFrame, c: str, digits: int) -> Column:
+    """Rounded mean of a column of ``df`` as one aggregate."""
+    value, unit = exact(df, c)
+    return rounded_mean(F.sum(value), F.count(c), unit, digits)
 
 
 def means(df: DataFrame, values: Sequence[str], *, prefix: str = "avg_",
           digits: int = 2) -> DataFrame:
     """Overall rounded means, one column ``<prefix><value>`` each."""
-    return df.agg(*[round_half_up(F.avg(c), digits).alias(f"{prefix}{c}") for c in values])
-
-
-MAX_BROADCAST_ROWS = 1_000_000
-STRATEGIES = ("auto", "broadcast", "preaggregate", "direct")
-
-
-def choose_strategy(lookup: DataFrame, strategy: str = "auto",
-                    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-                    lookup_rows: int | None = None) -> str:
-    """``broadcast`` when the label table is small enough, else ``preaggregate``.
-
-    ``lookup_rows``, when known (a snapshot manifest), decides without a
-    job; otherwise the check counts at most ``max_broadcast_rows + 1`` rows
-    of the label table with every column pruned, so it costs little even on
-    a big table.
-    """
-    if strategy not in STRATEGIES:
-        raise ValueError(f"strategy must be one of {STRATEGIES}, got {strategy!r}")
-    if strategy != "auto":
-        return strategy
-    if lookup_rows is not None:
-        return "broadcast" if lookup_rows <= max_broadcast_rows else "preaggregate"
-    n = lookup.select(F.lit(1)).limit(max_broadcast_rows + 1).count()
-    return "broadcast" if n <= max_broadcast_rows else "preaggregate"
+    return df.agg(*[column_mean(df, c, digits).alias(f"{prefix}{c}") for c in values])
 
 
 def means_by(df: DataFrame, key: str, values: Sequence[str], *,
              lookup: DataFrame | None = None, join_key: str = ID_COLUMN,
-             strategy: str = "auto", max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-             lookup_rows: int | None = None,
              null_label: str = NULL_LABEL, n: str = "n", digits: int = 2,
              ordered: bool = True) -> DataFrame:
     """Row count and rounded means of ``values`` per label of ``key``.
@@ -92,29 +91,14 @@ def means_by(df: DataFrame, key: str, values: Sequence[str], *,
     comes from ``lookup`` through ``df LEFT JOIN lookup USING (join_key)``;
     fact rows without a match and lookup rows with a NULL key both land in
     the ``(null)`` group. ``lookup`` must hold each join key at most once.
-    ``strategy`` picks the join plan (see the module notes); ``direct``
-    joins without pre-aggregation or hint and leaves the choice to Spark.
     """
     if lookup is None:
         out = df.groupBy(label(key, null_label).alias(key)).agg(
-            F.count(F.lit(1)).alias(n),
-            *[round_half_up(F.avg(c), digits).alias(c) for c in values])
+            F.count(F.lit(1)).alias(n), *[column_mean(df, c, digits).alias(c) for c in values])
     else:
-        how = choose_strategy(lookup, strategy, max_broadcast_rows, lookup_rows)
-        right = lookup.select(join_key, key)
-        if how == "preaggregate":
-            pre = partial_sums(df, [join_key], values)
-            joined = pre.join(right, join_key, "left")
-            out = joined.groupBy(label(key, null_label).alias(key)).agg(
-                F.sum("__rows").alias(n),
-                *[round_half_up(merged_mean(c), digits).alias(c) for c in values])
-        else:
-            if how == "broadcast":
-                right = F.broadcast(right)
-            joined = df.select(join_key, *values).join(right, join_key, "left")
-            out = joined.groupBy(label(key, null_label).alias(key)).agg(
-                F.count(F.lit(1)).alias(n),
-                *[round_half_up(F.avg(c), digits).alias(c) for c in values])
+        joined = partial_sums(df, [join_key], values).join(lookup.select(join_key, key), join_key, "left")
+        out = joined.groupBy(label(key, null_label).alias(key)).agg(
+            F.sum("__rows").alias(n), *[merged_mean(df, c, digits).alias(c) for c in values])
     if ordered:
         out = out.orderBy(F.col(n).desc(), F.col(key).asc_nulls_last())
     return out

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import round_half_up
+from cohortlens.functions.exprs import rounded_ratio
+from cohortlens.operators.means import column_mean
 
 
 def rate(df: DataFrame, flag: Column, *, total: str = "total_rows", hits: str = "hits",
@@ -18,8 +19,8 @@ def rate(df: DataFrame, flag: Column, *, total: str = "total_rows", hits: str =
     """
     counted = df.agg(F.count(F.lit(1)).alias(total),
                      F.count_if(F.coalesce(flag, F.lit(False))).alias(hits))
-    pct = F.lit(100.0) * F.col(hits) / F.nullif(F.col(total), F.lit(0))
-    return counted.select(total, hits, round_half_up(pct, digits).alias(percent))
+    pct = rounded_ratio(F.col(hits).cast("decimal(38,0)") * 100, F.col(total), digits)
+    return counted.select(total, hits, pct.alias(percent))
 
 
 def numeric_stats(df: DataFrame, value: str, *, n: str = "n", avg: str = "avg",
@@ -27,7 +28,7 @@ def numeric_stats(df: DataFrame, value: str, *, n: str = "n", avg: str = "avg",
     """Non-NULL count, rounded mean, minimum and maximum of one column."""
     return df.agg(
         F.count(value).alias(n),
-        round_half_up(F.avg(value), avg_digits).alias(avg),
+        column_mean(df, value, avg_digits).alias(avg),
         F.min(value).alias(min_),
         F.max(value).alias(max_),
     )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from cohortlens.operators import erasure
 from cohortlens.plans.reports import report_long, report_long_onepass, section_report
 from cohortlens.sources.idlist import scan_id_list
-from cohortlens.sources.sinks import export_all_csv, export_table_csv
+from cohortlens.sources.sinks import export_all_csv, export_summary, export_table_csv
 from cohortlens.sources.snapshots import SnapshotStore
 
 
@@ -59,8 +59,11 @@ def inspect(store: SnapshotStore, *, section: str = "all", clear_table: str | No
                             detail={"status": status, "n_rows": n, "path": path})
     if export_all:
         manifest = export_all_csv(spark, tables, output_dir)
-        return ActionResult("export_all", True, {"manifest": manifest})
+        summary = export_summary(manifest)
+        done = summary.first()  # one row over four
+        return ActionResult("export_all", done["tables_succeeded"] == done["tables_total"],
+                            {"manifest": manifest, "summary": summary}, detail=done.asDict())
+    if section == "all":  # the long form, from shared scans
+        return ActionResult("reports", True, {"report_long": report_long_onepass(tables)})
     reports = section_report(tables, section)
-    # all sections: the long form from shared scans; one section: its own results
-    long = report_long_onepass(tables) if section == "all" else report_long(reports)
-    return ActionResult("reports", True, {**reports, "report_long": long})
+    return ActionResult("reports", True, {**reports, "report_long": report_long(reports)})

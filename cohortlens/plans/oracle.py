@@ -3,21 +3,27 @@
 Each statement is self-contained: it starts with the fixture ``WITH`` list
 over the driver's tables (``customer``, ``orders``, ``lineitem``,
 ``events``) and then states the report the way the source system's SQL does,
-with the portability rules of the build applied on both sides: rounding
-through ``DECIMAL(20,10)``, NULLs last in ascending order, truncation by
-``TRUNC`` and timestamps parsed only when they start with a year.
+with the portability rules of the build applied on both sides: means rounded by
+integer arithmetic, NULLs last in ascending order, truncation by ``TRUNC`` and
+timestamps parsed only in the two ISO forms.
 """
 
 from __future__ import annotations
 
+from cohortlens.functions.exprs import (TS_BASIC_AS_EXTENDED, TS_BASIC_PATTERN, TS_CANDIDATE_PATTERN,
+                                        TS_EXTENDED_PATTERN, TS_OFFSETS)
 from cohortlens.schema import NULL_LABEL, PASS_WORDS, RATINGS, STUDY_TABLES
 from cohortlens.sources.fixtures import oracle_with_clause
 
 NL = f"'{NULL_LABEL}'"
 
 
-def rnd(expr: str, digits: int) -> str:
-    return f"CAST(ROUND(CAST({expr} AS DECIMAL(20,10)), {digits}) AS DOUBLE)"
+def rnd(total: str, n: str, digits: int) -> str:
+    """``total / n`` of two integers, halves away from zero."""
+    t, p = f"CAST({total} AS HUGEINT)", 10 ** digits
+    d = f"CAST(NULLIF({n}, 0) AS HUGEINT)"
+    return (f"CAST(sign({t}) * ((abs({t}) // {d}) * {p} + ((abs({t}) % {d}) * {2 * p} + {d}) // (2 * {d})) "
+            f"AS DOUBLE) / {p}")
 
 
 def with_views(body: str, extra: list[str] | None = None) -> str:
@@ -50,19 +56,26 @@ def _pair_count(view: str, k1: str, k2: str) -> str:
         f"FROM {view} GROUP BY 1, 2 ORDER BY 1 NULLS LAST, 2 NULLS LAST")
 
 
-_PARSE = ("CASE WHEN regexp_matches({c}, '^\\s*[0-9]{{4}}-') "
-          "THEN TRY_CAST({c} AS TIMESTAMPTZ) END")
+def _stamp(c: str) -> str:
+    """A text column as a timestamp, by the two ISO forms."""
+    text = f"regexp_replace({c}, '{TS_BASIC_PATTERN}', '{TS_BASIC_AS_EXTENDED}')"
+    for pattern, new in TS_OFFSETS:
+        text = f"regexp_replace({text}, '{pattern}', '{new}')"
+    return f"(CASE WHEN regexp_matches({text}, '{TS_EXTENDED_PATTERN}') THEN TRY_CAST({text} AS TIMESTAMPTZ) END)"
 
-DURATIONS_CTE = (
-    "durations AS (SELECT epoch_us(" + _PARSE.format(c="ended_at") + ") - epoch_us("
-    + _PARSE.format(c="started_at") + ") AS us FROM st_participants "
-    "WHERE started_at IS NOT NULL AND ended_at IS NOT NULL "
-    "AND regexp_matches(ended_at, '[:+ZT-]') AND regexp_matches(started_at, '[:+ZT-]'))"
-)
+
+def durations_cte(view: str = "st_participants") -> str:
+    """Both texts must hold one of the marks of a timestamp; ``us`` is NULL where one isn't any."""
+    marked = " AND ".join(f"regexp_extract({c}, '{TS_CANDIDATE_PATTERN}') <> ''" for c in ("started_at", "ended_at"))
+    return (f"durations AS (SELECT epoch_us({_stamp('ended_at')}) - epoch_us({_stamp('started_at')}) AS us "
+            f"FROM {view} WHERE {marked})")
+
+
+DURATIONS_CTE = durations_cte()
 
 
 def _means_cols(prefix: str = "") -> str:
-    return ", ".join(f"{rnd(f'AVG({c})', 2)} AS {prefix}{c}" for c in RATINGS)
+    return ", ".join(f"{rnd(f'SUM({c})', f'COUNT({c})', 2)} AS {prefix}{c}" for c in RATINGS)
 
 
 def _means_by_joined(key: str) -> str:
@@ -87,13 +100,12 @@ P_SETS = [(), ("skill_level",), ("intervention_type",), ("snippet_id",),
 F_DIMS = ["snippet_id", "intervention_type", "skill_level"]
 F_SETS = [(), ("intervention_type",), ("skill_level",), ("snippet_id",)]
 
+# the tests decide where there are any, else the status word
 PASS_CTE = (
-    "eval AS (SELECT *, CASE "
-    "WHEN tests_total IS NOT NULL AND tests_passed IS NOT NULL AND tests_total > 0 "
-    "THEN (tests_passed = tests_total) "
-    "WHEN status IS NOT NULL THEN (LOWER(status) IN ("
-    + ", ".join(f"'{w}'" for w in PASS_WORDS) + ")) "
-    "ELSE NULL END AS passed FROM st_submissions)"
+    "judged AS (SELECT COALESCE(by_tests, by_word) AS passed FROM (SELECT "
+    "CASE WHEN tests_total > 0 THEN tests_passed = tests_total END AS by_tests, "
+    "list_contains([" + ", ".join(f"'{w}'" for w in PASS_WORDS) + "], LOWER(status)) AS by_word "
+    "FROM st_submissions))"
 )
 
 REPORT_PARTS: dict[str, tuple[str, list[str]]] = {
@@ -127,12 +139,12 @@ REPORT_PARTS: dict[str, tuple[str, list[str]]] = {
     "submissions_total": _parts("SELECT COUNT(*) AS total_submissions FROM st_submissions"),
     "submissions_by_status": _label_count("st_submissions", "status"),
     "submissions_pass_rate": _parts(
-        "SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE passed IS TRUE) AS passed_rows, "
-        + rnd("100.0 * COUNT(*) FILTER (WHERE passed IS TRUE) / NULLIF(COUNT(*), 0)", 2)
-        + " AS pass_rate_percent FROM eval", [PASS_CTE]),
+        "SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE passed) AS passed_rows, "
+        + rnd("100 * COUNT(*) FILTER (WHERE passed)", "COUNT(*)", 2)
+        + " AS pass_rate_percent FROM judged", [PASS_CTE]),
     "submissions_time_stats": _parts(
         "SELECT COUNT(time_taken_ms) AS n_with_time, "
-        + rnd("AVG(time_taken_ms)", 0) + " AS avg_ms, "
+        + rnd("SUM(time_taken_ms)", "COUNT(time_taken_ms)", 0) + " AS avg_ms, "
         "MIN(time_taken_ms) AS min_ms, MAX(time_taken_ms) AS max_ms FROM st_submissions"),
     "feedback_means_overall": _parts(f"SELECT {_means_cols('avg_')} FROM st_feedback"),
     "feedback_means_by_intervention": _means_by_joined("intervention_type"),

@@ -13,14 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import (micros_between, parse_ts, passed_expr, round_half_up,
+from cohortlens.functions.exprs import (micros_between, parse_ts, passed_expr, rounded_ratio,
                                         ts_candidate)
 from cohortlens.operators.counting import (count_by, count_by_pair, count_rows,
                                            count_where_not_null, top_by_count)
 from cohortlens.operators.durations import (cast_report, duration_median, duration_stats,
                                             mean_of_integers)
 from cohortlens.operators.grouping import counts_onepass, means_onepass
-from cohortlens.operators.means import means, means_by
+from cohortlens.operators.means import column_mean, means, means_by
 from cohortlens.operators.rates import numeric_stats, rate
 from cohortlens.schema import RATINGS, StudyError
 from cohortlens.sources.tables import StudyTables
@@ -106,14 +106,12 @@ def feedback_means_overall(t: StudyTables) -> DataFrame:
     return means(t.feedback, RATINGS, prefix="avg_")
 
 
-def feedback_means_by_intervention(t: StudyTables, strategy: str = "auto") -> DataFrame:
-    return means_by(t.feedback, "intervention_type", RATINGS, lookup=t.participants,
-                    strategy=strategy, lookup_rows=t.known_rows("participants"))
+def feedback_means_by_intervention(t: StudyTables) -> DataFrame:
+    return means_by(t.feedback, "intervention_type", RATINGS, lookup=t.participants)
 
 
-def feedback_means_by_skill(t: StudyTables, strategy: str = "auto") -> DataFrame:
-    return means_by(t.feedback, "skill_level", RATINGS, lookup=t.participants,
-                    strategy=strategy, lookup_rows=t.known_rows("participants"))
+def feedback_means_by_skill(t: StudyTables) -> DataFrame:
+    return means_by(t.feedback, "skill_level", RATINGS, lookup=t.participants)
 
 
 def feedback_means_by_snippet(t: StudyTables) -> DataFrame:
@@ -143,15 +141,14 @@ def participants_counts_onepass(t: StudyTables) -> DataFrame:
     return counts_onepass(t.participants, PARTICIPANT_SETS)
 
 
-def feedback_means_onepass(t: StudyTables, strategy: str = "auto") -> DataFrame:
+def feedback_means_onepass(t: StudyTables) -> DataFrame:
     """F1-F4 from one scan of feedback and one join.
 
     ``snippet_id`` is feedback's own column; the arm and skill come from
     participants.
     """
     return means_onepass(t.feedback, t.participants, FEEDBACK_SETS, RATINGS,
-                         fact_dims=["snippet_id"], strategy=strategy,
-                         lookup_rows=t.known_rows("participants"))
+                         fact_dims=["snippet_id"])
 
 
 # -- sections ----------------------------------------------------------------
@@ -372,9 +369,9 @@ def report_long_onepass(t: StudyTables) -> DataFrame:
     passed = F.coalesce(passed_expr(), F.lit(False))
     sagg = s.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(passed).alias("passed_rows"),
                  F.count("time_taken_ms").alias("n_with_time"),
-                 round_half_up(F.avg("time_taken_ms"), 0).alias("avg_ms"),
+                 column_mean(s, "time_taken_ms", 0).alias("avg_ms"),
                  F.min("time_taken_ms").alias("min_ms"), F.max("time_taken_ms").alias("max_ms"))
-    pct = round_half_up(F.lit(100.0) * F.col("passed_rows") / F.nullif(F.col("total_rows"), F.lit(0)), 2)
+    pct = rounded_ratio(F.col("passed_rows").cast("decimal(38,0)") * 100, F.col("total_rows"), 2)
     pieces.append(_long_entries(sagg, [], [
         ("submissions_total", "total_submissions", F.col("total_rows")),
         ("submissions_pass_rate", "total_rows", F.col("total_rows")),

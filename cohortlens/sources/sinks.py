@@ -23,7 +23,9 @@ from cohortlens.session import work_dir
 from cohortlens.sources.tables import StudyTables
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "nullValue": "",
-               "emptyValue": "", "quoteAll": "false"}
+               "emptyValue": "", "quoteAll": "false",
+               # Spark's writer would otherwise cut blanks at the ends of values
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 MANIFEST_SCHEMA = "table_name string, status string, n_rows bigint, path string"
 
@@ -61,9 +63,9 @@ def export_table_csv(df: DataFrame, table_name: str,
     """Write one table to ``output_dir/<table>.csv/``.
 
     ``output_dir`` defaults to the shared scratch folder (never a local
-    directory on a cluster). Returns ``(status, n_rows, path)``; an empty
-    table writes nothing and has status ``empty`` (still a success, as in
-    the source system).
+    directory on a cluster). An earlier export of the table there is replaced.
+    Returns ``(status, n_rows, path)``; an empty table writes nothing and has
+    status ``empty`` (still a success, as in the source system).
     """
     check_table_name(table_name)
     if output_dir is None:
@@ -73,7 +75,7 @@ def export_table_csv(df: DataFrame, table_name: str,
         return "empty", 0, path
     obs = Observation(f"export_{table_name}")
     (csv_text(df).observe(obs, F.count(F.lit(1)).alias("n"))
-     .write.mode("errorifexists").options(**CSV_OPTIONS).csv(path))
+     .write.mode("overwrite").options(**CSV_OPTIONS).csv(path))
     return "exported", obs.get["n"], path
 
 
@@ -93,7 +95,8 @@ def export_all_csv(spark: SparkSession, tables: StudyTables,
         try:
             status, n, path = export_table_csv(tables.get(name), name, output_dir)
         except Exception as exc:  # noqa: BLE001 - recorded in the manifest
-            status, n, path = f"failed: {type(exc).__name__}", 0, os.path.join(
+            cause = str(exc).strip().splitlines() or [""]
+            status, n, path = f"failed: {type(exc).__name__}: {cause[0]}", 0, os.path.join(
                 output_dir, f"{name}.csv")
         return name, status, n, path
 
@@ -119,7 +122,9 @@ def read_back_csv(spark: SparkSession, path: str, columns: list[str] | None = No
     With ``columns`` the schema is given (every column text, as exported), so
     no job is spent reading the header to infer it.
     """
-    reader = spark.read.options(header="true", escape='"', quote='"')
+    # a quoted value may hold line ends and blanks
+    reader = spark.read.options(header="true", escape='"', quote='"', multiLine="true",
+                                ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
     if columns is not None:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     return reader.csv(path)
