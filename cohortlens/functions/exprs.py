@@ -18,7 +18,7 @@ ColumnLike = Column | str
 # at least) and basic (20240103T101010, with fraction and offset if any).
 TS_CANDIDATE_PATTERN = r"[:+ZT-]"
 TS_EXTENDED_PATTERN = (r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
-                       r"([T ][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}(\.[0-9]{1,6})?)?\s*(Z|[+-][0-9]{2}(:?[0-9]{2})?)?)?\s*$")
+                       r"([T ][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}(\.[0-9]{1,6})?)?\s*(Z|UTC|[+-][0-9]{2}(:?[0-9]{2})?)?)?\s*$")
 TS_BASIC_PATTERN = (r"^\s*([0-9]{4})([0-9]{2})([0-9]{2})T([0-9]{2})([0-9]{2})([0-9]{2})(\.[0-9]{1,6})?"
                     r"(Z|[+-][0-9]{2}(:?[0-9]{2})?)?\s*$")
 TS_BASIC_AS_EXTENDED = (r"\1-\2-\3T\4:\5:\6\7\8")  # back references by backslash

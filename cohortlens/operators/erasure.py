@@ -22,11 +22,10 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cohortlens.schema import ERASE_ORDER, ID_COLUMN, STUDY_TABLES, StudyError, check_table_name
-from cohortlens.session import new_work_path
+from cohortlens.session import new_work_path, remove_path
 from cohortlens.sources.snapshots import SnapshotStore
 from cohortlens.sources.tables import StudyTables
 
-MAX_BROADCAST_IDS = 2_000_000
 # Order of the per-table plan lines (the source system lists children first).
 PLAN_ORDER = ("code_submissions", "feedback", "events", "participants")
 
@@ -38,29 +37,22 @@ def batch_confirmation(n_participants: int) -> str:
 
 @dataclass
 class EraseSet:
-    """Distinct ids to erase with a proven bound on their number.
+    """Distinct ids to erase.
 
-    ``n`` is the exact count when the set was materialised; ``bound`` is an
-    upper bound known without a job (the count itself, or the length of an
-    id list given in code). The set is broadcast only when the bound is at
-    most ``max_broadcast_ids``.
+    Ids given in code are ``values`` and reach the scans as pushed predicates; ids from a
+    file are the frame ``ids``, written once at ``path``, and meet the tables in joins whose
+    plan Spark chooses by size.
     """
 
     ids: DataFrame
-    n: int | None
-    max_broadcast_ids: int = MAX_BROADCAST_IDS
-    bound: int | None = None
+    n: int
+    values: list[str] | None = None
+    path: str | None = None
 
-    def __post_init__(self) -> None:
-        if self.bound is None:
-            self.bound = self.n
-
-    @property
-    def broadcast(self) -> bool:
-        return self.bound is not None and self.bound <= self.max_broadcast_ids
-
-    def join_side(self) -> DataFrame:
-        return F.broadcast(self.ids) if self.broadcast else self.ids
+    def drop(self) -> None:
+        """Remove the written ids; frames over them must have been used before."""
+        if self.path is not None:
+            remove_path(self.ids.sparkSession, self.path)
 
 
 def erase_ids(ids: DataFrame, participants: DataFrame) -> DataFrame:
@@ -69,8 +61,7 @@ def erase_ids(ids: DataFrame, participants: DataFrame) -> DataFrame:
     return participants.select(ID_COLUMN).join(listed, ID_COLUMN, "left_semi").distinct()
 
 
-def materialize_erase_set(ids: DataFrame, participants: DataFrame, *,
-                          max_broadcast_ids: int = MAX_BROADCAST_IDS) -> EraseSet:
+def materialize_erase_set(ids: DataFrame, participants: DataFrame) -> EraseSet:
     """Write the erase set once to the shared folder and count it.
 
     One job: the semi join runs once, its row count is observed in the same
@@ -82,37 +73,39 @@ def materialize_erase_set(ids: DataFrame, participants: DataFrame, *,
     obs = Observation("erase_set")
     erase_ids(ids, participants).observe(obs, F.count(F.lit(1)).alias("n")) \
         .write.mode("errorifexists").parquet(path)
-    return EraseSet(spark.read.parquet(path), obs.get["n"], max_broadcast_ids)
+    return EraseSet(spark.read.parquet(path), obs.get["n"], path=path)
 
 
-def erase_set_of(spark, ids: list[str], participants: DataFrame, *,
-                 max_broadcast_ids: int = MAX_BROADCAST_IDS) -> EraseSet:
-    """Lazy erase set for ids given in code: bounded by ``len(ids)``, so it
-    can be broadcast without counting or writing it first (for a single
-    table join; ``materialize_erase_set`` is the form for several joins)."""
-    frame = spark.createDataFrame([(i,) for i in ids], f"{ID_COLUMN} string")
-    return EraseSet(erase_ids(frame, participants), None, max_broadcast_ids, bound=len(ids))
+def erase_set_of(spark, ids: list[str], participants: DataFrame) -> EraseSet:
+    """Erase set for ids given in code: those that are participants, found by a
+    pushed predicate (at most ``len(ids)`` come back)."""
+    listed = sorted(set(ids))
+    found = [] if not listed else sorted(
+        r[0] for r in participants.where(F.col(ID_COLUMN).isin(*listed)).select(ID_COLUMN).distinct().collect())
+    frame = spark.createDataFrame([(i,) for i in found], f"{ID_COLUMN} string")
+    return EraseSet(frame, len(found), values=found)
 
 
 def rows_of(table: DataFrame, erase: EraseSet) -> DataFrame:
     """Rows of ``table`` that the erase removes."""
-    keyed = table if erase.broadcast else table.where(F.col(ID_COLUMN).isNotNull())
-    return keyed.join(erase.join_side(), ID_COLUMN, "left_semi").select(*table.columns)
+    key = F.col(ID_COLUMN)
+    if erase.values is not None:
+        return table.where(key.isin(*erase.values) if erase.values else F.lit(False))
+    return table.where(key.isNotNull()).join(erase.ids, ID_COLUMN, "left_semi").select(*table.columns)
 
 
 def retained(table: DataFrame, erase: EraseSet) -> DataFrame:
     """Rows of ``table`` that survive the erase (same columns, same order).
 
-    With a shuffled erase set, rows whose id is NULL (they never match) do
-    not go through the join: hashed on the key they would all land in one
-    partition, however many there are.
+    Rows whose id is NULL never match. In a join they would all be hashed to one
+    partition, however many there are, so they go around it.
     """
-    col = F.col(ID_COLUMN)
-    if erase.broadcast:
-        return table.join(erase.join_side(), ID_COLUMN, "left_anti").select(*table.columns)
-    kept = (table.where(col.isNotNull()).join(erase.join_side(), ID_COLUMN, "left_anti")
+    key = F.col(ID_COLUMN)
+    if erase.values is not None:
+        return table.where(key.isNull() | ~key.isin(*erase.values)) if erase.values else table
+    kept = (table.where(key.isNotNull()).join(erase.ids, ID_COLUMN, "left_anti")
             .select(*table.columns))
-    return kept.unionByName(table.where(col.isNull()))
+    return kept.unionByName(table.where(key.isNull()))
 
 
 def retained_tables(tables: StudyTables, erase: EraseSet) -> StudyTables:
@@ -168,18 +161,28 @@ def batch_status(ids: DataFrame, participants: DataFrame) -> DataFrame:
             .orderBy("line_no"))
 
 
-def batch_result(before: StudyTables, after: StudyTables, erase: EraseSet,
-                 failed: int = 0) -> DataFrame:
-    """One row: successful and failed erasures and rows removed, measured as
-    rows before minus rows after over the four tables."""
-    rows = _tagged_rows([("ids", erase.ids)]
-                        + [("before", df) for _, df in before.items()]
-                        + [("after", df) for _, df in after.items()])
-    k = F.col("k")
-    return rows.agg(
-        F.count_if(k == "ids").alias("successful_deletions"),
-        F.lit(failed).cast("bigint").alias("failed_deletions"),
-        (F.count_if(k == "before") - F.count_if(k == "after")).alias("total_rows_deleted"))
+def batch_detail(tables: StudyTables, erase: EraseSet) -> DataFrame:
+    """``(participant_id, rows_<table>..., total_rows)``: what the erase removes for each id.
+
+    The erased rows of all tables go through one union and one aggregate on the id.
+    """
+    parts = [rows_of(df, erase).select(ID_COLUMN, F.lit(t).alias("t")) for t, df in tables.items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.union(part)
+    return rows.groupBy(ID_COLUMN).agg(
+        *[F.count_if(F.col("t") == t).alias(f"rows_{t}") for t in STUDY_TABLES],
+        F.count(F.lit(1)).alias("total_rows"))
+
+
+def batch_result(spark, n: int, before: dict[str, int], after: dict[str, int]) -> DataFrame:
+    """One row: erased and failed participants and rows removed, from the row counts
+    that the writes of the two versions recorded."""
+    gone = before["participants"] - after["participants"]
+    total = sum(before[t] - after[t] for t in STUDY_TABLES)
+    return spark.createDataFrame(
+        [(min(gone, n), max(n - gone, 0), total)],
+        "successful_deletions bigint, failed_deletions bigint, total_rows_deleted bigint")
 
 
 # -- whole operations on a snapshot store ------------------------------------
@@ -204,64 +207,72 @@ class EraseOutcome:
 Confirm = str | None | Callable[["EraseOutcome"], str | None]
 
 
-def erase_participants(store: SnapshotStore, ids: DataFrame, confirm: Confirm, *,
-                       single: bool = False,
-                       max_broadcast_ids: int = MAX_BROADCAST_IDS) -> EraseOutcome:
-    """Erase the listed participants from all four tables as one new version.
+def _kept(frame: DataFrame) -> DataFrame:
+    """A frame of a few rows that no longer depends on its inputs."""
+    return frame.sparkSession.createDataFrame(frame.collect(), frame.schema)
 
-    ``single=True`` is the one-id form, confirmed with ``YES``; otherwise the
-    confirmation must be ``DELETE ALL <n> PARTICIPANTS`` with ``n`` the
-    number of distinct listed ids that are participants. ``confirm`` may be
-    the text itself or a callable that receives the pending outcome (with
-    its summary frames and ``n_participants``) and returns the text, as an
-    interactive prompt would. A wrong confirmation returns ``cancelled`` and
-    writes nothing; the outcome then carries the summary and the expected
-    confirmation.
-    """
-    before = store.tables()
-    erase = materialize_erase_set(ids, before.participants, max_broadcast_ids=max_broadcast_ids)
-    summary = batch_summary(before, erase)
-    frames = {"summary": summary, "plan": plan_counts(before, erase)}
+
+def _erase(store: SnapshotStore, before: StudyTables, erase: EraseSet, expected: str,
+           confirm: Confirm) -> EraseOutcome:
+    counts = {t: e.n_rows for t, e in store.manifest().items()}
+    summary = _kept(batch_summary(before, erase))
+    frames = {"summary": summary, "plan": _kept(plan_counts(before, erase))}
     if erase.n == 0:
         return EraseOutcome("nothing_to_do", n_participants=0, frames=frames)
-    expected = "YES" if single else batch_confirmation(erase.n)
     if callable(confirm):
         confirm = confirm(EraseOutcome("pending", n_participants=erase.n, frames=frames))
     if confirm != expected:
         return EraseOutcome("cancelled", n_participants=erase.n,
                             expected_confirmation=expected, frames=frames)
-    # children first, then participants; all in one version
-    changes = {t: retained(before.get(t), erase) for t in ERASE_ORDER}
+    hit = summary.first()
+    # children first, then participants; all in one version; a table without a matching row
+    # keeps its files
+    changes = {t: retained(before.get(t), erase) for t in ERASE_ORDER if hit[f"rows_{t}"]}
     version = store.publish(changes, note=f"erase {erase.n} participants")
-    after = store.tables(version)
-    frames["result"] = batch_result(before, after, erase)
+    after = {t: e.n_rows for t, e in store.manifest(version).items()}
+    frames["result"] = batch_result(store.spark, erase.n, counts, after)
     return EraseOutcome("erased", version, erase.n, expected, frames)
 
 
-def erase_participant(store: SnapshotStore, participant_id: str, confirm: Confirm,
-                      **kw) -> EraseOutcome:
-    """Erase one participant (confirmed with ``YES``)."""
+def erase_participants(store: SnapshotStore, ids: DataFrame, confirm: Confirm) -> EraseOutcome:
+    """Erase the listed participants from all four tables as one new version.
+
+    The confirmation must be ``DELETE ALL <n> PARTICIPANTS`` with ``n`` the
+    number of distinct listed ids that are participants. ``confirm`` may be
+    the text itself or a callable that receives the pending outcome (with
+    its summary frames and ``n_participants``) and returns the text, as an
+    interactive prompt would. A wrong confirmation returns ``cancelled`` and
+    leaves nothing written; the outcome then carries the summary and the expected
+    confirmation. The erased rows stay in the version before until
+    ``store.remove_superseded`` is called.
+    """
+    before = store.tables()
+    erase = materialize_erase_set(ids, before.participants)
+    try:
+        return _erase(store, before, erase, batch_confirmation(erase.n), confirm)
+    finally:
+        erase.drop()
+
+
+def erase_participant(store: SnapshotStore, participant_id: str, confirm: Confirm) -> EraseOutcome:
+    """Erase one participant (confirmed with ``YES``), found by pushed predicates."""
     if not participant_id or not participant_id.strip():
         raise StudyError("no participant id given")
-    spark = store.spark
-    ids = spark.createDataFrame([(participant_id,)], f"{ID_COLUMN} string")
-    return erase_participants(store, ids, confirm, single=True, **kw)
+    before = store.tables()
+    erase = erase_set_of(store.spark, [participant_id], before.participants)
+    return _erase(store, before, erase, "YES", confirm)
 
 
 def clear_table(store: SnapshotStore, table: str, confirm: Confirm) -> EraseOutcome:
     """Empty one table (schema kept) as a new version; confirmed with ``YES``."""
     check_table_name(table)
-    current = store.tables()
-    df = current.get(table)
     n = store.manifest()[table].n_rows
-    status_of = df.agg(F.lit(table).alias("table_name"),
-                       F.count(F.lit(1)).alias("n_rows_cleared"))
+    status = store.spark.createDataFrame([(table, n)], "table_name string, n_rows_cleared bigint")
     if n == 0:
-        return EraseOutcome("nothing_to_do", frames={"status": status_of})
+        return EraseOutcome("nothing_to_do", frames={"status": status})
     if callable(confirm):
-        confirm = confirm(EraseOutcome("pending", n_participants=0, frames={"status": status_of}))
+        confirm = confirm(EraseOutcome("pending", n_participants=0, frames={"status": status}))
     if confirm != "YES":
-        return EraseOutcome("cancelled", expected_confirmation="YES",
-                            frames={"status": status_of})
-    version = store.publish({table: df.limit(0)}, note=f"clear {table}")
-    return EraseOutcome("cleared", version, frames={"status": status_of})
+        return EraseOutcome("cancelled", expected_confirmation="YES", frames={"status": status})
+    version = store.publish({table: store.tables().get(table).limit(0)}, note=f"clear {table}")
+    return EraseOutcome("cleared", version, frames={"status": status})

@@ -252,6 +252,35 @@ def data_sql(single_id: str, id_lines: list[tuple[int, str]]) -> dict[str, str]:
     return out
 
 
+def extra_sql(clean_times, id_lines: list[tuple[int, str]]) -> dict[str, str]:
+    """The queries over variants of the fixture views."""
+    swaps = ", ".join(f"CASE WHEN {c} = '{bad}' THEN '{good}' ELSE {c} END AS {c}" for c, bad, good in clean_times)
+    clean = f"clean AS (SELECT {swaps} FROM st_participants)"
+    durations = [clean, durations_cte("clean")]
+    total = " + ".join(f"(SELECT COUNT(*) FROM {v})" for v in VIEW.values())
+    hits = " UNION ALL ".join(f"SELECT participant_id, '{t}' AS t FROM {v} "
+                              "WHERE participant_id IN (SELECT participant_id FROM erase)" for t, v in VIEW.items())
+    counts = ", ".join(f"COUNT(*) FILTER (WHERE t = '{t}') AS rows_{t}" for t in STUDY_TABLES)
+    return {
+        "participants_duration_avg_strict_clean": with_views(
+            REPORT_PARTS["participants_duration_avg_strict"][0], durations),
+        "participants_duration_median_strict_clean": with_views(
+            REPORT_PARTS["participants_duration_median_strict"][0], durations),
+        "submissions_time_stats_large": with_views(
+            "SELECT COUNT(b) AS n_with_time, " + rnd("SUM(b)", "COUNT(b)", 0) + " AS avg_ms, MIN(b) AS min_ms, "
+            "MAX(b) AS max_ms FROM (SELECT time_taken_ms * 1000000 + 1700000000001 AS b FROM st_submissions)"),
+        "export_manifest": with_views(
+            f"SELECT 4 AS tables_succeeded, 4 AS tables_total, {total} AS total_rows"),
+        "export_table_csv_blanks": with_views(
+            "SELECT CAST(event_id AS VARCHAR) AS event_id, '  ' || participant_id || chr(9) AS participant_id, "
+            "event_type || ' ' || chr(10) || ' \"x\" ' AS event_type FROM st_events"),
+        "erase_batch_detail": with_views(
+            f"SELECT participant_id, {counts}, COUNT(*) AS total_rows FROM ({hits}) GROUP BY 1",
+            [_ids_values(id_lines), ERASE_CTE]),
+        "section_report_submissions": f"SELECT * FROM ({report_long_sql()}) WHERE section = 'submissions'",
+    }
+
+
 def report_long_sql() -> str:
     """R-2 in SQL: every report unpivoted, one UNION ALL branch per metric."""
     from cohortlens.plans.reports import REPORT_SHAPES, TITLES, section_of

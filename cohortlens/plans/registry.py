@@ -19,8 +19,9 @@ from cohortlens.schema import STUDY_TABLES, StudyError
 from cohortlens.session import apply_defaults, new_work_path
 from cohortlens.sources.fixtures import fixture_tables
 from cohortlens.sources.idlist import scan_id_list
-from cohortlens.sources.sinks import export_all_csv, export_table_csv, read_back_csv
+from cohortlens.sources.sinks import export_all_csv, export_summary, export_table_csv, read_back_csv
 from cohortlens.sources.snapshots import SnapshotStore, create_store
+from cohortlens.sources.tables import load_study
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,9 @@ ID_FILE_TEXT = " 3 \n\n7\r\n7\n99999\n1999"
 # (line number, id) as the id file reader must see them
 ID_FILE_LINES = [(1, "3"), (3, "7"), (4, "7"), (5, "99999"), (6, "1999")]
 
+# malformed times of the fixture and what stands for them in the clean view
+CLEAN_TIMES = (("started_at", "unknown", "20240102T093000Z"), ("ended_at", "not-a-time", "20240131T124510.5+0200"))
+
 REPORTS: dict[str, Callable] = {
     **{name: fn for section in reports.SECTIONS.values() for name, fn in section.items()},
     "participants_counts_onepass": reports.participants_counts_onepass,
@@ -127,7 +131,10 @@ def fixture_store(spark: SparkSession, sf_dir: str) -> SnapshotStore:
     if key not in _BASE_STORES:
         _BASE_STORES[key] = create_store(spark, new_work_path(spark, "study"),
                                          fixture_tables(spark, sf_dir))
-    return _BASE_STORES[key].branch(new_work_path(spark, "store"))
+    # the same files under a manifest of their own: a fixture only
+    fresh = SnapshotStore(spark, new_work_path(spark, "store"))
+    fresh._write_manifest(1, _BASE_STORES[key].manifest(), None, "fixture")
+    return fresh
 
 
 def _batch_result(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +197,77 @@ def _export_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back_csv(spark, path, events.columns)
 
 
+def _export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals that the export's own writes counted."""
+    apply_defaults(spark)
+    manifest = export_all_csv(spark, fixture_tables(spark, sf_dir), new_work_path(spark, "export"))
+    return export_summary(manifest).select("tables_succeeded", "tables_total", "total_rows")
+
+
+def _export_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export values with outer blanks and line ends, and read them back."""
+    apply_defaults(spark)
+    events = fixture_tables(spark, sf_dir).events
+    odd = events.select("event_id", F.concat(F.lit("  "), "participant_id", F.lit("\t")).alias("participant_id"),
+                        F.concat("event_type", F.lit(" \n \"x\" ")).alias("event_type"))
+    _, _, path = export_table_csv(odd, "events", new_work_path(spark, "export"))
+    return read_back_csv(spark, path, odd.columns)
+
+
+def _batch_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apply_defaults(spark)
+    tables, ids = _batch_inputs(spark, sf_dir)
+    return erasure.batch_detail(tables, erasure.materialize_erase_set(ids, tables.participants))
+
+
+def _clean_participants(spark: SparkSession, sf_dir: str):
+    """Every participant, with each malformed time replaced by a valid one (some in basic ISO form)."""
+    tables = fixture_tables(spark, sf_dir)
+    p = tables.participants
+    for name, bad, good in CLEAN_TIMES:
+        p = p.withColumn(name, F.when(F.col(name) == bad, good).otherwise(F.col(name)))
+    return tables.with_table("participants", p)
+
+
+def _clean_report(fn: Callable) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        apply_defaults(spark)
+        return fn(_clean_participants(spark, sf_dir))
+    return run
+
+
+def _large_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of values far above 1e10 (epoch milliseconds and more)."""
+    apply_defaults(spark)
+    tables = fixture_tables(spark, sf_dir)
+    big = tables.code_submissions.withColumn("time_taken_ms", F.col("time_taken_ms") * 1000000 + 1700000000001)
+    return reports.submissions_time_stats(tables.with_table("code_submissions", big))
+
+
+_STUDIES: dict[tuple[str, str], str] = {}
+
+
+def _loaded_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One section's reports over a study loaded from its four stored tables."""
+    apply_defaults(spark)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STUDIES:  # the stored study, written once per application (an input)
+        root = new_work_path(spark, "study-tables")
+        for name, df in fixture_tables(spark, sf_dir).items():
+            df.write.parquet(f"{root}/{name}")
+        _STUDIES[key] = root
+    study = load_study(spark, _STUDIES[key])
+    return reports.report_long(reports.section_report(study, "submissions"))
+
+
 DATA_QUERIES: dict[str, Query] = {
+    "export_manifest": _export_manifest,
+    "export_table_csv_blanks": _export_blanks,
+    "erase_batch_detail": _batch_detail,
+    "participants_duration_avg_strict_clean": _clean_report(reports.participants_duration_avg_strict),
+    "participants_duration_median_strict_clean": _clean_report(reports.participants_duration_median_strict),
+    "submissions_time_stats_large": _large_times,
+    "section_report_submissions": _loaded_section,
     "erase_plan": _erase_plan,
     **{f"erase_retained_{t}": _erase_retained(t, batch=False) for t in STUDY_TABLES},
     "erase_batch_status": _batch_status,
@@ -211,7 +288,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {**oracle.REPORT_SQL, **oracle.data_sql(SINGLE_ERASE_ID, ID_FILE_LINES),
+    out = {**oracle.REPORT_SQL, **oracle.data_sql(SINGLE_ERASE_ID, ID_FILE_LINES), **oracle.extra_sql(CLEAN_TIMES, ID_FILE_LINES),
            "report_long": oracle.report_long_sql()}
     names = queries()
     return {k: v for k, v in out.items() if k in names}

@@ -86,3 +86,15 @@ def work_dir(spark: SparkSession) -> str:
 def new_work_path(spark: SparkSession, prefix: str) -> str:
     """A fresh, never reused path under the shared scratch folder."""
     return os.path.join(work_dir(spark), f"{prefix}-{uuid.uuid4().hex[:12]}")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever store Spark reads it from."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a path and all below it (no error if it is gone)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

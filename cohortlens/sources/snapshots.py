@@ -14,14 +14,15 @@ the new manifest points at their previous path.
 from __future__ import annotations
 
 import os
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from cohortlens.schema import STUDY_TABLES, StudyError, check_table_name
+from cohortlens.session import path_exists, remove_path
 from cohortlens.sources.tables import StudyTables
 
 MANIFEST_SCHEMA = "table_name string, path string, n_rows bigint, parent bigint, note string"
@@ -37,33 +38,24 @@ class Entry:
 class SnapshotStore:
     """Study tables under ``root``, published as numbered versions.
 
-    Manifests read or written through this object are remembered, so a
-    sequence of operations lists the manifest folder once and reads each
-    manifest at most once.
+    A manifest is never changed once written, so each is read at most once; which
+    version is the latest is looked up every time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._latest: int | None = None
-        self._known_empty = False
         self._entries: dict[int, dict[str, Entry]] = {}
 
     # -- reading -------------------------------------------------------------
 
-    def latest_version(self, refresh: bool = False) -> int | None:
+    def latest_version(self) -> int | None:
         """Newest published version (``None`` for an empty store)."""
-        if not refresh and (self._latest is not None or self._known_empty):
-            return self._latest
-        try:
-            versions = (self.spark.read.schema(MANIFEST_SCHEMA + ", version int")
-                        .json(f"{self.root}/_manifests")
-                        .agg(F.max("version").alias("v")).first()["v"])
-        except AnalysisException:
-            versions = None
-        self._latest = versions
-        self._known_empty = versions is None
-        return versions
+        folder = f"{self.root}/_manifests"
+        if not path_exists(self.spark, folder):
+            return None
+        return (self.spark.read.schema(MANIFEST_SCHEMA + ", version int").json(folder)
+                .agg(F.max("version").alias("v")).first()["v"])
 
     def manifest(self, version: int | None = None) -> dict[str, Entry]:
         """Table entries of ``version`` (default: the latest)."""
@@ -87,8 +79,9 @@ class SnapshotStore:
     def _manifest_path(self, version: int) -> str:
         return f"{self.root}/_manifests/version={version:08d}"
 
-    def _table_path(self, table: str, version: int) -> str:
-        return os.path.join(self.root, "tables", table, f"version={version:08d}")
+    def _table_path(self, table: str) -> str:
+        """A fresh folder: what a failed publish has left is never in the way."""
+        return os.path.join(self.root, "tables", table, uuid.uuid4().hex)
 
     def publish(self, changes: dict[str, DataFrame], note: str = "") -> int:
         """Write the changed tables and then the manifest; return the version.
@@ -107,7 +100,7 @@ class SnapshotStore:
         entries = dict(base)
 
         def write(name: str) -> Entry:
-            path = self._table_path(name, version)
+            path = self._table_path(name)
             obs = Observation(f"rows_{name}_{version}")
             changes[name].observe(obs, F.count(F.lit(1)).alias("n")) \
                 .write.mode("errorifexists").parquet(path)
@@ -127,21 +120,33 @@ class SnapshotStore:
         (self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1)
          .write.mode("errorifexists").json(self._manifest_path(version)))
         self._entries[version] = dict(entries)
-        self._latest, self._known_empty = version, False
 
-    def branch(self, root: str, version: int | None = None,
-               note: str = "branch") -> SnapshotStore:
-        """A new store at ``root`` whose version 1 is ``version`` of this one.
+    def remove_superseded(self, confirm: str | None) -> list[str]:
+        """Delete for good what the latest version doesn't name; confirmed with ``YES``.
 
-        Nothing is copied: the new manifest names the same table paths, which
-        are never written again, so both stores can move on independently.
+        Earlier versions, and whatever failed publishes left, can't be read afterwards.
+        Returns the table folders removed.
         """
-        entries = self.manifest(version)
-        other = SnapshotStore(self.spark, root)
-        if other.latest_version() is not None:
-            raise StudyError(f"a store already exists at {root!r}")
-        other._write_manifest(1, entries, None, note)
-        return other
+        if confirm != "YES":
+            raise StudyError("removing superseded data must be confirmed with YES")
+        latest = self.latest_version()
+        keep = {e.path for e in self.manifest(latest).values()}
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        gone = []
+        for table in STUDY_TABLES:
+            folder = os.path.join(self.root, "tables", table)
+            for status in fs.listStatus(fs_path(folder)) if path_exists(self.spark, folder) else []:
+                path = os.path.join(folder, status.getPath().getName())
+                if path not in keep:
+                    remove_path(self.spark, path)
+                    gone.append(path)
+        for status in fs.listStatus(fs_path(f"{self.root}/_manifests")):
+            name = status.getPath().getName()
+            if name != f"version={latest:08d}" and name.startswith("version="):
+                remove_path(self.spark, f"{self.root}/_manifests/{name}")
+        self._entries = {latest: self._entries[latest]}
+        return gone
 
 
 def create_store(spark: SparkSession, root: str, tables: StudyTables,
@@ -150,5 +155,6 @@ def create_store(spark: SparkSession, root: str, tables: StudyTables,
     store = SnapshotStore(spark, root)
     if store.latest_version() is not None:
         raise StudyError(f"a store already exists at {root!r}")
+    tables.validated(check_keys=True)
     store.publish(dict(tables.items()), note)
     return store

@@ -79,9 +79,23 @@ def scan_table(spark: SparkSession, name: str, path: str | None = None,
     return validate(df, name)
 
 
-def load_study(spark: SparkSession, root: str, fmt: str = "parquet",
-               options: dict[str, str] | None = None, check_keys: bool = False) -> StudyTables:
-    """Load ``root/<table>`` for the four study tables."""
+def table_options(name: str, fmt: str, options: dict[str, str] | None = None,
+                  per_table: dict[str, dict[str, str]] | None = None) -> dict[str, str]:
+    """Reader options of one table: the common ones, the table's own over them, and for JDBC
+    its name as ``dbtable``. Partition bounds (``partitionColumn``, ``lowerBound``, ``upperBound``,
+    ``numPartitions``) are a table's own options; without them a JDBC scan is one task."""
+    out = dict(options or {})
+    if fmt == "jdbc":
+        out["dbtable"] = name
+    out.update((per_table or {}).get(name, {}))
+    return out
+
+
+def load_study(spark: SparkSession, root: str | None, fmt: str = "parquet",
+               options: dict[str, str] | None = None, check_keys: bool = True,
+               per_table: dict[str, dict[str, str]] | None = None) -> StudyTables:
+    """Load the four study tables: ``root/<table>``, or for JDBC the tables of that name."""
     return StudyTables(**{
-        t: scan_table(spark, t, os.path.join(root, t), fmt, options) for t in STUDY_TABLES
+        t: scan_table(spark, t, None if fmt == "jdbc" else os.path.join(root, t), fmt,
+                      table_options(t, fmt, options, per_table)) for t in STUDY_TABLES
     }).validated(check_keys)

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from cohortlens.plans import registry
 from tests.conftest import SF001
 from tests.oracle_check import canon, duck
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(registry.queries())
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,8 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(registry.oracle_sql()) == set(registry.queries())
+    assert set(registry.queries()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -28,10 +28,9 @@ def test_erase_uses_anti_join_with_broadcast(spark, tables001):
     e = erasure.materialize_erase_set(ids_frame(spark, ["3"]), tables001.participants)
     p = plan(erasure.retained(tables001.events, e))
     assert "LeftAnti" in p and "BroadcastHashJoin" in p
-    big = erasure.EraseSet(e.ids, e.n, max_broadcast_ids=0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        p = plan(erasure.retained(tables001.events, big))
+        p = plan(erasure.retained(tables001.events, e))
         assert "LeftAnti" in p and "BroadcastHashJoin" not in p
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -45,15 +44,27 @@ def test_not_null_filters_reach_the_scan(spark, tables001, scratch):
     assert "ReadSchema: struct<started_at:string,ended_at:string>" in p
 
 
-def test_small_lookup_is_broadcast(tables001):
-    p = plan(R.feedback_means_by_intervention(tables001))
-    assert "BroadcastHashJoin" in p and "LeftOuter" in p
-    # the fact side is not shuffled by participant before the join
+def test_single_erase_is_a_pushed_predicate(spark, tables001, scratch):
+    from cohortlens.sources.snapshots import create_store
+    stored = create_store(spark, scratch, tables001).tables()
+    e = erasure.erase_set_of(spark, ["3"], stored.participants)
+    p = plan(erasure.rows_of(stored.events, e))
+    assert "EqualTo(participant_id,3)" in p and "Join" not in p
+    for t, df in stored.items():
+        p = plan(erasure.retained(df, e))
+        assert "Join" not in p and "Exchange" not in p, t
+    p = plan(erasure.plan_counts(stored, e))
     assert "Exchange hashpartitioning(participant_id" not in p
 
 
+def test_building_a_report_runs_no_single_task_probe(tables001):
+    for fn in (R.feedback_means_by_intervention, R.feedback_means_by_skill, R.feedback_means_onepass):
+        text = plan(fn(tables001))
+        assert "GlobalLimit" not in text and "LocalLimit" not in text
+
+
 def test_preaggregation_below_join(tables001):
-    df = R.feedback_means_by_intervention(tables001, strategy="preaggregate")
+    df = R.feedback_means_by_intervention(tables001)
     text = df._jdf.queryExecution().optimizedPlan().toString()
     # the aggregate over participant_id sits below the join
     join_at = text.index("Join LeftOuter")
@@ -69,7 +80,7 @@ def test_preaggregate_join_shuffles_each_side_once(spark, tables001):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        df = R.feedback_means_by_intervention(tables001, strategy="preaggregate")
+        df = R.feedback_means_by_intervention(tables001)
         p = plan(df)
         assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
         # fact side: partial aggregate, one exchange, final aggregate, then the join
@@ -81,9 +92,9 @@ def test_preaggregate_join_shuffles_each_side_once(spark, tables001):
 
 
 def test_no_python_workers_in_any_registered_query(spark):
-    import __spark_entry__ as entry
+    from cohortlens.plans import registry
     from tests.conftest import SF001
-    for name, q in entry.queries().items():
+    for name, q in registry.queries().items():
         p = plan(q(spark, SF001))
         for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas",
                      "MapInPandas", "PythonUDF", "CartesianProduct", "BroadcastNestedLoopJoin"):

@@ -1,5 +1,6 @@
 """Properties: margins, one-pass = separate, pre-aggregated = direct, erase laws."""
 
+from contextlib import contextmanager
 import statistics
 
 from hypothesis import given, settings
@@ -56,14 +57,24 @@ def test_means_onepass_equals_separate(tables001):
     assert as_set(total) == as_set(R.feedback_means_overall(tables001))
 
 
-def test_join_strategies_agree(tables001):
-    for fn in (R.feedback_means_by_intervention, R.feedback_means_by_skill):
-        want = fn(tables001, strategy="direct").collect()
-        assert fn(tables001, strategy="preaggregate").collect() == want
-        assert fn(tables001, strategy="broadcast").collect() == want
-    want = as_set(R.feedback_means_onepass(tables001, strategy="direct"))
-    assert as_set(R.feedback_means_onepass(tables001, strategy="preaggregate")) == want
-    assert as_set(R.feedback_means_onepass(tables001, strategy="broadcast")) == want
+@contextmanager
+def shuffled_joins(spark):
+    """No join may be a broadcast, whatever its size."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for n in names:
+        spark.conf.set(n, "-1")
+    try:
+        yield
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+
+
+def test_join_plans_agree(spark, tables001):
+    fns = (R.feedback_means_by_intervention, R.feedback_means_by_skill, R.feedback_means_onepass)
+    want = [as_set(fn(tables001)) for fn in fns]
+    with shuffled_joins(spark):
+        assert [as_set(fn(tables001)) for fn in fns] == want
 
 
 def test_retained_plus_erased_is_original(spark, tables001):
@@ -82,13 +93,12 @@ def test_retained_plus_erased_is_original(spark, tables001):
 def test_shuffled_erase_equals_broadcast(spark, tables001):
     ids = ids_frame(spark, ["3", "7"])
     small = erasure.materialize_erase_set(ids, tables001.participants)
-    big = erasure.materialize_erase_set(ids, tables001.participants, max_broadcast_ids=0)
-    assert as_set(erasure.retained(tables001.events, small)) == \
-        as_set(erasure.retained(tables001.events, big))
-    lazy = erasure.erase_set_of(spark, ["3", "7"], tables001.participants)
-    assert lazy.broadcast and lazy.n is None
-    assert as_set(erasure.retained(tables001.events, lazy)) == \
-        as_set(erasure.retained(tables001.events, small))
+    want = as_set(erasure.retained(tables001.events, small))
+    with shuffled_joins(spark):
+        assert as_set(erasure.retained(tables001.events, small)) == want
+    pushed = erasure.erase_set_of(spark, ["3", "7", "nobody"], tables001.participants)
+    assert pushed.values == ["3", "7"] and pushed.n == 2
+    assert as_set(erasure.retained(tables001.events, pushed)) == want
 
 
 @settings(max_examples=15, deadline=None)
@@ -137,19 +147,18 @@ def test_hot_participant_all_strategies_agree(spark, tables001):
     null_ev = ev.limit(5000).withColumn("participant_id", F.lit(None).cast("string"))
     skewed = tables001.with_table("feedback", fb.unionByName(hot)) \
         .with_table("events", ev.unionByName(null_ev))
-    want = as_set(R.feedback_means_by_intervention(skewed, strategy="direct"))
-    for strategy in ("broadcast", "preaggregate"):
-        assert as_set(R.feedback_means_by_intervention(skewed, strategy=strategy)) == want
-    assert as_set(R.feedback_means_onepass(skewed, strategy="preaggregate")) == \
-        as_set(R.feedback_means_onepass(skewed, strategy="broadcast"))
+    want = as_set(R.feedback_means_by_intervention(skewed)), as_set(R.feedback_means_onepass(skewed))
     ids = ids_frame(spark, ["3"])
     small = erasure.materialize_erase_set(ids, skewed.participants)
-    big = erasure.materialize_erase_set(ids, skewed.participants, max_broadcast_ids=0)
-    for name in ("feedback", "events"):
-        a = erasure.retained(skewed.get(name), small)
-        b = erasure.retained(skewed.get(name), big)
-        assert a.count() == b.count()
-        assert a.exceptAll(b).count() == 0
+    pushed = erasure.erase_set_of(spark, ["3"], skewed.participants)
+    kept = {name: erasure.retained(skewed.get(name), small) for name in ("feedback", "events")}
+    counts = {name: df.count() for name, df in kept.items()}
+    with shuffled_joins(spark):
+        assert (as_set(R.feedback_means_by_intervention(skewed)), as_set(R.feedback_means_onepass(skewed))) == want
+        for name, df in kept.items():
+            again = erasure.retained(skewed.get(name), small)
+            assert again.count() == counts[name] and again.exceptAll(df).count() == 0
+            assert erasure.retained(skewed.get(name), pushed).exceptAll(df).count() == 0
 
 
 def test_onepass_takes_arm_from_participants_even_if_feedback_has_one(tables001):
