@@ -21,7 +21,7 @@ import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_slices
 
@@ -431,7 +431,7 @@ def extract_text(source: str | None) -> str | None:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Every column of ``pages`` but the html, plus ``text``."""
     rest = [c for c in pages.columns if c not in (html_col, "text")]
-    schema = pages.select(*rest, F.lit("").alias("text")).schema
+    schema = T.StructType([*pages.select(*rest).schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches):
         for b in text_slices(batches, html_col):

@@ -180,13 +180,13 @@ def mix_texts(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFr
              .agg(F.sort_array(F.collect_list(F.struct("offset", "words"))).alias("spans")))
     # of wholly repeated rows each takes its own place
     nth = Window.partitionBy("row", "turn").orderBy("start")
-    spans = spans.withColumn("dup", F.row_number().over(nth)).groupBy("row", "dup").agg(
-        F.collect_list("spans").alias("turns"))
+    spans = spans.withColumn("dup", F.row_number().over(nth)).groupBy(
+        F.col("row").alias("__r"), F.col("dup").alias("__d")).agg(F.collect_list("spans").alias("__turns"))
     texts = docs.withColumn("__row", F.xxhash64("doc_id", "source", "text"))
     texts = texts.withColumn("__dup", F.row_number().over(Window.partitionBy("__row").orderBy("__row")))
-    met = texts.join(spans, (F.col("__row") == F.col("row")) & (F.col("__dup") == F.col("dup")))
+    met = texts.join(spans, (F.col("__row") == F.col("__r")) & (F.col("__dup") == F.col("__d")))
     words = F.regexp_extract_all("text", F.lit(f"({WORD_RE})"))
-    met = met.withColumn("__words", words).withColumn("__spans", F.explode("turns"))
+    met = met.withColumn("__words", words).withColumn("__spans", F.explode("__turns"))
     picked = F.flatten(F.transform("__spans", lambda s: F.slice("__words", (s["offset"] + 1).cast("int"),
                                                                 s["words"].cast("int"))))
     met = met.withColumn("__text", F.array_join(picked, " "))
