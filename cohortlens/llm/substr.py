@@ -35,7 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices, word_blocks
+from cohortlens.session import new_work_path, remove_path
+
+from .common import stage, text_slices, word_blocks
 
 WINDOW = 35
 K = 8
@@ -277,10 +279,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, id_col: st
     row = F.struct(*[c for c in docs.columns if c != text_col]).alias("row")
     texts = docs.select(F.col(text_col).alias("text"), chunk)
     dealt = docs.select(F.col(text_col).alias("text"), chunk, row)
-    runs = texts.mapInArrow(_runs(window, k), "chunk bigint, g bigint, r bigint, n bigint")
+    spark = docs.sparkSession
+    runs_path = new_work_path(spark, "llm-runs")
+    runs = stage(texts.mapInArrow(_runs(window, k), "chunk bigint, g bigint, r bigint, n bigint"), "runs", runs_path)
     anchors = (runs.groupBy("g").agg(F.sum("n").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"))
                .where("n > 1").select("g", (F.col("lo") == F.col("hi")).alias("alike")))
-    near = runs.select("chunk", "g").join(anchors, "g").distinct()
+    near = stage(runs.select("chunk", "g").join(anchors, "g").distinct(), "recurring-anchors")
+    remove_path(spark, runs_path)  # only the recurring anchors are needed from here on
     windows = (dealt.groupBy("chunk").cogroup(near.groupBy("chunk"))
                .applyInArrow(_pair(window, k), "chunk bigint, g bigint, w bigint, n bigint"))
     again = windows.groupBy("g", "w").agg(F.sum("n").alias("n")).where("n > 1").select("g", "w")
