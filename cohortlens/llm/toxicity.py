@@ -70,7 +70,7 @@ class TokenTable(dict):
 
     FACTS = 10
 
-    def __init__(self, learnt: frozenset[str], most: int = 400_000) -> None:
+    def __init__(self, learnt: frozenset[str], most: int = 200_000) -> None:
         super().__init__()
         self.learnt, self.most = learnt, most
         self.rows = np.zeros((1024, self.FACTS), dtype=np.float32)
