@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import share, shared, text_slices
 
 LONG = 512
-CACHE = 250_000
+CACHE = 400_000
 
 _NONE = np.int64(1 << 40)  # above every rank
 _MULT = np.uint64(0x9E3779B97F4A7C15)
