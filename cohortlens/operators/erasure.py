@@ -6,11 +6,13 @@ new snapshot. ``left_anti`` keeps rows whose id is NULL, as ``id = v`` never
 matches NULL in the source system (a ``NOT IN`` would drop them). Ids that are
 not participants are never erased, even if child tables hold rows for them.
 
-The erase set is written once to the shared checkpoint folder and counted in
-the same job, so that the four table scans neither recompute it nor guess its
-size: it is broadcast only when the count is at most ``max_broadcast_ids``,
-and shuffled otherwise. The big tables are
-streamed through the join either way and are never collected.
+Ids given in code reach the scans as pushed predicates. The erase set of an id file is written
+once to the shared checkpoint folder and counted in the same job, so that the four table
+scans don't recompute it; Spark chooses the joins by bytes. The big tables are streamed
+through the join either way and are never collected.
+
+On a stored study only the folders that can hold an erased id are searched, and only those
+that hold a row to erase are rewritten.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.schema import ERASE_ORDER, ID_COLUMN, STUDY_TABLES, StudyError, check_table_name
 from cohortlens.session import new_work_path, remove_path
-from cohortlens.sources.snapshots import SnapshotStore
+from cohortlens.sources.snapshots import SnapshotStore, id_part
 from cohortlens.sources.tables import StudyTables
 
 # Order of the per-table plan lines (the source system lists children first).
@@ -207,16 +209,36 @@ class EraseOutcome:
 Confirm = str | None | Callable[["EraseOutcome"], str | None]
 
 
-def _kept(frame: DataFrame) -> DataFrame:
-    """A frame of a few rows that no longer depends on its inputs."""
-    return frame.sparkSession.createDataFrame(frame.collect(), frame.schema)
-
+def folder_counts(tables: StudyTables, erase: EraseSet, parts: int) -> dict[str, dict[int, int]]:
+    """Rows to erase in each folder of each stored table, where there are any.
 
-def _erase(store: SnapshotStore, before: StudyTables, erase: EraseSet, expected: str,
+    One union and one aggregate; at most ``parts`` rows for each table come back.
+    """
+    frames = [rows_of(df, erase).select(F.lit(t).alias("t"), id_part(parts).alias("part"))
+              for t, df in tables.items()]
+    rows = frames[0]
+    for frame in frames[1:]:
+        rows = rows.union(frame)
+    found: dict[str, dict[int, int]] = {t: {} for t in STUDY_TABLES}
+    for r in rows.groupBy("t", "part").agg(F.count(F.lit(1)).alias("n")).collect():
+        found[r["t"]][r["part"]] = r["n"]
+    return found
+
+
+def _erase(store: SnapshotStore, version: int, erase: EraseSet, expected: str,
            confirm: Confirm) -> EraseOutcome:
-    counts = {t: e.n_rows for t, e in store.manifest().items()}
-    summary = _kept(batch_summary(before, erase))
-    frames = {"summary": summary, "plan": _kept(plan_counts(before, erase))}
+    entries, spark = store.manifest(version), store.spark
+    hit: dict[str, dict[int, int]] = {t: {} for t in STUDY_TABLES}
+    if erase.n:
+        parts = entries["participants"].parts
+        hit = folder_counts(store.tables(version, _folders_of(erase.ids, parts)), erase, parts)
+    rows = {t: sum(hit[t].values()) for t in STUDY_TABLES}
+    frames = {
+        "summary": spark.createDataFrame(
+            [(erase.n, *(rows[t] for t in STUDY_TABLES), sum(rows.values()))],
+            "n_participants bigint, " + ", ".join(f"rows_{t} bigint" for t in STUDY_TABLES) + ", total_rows bigint"),
+        "plan": spark.createDataFrame([(t, ID_COLUMN, rows[t]) for t in PLAN_ORDER if rows[t]],
+                                      "table_name string, id_column string, n_rows bigint")}
     if erase.n == 0:
         return EraseOutcome("nothing_to_do", n_participants=0, frames=frames)
     if callable(confirm):
@@ -224,14 +246,19 @@ def _erase(store: SnapshotStore, before: StudyTables, erase: EraseSet, expected:
     if confirm != expected:
         return EraseOutcome("cancelled", n_participants=erase.n,
                             expected_confirmation=expected, frames=frames)
-    hit = summary.first()
-    # children first, then participants; all in one version; a table without a matching row
-    # keeps its files
-    changes = {t: retained(before.get(t), erase) for t in ERASE_ORDER if hit[f"rows_{t}"]}
-    version = store.publish(changes, note=f"erase {erase.n} participants")
-    after = {t: e.n_rows for t, e in store.manifest(version).items()}
-    frames["result"] = batch_result(store.spark, erase.n, counts, after)
-    return EraseOutcome("erased", version, erase.n, expected, frames)
+    # children first, then participants; all in one version; a table or folder without a
+    # matching row keeps its files
+    only = {t: set(hit[t]) for t in ERASE_ORDER if hit[t]}
+    changes = {t: retained(store.read(entries[t].within(only[t])), erase) for t in only}
+    done = store.publish(changes, note=f"erase {erase.n} participants", only=only)
+    before, after = ({t: e.n_rows for t, e in m.items()} for m in (entries, store.manifest(done)))
+    frames["result"] = batch_result(spark, erase.n, before, after)
+    return EraseOutcome("erased", done, erase.n, expected, frames)
+
+
+def _folders_of(ids: DataFrame, parts: int) -> set[int]:
+    """Numbers of the folders that can hold ``ids`` (at most ``parts``)."""
+    return {r["part"] for r in ids.select(id_part(parts).alias("part")).distinct().collect()}
 
 
 def erase_participants(store: SnapshotStore, ids: DataFrame, confirm: Confirm) -> EraseOutcome:
@@ -246,10 +273,10 @@ def erase_participants(store: SnapshotStore, ids: DataFrame, confirm: Confirm) -
     confirmation. The erased rows stay in the version before until
     ``store.remove_superseded`` is called.
     """
-    before = store.tables()
-    erase = materialize_erase_set(ids, before.participants)
+    version = store.latest_version()
+    erase = materialize_erase_set(ids, store.tables(version).participants)
     try:
-        return _erase(store, before, erase, batch_confirmation(erase.n), confirm)
+        return _erase(store, version, erase, batch_confirmation(erase.n), confirm)
     finally:
         erase.drop()
 
@@ -258,9 +285,9 @@ def erase_participant(store: SnapshotStore, participant_id: str, confirm: Confir
     """Erase one participant (confirmed with ``YES``), found by pushed predicates."""
     if not participant_id or not participant_id.strip():
         raise StudyError("no participant id given")
-    before = store.tables()
-    erase = erase_set_of(store.spark, [participant_id], before.participants)
-    return _erase(store, before, erase, "YES", confirm)
+    version = store.latest_version()
+    erase = erase_set_of(store.spark, [participant_id], store.tables(version).participants)
+    return _erase(store, version, erase, "YES", confirm)
 
 
 def clear_table(store: SnapshotStore, table: str, confirm: Confirm) -> EraseOutcome:

@@ -448,15 +448,20 @@ def test_erase_keeps_untouched_tables_and_removal_is_final(spark, scratch):
     store = create_store(spark, scratch, tables.with_table("code_submissions", tables.code_submissions.where(
         "participant_id <> 'a' OR participant_id IS NULL")))
     before = store.manifest()
+    home = next(p for p, f in before["participants"].folders.items()
+                if spark.read.parquet(f.path).where("participant_id = 'a'").count())
     out = erase_participant(store, "a", "YES")
     after = store.manifest()
     assert out.status == "erased"
-    assert after["code_submissions"].path == before["code_submissions"].path
-    assert after["events"].path != before["events"].path
+    assert after["code_submissions"] == before["code_submissions"]
+    # only the folder of the erased id is written anew (here nothing is left in it)
+    assert home in before["events"].folders and home not in after["events"].folders
+    assert after["events"].folders == {p: f for p, f in before["events"].folders.items() if p != home}
     with pytest.raises(StudyError):
         store.remove_superseded("no")
     gone = store.remove_superseded("YES")
-    assert before["events"].path in gone and before["code_submissions"].path not in gone
+    assert before["events"].folders[home].path in gone
+    assert not {f.path for e in after.values() for f in e.folders.values()} & set(gone)
     assert store.tables().events.count() == 2
     left = [os.path.join(d, f) for d, _, fs in os.walk(scratch) for f in fs if f.endswith(".parquet")]
     for path in left:
@@ -465,6 +470,35 @@ def test_erase_keeps_untouched_tables_and_removal_is_final(spark, scratch):
             assert rows.where("participant_id = 'a'").count() == 0, path
 
 
+def test_erase_rewrites_only_folders_with_an_erased_id(spark, scratch, tables001):
+    store = create_store(spark, scratch, tables001, parts=8)
+    before = store.manifest()
+    assert all(len(before[t].folders) >= 8 for t in ("participants", "events", "feedback"))
+    assert erase_participant(store, "3", "YES").status == "erased"
+    after = SnapshotStore(spark, scratch, parts=99).manifest()  # the stored number of folders counts
+    for t, old in before.items():
+        moved = {p for p, f in old.folders.items() if after[t].folders.get(p) != f}
+        assert len(moved) <= 1, t
+        assert after[t].n_rows == tables001.get(t).where("participant_id <> '3' OR participant_id IS NULL").count()
+        assert store.tables().get(t).schema.fieldNames() == tables001.get(t).schema.fieldNames()
+    assert after["participants"].n_rows == before["participants"].n_rows - 1
+    rest = store.tables().events
+    assert rest.exceptAll(tables001.events).count() == 0 and rest.where("participant_id = '3'").count() == 0
+
+
+def test_a_hot_participant_is_written_by_several_tasks(spark, scratch):
+    small = _small_tables(spark)
+    hot = spark.range(60_000).selectExpr("'a' AS participant_id", "sha2(cast(id AS string), 512) AS event_type")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        store = create_store(spark, scratch, small.with_table("events", hot.repartition(6)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    (folder,) = store.manifest()["events"].folders.values()
+    assert folder.n_rows == 60_000
+    assert len([f for f in os.listdir(folder.path) if f.endswith(".parquet")]) > 1
+
+
 def test_refused_batch_leaves_no_erase_set(spark, scratch):
     from cohortlens.session import work_dir
     store = create_store(spark, scratch, _small_tables(spark))
