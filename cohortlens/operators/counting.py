@@ -61,5 +61,9 @@ def top_by_count(df: DataFrame, key: str, k: int = 50, n: str = "n") -> DataFram
     per-partition top-k plus one merge of at most ``k`` rows per partition
     (``TakeOrderedAndProject``), never a full sort.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(n))
+    return top_counts(df.groupBy(key).agg(F.count(F.lit(1)).alias(n)), key, k, n)
+
+
+def top_counts(counts: DataFrame, key: str, k: int = 50, n: str = "n") -> DataFrame:
+    """The ``k`` rows of largest ``n`` (ties by key, NULL last)."""
     return counts.orderBy(F.col(n).desc(), F.col(key).asc_nulls_last()).limit(k)

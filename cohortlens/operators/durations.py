@@ -186,3 +186,27 @@ def duration_median(df: DataFrame, start: str = "started_at", end: str = "ended_
                             void_if=~F.col(OK) if strict else None)
     # twice the median in micros -> seconds, truncated toward zero
     return frame.select(F.expr("twice_median div 2000000L").alias("median_secs"))
+
+
+def duration_overview(df: DataFrame, start: str = "started_at",
+                      end: str = "ended_at") -> tuple[DataFrame, DataFrame]:
+    """All duration figures (row mode) from one scan of ``df``: two one-row frames.
+
+    The first holds ``finished, n_candidates, n_castable, n_uncastable, n_durations, avg_secs``,
+    observed in the write of the values that the second's ``median_secs`` is worked out from.
+    """
+    s, e = parse_ts(start), parse_ts(end)
+    cand = ts_candidate(start) & ts_candidate(end)
+    ok = cand & s.isNotNull() & e.isNotNull()
+    rows = df.select((F.col(start).isNotNull() & F.col(end).isNotNull()).alias("__finished"),
+                     cand.alias("__cand"), ok.alias(OK), F.when(ok, micros_between(s, e)).alias(US))
+    seen = Observation("duration_overview")
+    rows = rows.observe(
+        seen, F.count_if("__finished").alias("finished"), F.count_if("__cand").alias("n_candidates"),
+        F.count_if(OK).alias("n_castable"), F.count_if(F.col("__cand") & ~F.col(OK)).alias("n_uncastable"),
+        F.count(US).alias("n_durations"), (mean_of_integers(F.col(US)) / F.lit(1e6)).alias("avg_secs"))
+    median, _ = exact_median(rows, US)
+    kinds = {"avg_secs": "double"}
+    figures = df.sparkSession.range(0, 1, 1, 1).select(
+        *[F.lit(v).cast(kinds.get(c, "bigint")).alias(c) for c, v in seen.get.items()])
+    return figures, median.select(F.expr("twice_median div 2000000L").alias("median_secs"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import label
-from cohortlens.operators.means import _cnt, _sum, merged_mean, partial_sums
+from cohortlens.operators.means import _cnt, _sum, exact, merged_mean, partial_sums
 from cohortlens.schema import ID_COLUMN, NULL_LABEL
 
 TOTAL_SET = "total"
@@ -52,6 +52,23 @@ def counts_onepass(df: DataFrame, sets: Sequence[Sequence[str]], *,
     return _roll_up(fine, sets, dims, [F.sum("__rows").alias(n)], n)
 
 
+def stats_onepass(df: DataFrame, dim: str, flag: Column, value: str, *,
+                  null_label: str = NULL_LABEL, digits: int = 0) -> DataFrame:
+    """Figures per label of ``dim`` and in total from one scan.
+
+    ``grouping_set, <dim>, n, hits, n_values, avg, min, max``: rows, rows whose flag is TRUE, and the
+    non-NULL count, rounded mean, minimum and maximum of ``value``.
+    """
+    fine = df.groupBy(label(dim, null_label).alias(dim)).agg(
+        F.count(F.lit(1)).alias("__rows"), F.count_if(F.coalesce(flag, F.lit(False))).alias("__hits"),
+        F.sum(exact(df, value)[0]).alias(_sum(value)), F.count(value).alias(_cnt(value)),
+        F.min(value).alias("__min"), F.max(value).alias("__max"))
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return _roll_up(fine, [(), (dim,)], [dim], [
+        F.sum("__rows").alias("n"), whole("__hits").alias("hits"), whole(_cnt(value)).alias("n_values"),
+        merged_mean(df, value, digits).alias("avg"), F.min("__min").alias("min"), F.max("__max").alias("max")], "n")
+
+
 def _roll_up(fine: DataFrame, sets: Sequence[Sequence[str]], dims: list[str],
              aggs: list[Column], n: str) -> DataFrame:
     """GROUPING SETS over the finest-grain rows.

@@ -13,14 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import (micros_between, parse_ts, passed_expr, rounded_ratio,
-                                        ts_candidate)
+from cohortlens.functions.exprs import passed_expr, rounded_ratio
 from cohortlens.operators.counting import (count_by, count_by_pair, count_rows,
-                                           count_where_not_null, top_by_count)
-from cohortlens.operators.durations import (cast_report, duration_median, duration_stats,
-                                            mean_of_integers)
-from cohortlens.operators.grouping import counts_onepass, means_onepass
-from cohortlens.operators.means import column_mean, means, means_by
+                                           count_where_not_null, top_by_count, top_counts)
+from cohortlens.operators.durations import (cast_report, duration_median, duration_overview,
+                                            duration_stats)
+from cohortlens.operators.grouping import counts_onepass, means_onepass, stats_onepass
+from cohortlens.operators.means import means, means_by
 from cohortlens.operators.rates import numeric_stats, rate
 from cohortlens.schema import RATINGS, StudyError
 from cohortlens.sources.tables import StudyTables
@@ -322,11 +321,10 @@ def report_long_onepass(t: StudyTables) -> DataFrame:
     """Every report of every section in long form, from shared scans.
 
     The same rows as ``report_long(section_report(t, 'all'))`` with far fewer
-    scans: P1-P6 from one grouping-sets scan, P7/P8/P10 from one aggregate,
-    S1/S3/S4 from one aggregate, F1-F4 from one scan and one join; only the
-    exact median, S2, E1 and E2 have scans of their own. Nothing is sorted:
-    a long table has no order (the top-50 keeps its limit, which is the
-    report itself).
+    scans, one for each of: P1-P6 (grouping sets), P7-P10 (the write of the median's
+    values, read back once more), S1-S4 (by status and in total), F1-F4 (and the
+    labels they are joined with), E1 and E2. Nothing is sorted: a long table has no
+    order (the top-50 keeps its limit, which is the report itself).
     """
     p = t.participants
     pieces = []
@@ -344,43 +342,28 @@ def report_long_onepass(t: StudyTables) -> DataFrame:
     pieces.append(_long_entries(r3, [key1, key2], [
         (_lookup(names3, gs), F.when(is_total, F.lit("total_participants")).otherwise(F.lit("n")),
          F.col("n"))]))
-    # P7, P8, P10 in one aggregate over participants (conditional counts)
-    start, end = F.col("started_at"), F.col("ended_at")
-    cand = ts_candidate(start) & ts_candidate(end)
-    s_ts, e_ts = parse_ts(start), parse_ts(end)
-    ok = cand & s_ts.isNotNull() & e_ts.isNotNull()
-    us = F.when(ok, micros_between(s_ts, e_ts))
-    agg = p.agg(F.count_if(start.isNotNull() & end.isNotNull()).alias("finished"),
-                F.count_if(cand).alias("n_candidates"),
-                F.count_if(ok).alias("n_castable"),
-                F.count_if(cand & ~ok).alias("n_uncastable"),
-                F.count(us).alias("n_durations"),
-                (mean_of_integers(us) / F.lit(1e6)).alias("avg_secs"))
-    pieces.append(_long_entries(agg, [], [
+    # P7-P10 from one scan: the write of the median's values observes the others
+    figures, median = duration_overview(p)
+    pieces.append(_long_entries(figures, [], [
         ("participants_finished", "finished", F.col("finished")),
         ("participants_duration_avg", "n_durations", F.col("n_durations")),
         ("participants_duration_avg", "avg_secs", F.col("avg_secs")),
         *[("duration_cast_policy", m, F.col(m))
           for m in ("n_candidates", "n_castable", "n_uncastable")]]))
-    pieces.append(_long(participants_duration_median(t), "participants_duration_median", [],
-                        {"median_secs": F.col("median_secs")}))
-    # S1, S3, S4 in one aggregate; S2 on its own
-    s = t.code_submissions
-    passed = F.coalesce(passed_expr(), F.lit(False))
-    sagg = s.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(passed).alias("passed_rows"),
-                 F.count("time_taken_ms").alias("n_with_time"),
-                 column_mean(s, "time_taken_ms", 0).alias("avg_ms"),
-                 F.min("time_taken_ms").alias("min_ms"), F.max("time_taken_ms").alias("max_ms"))
-    pct = rounded_ratio(F.col("passed_rows").cast("decimal(38,0)") * 100, F.col("total_rows"), 2)
-    pieces.append(_long_entries(sagg, [], [
-        ("submissions_total", "total_submissions", F.col("total_rows")),
-        ("submissions_pass_rate", "total_rows", F.col("total_rows")),
-        ("submissions_pass_rate", "passed_rows", F.col("passed_rows")),
-        ("submissions_pass_rate", "pass_rate_percent", pct),
-        *[("submissions_time_stats", m, F.col(m))
-          for m in ("n_with_time", "avg_ms", "min_ms", "max_ms")]]))
-    pieces.append(_long(count_by(s, "status", ordered=False), "submissions_by_status",
-                        [F.col("status")], {"n": F.col("n")}))
+    pieces.append(_long(median, "participants_duration_median", [], {"median_secs": F.col("median_secs")}))
+    # S1-S4 from one aggregate by status and its total
+    by_status = stats_onepass(t.code_submissions, "status", passed_expr(), "time_taken_ms")
+    pct = rounded_ratio(F.col("hits").cast("decimal(38,0)") * 100, F.col("n"), 2)
+    of_total = lambda name: F.when(is_total, F.lit(name))
+    pieces.append(_long_entries(by_status, [F.col("status")], [
+        (F.when(is_total, F.lit("submissions_total")).otherwise(F.lit("submissions_by_status")),
+         F.when(is_total, F.lit("total_submissions")).otherwise(F.lit("n")), F.col("n")),
+        (of_total("submissions_pass_rate"), "total_rows", F.col("n")),
+        (of_total("submissions_pass_rate"), "passed_rows", F.col("hits")),
+        (of_total("submissions_pass_rate"), "pass_rate_percent", pct),
+        *[(of_total("submissions_time_stats"), metric, F.col(c)) for metric, c in (
+            ("n_with_time", "n_values"), ("avg_ms", "avg"), ("min_ms", "min"), ("max_ms", "max"))],
+    ]).where(F.col("report").isNotNull()))
     # F1-F4: one grouping-sets aggregate; the total row has no n and avg_ names
     r4 = feedback_means_onepass(t)
     names4 = {"total": "feedback_means_overall",
@@ -393,10 +376,12 @@ def report_long_onepass(t: StudyTables) -> DataFrame:
             F.when(is_total, F.lit(f"avg_{c}")).otherwise(F.lit(c)), F.col(c)) for c in RATINGS]])
     pieces.append(f_long.where((F.col("report") != "feedback_means_overall")
                                | (F.col("metric") != "n")))
-    # E1, E2
-    pieces.append(_long(count_by(t.events, "event_type", null_label=None, ordered=False),
-                        "events_by_type", [F.col("event_type")], {"n": F.col("n")}))
-    pieces.append(_long(events_top_participants(t), "events_top_participants",
-                        [F.col("participant_id")], {"n": F.col("n")}))
+    # E1, E2 roll up one aggregate by both keys, whose shuffle they share
+    fine = t.events.groupBy("participant_id", "event_type").agg(F.count(F.lit(1)).alias("__rows"))
+    n = F.sum("__rows").alias("n")
+    pieces.append(_long(fine.groupBy("event_type").agg(n), "events_by_type", [F.col("event_type")],
+                        {"n": F.col("n")}))
+    pieces.append(_long(top_counts(fine.groupBy("participant_id").agg(n), "participant_id"),
+                        "events_top_participants", [F.col("participant_id")], {"n": F.col("n")}))
 
     return _titled(pieces)

@@ -99,3 +99,12 @@ def test_no_python_workers_in_any_registered_query(spark):
         for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas",
                      "MapInPandas", "PythonUDF", "CartesianProduct", "BroadcastNestedLoopJoin"):
             assert node not in p, (name, node)
+
+
+def test_long_report_reads_each_table_once(tables001):
+    df = R.report_long_onepass(tables001)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # one scan each of submissions, feedback and events, participants for the counts and as labels, and
+    # the median's values (written from one more scan of participants)
+    assert final.count("FileScan") <= 6
