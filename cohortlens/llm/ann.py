@@ -8,16 +8,19 @@ original vectors in double precision. Enough is a share of all vectors, set so t
 queries of the sample would find ``recall`` of their true neighbours in the sample: small for
 vectors that cluster, near a half for vectors without structure.
 
-Every valid vector is indexed. Cells over ``chunk`` entries are cut into chunks, the queries of a
-crowded cell into groups, and each chunk meets each group in a task of bounded size, which
-returns the best ``k`` of the chunk for each query. The codebooks (``2 * centroids`` half
-vectors) and the number of entries in each cell (``centroids`` squared) are broadcast; both are
+Every valid vector is indexed; a row given again (same id, same vector) counts once, whatever its number of
+copies. Cells over ``chunk`` entries are cut into chunks, the queries of a crowded cell into
+groups, and each chunk meets each group in a task of bounded size, which returns the ``k`` best ids of the
+chunk for each query. Chunks and groups are dealt by id and vector, so that the vectors of one id
+spread. The codebooks (``2 * centroids`` half
+vectors) and the numbers of entries and ids in each cell (``centroids`` squared) are broadcast; all are
 bounded by parameters.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
 those whose length isn't the most frequent one (ties: the longer). Ties in score go to the
-smaller id. A row's own id is never its neighbour; a query id given twice is answered once for each
-distinct vector row, as one query. Fewer than ``k`` candidates are all returned. An empty table gives an empty
+smaller id. A row's own id is never its neighbour; an id with several vectors is as near as its nearest
+one, both as a query (one answer for all its vectors) and as a neighbour. Fewer than ``k`` candidates are all
+returned. An empty table gives an empty
 result; other columns are not read.
 """
 
@@ -30,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.session import new_work_path, remove_path
+
 from .common import stage
 
 CENTROIDS = 16
@@ -85,16 +90,18 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)[None], 0)
 
 
-def walk(d1: np.ndarray, d2: np.ndarray, entries: np.ndarray, wanted: int) -> list[int]:
-    """Cells by growing ``d1[i] + d2[j]`` until they hold ``wanted`` entries; empty cells are passed over."""
+def walk(d1: np.ndarray, d2: np.ndarray, entries: np.ndarray, wanted: int, heads: np.ndarray, ids: int) -> list[int]:
+    """Cells by growing ``d1[i] + d2[j]`` until they hold ``wanted`` entries and the ``heads`` of ``ids`` ids (each
+    id is counted in one of its cells); empty cells are passed over."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    heap, seen, out, met = [(d1[o1[0]] + d2[o2[0]], 0, 0)], {(0, 0)}, [], 0
-    while heap and met < wanted:
+    heap, seen, out, met, known = [(d1[o1[0]] + d2[o2[0]], 0, 0)], {(0, 0)}, [], 0, 0
+    while heap and (met < wanted or known < ids):
         _, a, b = heapq.heappop(heap)
         cell = int(o1[a]) * len(d2) + int(o2[b])
         if entries[cell]:
             out.append(cell)
             met += int(entries[cell])
+            known += int(heads[cell])
         for x, y in ((a + 1, b), (a, b + 1)):
             if x < len(d1) and y < len(d2) and (x, y) not in seen:
                 seen.add((x, y))
@@ -102,15 +109,17 @@ def walk(d1: np.ndarray, d2: np.ndarray, entries: np.ndarray, wanted: int) -> li
     return out
 
 
-def share_needed(unit: np.ndarray, half: int, c1: np.ndarray, c2: np.ndarray, k: int, recall: float) -> float:
+def share_needed(unit: np.ndarray, ids: np.ndarray, half: int, c1: np.ndarray, c2: np.ndarray, k: int,
+                 recall: float) -> float:
     """The share of the entries that a walk has to meet for ``recall`` of the sample's true neighbours."""
     d1, d2 = _distances(unit[:, :half], c1), _distances(unit[:, half:], c2)
     cell = d1.argmin(axis=1) * len(c2) + d2.argmin(axis=1)
     entries, needed = np.bincount(cell, minlength=len(c1) * len(c2)), []
     for i in range(0, len(unit), max(1, len(unit) // TRIALS)):
         score = unit @ unit[i]
-        score[i] = -np.inf
-        near = np.argsort(-score, kind="stable")[:min(k, len(unit) - 1)]
+        near = np.argsort(-score, kind="stable")
+        near = near[ids[near] != ids[i]]
+        near = near[np.sort(np.unique(ids[near], return_index=True)[1])[:k]]  # the nearest vector of each id
         order = np.argsort((d1[i][:, None] + d2[i][None]).ravel(), kind="stable")
         met = np.empty(len(order))
         met[order] = np.cumsum(entries[order])
@@ -125,6 +134,8 @@ def _rerank(k: int):
             return schema.empty_table()
         order = np.argsort(entries.column("vec_id").to_numpy(), kind="stable")
         ids = entries.column("vec_id").to_numpy()[order]
+        each = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))  # where the vectors of an id begin
+        ids = ids[each]
         v, q = _matrix(entries.column("v"))[order], _matrix(probes.column("v"))
         qid = probes.column("query_id").to_numpy()
         # einsum sums each pair in one and the same order, so that equal vectors score alike anywhere
@@ -132,6 +143,7 @@ def _rerank(k: int):
         found = []
         for i in range(len(qid)):
             score = np.einsum("ij,j->i", v, q[i]) / (length * np.sqrt(np.einsum("j,j->", q[i], q[i])))
+            score = np.maximum.reduceat(score, each)
             score[ids == qid[i]] = -np.inf
             if len(ids) > k:  # everything as good as the k-th best, then the smallest ids
                 least = np.partition(score, len(score) - k)[len(score) - k]
@@ -157,14 +169,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, centroids: int = CE
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if top is None:
         return spark.createDataFrame([], empty)
-    rows = rows.where(F.size("v") == top["d"])
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) * F.lit(top["n"]) < F.lit(sample << 30)
-    drawn = rows.where(part).select("v").toArrow()  # about ``sample`` rows
+    distinct_path = new_work_path(spark, "llm-vectors")
+    rows = stage(rows.where(F.size("v") == top["d"]).groupBy("vec_id", "v").agg(F.max("asks").alias("asks")),
+                 "vectors", distinct_path)
+    n = rows.count()
+    part = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) * F.lit(n) < F.lit(sample << 30)
+    drawn = rows.where(part).select("vec_id", "v").toArrow()  # about ``sample`` rows
     if not drawn.num_rows:
-        drawn = rows.select("v").limit(sample).toArrow()
+        drawn = rows.select("vec_id", "v").limit(sample).toArrow()
     unit, half = _unit(_matrix(drawn.column("v"))), (top["d"] + 1) // 2
     c1, c2 = kmeans(unit[:, :half], centroids), kmeans(unit[:, half:], centroids) if top["d"] > 1 else np.zeros((1, 0))
-    wanted = int(np.ceil(share_needed(unit, half, c1, c2, k, recall) * top["n"])) + k + 1
+    known = drawn.column("vec_id").to_numpy()
+    wanted = int(np.ceil(share_needed(unit, known, half, c1, c2, k, recall) * n)) + k + 1
     books = spark.sparkContext.broadcast((c1, c2, half))
 
     def assign(batches):
@@ -178,10 +194,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, centroids: int = CE
 
     kind = rows.schema["v"].dataType.simpleString()
     index = stage(rows.mapInArrow(assign, f"vec_id bigint, v {kind}, asks boolean, cell int"), "multi-index")
-    sizes = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    entries = np.zeros(len(c1) * len(c2), dtype=np.int64)
-    entries[list(sizes)] = list(sizes.values())
-    counts = spark.sparkContext.broadcast(entries)
+    remove_path(spark, distinct_path)  # the index holds the same rows
+
+    def by_cell(part: DataFrame) -> np.ndarray:
+        out = np.zeros(len(c1) * len(c2), dtype=np.int64)
+        for r in part.groupBy("cell").agg(F.count("*").alias("n")).collect():
+            out[r["cell"]] = r["n"]
+        return out
+
+    heads = index.groupBy("vec_id").agg(F.min("cell").alias("cell"))  # an id may have vectors in many cells
+    counts = spark.sparkContext.broadcast((by_cell(index), by_cell(heads)))
 
     def probe(batches):
         a, b, cut = books.value
@@ -189,7 +211,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, centroids: int = CE
             if not x.num_rows:
                 continue
             u = _unit(_matrix(x.column("v")))
-            cells = [walk(p, q, counts.value, wanted)
+            entries, ids = counts.value
+            cells = [walk(p, q, entries, wanted, ids, k + 1)
                      for p, q in zip(_distances(u[:, :cut], a), _distances(u[:, cut:], b), strict=True)]
             at = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
             yield pa.RecordBatch.from_arrays(
@@ -201,7 +224,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, centroids: int = CE
     chunks = index.groupBy("cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     groups = probes.groupBy("cell").agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
     cut = stage(chunks.join(groups, "cell"), "cells")  # one row for each cell
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    deal = lambda c, n: F.pmod(F.xxhash64(c, "v"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = index.join(cut, "cell").select("cell", deal("vec_id", "chunks").alias("chunk"),
                                           spread("groups").alias("group"), "vec_id", "v")
@@ -211,5 +234,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, centroids: int = CE
     best = (left.groupBy(*task).cogroup(right.groupBy(*task))
             .applyInArrow(_rerank(k), "query_id bigint, vec_id bigint, score double"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (best.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order))
+    return (best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            .withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

@@ -190,6 +190,32 @@ def test_neighbours(spark):
     assert sorted((x.query_id, x.vec_id) for x in ann.search(two, F.lit(True)).collect()) == [(1, 2), (2, 1)]
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Rows given again change nothing; an id with many vectors takes one place, with its best score."""
+    r = random.Random(9)
+    rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(120)]
+    found = lambda rows: sorted(map(tuple, ann.search(
+        spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3),
+        F.col("vec_id") % 20 == 0, k=5, centroids=3, chunk=32, group=4).collect()))
+    once = found(rows)
+    assert len(once) == 6 * 5
+    assert found(rows * 6) == once
+    assert found(rows + [rows[20]] * 150 + [rows[7]] * 150) == once
+    many = [(7, [x + r.gauss(0, 0.01) for x in rows[20][1]]) for _ in range(90)]  # all near query 20
+    many += [(40, [r.gauss(0, 1) for _ in range(8)]) for _ in range(40)]  # a query of many vectors
+    got = defaultdict(dict)
+    for q, rank, i, score in found(rows + many):
+        got[q][rank] = (i, score)
+    import numpy as np
+    unit = lambda q: np.array([np.array(v) / np.linalg.norm(v) for i, v in rows + many if i == q])
+    for q in range(0, 120, 20):
+        assert sorted(got[q]) == [1, 2, 3, 4, 5] and len({i for i, _ in got[q].values()}) == 5
+        for i, score in got[q].values():
+            assert i != q and score <= (unit(q) @ unit(i).T).max() + 1e-12
+    best = (unit(20) @ unit(7).T).max()
+    assert got[20][1] == (7, pytest.approx(best, abs=1e-12))
+
+
 def test_html():
     assert html_text.extract_text(None) is None and html_text.extract_text("") == ""
     assert html_text.extract_text("plain & text") == "plain & text"
