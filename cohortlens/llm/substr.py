@@ -17,7 +17,8 @@ same one) is removed; windows are judged on the input.
 3. *Stream all documents* of the chunk through its automaton to locate every occurrence.
 
 Hot passages are counted with partial aggregates and reach a chunk once, however often
-they occur. Chunks are dealt by a hash of the id and the text, so that copies spread.
+they occur. The rows are written once with a number of their own, and chunks are dealt by a hash of that
+number, so that copies spread, be they alike in every column.
 Defined cases: a null text has no words, keeps a null text and loses nothing; texts of fewer
 than ``window`` words lose nothing; repeated rows are documents of their own; an empty table
 gives an empty result; a text column is needed, a clashing output column is replaced.
@@ -271,14 +272,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, id_col: st
                    text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Every column of ``docs`` plus ``n_words, n_removed, kept_text``.
 
-    ``kept_text`` holds the kept words joined by one space (null for a null text).
+    ``kept_text`` holds the kept words joined by one space (null for a null text). Ids play no part
+    (``id_col`` is not used).
     """
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    chunks = max(1, -(-int(size) // chunk_bytes))
-    chunk = F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).alias("chunk")
     row = F.struct(*[c for c in docs.columns if c != text_col]).alias("row")
-    texts = docs.select(F.col(text_col).alias("text"), chunk)
-    dealt = docs.select(F.col(text_col).alias("text"), chunk, row)
+    # written, so that a row has the same number in every pass and retry
+    rows = stage(docs.select(F.col(text_col).alias("text"), row, F.monotonically_increasing_id().alias("number")), "rows")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(1, -(-int(size) // chunk_bytes))
+    chunk = F.pmod(F.xxhash64("number"), F.lit(chunks)).alias("chunk")
+    texts = rows.select("text", chunk)
+    dealt = rows.select("text", chunk, "row")
     spark = docs.sparkSession
     runs_path = new_work_path(spark, "llm-runs")
     runs = stage(texts.mapInArrow(_runs(window, k), "chunk bigint, g bigint, r bigint, n bigint"), "runs", runs_path)

@@ -110,6 +110,28 @@ def test_substring_random(spark):
         assert [got[i] for i in range(len(texts))] == brute.without_repeats(texts, window)
 
 
+def test_substring_spreads_repeated_rows(spark, monkeypatch):
+    """Wholly repeated rows, and copies without an id, don't meet in one task."""
+    cover = substr._cover
+
+    def watched(window, k, names):
+        inner = cover(window, k, names)
+
+        def run(texts, info):
+            if texts.num_rows > 60:
+                raise ValueError(f"{texts.num_rows} rows in a chunk")
+            return inner(texts, info)
+        return run
+
+    monkeypatch.setattr(substr, "_cover", watched)
+    for one in ((1, TEXT[0]), (None, TEXT[0])):
+        rows = [one] * 300 + [(i, TEXT[1] + f" {i}") for i in range(2, 4)] + [(5, TEXT[2])]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+        got = Counter((x.doc_id, x.n_words, x.n_removed, x.kept_text)
+                      for x in substr.remove_repeats(df, chunk_bytes=20 * len(TEXT[0])).collect())
+        assert got == Counter((i, *x) for (i, _), x in zip(rows, brute.without_repeats([t for _, t in rows]), strict=True))
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix_sizes(docs).collect()
     sizes = Counter({s: 0 for *_, s in ROWS})
