@@ -2,8 +2,9 @@
 
 A sketch keeps every distinct shingle hash (XXH64 of five consecutive words) below a fixed
 fraction ``1 / scale`` of the hash range. Sketches of two texts of any lengths can be merged (union)
-and compared: the kept hashes are the same sample of both. A text with at most ``whole`` distinct
-shingles keeps them all; comparing it with a longer one uses the hashes below the fraction.
+and compared: the kept hashes are the same sample of both. A text with at most ``whole``
+shingles keeps them all, and its sketch says so (``whole``); comparing or merging it with one that doesn't uses the
+hashes below the fraction only.
 
 Defined cases: a null text counts as empty; a text without words has no shingles, one with
 fewer words than a shingle is one shingle. Two sketches that are both empty where they are compared
@@ -31,7 +32,7 @@ def _below(scale: int) -> Column:
 
 
 def sketch(text: Column, words: int = WORDS, scale: int = SCALE, whole: int = WHOLE) -> Column:
-    """Sorted distinct kept shingle hashes of ``text`` (array of long)."""
+    """Whether all shingle hashes of ``text`` are kept, and the sorted distinct kept ones: struct (whole, hashes)."""
     parts = F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP_RE), "")
 
     def kept(w: Column) -> Column:
@@ -39,10 +40,10 @@ def sketch(text: Column, words: int = WORDS, scale: int = SCALE, whole: int = WH
         hashes = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
                                               lambda i: F.xxhash64(F.slice(w, i, words)))
                         ).otherwise(F.array().cast("array<bigint>"))
-        return _each(hashes, lambda h: F.array_distinct(
-            F.when(F.size(h) <= whole, h).otherwise(F.filter(h, lambda x: x < _below(scale)))))
+        return _each(hashes, lambda h: F.struct((F.size(h) <= whole).alias("whole"), F.sort_array(F.array_distinct(
+            F.when(F.size(h) <= whole, h).otherwise(F.filter(h, lambda x: x < _below(scale))))).alias("hashes")))
 
-    return F.sort_array(_each(parts, kept))
+    return _each(parts, kept)
 
 
 def _each(value: Column, use) -> Column:
@@ -50,40 +51,40 @@ def _each(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def is_whole(text_sketch: Column, scale: int = SCALE) -> Column:
-    """Whether a sketch holds hashes above the fraction, that is, all hashes of its text."""
-    return F.coalesce(F.try_element_at(text_sketch, F.lit(-1)) >= _below(scale), F.lit(False))
+def is_whole(text_sketch: Column) -> Column:
+    """Whether a sketch holds all hashes of its text."""
+    return text_sketch["whole"]
 
 
 def common_part(s: Column, other: Column, scale: int = SCALE) -> Column:
-    """``s`` as far as it can be compared with ``other``."""
-    return F.when(is_whole(s, scale) & ~is_whole(other, scale),
-                  F.filter(s, lambda x: x < _below(scale))).otherwise(s)
+    """The hashes of ``s`` that can be compared with those of ``other``."""
+    return F.when(is_whole(s) & ~is_whole(other),
+                  F.filter(s["hashes"], lambda x: x < _below(scale))).otherwise(s["hashes"])
 
 
 def fingerprint(s: Column) -> Column:
     """A sketch as text: 16 lowercase hex digits for each hash."""
-    return F.array_join(F.transform(s, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    return F.array_join(F.transform(s["hashes"], lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Estimated share of the shingles of both texts that they have in common."""
     x, y = common_part(a, b, scale), common_part(b, a, scale)
     both, either = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
-    return F.when(either > 0, both / either).otherwise(F.when(a == b, 1.0).otherwise(0.0))
+    return F.when(either > 0, both / either).otherwise(F.when(a["hashes"] == b["hashes"], 1.0).otherwise(0.0))
 
 
 def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Estimated share of the shingles of ``a``'s text that ``b``'s text has too."""
     x, y = common_part(a, b, scale), common_part(b, a, scale)
     return F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x)).otherwise(
-        F.when(a == b, 1.0).otherwise(0.0))
+        F.when(a["hashes"] == b["hashes"], 1.0).otherwise(0.0))
 
 
-def merge(a: Column, b: Column) -> Column:
-    """Sketch of two texts together (where one was kept whole and the other not, compare the merged
-    sketch below the fraction only)."""
-    return F.sort_array(F.array_union(a, b))
+def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Sketch of two texts together; whole if both are, else of the hashes below the fraction."""
+    return F.struct((is_whole(a) & is_whole(b)).alias("whole"),
+                    F.sort_array(F.array_union(common_part(a, b, scale), common_part(b, a, scale))).alias("hashes"))
 
 
 def _key(id_col: str = "doc_id") -> list[Column]:

@@ -300,6 +300,25 @@ def test_sketch_likeness(spark):
     assert got[1][3] == 1.0  # b's sketch adds nothing to a's
 
 
+def test_sketch_merge_of_unequal_texts(spark):
+    """A short text's sketch holds all hashes, a long one's a sample: merged, they are a sample."""
+    r = random.Random(21)
+    short, long = (" ".join(r.choice(VOCAB) for _ in range(n)) for n in (200, 8000))
+    passage = " ".join(long.split()[3000:3200])
+    df = spark.createDataFrame([(short, long, passage)], "s string, l string, p string").select(
+        *(sketch.sketch(F.col(c)).alias(c) for c in "slp"), sketch.sketch(F.lit("")).alias("none"))
+    s, l, p, none = map(F.col, df.columns)  # noqa: E741
+    both, back = sketch.merge(s, l), sketch.merge(l, s)
+    got = df.select(sketch.containment(p, both), sketch.containment(s, both), sketch.containment(p, back),
+                    sketch.containment(l, both), sketch.likeness(both, l), sketch.fingerprint(both) == sketch.fingerprint(back),
+                    sketch.containment(s, sketch.merge(s, none)), sketch.containment(p, sketch.merge(both, none)),
+                    sketch.likeness(sketch.merge(s, p), s)).first()
+    assert got[:4] == (1.0,) * 4
+    assert got[4] == pytest.approx(brute.jaccard(brute.shingles(short) | brute.shingles(long), brute.shingles(long)), abs=0.02)
+    assert got[5:8] == (True, 1.0, 1.0)
+    assert got[8] == brute.jaccard(brute.shingles(short) | brute.shingles(passage), brute.shingles(short))  # both whole: exact
+
+
 def _encoding():
     with open(VOCABULARY, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
