@@ -7,8 +7,8 @@ text are looked up, the bits of each language counted (popcount), and the share
 corrected for the false positives that the language's filter gives by its fill:
 ``(hits / n - f) / (1 - f)``. The largest corrected share decides; the score is its part of all.
 
-Learning: n-grams are counted over a bounded, documented sample of the labelled texts,
-``sample`` rows at most per language, taken by a hash of the row. An n-gram enters a
+Learning: n-grams are counted over a bounded, documented sample of the labelled texts, about
+``sample`` distinct texts at most per language, taken by a hash of the text; copies of a text count once. An n-gram enters a
 language's filter when it makes up at least ``min_share`` of the language's n-grams, so a filter
 has at most ``1 / min_share`` of them whatever the corpus size. Any number of languages is
 possible (64 to a word of the bitmask).
@@ -136,17 +136,18 @@ def learn(labelled: DataFrame, min_share: float = MIN_SHARE, sample: int = SAMPL
           text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Filters from ``labelled(text, lang)``; rows with a null text or language are not used.
 
-    About ``sample`` rows of each language are read, by a hash of the text; the counting itself is a
+    About ``sample`` distinct texts of each language are read, by a hash of the text; the counting itself is a
     Spark aggregate, and each language sends at most ``1 / min_share`` n-grams to the driver.
     """
     rows = (labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
             .where("lang is not null and text is not null"))
     # one number for each language, as many as the filters have bits
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    hashes = rows.select("lang", F.xxhash64("text").alias("th")).distinct()
+    sizes = {r["lang"]: r["n"] for r in hashes.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Filters({})
     limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, (sample << 20) // n)])
-    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < limit[F.col("lang")])
+    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < limit[F.col("lang")]).distinct()
 
     def count(batches):
         for b in text_slices(batches, "text", 4 << 20):

@@ -363,6 +363,22 @@ def test_languages(docs, empty, spark):
     assert {(r.lang_pred, r.score) for r in langid.identify(docs, none).collect()} == {("und", 0.0)}
 
 
+def test_language_sample_counts_a_text_once(spark):
+    """Copies of a text weigh nothing: the filters are those of the distinct texts."""
+    r = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {lang: ["".join(r.choice(letters) for _ in range(6)) for _ in range(50)] for lang in ("l1", "l2")}
+    rows = [(" ".join(r.choice(words[lang]) for _ in range(30)), lang) for lang in words for _ in range(60)]
+    copy = [("zzzz qqqq " * 40, "l1")]
+    learn = lambda rows, **a: langid.learn(
+        spark.createDataFrame(rows, "text string, lang string").repartition(4), min_share=0.001, **a)
+    once, often = learn(rows + copy), learn(rows + copy * 3000)
+    assert once.names == often.names and (once.table == often.table).all()
+    # a part of the texts: the same ones, whatever their copies
+    few, many = learn(rows, sample=20), learn(rows * 5, sample=20)
+    assert (few.table == many.table).all()
+
+
 def test_filters_hold_many_languages():
     import numpy as np
     r = random.Random(1)
