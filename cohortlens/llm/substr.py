@@ -14,7 +14,10 @@ same one) is removed; windows are judged on the input.
    gets the recurring anchors and windows that concern it, cuts its recurring
    passages (maximal stretches of recurring windows) and compiles the distinct ones into one
    Aho-Corasick automaton over words.
-3. *Stream all documents* of the chunk through its automaton to locate every occurrence.
+3. *Stream all documents* of the chunk through its automaton, which marks the words to cut.
+
+Which words recur is found by the hashes of steps 1 and 2 alone: the passages of a chunk are cut from its own
+texts, so its automaton meets the same occurrences again and is no check of the hashes.
 
 Hot passages are counted with partial aggregates and reach a chunk once, however often
 they occur. The rows are written once with a number of their own, and chunks are dealt by a hash of that
