@@ -9,6 +9,9 @@ The k-th unit of a source takes block ``perm_s(k mod blocks)``, so every pass ov
 a source uses each block once and no block is taken more than ``ceil(target / size)`` times.
 Slots and blocks meet in a join on (source, block).
 
+How often a block is taken follows from the units alone, which are fixed numbers: the draw orders the slots,
+and only ``mix_slots`` gives that order. ``mix_sizes`` and ``mix_texts`` sum and regroup by document.
+
 Permutations are swap-or-not shuffles: in every round the index x and its partner
 (key - x) mod n are swapped if a hash bit of the larger one says so. They need no state, so slots are
 dealt in parallel, and equal seeds give equal mixes.
@@ -151,6 +154,16 @@ def _taken(sizes: DataFrame, block: int, shard: int) -> tuple[DataFrame, DataFra
     return sources, pack(sizes, sources, block).join(times, ["sid", "block"], "left").fillna(0, ["times"])
 
 
+def mix_slots(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """The mix in drawn order: ``(shard, slot, source, block, doc_id, row, start, offset, words)``, a row for each
+    piece of a document in the block that the slot takes (by ``start`` within the slot)."""
+    sizes = _sizes(docs)
+    sources = stage(source_targets(sizes), "sources")
+    drawn = slots(_plan(sources, block), shard).join(sources.select("sid", "source"), "sid")
+    return (drawn.join(pack(sizes, sources, block).drop("size"), ["sid", "block"])
+            .select("shard", "slot", "source", "block", "doc_id", "row", "start", "offset", "words"))
+
+
 def mix_sizes(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` of every row."""
     sizes = _sizes(docs)

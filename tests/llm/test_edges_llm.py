@@ -161,6 +161,24 @@ def test_mixing(docs, empty):
     assert mixing.mix_sizes(empty).count() == 0 and mixing.mix_texts(empty).count() == 0
 
 
+def test_mix_in_drawn_order(docs, empty):
+    """The blocks by shard and slot are the mix that the sizes tell of."""
+    rows = mixing.mix_slots(docs, block=16, shard=100).collect()
+    by_slot, by_doc, sources = Counter(), Counter(), defaultdict(set)
+    for r in rows:
+        assert r.shard == r.slot // 100
+        by_slot[r.slot] += r.words
+        by_doc[r.doc_id] += r.words
+        sources[r.slot].add((r.source, r.block))
+    assert sorted(by_slot) == list(range(len(by_slot))) and all(len(x) == 1 for x in sources.values())
+    assert max(by_slot.values()) <= 16
+    taken = Counter()
+    for r in mixing.mix_sizes(docs, block=16, shard=100).collect():
+        taken[r.doc_id] += r.taken
+    assert +by_doc == +taken
+    assert mixing.mix_slots(empty).count() == 0
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100, 1023):
         df = spark.range(n).select(mixing.permute(F.col("id"), F.lit(n), F.lit(3)).alias("p"))
