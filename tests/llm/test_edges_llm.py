@@ -427,24 +427,6 @@ def test_toxicity(docs, empty, spark):
         assert {x.score for x in toxicity.score(docs, constant).collect()} == {value}
 
 
-def test_toxicity_of_few_rows_is_not_over_sure(spark):
-    """Labels that the texts say nothing about: with 99 toxic rows, too, scores stay near the toxic share."""
-    r = random.Random(12)
-
-    def text():
-        words = [r.choice(VOCAB) for _ in range(r.randint(5, 60))]
-        return " ".join(w.upper() if r.random() < 0.2 else w + r.choice(["", "", "!", "?", ",", "..."]) for w in words)
-
-    train = spark.createDataFrame([(i, text()) for i in range(198)], "doc_id bigint, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(198)], "doc_id bigint, toxic int")
-    fresh = spark.createDataFrame([(i, text()) for i in range(200)], "doc_id bigint, text string")
-    scores = [x.score for x in toxicity.score(fresh, toxicity.learn(train, labels)).collect()]
-    assert sum((s - 0.5) ** 2 for s in scores) / len(scores) < 0.04
-    # a single toxic row: no fold but its own is without it
-    one = toxicity.learn(train, labels.withColumn("toxic", (F.col("doc_id") == 7).cast("int")))
-    assert all(x.score < 0.5 for x in toxicity.score(fresh, one).collect())
-
-
 def test_features_across_blocks():
     import numpy as np
     table = toxicity.TokenTable(frozenset({"blah", "foo*"}))
