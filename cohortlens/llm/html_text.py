@@ -3,14 +3,19 @@
 A tree builder reads the tags (implied ``html``/``head``/``body``, ``p``, ``li``, ``dt``/``dd``, ``option``,
 ``tr``, ``td``, ``tbody`` and their implied ends; void elements; raw text), visibility rules drop what a
 browser doesn't show (``head``, scripts, styles, templates, comments, ``hidden``, ``display:none``,
-``visibility:hidden``, closed ``details``), and a renderer emits all the rest: blocks on lines of their
-own with blank lines around paragraphs and headings, list items with bullets or numbers and
-indents, table rows with aligned cells, ``pre`` as it stands.
+closed ``details``; what ``visibility`` hides, but for parts that it shows again), and a renderer emits all
+the rest: blocks on lines of their own with blank lines around paragraphs and headings, list
+items with bullets or numbers and indents, table rows with aligned cells, ``pre`` as it stands.
+
+The tags are read once from left to right, and tree and text are made with stacks of their own, so that
+neither broken markup nor any depth costs more than its length (cells of tables within tables are laid out
+once for each table around them).
 
 Defined cases: null html gives null text; empty html, or one without visible text, gives an empty
-string; html without tags is rendered as text; tags that are never closed end with the
-page; nesting beyond ``DEEPEST`` levels is flattened, its text kept; repeated rows each give a row;
-an empty table gives an empty result; a clashing output column is replaced.
+string; html without tags is rendered as text; elements that are never closed end with the
+page; a tag whose quote is never closed ends at the next ``>``, and is text if there is none; indents
+grow to ``INDENT`` columns; repeated rows each give a row; an empty table gives an empty result; a
+clashing output column is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import text_slices
 
-DEEPEST = 200
+INDENT = 120  # columns: deeper lists and quotes are not indented further
 
 # Element names of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,13 +63,11 @@ CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption optio
 #: an end tag doesn't reach out of these
 SCOPES = frozenset("html body td th table caption".split())
 
-_TOKEN = re.compile(
-    r"<(?:!--(?P<comment>.*?)(?:-->|--!>|\Z)|(?P<bogus>[!?][^>]*+>?)"
-    r"|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|(?P<broken>/?[a-zA-Z][^>]*+>))", re.S)
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_UNQUOTED = re.compile(r"[^>\"']*+")
+_HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 class Node:
@@ -82,7 +85,7 @@ def _attrs(text: str) -> dict[str, str]:
 
 
 class Builder:
-    """The tree of a page; ``open`` is the path of open elements."""
+    """The tree of a page; ``open`` is the path of open elements, ``places`` where each name stands in it."""
 
     def __init__(self) -> None:
         self.root = Node("html", {})
@@ -90,17 +93,19 @@ class Builder:
         self.root.children.append(self.body)
         self.head: Node | None = None
         self.open = [self.root, self.body]
+        self.places: dict[str, list[int]] = {}
 
     def _end_to(self, at: int) -> None:
-        del self.open[max(at, 2):]
+        while len(self.open) > max(at, 2):
+            self.places[self.open.pop().name].pop()
+
+    def _last(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
 
     def _nearest(self, names, walls) -> int:
-        for i in range(len(self.open) - 1, 1, -1):
-            if self.open[i].name in names:
-                return i
-            if self.open[i].name in walls:
-                break
-        return -1
+        """Place of the innermost open element of these names, unless a wall is further in; else -1."""
+        at = self._last(names)
+        return at if at > self._last(walls) else -1
 
     def start(self, name: str, attrs: dict[str, str]) -> None:
         if name in ("html", "body"):
@@ -114,7 +119,7 @@ class Builder:
             if self.head is None and len(self.open) == 2 and not self.body.children:
                 self.head = Node("head", attrs)
                 self.root.children.insert(0, self.head)
-                self.open.append(self.head)
+                self._enter(self.head)
             return
         if name not in HEAD_ONLY:
             self._leave_head()
@@ -127,8 +132,8 @@ class Builder:
             self._push(Node("tr", {}))
         if name == "tr" and self.open[-1].name == "table":
             self._push(Node("tbody", {}))
-        if re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", self.open[-1].name):
-            self.open.pop()
+        if name in _HEADING and self.open[-1].name in _HEADING:
+            self._end_to(len(self.open) - 1)
         node = Node(name, attrs)
         if name in VOID:
             self.open[-1].children.append(node)
@@ -137,8 +142,11 @@ class Builder:
 
     def _push(self, node: Node) -> None:
         self.open[-1].children.append(node)
-        if len(self.open) < DEEPEST:
-            self.open.append(node)
+        self._enter(node)
+
+    def _enter(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.open))
+        self.open.append(node)
 
     def _leave_head(self) -> None:
         if len(self.open) > 2 and self.open[2] is self.head:
@@ -151,7 +159,7 @@ class Builder:
             self.start("br", {})
             return
         walls = () if name in SCOPES or name in ("tr", "tbody", "thead", "tfoot") else SCOPES
-        names = ("h1", "h2", "h3", "h4", "h5", "h6") if re.fullmatch("h[1-6]", name) else (name,)
+        names = _HEADING if name in _HEADING else (name,)
         if (at := self._nearest(names, walls)) >= 0:
             self._end_to(at)
 
@@ -162,79 +170,182 @@ class Builder:
             self.open[-1].children.append(data)
 
 
-def parse(source: str) -> Node:
-    """The tree of ``source``."""
-    tree, at = Builder(), 0
-    while True:
-        m = _TOKEN.search(source, at)
-        if m is None:
-            tree.text(html.unescape(source[at:]))
-            return tree.root
-        if m.start() > at:
-            tree.text(html.unescape(source[at:m.start()]))
-        at = m.end()
-        name = m["name"] or (re.match("/?([a-zA-Z][^\\s/>]*)", m["broken"])[1] if m["broken"] else None)
+class Source:
+    """A page read from left to right; what a search has found holds until the reader has passed it."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.ahead: dict[str, int] = {}
+        self.endless: set[int] = set()  # places in tags from which no tag end follows outside quotes
+
+    def find(self, what: str, at: int) -> int:
+        """The first ``what`` from ``at`` on (places asked for may only grow by ``what``), or -1."""
+        known = self.ahead.get(what, 0)
+        if known != -1 and known <= at:
+            known = self.ahead[what] = self.text.find(what, at)
+        return known
+
+    def tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag, or -1 if a quote is never closed."""
+        text, passed = self.text, []
+        while at not in self.endless:
+            passed.append(at)
+            at = _UNQUOTED.match(text, at).end()
+            if at < len(text) and text[at] == ">":
+                return at
+            close = text.find(text[at], at + 1) if at < len(text) else -1
+            if close < 0:
+                break
+            at = close + 1
+        self.endless.update(passed)
+        return -1
+
+
+def tokens(page: str):
+    """``(kind, name, value)``: text, start and end tags; after the start tag of raw text, its text and end."""
+    source, at, shown = Source(page), 0, 0
+    while (at := page.find("<", at)) >= 0:
+        after, name = at + 1, None
+        if page.startswith("!--", after):
+            ends = [e + n for e, n in ((source.find("-->", at + 4), 3), (source.find("--!>", at + 4), 4)) if e >= 0]
+            stop = min(ends, default=len(page))
+        elif page[after:after + 1] in ("!", "?"):
+            stop = source.find(">", at) + 1 or len(page)
+        else:
+            ending = page.startswith("/", after)
+            m = _NAME.match(page, after + ending)
+            if m is None or source.find(">", at) < 0:
+                if m is not None:
+                    break  # no tag ends any more: the rest is text
+                at += 1
+                continue
+            close = source.tag_end(m.end())
+            name, attrs = m[0].lower(), page[m.end():close] if close >= 0 else ""
+            stop = (close if close >= 0 else page.find(">", at)) + 1
+        if at > shown:
+            yield "text", "", html.unescape(page[shown:at])
+        at = shown = stop
         if name is None:
             continue
-        name = name.lower()
-        if m["end"] or (m["broken"] or "").startswith("/"):
-            tree.end(name)
+        if ending:
+            yield "end", name, ""
             continue
-        tree.start(name, _attrs(m["attrs"] or ""))
+        yield "start", name, attrs
         if name in RAW:
-            stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-            body = source[at:stop.start()] if stop else source[at:]
-            if tree.open[-1].name == name:
-                tree.text(html.unescape(body) if name in ("textarea", "title") else body)
-                tree.open.pop()
-            at = stop.end() if stop else len(source)
+            stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            body = page[at:stop.start()] if stop else page[at:]
+            yield "raw", name, html.unescape(body) if name in ("textarea", "title") else body
+            at = shown = stop.end() if stop else len(page)
+    if shown < len(page):
+        yield "text", "", html.unescape(page[shown:])
+
+
+def parse(page: str) -> Node:
+    """The tree of ``page``."""
+    tree = Builder()
+    for kind, name, value in tokens(page):
+        if kind == "text":
+            tree.text(value)
+        elif kind == "end":
+            tree.end(name)
+        elif kind == "start":
+            tree.start(name, _attrs(value))
+        elif tree.open[-1].name == name:
+            tree.text(value)
+            tree.end(name)
+    return tree.root
+
+
+def _style(node: Node) -> dict[str, str]:
+    """The inline declarations that bear on visibility; the last of each counts."""
+    out = {}
+    if "style" in node.attrs:
+        for part in node.attrs["style"].lower().split(";"):
+            name, _, value = part.partition(":")
+            if name.strip() in ("display", "visibility"):
+                out[name.strip()] = value.replace("!important", "").strip()
+    return out
 
 
-def visible(node: Node) -> bool:
+def rendered(node: Node) -> bool:
+    """Whether the node or something in it can be seen at all."""
     if node.name in UNSEEN or "hidden" in node.attrs:
         return False
     if node.name == "input" and node.attrs.get("type", "").lower() == "hidden":
         return False
-    return not ("style" in node.attrs and _UNSEEN_STYLE.search(node.attrs["style"]))
+    return _style(node).get("display") != "none"
+
+
+def shows(node: Node, inherited: bool) -> bool:
+    """Whether the node's own text is visible: its own ``visibility``, or that around it."""
+    own = _style(node).get("visibility")
+    return own not in ("hidden", "collapse") if own in ("hidden", "collapse", "visible") else inherited
+
+
+def run(work):
+    """Run a generator that yields the generators it needs the results of, on a stack of its own."""
+    stack, value = [work], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
 
 
 def _width(text: str) -> int:
+    if text.isascii():
+        return len(text)
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
 class Renderer:
-    """Lines of text; ``gap`` is how many line ends are due before the next text."""
+    """Lines of text (the last one in ``parts``); ``gap`` is how many line ends are due before the next text."""
 
     def __init__(self) -> None:
-        self.lines: list[str] = [""]
+        self.lines: list[str] = []
+        self.parts: list[str] = []
         self.gap, self.space, self.marker = 0, False, ""
         self.indent = ""
+        self.some = False  # whether there is text in any line
+        self.inked = False  # whether the last line has more than blanks
+        self.put_count = 0
 
     def due(self, n: int) -> None:
         self.gap, self.space = max(self.gap, n), False
 
+    def _end_line(self) -> None:
+        self.lines.append("".join(self.parts))
+        self.parts, self.inked = [], False
+
     def _begin(self) -> None:
-        if self.gap and any(self.lines):
-            if self.lines[-1] == "" and len(self.lines) > 1:
+        if self.gap and self.some:
+            if not self.parts and self.lines:
                 self.gap -= 1
-            self.lines += [""] * self.gap
+            for _ in range(self.gap):
+                self._end_line()
         self.gap = 0
 
     def put(self, text: str) -> None:
         self._begin()
-        if self.lines[-1] == "":
-            self.lines[-1] = self.indent[:len(self.indent) - len(self.marker)] + self.marker if self.marker else self.indent
-            self.marker, self.space = "", False
+        if not self.parts:
+            lead = self.indent[:len(self.indent) - len(self.marker)] + self.marker if self.marker else self.indent
+            if lead:
+                self.parts.append(lead)
+            self.inked, self.marker, self.space = bool(self.marker), "", False
         if self.space:
-            self.lines[-1] += " "
-        self.lines[-1] += text
-        self.space = False
+            self.parts.append(" ")
+        self.parts.append(text)
+        self.some, self.inked, self.space = True, self.inked or not text.isspace(), False
+        self.put_count += 1
 
     def words(self, text: str) -> None:
         """Running text: blanks collapse."""
         body = _BLANK.sub(" ", text)
         core = body.strip(" ")
-        if body[:1] == " " and self.gap == 0 and self.lines[-1].strip():
+        if body[:1] == " " and self.gap == 0 and self.inked:
             self.space = True
         if core:
             self.put(core)
@@ -245,7 +356,7 @@ class Renderer:
         for i, line in enumerate(text.replace("\r\n", "\n").split("\n")):
             if i:
                 self._begin()
-                self.lines.append("")
+                self._end_line()
             if line:
                 self.put(line)
         self.space = False
@@ -263,16 +374,16 @@ class Renderer:
         self.due(spaced)
 
     def result(self) -> str:
-        lines = [x.rstrip(" ") for x in self.lines]
-        return "\n".join(lines).strip("\n")
+        return "\n".join(x.rstrip(" ") for x in [*self.lines, "".join(self.parts)]).strip("\n")
 
-    def node(self, node: Node, pre: bool = False) -> None:
+    def node(self, node: Node, seen: bool, pre: bool = False):
         name = node.name
-        if not visible(node):
+        if not rendered(node):
             return
+        seen = shows(node, seen)
         if name == "br":
             self._begin()
-            self.lines.append("")
+            self._end_line()
             self.space = False
             return
         if name == "hr":
@@ -280,34 +391,38 @@ class Renderer:
             return
         if name == "input":
             value = node.attrs.get("value", "")
-            if value and node.attrs.get("type", "text").lower() not in ("checkbox", "radio", "password", "image"):
+            if seen and value and node.attrs.get("type", "text").lower() not in ("checkbox", "radio", "password", "image"):
                 self.words(value)
             return
         if name == "table":
-            self.block(render_table(node), 2)
+            text = yield render_table(node, seen)
+            self.block(text, 2)
             return
         if name in ("ul", "ol", "menu", "dir"):
-            self.list(node)
+            yield self.list(node, seen)
             return
         spaced = 2 if name in SPACED else 1
         before = self.indent
         if name in BLOCK:
             self.due(spaced)
-        if name in ("blockquote", "dd"):
+        if name in ("blockquote", "dd") and len(self.indent) < INDENT:
             self.indent += "    "
         closed = name == "details" and "open" not in node.attrs
         keep = pre or name in ("pre", "textarea", "xmp")
-        for child in node.children:
-            if isinstance(child, str):
-                if not closed:
-                    self.raw(child.removeprefix("\n") if keep and child is node.children[0] and not pre else child) if keep else self.words(child)
-            elif not closed or child.name == "summary":
-                self.node(child, keep)
+        for i, child in enumerate(node.children):
+            if not isinstance(child, str):
+                if not closed or child.name == "summary":
+                    yield self.node(child, seen, keep)
+            elif seen and not closed:
+                if keep:
+                    self.raw(child.removeprefix("\n") if i == 0 and not pre else child)
+                else:
+                    self.words(child)
         self.indent = before
         if name in BLOCK:
             self.due(spaced)
 
-    def list(self, node: Node) -> None:
+    def list(self, node: Node, seen: bool):
         nested = bool(self.indent.strip(" ") == "" and self.indent)
         self.due(1 if nested else 2)
         try:
@@ -316,14 +431,15 @@ class Renderer:
             number = 1
         for child in node.children:
             if isinstance(child, str):
-                if child.strip():
+                if seen and child.strip():
                     self.words(child)
                 continue
             if child.name != "li":
-                self.node(child)
+                yield self.node(child, seen)
                 continue
-            if not visible(child):
+            if not rendered(child):
                 continue
+            shown = shows(child, seen)
             if node.name == "ol":
                 try:
                     number = int(child.attrs.get("value", number))
@@ -333,99 +449,116 @@ class Renderer:
                 number += 1
             else:
                 marker = "- "
-            before = self.indent
+            before, count = self.indent, self.put_count
             self.due(1)
-            self.indent, self.marker = before + " " * len(marker), marker
+            if len(before) < INDENT:
+                self.indent = before + " " * len(marker)
+            self.marker = marker if shown else ""
             for c in child.children:
-                self.words(c) if isinstance(c, str) else self.node(c)
+                if isinstance(c, str):
+                    if shown:
+                        self.words(c)
+                else:
+                    yield self.node(c, shown)
+            if shown and self.put_count == count:  # an item without text keeps its line
+                self.marker = marker
+                self.put("")
             self.indent, self.marker = before, ""
             self.due(1)
         self.due(1 if nested else 2)
 
 
-def render(node: Node) -> str:
-    """Visible text of the children of ``node``."""
+def render(nodes: list, seen: bool = True):
+    """Visible text of nodes and texts."""
     out = Renderer()
-    for c in node.children:
-        out.words(c) if isinstance(c, str) else out.node(c)
+    for c in nodes:
+        if isinstance(c, str):
+            if seen:
+                out.words(c)
+        else:
+            yield out.node(c, seen)
     return out.result()
 
 
-def _span(node: Node, name: str) -> int:
+def _span(node: Node, name: str, most: int) -> int:
+    """A span of at least 1, up to the standard's limit; a rowspan of 0 reaches as far as a row can."""
     try:
-        return min(max(int(node.attrs.get(name, "1")), 1), 100)
+        n = int(node.attrs.get(name, "1"))
     except ValueError:
         return 1
+    return most if n == 0 and name == "rowspan" else min(max(n, 1), most)
 
 
-def render_table(table: Node) -> str:
+def render_table(table: Node, seen: bool):
     """Rows with their cells aligned; captions and stray content above."""
-    above, rows = [], []
+    above: list[str] = []
+    rows: list[list[tuple[list[str], int, int]]] = []
 
-    def collect(node: Node) -> None:
+    def collect(node: Node, seen: bool):
         for c in node.children:
             if isinstance(c, str):
-                if c.strip():
+                if seen and c.strip():
                     above.append(_BLANK.sub(" ", c).strip())
-            elif not visible(c) or c.name in ("colgroup", "col"):
+            elif not rendered(c) or c.name in ("colgroup", "col"):
                 continue
             elif c.name in ("tbody", "thead", "tfoot"):
-                collect(c)
+                yield collect(c, shows(c, seen))
             elif c.name == "tr":
-                cells = []
+                cells, shown = [], shows(c, seen)
                 for d in c.children:
                     if isinstance(d, str):
-                        if d.strip():
+                        if shown and d.strip():
                             above.append(_BLANK.sub(" ", d).strip())
                     elif d.name in ("td", "th"):
-                        cells.append((render(d).split("\n") if visible(d) else [""], _span(d, "colspan"),
-                                      _span(d, "rowspan")))
-                    elif visible(d):
-                        above.append(render(_wrap(d)))
+                        text = (yield render(d.children, shows(d, shown))) if rendered(d) else ""
+                        cells.append((text.split("\n"), _span(d, "colspan", 1000), _span(d, "rowspan", 65534)))
+                    else:
+                        above.append((yield render([d], shown)))
                 rows.append(cells)
             else:
-                above.append(render(_wrap(c)))
-
-    collect(table)
-    grid: list[list[list[str]]] = []
-    held: dict[int, int] = {}  # columns that a cell of an earlier row reaches into
-    for cells in rows:
-        line: list[list[str]] = []
-        todo = list(cells)
-        while todo or held.get(len(line), 0) > 0:
-            if held.get(len(line), 0) > 0:
-                held[len(line)] -= 1
-                line.append([""])
-                continue
-            text, wide, high = todo.pop(0)
-            for i in range(wide):
-                if high > 1:
-                    held[len(line)] = high - 1
-                line.append(text if i == 0 else [""])
+                above.append((yield render([c], seen)))
+
+    yield collect(table, seen)
+    grid: list[list[tuple[int, list[str]]]] = []  # by row: column and text of the cells that start there
+    held: list[tuple[int, int, int]] = []  # columns from, to and last row of cells that reach down, in order
+    for row, cells in enumerate(rows):
+        line, down, at, todo = [], [], 0, iter(held)
+        taken = next(todo, None)
+        for text, wide, high in cells:
+            while taken and taken[0] <= at:
+                at, taken = max(at, taken[1]), next(todo, None)
+            line.append((at, text))
+            if high > 1:
+                down.append((at, at + wide, row + high - 1))
+            at += wide
         grid.append(line)
-    count = max(map(len, grid), default=0)
-    widths = [max((_width(t) for line in grid if len(line) > c for t in line[c]), default=0) for c in range(count)]
+        held = sorted(h for h in [*held, *down] if h[2] > row)
+    # columns in which no cell starts have no text to align
+    columns = {c: i for i, c in enumerate(sorted({c for line in grid for c, _ in line}))}
+    widths = [0] * len(columns)
+    for line in grid:
+        for c, text in line:
+            widths[columns[c]] = max(widths[columns[c]], *map(_width, text))
     out = [x for x in above if x]
     for line in grid:
-        for k in range(max((len(c) for c in line), default=0)):
-            parts = [c[k] if k < len(c) else "" for c in line]
+        for k in range(max((len(t) for _, t in line), default=0)):
+            parts = [""] * (columns[line[-1][0]] + 1)
+            for c, text in line:
+                if k < len(text):
+                    parts[columns[c]] = text[k]
             padded = [p + " " * (widths[i] - _width(p)) for i, p in enumerate(parts)]
             out.append(" | ".join(padded).rstrip(" |") if not any(parts) else " | ".join(padded).rstrip(" "))
     return "\n".join(x for x in out if x)
 
 
-def _wrap(node: Node) -> Node:
-    outer = Node("div", {})
-    outer.children.append(node)
-    return outer
-
-
 def extract_text(source: str | None) -> str | None:
     """All visible text of an HTML page."""
     if source is None:
         return None
     root = parse(source)
-    return render(root) if visible(root) else ""
+    if not rendered(root):
+        return ""
+    return run(render(root.children, shows(root, True)))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
