@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from .common import share, shared, text_slices
 
 LONG = 512
-CACHE = 400_000
+CACHE_BYTES = 24 << 20
+ENTRY = 160  # bytes of a cached match beside its text and ids: two objects and their place in the table
 
 _NONE = np.int64(1 << 40)  # above every rank
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -93,24 +94,25 @@ class PairTable:
 
 
 class Encoder:
-    """Encodes matches; keeps the latest ``CACHE`` distinct ones."""
+    """Encodes matches; keeps the latest distinct ones, their ids as int32 bytes, in about ``CACHE_BYTES``."""
 
     def __init__(self, table: PairTable) -> None:
         self.table = table
         self.tokens = table.tokens
         self.rank = {t: r for r, t in enumerate(self.tokens)}
         self.byte = np.array([self.rank[bytes([i])] for i in range(256)], dtype=np.int64)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.held = 0
 
-    def matrix(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of pieces of like length, all rows merging together."""
+    def matrix(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (int32 bytes) of pieces of like length, all rows merging together."""
         sizes = np.array(list(map(len, pieces)))
         width = int(sizes.max())
         padded = int(sizes.min()) < width
         data = b"".join(p.ljust(width, b"\0") for p in pieces) if padded else b"".join(pieces)
         ids = self.byte[np.frombuffer(data, dtype=np.uint8)].reshape(len(pieces), width)
         ids[np.arange(width) >= sizes[:, None]] = -1
-        out: list[tuple[int, ...]] = [()] * len(pieces)
+        out: list[bytes] = [b""] * len(pieces)
         rows = np.arange(len(pieces))
         while True:
             if ids.shape[1] > 1:
@@ -120,9 +122,9 @@ class Encoder:
                 more = least < _NONE
             else:
                 more = np.zeros(len(ids), dtype=bool)
-            done = ids[~more].tolist()
+            done = ids[~more].astype(np.int32)
             for r, row in zip(rows[~more].tolist(), done, strict=True):
-                out[r] = tuple(x for x in row if x >= 0) if padded else tuple(row)
+                out[r] = (row[row >= 0] if padded else row).tobytes()
             if not more.any():
                 return out
             rows, ids, best, least = rows[more], ids[more], best[more], least[more]
@@ -134,8 +136,8 @@ class Encoder:
             while ids.shape[1] > 1 and (ids[:, -1] < 0).all():
                 ids = ids[:, :-1]
 
-    def long(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of a long piece: the same merges from a heap of (rank, place)."""
+    def long(self, piece: bytes) -> bytes:
+        """Ids (int32 bytes) of a long piece: the same merges from a heap of (rank, place)."""
         ids = self.byte[np.frombuffer(piece, dtype=np.uint8)].tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -160,7 +162,7 @@ class Encoder:
                 pair(i, after[i])
             if before[i] >= 0:
                 pair(before[i], i)
-        return tuple(x for x in ids if x >= 0)
+        return np.array([x for x in ids if x >= 0], dtype=np.int32).tobytes()
 
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of new pieces into the cache."""
@@ -169,39 +171,42 @@ class Encoder:
             data = p.encode()
             whole = self.rank.get(data)
             if whole is not None:
-                self.cache[p] = (whole,)
+                self.put([p], [whole.to_bytes(4, "little")])
             elif len(data) > LONG:
-                self.cache[p] = self.long(data)
+                self.put([p], [self.long(data)])
             else:
                 buckets.setdefault(len(data) if len(data) <= 24 else -len(data).bit_length(), []).append((p, data))
         for group in buckets.values():
             for at in range(0, len(group), 8192):
                 part = group[at:at + 8192]
-                self.cache.update(zip([p for p, _ in part], self.matrix([d for _, d in part]), strict=True))
+                self.put([p for p, _ in part], self.matrix([d for _, d in part]))
+
+    def put(self, pieces: list[str], ids: list[bytes]) -> None:
+        self.cache.update(zip(pieces, ids, strict=True))
+        self.held += sum(map(len, pieces)) + sum(map(len, ids)) + ENTRY * len(pieces)
 
     def prepare(self, pieces: set[str]) -> None:
         """Make sure that the cache has all of ``pieces``."""
-        new = pieces.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
-            new = pieces
-        self.learn(new)
+            self.held = 0
+        self.learn(pieces.difference(self.cache))
 
-    def ids(self, pieces: list[str]) -> list[int]:
+    def ids(self, pieces: list[str]) -> np.ndarray:
         """The ids of prepared pieces."""
-        return list(chain.from_iterable(map(self.cache.__getitem__, pieces)))
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, pieces)), dtype=np.int32)
 
-    def encode(self, pieces: list[str]) -> list[int]:
+    def encode(self, pieces: list[str]) -> np.ndarray:
         self.prepare(set(pieces))
         return self.ids(pieces)
 
 
-def decode(tokens: list[bytes], ids) -> bytes:
-    return b"".join(map(tokens.__getitem__, ids))
+def decode(tokens: list[bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids.tolist()))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
-                  block: int = 200_000) -> DataFrame:
+                  block: int = 50_000) -> DataFrame:
     """Every column of ``docs`` plus ``ids`` (array of int) and ``decoded`` (the bytes of those ids)."""
     table = share(docs.sparkSession, PairTable(read_ranks(vocabulary)))
     kept = [c for c in docs.columns if c not in ("ids", "decoded")]
@@ -213,27 +218,26 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str
         import regex
 
         encoder, find = Encoder(shared(PairTable, table)), regex.compile(pattern)
-        for b in text_slices(batches, text_col):
+        for b in text_slices(batches, text_col, 1 << 20):
             texts = [t or "" for t in b.column(text_col).to_pylist()]
             rows: list[list[np.ndarray]] = [[] for _ in texts]
             back: list[bytes] = []
             # the pieces of all short texts of the slice are prepared together
             short = [find.findall(t) if len(t) <= 1 << 20 else None for t in texts]
-            known = set(chain.from_iterable(p for p in short if p))
-            encoder.prepare(known)
-            for t, pieces, row in zip(texts, short, rows, strict=True):
-                if pieces is not None:
-                    ids = encoder.ids(pieces)
-                    row.append(np.array(ids, dtype=np.int32))
-                    back.append(decode(encoder.tokens, ids))
+            encoder.prepare(set(chain.from_iterable(p for p in short if p)))
+            for i, row in enumerate(rows):
+                if short[i] is not None:
+                    row.append(encoder.ids(short[i]))
+                    back.append(decode(encoder.tokens, row[0]))
+                    short[i] = None
+            for i, (t, row) in enumerate(zip(texts, rows, strict=True)):
+                if row:
                     continue
                 matches, parts = (m.group() for m in find.finditer(t)), []
                 while part := list(islice(matches, block)):
-                    ids = encoder.encode(part)
-                    row.append(np.array(ids, dtype=np.int32))
-                    parts.append(decode(encoder.tokens, ids))
-                back.append(b"".join(parts))
-                encoder.prepare(known)  # the long text may have cleared the cache
+                    row.append(encoder.encode(part))
+                    parts.append(decode(encoder.tokens, row[-1]))
+                back.insert(i, b"".join(parts))
             sizes = [sum(map(len, r)) for r in rows]
             flat = list(chain.from_iterable(rows))
             values = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)

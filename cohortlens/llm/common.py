@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,6 +37,18 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str,
         step = max(1, int(batch.num_rows * max_bytes / max(total, 1)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        batch = None
+        give_back()
+    give_back()
+
+
+def give_back() -> None:
+    """Hand memory that this worker no longer uses back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a glibc system
+        pass
 
 
 def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:

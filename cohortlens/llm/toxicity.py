@@ -153,7 +153,7 @@ def learn_words(rows: DataFrame, toxic: int, clean: int, least: float = 0.01, ch
     condition bounds the lexicon, whatever the corpus; the last keeps chance finds of small samples out.
     """
     def contexts(batches):
-        for b in text_slices(batches, "text", 4 << 20):
+        for b in text_slices(batches, "text", 1 << 19):
             bad: set[tuple[str, str, int]] = set()
             good: dict[str, int] = {}
             for text, toxic_row in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
