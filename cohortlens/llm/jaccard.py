@@ -4,8 +4,9 @@ A document's set holds its distinct shingles (64-bit hashes). Two sets link when
 ``100 * intersection >= percent * union``; classes are the connected components of the links.
 
 1. *Sets.* Documents with equal sets are one class of copies from here on.
-2. *Shared shingles.* The sets travel to buckets of shingles, as arrays, and only shingles of two sets or more
-   come back. A set with fewer shared shingles than any link needs is done: it links with nothing.
+2. *Shared shingles.* A set that links shares ``percent`` of its shingles, so few of them are in no other set. First the
+   smallest hashes of each set, a fixed share of them, meet by shingle: sets with more lone ones than a
+   link allows are done. All shingles of the others meet, and of those in two sets or more a set must have enough.
 3. *Groups.* Of its shingles, rarest first, a set's first ``n - ceil(percent * n / 100) + 1`` can't all be
    missing from a set that it links with. Sets that share one of these get into one group (components).
 4. *R-tree join.* In a cell of a group shingles are hashed into ``GROUPS`` groups, and each set is the point
@@ -32,14 +33,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stage, text_slices, word_blocks
+from .common import connected_components, share, shared, stage, text_slices, word_blocks
 
 WORDS = 5
 PERCENT = 80
 GROUPS = 64
 FANOUT = 16
-CELL_ROWS = 4096
+CELL_ROWS = 1024
 CELL_SHINGLES = 1 << 21
+FIRST_SHARE = 0.3  # of a set's shingles that meet first,
+FIRST_MORE = 2  # and so many more
+MOST_COUNTED = 1 << 16  # shingles in more sets are equally frequent
+MOST_BITS = 1 << 27
 
 _U = np.uint64
 
@@ -96,110 +101,156 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-# A blob holds shingles by set: sets (int64), their sizes (uint32), how many shingles of each follow (uint32),
-# the shingles (uint64) and, on the way back, in how many sets each occurs (uint32).
-_BLOB = "bucket int, cls binary, n binary, count binary, shingles binary, df binary"
-
-
-def _blobs(bucket: np.ndarray, cls: np.ndarray, n: np.ndarray, shingles: np.ndarray,
-           df: np.ndarray | None = None) -> pa.RecordBatch:
-    """One row for each bucket; parallel arrays by shingle, those of one set and bucket together."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, cls, n, shingles = (x[order] for x in (bucket, cls, n, shingles))
-    df = np.zeros(0, np.uint32) if df is None else df[order]
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    rows: list[list] = [[], [], [], [], [], []]
-    for at, to in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
-        heads = np.concatenate([[0], np.flatnonzero(np.diff(cls[at:to])) + 1])
-        for row, x in zip(rows, (int(bucket[at]), cls[at:to][heads].tobytes(), n[at:to][heads].astype(np.uint32).tobytes(),
-                                 np.diff(np.append(heads, to - at)).astype(np.uint32).tobytes(),
-                                 shingles[at:to].tobytes(), df[at:to].astype(np.uint32).tobytes()), strict=True):
-            row.append(x)
-    names = ["bucket", "cls", "n", "count", "shingles", "df"]
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])],
-                                      names=names)
-
-
-def _buckets(batches):
-    """The blobs of each bucket (rows sorted by bucket) as parallel arrays by shingle."""
-    def joined(held):
-        count = np.concatenate([np.frombuffer(h[2], np.uint32) for h in held])
-        cls = np.repeat(np.concatenate([np.frombuffer(h[0], np.int64) for h in held]), count)
-        n = np.repeat(np.concatenate([np.frombuffer(h[1], np.uint32) for h in held]), count)
-        return cls, n, np.concatenate([np.frombuffer(h[3], _U) for h in held]), \
-            np.concatenate([np.frombuffer(h[4], np.uint32) for h in held])
-
-    at, held = None, []
-    for b in batches:
-        cols = [b.column(i) for i in range(1, 6)]
-        for i, bucket in enumerate(b.column(0).to_pylist()):
-            if bucket != at and held:
-                yield joined(held)
-                held = []
-            at = bucket
-            held.append([c[i].as_py() for c in cols])
-    if held:
-        yield joined(held)
-
-
-def _send(words: int, buckets: int):
+def first_size(n: np.ndarray) -> np.ndarray:
+    """How many of a set's shingles meet first: enough that the lone ones among them can rule it out."""
+    return np.minimum(n, np.ceil(n * FIRST_SHARE).astype(np.int64) + FIRST_MORE)
+
+
+class Members:
+    """A Bloom filter of set numbers, packed bits (at most ``MOST_BITS``, whatever their count)."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    @staticmethod
+    def places(cls: np.ndarray, size: int) -> list[np.ndarray]:
+        h = _mix(cls.view(_U))
+        return [((h >> _U(i)) % _U(size)).astype(np.int64) for i in (0, 21, 42)]
+
+    def __contains__(self, cls: int) -> bool:
+        at = np.concatenate(self.places(np.array([cls], dtype=np.int64), 8 * len(self.bits)))
+        return bool((self.bits[at >> 3] >> (at & 7) & 1).all())
+
+
+def members(cls: DataFrame, n: int) -> Members:
+    """The filter of the ``n`` numbers in ``cls(cls)``, its bits set in the tasks and put together by place."""
+    size = 1 << min(max(16 * n, 1 << 10).bit_length(), MOST_BITS.bit_length() - 1)
+
+    def run(batches):
+        for b in batches:
+            x = np.asarray(b.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = np.unique(np.concatenate(Members.places(x, size)))
+            word, first = np.unique(at >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(np.left_shift(_U(1), (at & 63).astype(_U)), first) if len(at) else at.view(_U)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    words = (cls.mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))).toArrow()
+    out = np.zeros(size // 64, dtype=np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return Members(out.view(np.uint8))
+
+
+def shingle_rows(docs: DataFrame, words: int, only: Members | None = None) -> DataFrame:
+    """``(shingle, cls, n)``: the first shingles of every set, or all shingles of the sets in ``only``."""
+    model = None if only is None else share(docs.sparkSession, only)
+
     def run(batches):
-        for b in text_slices(batches, "text", 8 << 20):
-            known = {}
+        keep = None if model is None else shared(Members, model)
+        for b in text_slices(batches, "text"):
+            known: dict[int, np.ndarray] = {}  # copies in a slice count once
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, words)
                 if len(s):
-                    known.setdefault(set_number(s), s)
-            if known:
-                sizes = [len(s) for s in known.values()]
-                shingles = np.concatenate(list(known.values()))
-                cls = np.repeat(np.array(list(known), dtype=np.int64), sizes)
-                yield _blobs((shingles % _U(buckets)).astype(np.int32), cls, np.repeat(np.array(sizes), sizes), shingles)
-    return run
+                    cls = set_number(s)
+                    if keep is None:
+                        known[cls] = s
+                    elif cls not in known and cls in keep:
+                        known[cls] = s
+            if not known:
+                continue
+            n = np.array([len(s) for s in known.values()], dtype=np.int64)
+            sent = first_size(n) if keep is None else n
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([s[:k] for s, k in zip(known.values(), sent, strict=True)]).view(np.int64)),
+                 pa.array(np.repeat(np.array(list(known), dtype=np.int64), sent)),
+                 pa.array(np.repeat(n, sent).astype(np.int32))], names=["shingle", "cls", "n"])
 
+    return docs.select("text").mapInArrow(run, "shingle bigint, cls bigint, n int")
 
-def _share(buckets: int):
-    """Shingles of two sets or more, sent on to the bucket of each set."""
-    def run(batches):
-        for cls, n, shingles, _ in _buckets(batches):
-            order = np.lexsort((cls, shingles))
-            cls, n, shingles = cls[order], n[order], shingles[order]
-            new = np.ones(len(cls), dtype=bool)  # copies sent by several tasks count once
-            new[1:] = (cls[1:] != cls[:-1]) | (shingles[1:] != shingles[:-1])
-            cls, n, shingles = cls[new], n[new], shingles[new]
-            heads = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
-            many = np.diff(np.append(heads, len(cls)))
-            df = np.repeat(many, many)
-            kept = df > 1
-            if kept.any():
-                cls, n, shingles, df = cls[kept], n[kept], shingles[kept], df[kept]
-                order = np.argsort(cls, kind="stable")
-                cls, n, shingles, df = cls[order], n[order], shingles[order], df[order]
-                yield _blobs((cls % buckets).astype(np.int32), cls, n, shingles, df)
-    return run
+
+def _sorted_rows(batches):
+    """Sorted rows (shingle, cls, n) without repeats, in pieces that end with a shingle's last row or hold
+    ``MOST_COUNTED`` rows of one shingle: (shingle, cls, n, whether the last shingle goes on)."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+    last = None  # the last row handed out, if its shingle may go on
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held)]
+        new = np.ones(len(cols[0]), dtype=bool)
+        new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+        if last is not None and len(new):
+            new[0] = (cols[0][0], cols[1][0]) != last
+        cols = [c[new] for c in cols]
+        if not len(cols[0]):
+            held = cols
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        going = False
+        if len(cols[0]) - cut > MOST_COUNTED:
+            cut, going = len(cols[0]), True
+        if cut:
+            yield (*(c[:cut] for c in cols), going)
+            last = (cols[0][cut - 1], cols[1][cut - 1]) if going else None
+        held = [c[cut:] for c in cols]
+    if len(held[0]):
+        yield (*held, False)
+
+
+def _common(batches, every: bool):
+    """Rows of shingles in two sets or more, with the number of sets (up to ``MOST_COUNTED``)."""
+    open_ = None  # a frequent shingle that went on
+    for shingle, cls, n, going in _sorted_rows(batches):
+        heads = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+        df = np.diff(np.append(heads, len(shingle)))
+        if open_ is not None and shingle[0] == open_:
+            df[0] = MOST_COUNTED
+        open_ = shingle[-1] if going else None
+        df = np.repeat(np.minimum(df, MOST_COUNTED), np.diff(np.append(heads, len(shingle))))
+        kept = df > 1
+        if kept.any():
+            cols = [pa.array(cls[kept])]
+            if every:
+                cols += [pa.array(df[kept].astype(np.int32)), pa.array(shingle[kept]), pa.array(n[kept])]
+            yield pa.RecordBatch.from_arrays(cols, names=["cls", "df", "shingle", "n"][:len(cols)])
 
 
 def _gather(percent: int):
-    """Sets that may link: their shared shingles, and the rarest ones, one of which a partner must have."""
+    """Sets (rows sorted by set, rarest shingle first) that may link: their shared shingles, and the rarest
+    ones, one of which a partner must have."""
     def run(batches):
-        for cls, n, shingles, df in _buckets(batches):
-            order = np.lexsort((shingles, df, cls))
-            cls, n, shingles = cls[order], n[order].astype(np.int64), shingles[order]
+        held = None
+        for b in _with_end(batches):
+            cols = None if b is None else [b.column(i).to_numpy() for i in range(4)]
+            if held is not None:
+                cols = held if cols is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if cols is None or not len(cols[0]):
+                continue
+            cut = len(cols[0]) if b is None else int(np.searchsorted(cols[0], cols[0][-1]))
+            held = [c[cut:] for c in cols]
+            cls, _, shingles, n = (c[:cut] for c in cols)
+            if not cut:
+                continue
             heads = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
-            many = np.diff(np.append(heads, len(cls)))
-            spare = many - least_overlap(n[heads], percent)
+            many = np.diff(np.append(heads, cut))
+            spare = many - least_overlap(n[heads].astype(np.int64), percent)
             rows = [(int(cls[h]), int(n[h]), shingles[h:h + m], int(s)) for h, m, s in
                     zip(heads, many, spare, strict=True) if s >= 0]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                      pa.array([len(r[2]) for r in rows], pa.int64()),
-                     pa.array([np.sort(r[2]).tobytes() for r in rows], pa.binary()),
-                     pa.array([r[2][:r[3] + 1].view(np.int64) for r in rows], pa.list_(pa.int64()))],
+                     pa.array([np.sort(r[2].view(_U)).tobytes() for r in rows], pa.binary()),
+                     pa.array([r[2][:r[3] + 1] for r in rows], pa.list_(pa.int64()))],
                     names=["cls", "n", "shared", "shingles", "keys"])
     return run
 
 
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
 class CountTree:
     """Packed R-tree over count vectors; the entries of a node lie together."""
 
@@ -316,28 +367,45 @@ def cell_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
             .sortWithinPartitions(*keys, "role", "cls").mapInArrow(_join_cells(percent), "a bigint, b bigint"))
 
 
-def shared_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
-    """``(cls, n, shared, shingles, keys)`` of the sets of ``docs(text)`` that may link with another."""
-    buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.select("text").mapInArrow(_send(words, buckets), _BLOB)
-    back = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_share(buckets), _BLOB)
-    return (back.repartition("bucket").sortWithinPartitions("bucket")
+def possible(docs: DataFrame, ids: DataFrame, words: int, percent: int) -> Members | None:
+    """The sets of ``ids(cls, n)`` that their first shingles don't rule out; None if there are none."""
+    rows = shingle_rows(docs, words)
+    alive = (rows.repartition("shingle").sortWithinPartitions("shingle", "cls")
+             .mapInArrow(lambda batches: _common(batches, False), "cls bigint")
+             .groupBy("cls").agg(F.count("*").alias("alive")))
+    sizes = ids.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"))
+    first = F.least("n", F.ceil(F.col("n") * FIRST_SHARE) + FIRST_MORE)
+    need = F.ceil(F.col("n") * percent / 100)
+    left = stage(alive.join(sizes, "cls").where(first - F.col("alive") <= F.col("n") - need).select("cls"), "possible")
+    n = left.count()
+    return members(left, n) if n else None
+
+
+def shared_sets(docs: DataFrame, only: Members, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``(cls, n, shared, shingles, keys)`` of the sets of ``docs(text)`` in ``only`` that may link with another."""
+    rows = shingle_rows(docs, words, only)
+    common = (rows.repartition("shingle").sortWithinPartitions("shingle", "cls")
+              .mapInArrow(lambda batches: _common(batches, True), "cls bigint, df int, shingle bigint, n int"))
+    return (common.repartition("cls").sortWithinPartitions("cls", "df", "shingle")
             .mapInArrow(_gather(percent), "cls bigint, n bigint, shared bigint, shingles binary, keys array<bigint>"))
 
 
-def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cell_rows: int = CELL_ROWS,
-          cell_shingles: int = CELL_SHINGLES, buckets: int | None = None) -> DataFrame:
-    """Links ``(a, b)`` of set numbers that join the same classes as all links of ``docs(text)``."""
-    found = stage(shared_sets(docs, words, percent, buckets), "shared-sets")
+def links(docs: DataFrame, ids: DataFrame, words: int = WORDS, percent: int = PERCENT, cell_rows: int = CELL_ROWS,
+          cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """Links ``(a, b)`` of set numbers that join the same classes as all links of ``docs(text)``; ``ids``: ``sets(docs)``."""
+    only = possible(docs, ids, words, percent)
+    if only is None:
+        return docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    found = stage(shared_sets(docs, only, words, percent), "shared-sets")
     keyed = found.select("cls", F.explode("keys").alias("key"))
     low = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
     groups = connected_components(keyed.join(low.select("key", "low"), "key").where("cls <> low")
                                   .select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct())
-    members = found.drop("keys").join(groups.withColumnRenamed("node", "cls"), "cls")
-    sizes = members.groupBy("root").agg(F.greatest(
+    sized = found.drop("keys").join(groups.withColumnRenamed("node", "cls"), "cls")
+    sizes = sized.groupBy("root").agg(F.greatest(
         F.ceil(F.count("*") / cell_rows), F.ceil(F.sum("shared") / cell_shingles)).cast("int").alias("cells"))
     own = F.pmod(F.xxhash64("cls"), F.col("cells")).cast("int")
-    dealt = stage(members.join(sizes, "root").withColumn("i", own), "groups")
+    dealt = stage(sized.join(sizes, "root").withColumn("i", own), "groups")
     first = stage(cell_links(dealt.select("root", "i", F.lit(0).alias("j"), F.lit(0).alias("role"), "cls", "n", "shingles",
                                           F.col("cls").alias("comp")), percent), "cell-links")
     large = dealt.where("cells > 1")
@@ -376,12 +444,11 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cell_rows
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cell_rows: int = CELL_ROWS,
-                    cell_shingles: int = CELL_SHINGLES, buckets: int | None = None,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    cell_shingles: int = CELL_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row; ``component_id`` is the smallest doc_id of its class."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ids = stage(sets(docs, words), "sets")
-    parts = connected_components(links(docs, words, percent, cell_rows, cell_shingles, buckets))
+    parts = connected_components(links(docs, ids, words, percent, cell_rows, cell_shingles))
     first = ids.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_doc"))
     rooted = (first.join(parts.withColumnRenamed("node", "cls"), "cls", "left")
               .select("cls", "first_doc", F.coalesce("root", "cls").alias("root")))

@@ -151,13 +151,33 @@ def family():
     return rows
 
 
-@pytest.mark.parametrize("how", [{}, {"cell_rows": 20, "buckets": 3}, {"cell_rows": 7, "cell_shingles": 500, "buckets": 1}])
+@pytest.mark.parametrize("how", [{}, {"cell_rows": 20}, {"cell_rows": 7, "cell_shingles": 500}])
 def test_jaccard_cells(spark, family, how):
     """Groups in one cell and in many give the links of the plain version."""
     df = spark.createDataFrame(family, "doc_id bigint, text string").withColumn("cls", F.lit("x")).repartition(4)
     assert found(df, **how) == brute.jaccard_classes(family)
 
 
+def test_jaccard_frequent_shingles_are_counted_in_pieces():
+    """Rows of a shingle that goes on over batches and beyond the count: repeats dropped, none lost."""
+    import pyarrow as pa
+    old, jaccard.MOST_COUNTED = jaccard.MOST_COUNTED, 5
+    try:
+        rng = random.Random(2)
+        rows = sorted([(s, c, 9) for s, k in ((1, 1), (2, 2), (3, 40), (4, 5), (5, 6), (6, 1), (7, 23)) for c in range(k)
+                       for _ in range(rng.choice([1, 1, 3]))])
+        for size in (1, 3, 7, 500):
+            batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at:at + size]], t) for i, t in
+                                                   enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["shingle", "cls", "n"])
+                       for at in range(0, len(rows), size)]
+            got = [tuple(r.values()) for b in jaccard._common(iter(batches), True) for r in b.to_pylist()]
+            want = Counter((c, s) for s, c, _ in set(rows) if s not in (1, 6))
+            assert Counter((c, s) for c, _, s, _ in got) == want
+            assert {s: max(d for _, d, t, _ in got if t == s) for s in (2, 3, 4, 5, 7)} == {2: 2, 3: 5, 4: 5, 5: 5, 7: 5}
+    finally:
+        jaccard.MOST_COUNTED = old
+
+
 def test_jaccard_edges(spark):
     """Null ids, repeated rows, the threshold itself, long texts, an empty table."""
     rng = random.Random(7)
