@@ -1,24 +1,21 @@
 """Mixing sources to target weights, in Spark SQL functions.
 
 The words of each source, document after document in a pseudorandom order, are packed into
-blocks of ``block`` words. The mix has as many output slots as the targets ask for, each
-holding one block, and ``shard`` slots make an output shard. The sources of a shard's slots are
-a multinomial draw held to the targets over the whole mix (draws without replacement): slot
-j takes unit ``perm(j)`` of all units, and a source owns as many units as its target has blocks.
-The k-th unit of a source takes block ``perm_s(k mod blocks)``, so every pass over
-a source uses each block once and no block is taken more than ``ceil(target / size)`` times.
-Slots and blocks meet in a join on (source, block).
-
-How often a block is taken follows from the units alone, which are fixed numbers: the draw orders the slots,
-and only ``mix_slots`` gives that order. ``mix_sizes`` and ``mix_texts`` sum and regroup by document.
+blocks of ``block`` words. The mix asks for as many units of a source as its target has blocks. For each
+output shard (``shard`` slots on average) the counts of the sources are drawn as a multinomial held to the targets:
+every unit picks a shard by a seeded hash, and the table of counts by source and shard is all that the mix is made
+from. The slots of a source, shard after shard, take its blocks in the order of a pseudorandom permutation of the block
+indices, so every pass over a source uses each block once and no block is taken more than
+``ceil(target / size)`` times. Slots and blocks meet in a join on (source, block).
 
 Permutations are swap-or-not shuffles: in every round the index x and its partner
 (key - x) mod n are swapped if a hash bit of the larger one says so. They need no state, so slots are
 dealt in parallel, and equal seeds give equal mixes.
 
-Positions of documents in their source are two-level running sums: each source is cut by
-a hash into buckets of about ``BUCKET`` rows, so that a hot source is spread. The table of sources
-(one row each) is the only thing handled whole.
+Positions of documents in their source, and of a source's slots over the shards, are two-level running sums: rows
+are cut into buckets of about ``BUCKET``, so that a hot source is spread. Rows equal in all columns are counted
+before any shuffle and dealt out again by copy number. The table of sources (one row each) is the
+only thing handled whole.
 
 Defined cases: a null text has size 0, is never taken and keeps its row; a null source is a source
 of its own, last in order; a source without words has target 0; repeated rows are documents
@@ -54,12 +51,13 @@ def permute(x: Column, n: Column, key: Column, rounds: int = ROUNDS, seed: int =
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """``(sid, source, docs, source_size, target)`` from ``sizes(source, size)``.
+    """``(sid, source, docs, source_size, target)`` from ``sizes(source, size, copies)``.
 
     Sources by code point, null last, weigh ``weights`` in turn. They share all words by weight; no
     target is above ``most`` times its source's size, and what is above goes to the others by weight.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    totals = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"),
+                                         F.sum("copies").alias("docs"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     totals = totals.withColumn("sid", rank.cast("int"))
     totals = totals.withColumn("w", F.element_at(F.array(*map(F.lit, weights)),
@@ -81,97 +79,131 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
 
 def _plan(targets: DataFrame, block: int) -> DataFrame:
-    """Blocks and output units of each source: ``blocks, units, first`` (its first unit), ``all_units``."""
+    """Blocks and output units of each source: ``blocks, units``."""
     blocks = F.ceil(F.col("source_size") / block)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.least(F.round((F.col("target") - passes * F.col("source_size")) / block).cast("long"), blocks)
-    order = Window.orderBy("sid")
-    plan = targets.withColumn("blocks", blocks).withColumn("units", passes * blocks + rest)
-    return (plan.withColumn("first", F.sum("units").over(order) - F.col("units"))
-            .withColumn("all_units", F.sum("units").over(
-                order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-
-
-def slots(plan: DataFrame, shard: int = SHARD, stretch: int = 1 << 16) -> DataFrame:
-    """Every output slot: ``(shard, slot, sid, nth, block)``, the block being the nth unit of its source."""
-    spark = plan.sparkSession
-    total = plan.agg(F.max("all_units")).first()[0] or 0
-    drawn = (spark.range(total).withColumnRenamed("id", "slot")
-             .withColumn("unit", permute(F.col("slot"), F.lit(total), F.lit("slots"))))
-    # the unit's source: sources are listed under each stretch of units that they reach into
-    reach = (plan.where("units > 0")
-             .select("sid", "blocks", "first", (F.col("first") + F.col("units")).alias("end"),
-                     F.explode(F.sequence(F.floor(F.col("first") / stretch),
-                                          F.floor((F.col("first") + F.col("units") - 1) / stretch))).alias("part")))
-    found = (drawn.withColumn("part", F.floor(F.col("unit") / stretch)).join(reach, "part")
-             .where("unit >= first and unit < end"))
-    nth = F.col("unit") - F.col("first")
-    return found.select(F.floor(F.col("slot") / shard).alias("shard"), "slot", "sid", nth.alias("nth"),
-                        permute(nth % F.col("blocks"), F.col("blocks"), F.col("sid")).alias("block"))
+    return targets.withColumn("blocks", blocks).withColumn("units", passes * blocks + rest)
+
+
+def _stretches(rows: DataFrame, n: str, name: str, length: int) -> DataFrame:
+    """``rows`` once for each of 0..n-1 (column ``name``), dealt out in stretches so that one row may stand for very many."""
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / length))).alias("__part")
+    cut = rows.where(F.col(n) > 0).select("*", stretch)
+    cut = cut.repartition(*[c for c, t in cut.dtypes if not t.startswith("map")])
+    ends = F.least((F.col("__part") + 1) * length, F.col(n)) - 1
+    return cut.select("*", F.explode(F.sequence(F.col("__part") * length, ends)).alias(name)).drop("__part")
+
 
+def _running(rows: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` plus the sum of ``value`` over the rows before (by bucket, then ``order``) of the same ``keys``."""
+    rows = rows.withColumn("__bucket", bucket)
+    sums = rows.groupBy(*keys, "__bucket").agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*keys).orderBy("__bucket")
+    sums = sums.select(*keys, "__bucket", (F.sum("__sum").over(before) - F.col("__sum")).alias("__before"))
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return (rows.withColumn("__run", F.sum(value).over(inside)).join(sums, [*keys, "__bucket"])
+            .withColumn(name, F.col("__before") + F.col("__run") - F.col(value))
+            .drop("__bucket", "__run", "__before"))
+
+
+def shard_counts(plan: DataFrame, shard: int = SHARD) -> DataFrame:
+    """The draw: ``(shard, sid, slots)``, a source's slots in each output shard.
 
-def shard_counts(slot_rows: DataFrame) -> DataFrame:
-    """The draw: slots of each source in each output shard."""
-    return slot_rows.groupBy("shard", "sid").agg(F.count("*").alias("slots"))
+    Every unit picks one of the shards at random, so that the counts of a source over the shards are
+    multinomial, and sum up to its units. The counts are added up before the shuffle.
+    """
+    total = plan.agg(F.sum("units")).first()[0] or 0
+    shards = max(1, -(-total // shard))
+    units = _stretches(plan.select("sid", "units"), "units", "unit", 1 << 16)
+    pick = F.pmod(F.xxhash64(F.lit(SEED), "sid", "unit"), F.lit(shards))
+    return units.select(pick.alias("shard"), "sid").groupBy("shard", "sid").agg(F.count("*").alias("slots"))
+
+
+def slots(plan: DataFrame, counts: DataFrame) -> DataFrame:
+    """Every output slot of the draw: ``(shard, sid, nth, k, block)``, the k-th slot of its source in the shard and
+    the nth over all shards, with the block that the permutation gives to it."""
+    placed = _running(counts, ["sid"], F.floor(F.col("shard") / BUCKET), ["shard"], "slots", "before")
+    drawn = placed.join(plan.select("sid", "blocks"), "sid")
+    drawn = drawn.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("k"))
+    nth = F.col("before") + F.col("k")
+    return drawn.select("shard", "sid", nth.alias("nth"), "k",
+                        permute(nth % F.col("blocks"), F.col("blocks"), F.col("sid")).alias("block"))
 
 
 def pack(sizes: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
     """Cut the documents into their source's blocks: one row for each piece of a document in a block.
 
-    ``sizes(doc_id, source, size, row)`` with ``row`` a hash of the whole row. Pieces:
-    ``doc_id, row, sid, size, start`` and ``block, offset, words`` (the piece's place in the document).
+    ``sizes(doc_id, source, size, row, copies)`` with ``row`` a hash of the whole row. Pieces:
+    ``doc_id, row, dup, sid, size, start`` and ``block, offset, words`` (the piece's place in the document).
     """
-    named = sources.select("source", "sid", F.ceil(F.col("docs") / BUCKET).alias("buckets"))
-    rows = (sizes.where("size > 0").join(named.withColumnRenamed("source", "s"),
-                                         F.col("source").eqNullSafe(F.col("s")))
-            .withColumn("bucket", F.pmod("row", "buckets")))
-    sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("sid").orderBy("bucket")
-    sums = sums.select("sid", "bucket", (F.sum("words").over(before) - F.col("words")).alias("before"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("row", "doc_id").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    placed = (rows.withColumn("run", F.sum("size").over(inside))
-              .join(sums, ["sid", "bucket"])
-              .withColumn("start", F.col("before") + F.col("run") - F.col("size")))
+    named = sources.select(F.col("source").alias("s"), "sid", F.ceil(F.col("docs") / BUCKET).alias("buckets"))
+    rows = (_stretches(sizes.where("size > 0"), "copies", "dup", BUCKET)
+            .join(named, F.col("source").eqNullSafe(F.col("s")))
+            .select("doc_id", "row", "dup", "sid", "size", "buckets"))
+    placed = _running(rows, ["sid"], F.pmod(F.xxhash64("row", "dup"), "buckets"), ["row", "dup", "doc_id"], "size", "start")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    pieces = placed.select("doc_id", "row", "sid", "size", "start",
+    pieces = placed.select("doc_id", "row", "dup", "sid", "size", "start",
                            F.explode(F.sequence(first, last)).alias("block"))
     lo = F.greatest(F.col("block") * block, "start")
     hi = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size"))
     return pieces.select("*", (lo - F.col("start")).alias("offset"), (hi - lo).alias("words"))
 
 
+def _row(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed (all but maps)."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t])
+
+
 def _sizes(docs: DataFrame) -> DataFrame:
-    return stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
-                             F.xxhash64("doc_id", "source", "text").alias("row")), "sizes")
+    return stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _row(docs).alias("row"))
+                 .groupBy("doc_id", "source", "size", "row").agg(F.count("*").alias("copies")), "sizes")
+
+
+def taken_pieces(sizes: DataFrame, sources: DataFrame, plan: DataFrame, counts: DataFrame, block: int) -> DataFrame:
+    """The pieces with the number of ``times`` that the slots of the draw ``counts`` take each."""
+    times = slots(plan, counts).groupBy("sid", "block").agg(F.count("*").alias("times"))
+    return pack(sizes, sources, block).join(times, ["sid", "block"], "left").fillna(0, ["times"])
 
 
-def _taken(sizes: DataFrame, block: int, shard: int) -> tuple[DataFrame, DataFrame]:
-    """The table of sources, and the pieces with the number of ``times`` the mix takes each."""
+def _drawn(sizes: DataFrame, block: int, shard: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The table of sources, their blocks and units, and the draw."""
     sources = stage(source_targets(sizes), "sources")
-    drawn = slots(_plan(sources, block), shard)
-    times = drawn.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    return sources, pack(sizes, sources, block).join(times, ["sid", "block"], "left").fillna(0, ["times"])
+    plan = _plan(sources, block)
+    return sources, plan, stage(shard_counts(plan, shard), "draw")
 
 
 def mix_slots(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """The mix in drawn order: ``(shard, slot, source, block, doc_id, row, start, offset, words)``, a row for each
-    piece of a document in the block that the slot takes (by ``start`` within the slot)."""
+    """The mix in drawn order: ``(shard, slot, source, block, doc_id, row, dup, start, offset, words)``, a row for each
+    piece of a document in the block that the slot takes (by ``start`` within the slot). The slots of a shard, counted
+    from 0, are those of its sources in a pseudorandom order."""
     sizes = _sizes(docs)
-    sources = stage(source_targets(sizes), "sources")
-    drawn = slots(_plan(sources, block), shard).join(sources.select("sid", "source"), "sid")
+    sources, plan, counts = _drawn(sizes, block, shard)
+    within = Window.partitionBy("shard").orderBy("sid")
+    whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranges = counts.select(F.col("shard"), "sid", (F.sum("slots").over(within) - F.col("slots")).alias("first"),
+                           F.sum("slots").over(whole).alias("all_slots"))
+    drawn = (slots(plan, counts).join(ranges, ["shard", "sid"])
+             .withColumn("slot", permute(F.col("first") + F.col("k"), F.col("all_slots"), F.col("shard")))
+             .join(sources.select("sid", "source"), "sid"))
     return (drawn.join(pack(sizes, sources, block).drop("size"), ["sid", "block"])
-            .select("shard", "slot", "source", "block", "doc_id", "row", "start", "offset", "words"))
+            .select("shard", "slot", "source", "block", "doc_id", "row", "dup", "start", "offset", "words"))
 
 
 def mix_sizes(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` of every row."""
-    sizes = _sizes(docs)
-    sources, pieces = _taken(sizes, block, shard)
+    return sizes_taken(_sizes(docs), block, shard)
+
+
+def sizes_taken(sizes: DataFrame, block: int = BLOCK, shard: int = SHARD, change=lambda counts: counts) -> DataFrame:
+    """``mix_sizes`` from the table of sizes; ``change`` may alter the table of the draw."""
+    sources, plan, counts = _drawn(sizes, block, shard)
+    pieces = taken_pieces(sizes, sources, plan, change(counts), block)
     taken = (pieces.groupBy("sid", "start", "doc_id", "size")
              .agg(F.sum(F.col("words") * F.col("times")).alias("taken")))
-    empty = (sizes.where("size = 0").join(sources.select(F.col("source").alias("s"), "sid"),
-                                          F.col("source").eqNullSafe(F.col("s")))
+    empty = (_stretches(sizes.where("size = 0"), "copies", "dup", BUCKET)
+             .join(sources.select(F.col("source").alias("s"), "sid"), F.col("source").eqNullSafe(F.col("s")))
              .select("sid", "doc_id", "size", F.lit(0).cast("long").alias("taken")))
     rows = taken.select("sid", "doc_id", "size", "taken").union(empty)
     return (rows.join(sources.select("sid", "source_size", "target"), "sid")
@@ -186,23 +218,22 @@ def mix_texts(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFr
     Documents that the mix doesn't take are left out.
     """
     sizes = _sizes(docs)
-    _, pieces = _taken(sizes, block, shard)
-    spans = (pieces.where("times > 0")
-             .select("doc_id", "row", "start", "offset", "words", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("turn"))
-             .groupBy("doc_id", "row", "start", "turn")
+    sources, plan, counts = _drawn(sizes, block, shard)
+    spans = (taken_pieces(sizes, sources, plan, counts, block).where("times > 0")
+             .select("doc_id", "row", "dup", "offset", "words",
+                     F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("turn"))
+             .groupBy("doc_id", "row", "dup", "turn")
              .agg(F.sort_array(F.collect_list(F.struct("offset", "words"))).alias("spans")))
-    # of wholly repeated rows each takes its own place
-    nth = Window.partitionBy("row", "turn").orderBy("start")
-    spans = spans.withColumn("dup", F.row_number().over(nth)).groupBy(
-        F.col("row").alias("__r"), F.col("dup").alias("__d")).agg(F.collect_list("spans").alias("__turns"))
-    texts = docs.withColumn("__row", F.xxhash64("doc_id", "source", "text"))
-    texts = texts.withColumn("__dup", F.row_number().over(Window.partitionBy("__row").orderBy("__row")))
-    met = texts.join(spans, (F.col("__row") == F.col("__r")) & (F.col("__dup") == F.col("__d")))
-    words = F.regexp_extract_all("text", F.lit(f"({WORD_RE})"))
-    met = met.withColumn("__words", words).withColumn("__spans", F.explode("__turns"))
+    spans = spans.select(F.col("row").alias("__r"), F.col("doc_id").alias("__d"), F.col("spans").alias("__spans"))
+    # each distinct row's text once: its copies, and the passes over it, come from the spans
+    texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), _row(docs).alias("__row"),
+                        F.col("doc_id").alias("__id"))
+    texts = texts.groupBy("__row", "__id").agg(F.first("__doc").alias("__doc"))
+    met = texts.join(spans, (F.col("__row") == F.col("__r")) & F.col("__id").eqNullSafe(F.col("__d")))
+    words = F.regexp_extract_all(F.col("__doc")["text"], F.lit(f"({WORD_RE})"))
     picked = F.flatten(F.transform("__spans", lambda s: F.slice("__words", (s["offset"] + 1).cast("int"),
                                                                 s["words"].cast("int"))))
-    met = met.withColumn("__text", F.array_join(picked, " "))
+    met = met.withColumn("__words", words).withColumn("__text", F.array_join(picked, " "))
     made = {"text": F.col("__text"), "n_chars": F.length("__text").cast(
         docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")}
-    return met.select(*(made[c].alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns))
+    return met.select(*(made[c].alias(c) if c in made else F.col("__doc")[c].alias(c) for c in docs.columns))
