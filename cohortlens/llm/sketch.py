@@ -1,17 +1,15 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in Spark SQL functions.
 
 A sketch keeps every distinct shingle hash (XXH64 of five consecutive words) below a fixed
-fraction ``1 / scale`` of the hash range. Sketches of two texts of any lengths can be merged (union)
-and compared: the kept hashes are the same sample of both. A text with at most ``whole``
-shingles keeps them all, and its sketch says so (``whole``); comparing or merging it with one that doesn't uses the
-hashes below the fraction only.
+fraction ``1 / scale`` of the hash range, whatever the text's length, and the text's least hash, so that no text
+with words has an empty sketch. Sketches of two texts of any lengths can be merged and compared: the
+hashes below the fraction are the same sample of both. Where neither has any, the least hashes decide.
 
 Defined cases: a null text counts as empty; a text without words has no shingles, one with
-fewer words than a shingle is one shingle. Two sketches that are both empty where they are compared
-are alike (1.0) if their fingerprints are equal, else 0.0. Rows are ordered by doc_id,
-null ids first; of rows with one doc_id the text hash decides; wholly repeated rows (same id,
-same text) count as one document and each give a row. An empty table gives an empty result;
-other columns are not read.
+fewer words than a shingle is one shingle. Two empty sketches are alike (1.0), an empty one and another are not
+(0.0). Rows are ordered by doc_id, null ids first; of rows with one doc_id the text hash decides; wholly repeated
+rows (same id, same text) count as one document and each give a row; they are put together before the
+shuffle, sketched once and dealt out again by a join. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,8 +20,7 @@ from pyspark.sql import functions as F
 from .common import GAP_RE, stage
 
 WORDS = 5
-SCALE = 8
-WHOLE = 256
+SCALE = 4
 
 
 def _below(scale: int) -> Column:
@@ -31,8 +28,8 @@ def _below(scale: int) -> Column:
     return F.lit(-(1 << 63) + (1 << 64) // scale)
 
 
-def sketch(text: Column, words: int = WORDS, scale: int = SCALE, whole: int = WHOLE) -> Column:
-    """Whether all shingle hashes of ``text`` are kept, and the sorted distinct kept ones: struct (whole, hashes)."""
+def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
+    """The sorted distinct shingle hashes of ``text`` below the fraction, and the least of all."""
     parts = F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP_RE), "")
 
     def kept(w: Column) -> Column:
@@ -40,51 +37,44 @@ def sketch(text: Column, words: int = WORDS, scale: int = SCALE, whole: int = WH
         hashes = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
                                               lambda i: F.xxhash64(F.slice(w, i, words)))
                         ).otherwise(F.array().cast("array<bigint>"))
-        return _each(hashes, lambda h: F.struct((F.size(h) <= whole).alias("whole"), F.sort_array(F.array_distinct(
-            F.when(F.size(h) <= whole, h).otherwise(F.filter(h, lambda x: x < _below(scale))))).alias("hashes")))
+        return _each(hashes, lambda h: F.sort_array(F.array_distinct(_below(h, scale, F.array_min(h)))))
 
     return _each(parts, kept)
 
 
+def _below(hashes: Column, scale: int, least: Column | None = None) -> Column:
+    """The hashes below the fraction ``1 / scale`` of the (signed) range, and ``least``."""
+    most = F.lit(-(1 << 63) + (1 << 64) // scale - 1)
+    return F.filter(hashes, lambda x: x <= most if least is None else (x <= most) | (x == least))
+
+
 def _each(value: Column, use) -> Column:
     """``use(value)`` with ``value`` worked out once."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def is_whole(text_sketch: Column) -> Column:
-    """Whether a sketch holds all hashes of its text."""
-    return text_sketch["whole"]
-
-
-def common_part(s: Column, other: Column, scale: int = SCALE) -> Column:
-    """The hashes of ``s`` that can be compared with those of ``other``."""
-    return F.when(is_whole(s) & ~is_whole(other),
-                  F.filter(s["hashes"], lambda x: x < _below(scale))).otherwise(s["hashes"])
-
-
 def fingerprint(s: Column) -> Column:
     """A sketch as text: 16 lowercase hex digits for each hash."""
-    return F.array_join(F.transform(s["hashes"], lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    return F.array_join(F.transform(s, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Estimated share of the shingles of both texts that they have in common."""
-    x, y = common_part(a, b, scale), common_part(b, a, scale)
+    x, y = _below(a, scale), _below(b, scale)
     both, either = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
-    return F.when(either > 0, both / either).otherwise(F.when(a["hashes"] == b["hashes"], 1.0).otherwise(0.0))
+    return F.when(either > 0, both / either).otherwise(F.when(a == b, 1.0).otherwise(0.0))
 
 
 def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Estimated share of the shingles of ``a``'s text that ``b``'s text has too."""
-    x, y = common_part(a, b, scale), common_part(b, a, scale)
+    x, y = _below(a, scale), _below(b, scale)
     return F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x)).otherwise(
-        F.when(a["hashes"] == b["hashes"], 1.0).otherwise(0.0))
+        F.when((F.size(y) == 0) & (a == b), 1.0).otherwise(0.0))
 
 
 def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """Sketch of two texts together; whole if both are, else of the hashes below the fraction."""
-    return F.struct((is_whole(a) & is_whole(b)).alias("whole"),
-                    F.sort_array(F.array_union(common_part(a, b, scale), common_part(b, a, scale))).alias("hashes"))
+    """Sketch of two texts together."""
+    return _each(F.sort_array(F.array_union(a, b)), lambda h: _below(h, scale, F.array_min(h)))
 
 
 def _key(id_col: str = "doc_id") -> list[Column]:
@@ -109,7 +99,7 @@ def _previous(docs: DataFrame) -> DataFrame:
             .select(*keys, *(F.col(f"prev.{k}").alias(f"p_{k}") for k in [*keys, "n"])))
 
 
-def fingerprint_edits(docs: DataFrame, words: int = WORDS, scale: int = SCALE, whole: int = WHOLE) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, words: int = WORDS, scale: int = SCALE) -> DataFrame:
     """Sketch every text, its edited text and the likeness to it and to the next document.
 
     The edited text has its last quarter (code points) replaced by as many from the start
@@ -119,20 +109,23 @@ def fingerprint_edits(docs: DataFrame, words: int = WORDS, scale: int = SCALE, w
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keys = ["numbered", "id_", "th"]
     plain = F.coalesce("id", F.lit(0)).alias("id_")
-    texts = docs.select(*_key(), "text").select("numbered", plain, "th", "text")
+    rows = docs.select(*_key()).select("numbered", plain, "th")
+    # the one shuffle of the texts, a row for each document with its sketch; the small frames come to its partitions
+    made = (docs.select(*_key(), "text").select("numbered", plain, "th", F.struct(
+        "text", sketch(F.col("text"), words, scale).alias("sketch")).alias("doc"))
+        .groupBy(*keys).agg(F.first("doc").alias("doc")).select(*keys, "doc.text", "doc.sketch"))
     before = _previous(docs).select("numbered", plain, "th", "p_numbered", F.coalesce("p_id", F.lit(0)).alias("p_id"),
                                     "p_th", "p_n")
-    # the one shuffle of the texts serves both sides: each document lends its start and its sketch
-    # to the document before it
-    placed = texts.join(before, keys)
-    made = sketch(F.col("text"), words, scale, whole)
-    ahead = (placed.select(F.col("p_numbered").alias("numbered"), F.col("p_id").alias("id_"), F.col("p_th").alias("th"),
-                           F.expr("left(text, cast(floor(p_n / 4) as int))").alias("lent"), made.alias("next_sketch"))
-             .dropDuplicates(keys))
+    # each document lends its start and its sketch to the document before it
+    ahead = made.join(before, keys).select(
+        F.col("p_numbered").alias("numbered"), F.col("p_id").alias("id_"), F.col("p_th").alias("th"),
+        F.expr("left(text, cast(floor(p_n / 4) as int))").alias("lent"), F.col("sketch").alias("next_sketch"))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    return (texts.join(ahead, keys)
-            .select(F.when(F.col("numbered"), F.col("id_")).alias("doc_id"), n.cast("long").alias("n_chars"),
-                    made.alias("sketch"), "next_sketch",
-                    F.concat(F.left(F.col("text"), n - quarter), "lent").alias("edited_text"))
-            .withColumn("edited_sketch", sketch(F.col("edited_text"), words, scale, whole)))
+    edited = (made.join(ahead, keys)
+              .select(*keys, n.cast("long").alias("n_chars"), "sketch", "next_sketch",
+                      F.concat(F.left(F.col("text"), n - quarter), "lent").alias("edited_text"))
+              .withColumn("edited_sketch", sketch(F.col("edited_text"), words, scale)))
+    return (rows.join(edited, keys)
+            .select(F.when(F.col("numbered"), F.col("id_")).alias("doc_id"), "n_chars", "sketch", "next_sketch",
+                    "edited_text", "edited_sketch"))
