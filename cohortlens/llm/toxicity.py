@@ -3,7 +3,8 @@
 Features of a text: densities of a lexicon (given words and words learnt from the labels, in plain or
 disguised spelling), how many of them stand near a second-person word, rates of capitals,
 exclamation and other punctuation, and of obfuscated words. The trees are Spark ML's
-``GBTClassifier``; its margins are calibrated by ``IsotonicRegression`` on rows it hasn't seen.
+``GBTClassifier``; its margins are calibrated by ``IsotonicRegression`` on rows not seen: the margins that each of
+four folds gets from words and trees learnt on the other three. Words and trees for scoring learn from all rows.
 
 Learning reads a bounded, documented sample: ``sample`` labelled rows at most, taken by a hash of
 the id. Learnt lexicon entries are words and stems that stand in many toxic rows and in many different
@@ -31,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, text_slices, word_blocks
+from .common import hash62, share_below, stage, text_slices, word_blocks
 
 SAMPLE = 20_000
+FOLDS = 4
 NEAR = 6
 STEMS = (3, 4, 5, 6)
 
@@ -66,33 +68,60 @@ def core(token: str) -> str:
 
 
 class TokenTable(dict):
-    """Token to row number of its facts; cleared when it holds too many."""
+    """Token to the number of its facts; cleared when it holds too many. Most tokens share their facts with others."""
 
     FACTS = 10
 
     def __init__(self, learnt: frozenset[str], most: int = 400_000) -> None:
         super().__init__()
-        self.learnt, self.most = learnt, most
+        self.words = frozenset(f for f in learnt if not f.endswith("*"))
+        self.stems = [(k, frozenset(f[:-1] for f in learnt if f.endswith("*") and len(f) == k + 1)) for k in STEMS]
+        self.stems = [(k, stems) for k, stems in self.stems if stems]
+        self.most = most
+        self.kinds: dict[tuple, int] = {}
         self.rows = np.zeros((1024, self.FACTS), dtype=np.float32)
 
+    def learnt(self, word: str) -> bool:
+        return word in self.words or any(word[:k] in stems for k, stems in self.stems if len(word) > k)
+
+    def facts(self, text: str) -> tuple:
+        """Listed, learnt, disguised, second person, letters, capitals, shouted, ``!`` and ``?``, marks, obfuscated."""
+        body, marks, bang = text, 0, 0
+        if not text.isalpha() and text[:-1].isalpha() and text[-1] in ",.;:!?":
+            body, marks, bang = text[:-1], 1, int(text[-1] in "!?")
+        word = body.lower()
+        if body.isalpha() and word.isalpha():  # letters and one mark at most: nothing is disguised by other signs
+            letters, upper = len(body), 0 if body == word else sum(map(str.isupper, body))
+            repeated = _REPEAT.search(word)
+            plain, hidden = _REPEAT.sub(r"\1", word) if repeated else word, bool(repeated)
+        else:
+            word = core(text)
+            plain = _REPEAT.sub(r"\1", word.translate(DISGUISE))
+            letters, upper = sum(map(str.isalpha, text)), sum(map(str.isupper, text))
+            marks, bang = len(_MARK.findall(text)), text.count("!") + text.count("?")
+            hidden = bool(_INNER.search(text) or _REPEAT.search(word))
+        listed, learnt = word in LEXICON, self.learnt(word)
+        disguised = plain != word and not (listed or learnt) and (plain in LEXICON or self.learnt(plain))
+        return (listed, learnt, disguised, word in SECOND, letters, upper, letters >= 3 and upper == letters, bang, marks,
+                hidden)
+
     def __missing__(self, token: bytes) -> int:
-        text = token.decode()
-        word = core(text)
-        plain = _REPEAT.sub(r"\1", word.translate(DISGUISE))
-        letters = sum(map(str.isalpha, text))
-        upper = sum(map(str.isupper, text))
-        at = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        listed, learnt = word in LEXICON, not self.learnt.isdisjoint(forms(word))
-        self.rows[at] = (listed, learnt, not (listed or learnt) and (
-            plain in LEXICON or not self.learnt.isdisjoint(forms(plain))),
-                         word in SECOND, letters, upper, letters >= 3 and upper == letters,
-                         text.count("!") + text.count("?"), len(_MARK.findall(text)),
-                         bool(_INNER.search(text) or _REPEAT.search(word)))
+        found = self.facts(token.decode())
+        at = self.kinds.get(found)
+        if at is None:
+            at = self.kinds[found] = len(self.kinds)
+            if at == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[at] = found
         self[token] = at
         return at
 
+    def forget(self) -> None:
+        """Make room (also for facts: long odd tokens may each have their own)."""
+        self.clear()
+        if len(self.kinds) > 1 << 16:
+            self.kinds.clear()
+
 
 def features(texts: list[str | None], table: TokenTable) -> np.ndarray:
     """A row of ``FEATURES`` for each text."""
@@ -103,7 +132,7 @@ def features(texts: list[str | None], table: TokenTable) -> np.ndarray:
             if not block:
                 continue
             if len(table) > table.most:
-                table.clear()
+                table.forget()
             at = np.fromiter(map(table.__getitem__, block), dtype=np.int64, count=len(block))
             facts = table.rows[at]
             sums += facts.sum(axis=0, dtype=np.float64)
@@ -143,10 +172,11 @@ def forms(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
 
 
-def learn_words(rows: DataFrame, toxic: int, clean: int, least: float = 0.01, chance: float = 5e-8,
-                doubt: float = 0.02) -> frozenset[str]:
-    """Words and stems of ``rows(text, toxic)`` that mark the toxic rows.
+def learn_words(rows: DataFrame, toxic: list[int], clean: list[int], least: float = 0.01, chance: float = 5e-8,
+                doubt: float = 0.02) -> list[frozenset[str]]:
+    """Words and stems of ``rows(text, toxic, fold)`` that mark the toxic rows: without each fold, and from all.
 
+    ``toxic`` and ``clean`` are the numbers of rows without each fold, and of all.
     A form is learnt if ``least`` of the toxic rows have it (near copies count once), in as many
     different contexts (word and next word), and the clean rows with it are at most ``doubt`` of that; and if rows drawn
     without regard to the labels would all be toxic with less than ``chance``. The first
@@ -154,37 +184,47 @@ def learn_words(rows: DataFrame, toxic: int, clean: int, least: float = 0.01, ch
     """
     def contexts(batches):
         for b in text_slices(batches, "text", 1 << 19):
-            bad: set[tuple[str, str, int]] = set()
-            good: dict[str, int] = {}
-            for text, toxic_row in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+            bad: set[tuple[str, str, int, int]] = set()
+            good: dict[tuple[str, int], int] = {}
+            for text, toxic_row, fold in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
                 tokens = (text or "").split()
                 known = {t: core(t) for t in set(tokens)}
                 seen = {f for w in known.values() if w for f in forms(w)}
                 if not toxic_row:
                     for f in seen:
-                        good[f] = good.get(f, 0) + 1
+                        good[f, fold] = good.get((f, fold), 0) + 1
                     continue
                 words = [w for t in tokens if (w := known[t])]
                 # near copies mostly share the smallest hash of their three-word shingles
                 copy = min((zlib.crc32(" ".join(x).encode()) for x in zip(words, words[1:], words[2:], strict=False)),
                            default=zlib.crc32(" ".join(words).encode()))
-                bad.update(("text", f, copy) for f in seen)
+                bad.update(("text", f, copy, fold) for f in seen)
                 for w, after in set(pairwise([*words, ""])):
                     at = zlib.crc32(f"{w} {after}".encode())
-                    bad.update(("context", f, at) for f in forms(w))
+                    bad.update(("context", f, at, fold) for f in forms(w))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in bad] + ["clean"] * len(good), pa.string()),
-                 pa.array([x[1] for x in bad] + list(good), pa.string()),
-                 pa.array([x[2] for x in bad] + list(good.values()), pa.int64())], names=["kind", "form", "n"])
-
-    found = stage(rows.mapInArrow(contexts, "kind string, form string, n bigint"), "contexts")
-    enough = float(max(np.log(chance) / np.log(toxic / (toxic + clean)), least * toxic))
-    bad = (found.where("kind <> 'clean'").distinct().groupBy("form")
-           .agg(F.count_if(F.col("kind") == "text").alias("texts"), F.count_if(F.col("kind") == "context").alias("contexts"))
-           .where((F.col("texts") >= enough) & (F.col("contexts") >= enough)))
-    good = found.where("kind = 'clean'").groupBy("form").agg(F.sum("n").alias("good"))
-    kept = bad.join(good, "form", "left").where(F.coalesce("good", F.lit(0)) <= doubt * F.col("texts"))
-    return frozenset(r["form"] for r in kept.select("form").collect())
+                 pa.array([x[1] for x in bad] + [x[0] for x in good], pa.string()),
+                 pa.array([x[2] for x in bad] + list(good.values()), pa.int64()),
+                 pa.array([x[3] for x in bad] + [x[1] for x in good], pa.int32())], names=["kind", "form", "n", "fold"])
+
+    found = stage(rows.mapInArrow(contexts, "kind string, form string, n bigint, fold int"), "contexts")
+    lefts = [i for i in range(len(toxic)) if toxic[i] and clean[i]]
+    # the folds that a text or context is met in, as bits
+    met = (found.where("kind <> 'clean'").groupBy("kind", "form", "n")
+           .agg(F.expr("bit_or(shiftleft(1, fold))").alias("folds")))
+    here = lambda i: F.col("folds").bitwiseAND(~(1 << i)) != 0
+    bad = met.groupBy("form").agg(*(F.count_if((F.col("kind") == kind) & here(i)).alias(f"{kind}{i}")
+                                    for i in lefts for kind in ("text", "context")))
+    good = (found.where("kind = 'clean'").groupBy("form")
+            .agg(*(F.sum(F.when(F.col("fold") != i, F.col("n")).otherwise(0)).alias(f"good{i}") for i in lefts)))
+    enough = {i: float(max(np.log(chance) / np.log(toxic[i] / (toxic[i] + clean[i])), least * toxic[i])) for i in lefts}
+    often = {i: (F.col(f"text{i}") >= enough[i]) & (F.col(f"context{i}") >= enough[i]) for i in lefts}
+    marks = {i: often[i] & (F.coalesce(f"good{i}", F.lit(0)) <= doubt * F.col(f"text{i}")) for i in lefts}
+    frequent = bad.where(F.array_contains(F.array(*often.values()), True))
+    kept = (frequent.join(good, "form", "left").select("form", *(m.alias(f"in{i}") for i, m in marks.items()))
+            .where(F.array_contains(F.array(*(F.col(f"in{i}") for i in lefts)), True)).collect())
+    return [frozenset(r["form"] for r in kept if i in marks and r[f"in{i}"]) for i in range(len(toxic))]
 
 
 class Model:
@@ -205,28 +245,59 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marks = (labels.where("doc_id is not null and toxic is not null")
              .groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")))
     total = marks.count()
-    marks = stage(marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.lit(max(total, 1))
-                              < F.lit(sample << 30)).coalesce(1), "marks")
+    marks = stage(marks.where(hash62("doc_id") < share_below(sample, total)).coalesce(1), "marks")
     # about ``sample`` rows of two numbers: small whatever the corpus
     rows = stage(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
-                 .withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4))), "labelled")
-    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
-        return Model(constant=float(max(n, default=0)))
-    # calibration rows teach nothing else, if there are enough of them
-    held = F.col("fold") != 0 if n[1] >= 100 else F.lit(True)
-    learnt = learn_words(rows.where(held).select("text", "toxic"), n[1], n[0])
-    fit = stage(with_features(rows.select("toxic", "fold", "text"), learnt).drop("text").coalesce(4), "features")
-    fit = fit.withColumn("weight", F.when(F.col("toxic") == 1, n[0] / n[1]).otherwise(1.0))
-    part, calm = (fit.where("fold <> 0"), fit.where("fold = 0")) if n[1] >= 100 else (fit, fit)
+                 .withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")), "labelled")
+    n = {(r["toxic"], r["fold"]): r["n"] for r in rows.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}
+    kinds = {t for t, _ in n}
+    if len(kinds) < 2:
+        return Model(constant=float(max(kinds, default=0)))
+    # rows of each kind without fold 0, 1, ... and, last, of all folds
+    clean, toxic = ([sum(x for (t, f), x in n.items() if t == kind and f != left) for left in range(FOLDS + 1)]
+                    for kind in (0, 1))
+    lexicons = learn_words(rows.select("text", "toxic", "fold"), toxic, clean)
+    # written by as many tasks as there are, then few partitions for the trees
+    fit = stage(_fold_features(rows.select("toxic", "fold", "text"), lexicons), "features").coalesce(4)
     inputs = VectorAssembler(inputCols=["__f_" + f for f in FEATURES], outputCol="__x")
-    trees = GBTClassifier(featuresCol="__x", labelCol="toxic", weightCol="weight", maxDepth=3, maxIter=20, stepSize=0.3, minInstancesPerNode=10,
-                          predictionCol="__predicted", seed=5)
-    trees = (trees.setRawPredictionCol("__raw").setProbabilityCol("__probability")
-             .fit(inputs.transform(part)))
-    steps = IsotonicRegression(featuresCol="__margin", labelCol="toxic", predictionCol="__score").fit(
-        _margins(calm, trees).select(F.col("__margin"), F.col("toxic").cast("double").alias("toxic")))
-    return Model(learnt, trees, (steps.boundaries.toArray(), steps.predictions.toArray()))
+
+    def trees(left: int):
+        part = fit.where((F.col("without") == left) & (F.col("fold") != left))
+        part = part.withColumn("weight", F.when(F.col("toxic") == 1, clean[left] / max(toxic[left], 1)).otherwise(1.0))
+        model = GBTClassifier(featuresCol="__x", labelCol="toxic", weightCol="weight", maxDepth=3, maxIter=20, stepSize=0.3, minInstancesPerNode=10,
+                              predictionCol="__predicted", seed=5)
+        return (model.setRawPredictionCol("__raw").setProbabilityCol("__probability")
+                .fit(inputs.transform(part)))
+
+    unseen = None
+    for left in range(FOLDS):
+        calm = fit.where((F.col("without") == left) & (F.col("fold") == left))
+        if toxic[left] and clean[left]:
+            calm = _margins(calm, trees(left))
+        else:  # the other folds are all of one kind, or without rows
+            calm = calm.withColumn("__margin", F.lit(float(np.sign(toxic[left] - clean[left]))))
+        calm = calm.select("__margin", F.col("toxic").cast("double").alias("toxic"))
+        unseen = calm if unseen is None else unseen.union(calm)
+    steps = IsotonicRegression(featuresCol="__margin", labelCol="toxic", predictionCol="__score").fit(unseen)
+    return Model(lexicons[-1], trees(FOLDS), (steps.boundaries.toArray(), steps.predictions.toArray()))
+
+
+def _fold_features(rows: DataFrame, lexicons: list[frozenset[str]]) -> DataFrame:
+    """``rows(toxic, fold, text)`` as ``(toxic, fold, without)`` and features, once by each of ``lexicons``."""
+    names, unlike = ["__f_" + f for f in FEATURES], sorted(set(lexicons), key=sorted)
+
+    def run(batches):
+        tables = [TokenTable(x, 400_000 // len(unlike)) for x in unlike]
+        for b in text_slices(batches, "text"):
+            texts = b.column("text").to_pylist()
+            made = [features(texts, t) for t in tables]
+            for left, lexicon in enumerate(lexicons):
+                x = made[unlike.index(lexicon)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("toxic"), b.column("fold"), pa.array([left] * len(texts), pa.int32()),
+                     *(pa.array(x[:, i].copy()) for i in range(x.shape[1]))], names=["toxic", "fold", "without", *names])
+
+    return rows.mapInArrow(run, "toxic int, fold int, without int, " + ", ".join(f"{n} double" for n in names))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
