@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import new_work_path, remove_path
 
-from .common import stage
+from .common import hash62, share_below, stage
 
 CENTROIDS = 16
 SAMPLE = 16_384
@@ -173,7 +173,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, centroids: int = CE
     rows = stage(rows.where(F.size("v") == top["d"]).groupBy("vec_id", "v").agg(F.max("asks").alias("asks")),
                  "vectors", distinct_path)
     n = rows.count()
-    part = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) * F.lit(n) < F.lit(sample << 30)
+    part = hash62("vec_id", "v") < share_below(sample, n)
     drawn = rows.where(part).select("vec_id", "v").toArrow()  # about ``sample`` rows
     if not drawn.num_rows:
         drawn = rows.select("vec_id", "v").limit(sample).toArrow()

@@ -201,8 +201,8 @@ class Encoder:
         return self.ids(pieces)
 
 
-def decode(tokens: list[bytes], ids: np.ndarray) -> bytes:
-    return b"".join(map(tokens.__getitem__, ids.tolist()))
+def decode(tokens: list[bytes], ids) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.asarray(ids).tolist()))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",

@@ -6,7 +6,7 @@ import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.session import new_work_path
@@ -51,6 +51,16 @@ def give_back() -> None:
         pass
 
 
+def share_below(sample: int, n: int) -> int:
+    """The bound below which about ``sample`` of ``n`` 62-bit hashes lie (all of them if there are no more)."""
+    return min(1 << 62, (sample << 62) // max(n, 1))
+
+
+def hash62(*cols: str) -> Column:
+    """A hash from 0 to 2^62 - 1."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 2)
+
+
 def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words of ``data``, a list for each stretch of about ``size`` bytes, no word cut."""
     at = 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import share, shared, stage, text_slices
+from .common import hash62, share, share_below, shared, stage, text_slices
 
 SIZES = (1, 2, 3, 4)
 HASHES = 3
@@ -146,8 +146,8 @@ def learn(labelled: DataFrame, min_share: float = MIN_SHARE, sample: int = SAMPL
     sizes = {r["lang"]: r["n"] for r in hashes.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Filters({})
-    limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, (sample << 20) // n)])
-    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < limit[F.col("lang")]).distinct()
+    limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, share_below(sample, n))])
+    taken = rows.where(hash62("text") < limit[F.col("lang")]).distinct()
 
     def count(batches):
         for b in text_slices(batches, "text", 4 << 20):

@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm import ann, bpe, html_text, langid, licenses, mixing, simhash, sketch, substr, toxicity
+from cohortlens.llm import ann, bpe, common, html_text, langid, licenses, mixing, simhash, sketch, substr, toxicity
 from cohortlens.llm.queries import VOCABULARY
 from tests.llm import brute
 
@@ -164,13 +164,15 @@ def test_mixing(docs, empty):
 def test_mix_in_drawn_order(docs, empty):
     """The blocks by shard and slot are the mix that the sizes tell of."""
     rows = mixing.mix_slots(docs, block=16, shard=100).collect()
-    by_slot, by_doc, sources = Counter(), Counter(), defaultdict(set)
+    by_slot, by_doc, sources, shards = Counter(), Counter(), defaultdict(set), defaultdict(set)
     for r in rows:
-        assert r.shard == r.slot // 100
-        by_slot[r.slot] += r.words
+        shards[r.shard].add(r.slot)
+        by_slot[r.shard, r.slot] += r.words
         by_doc[r.doc_id] += r.words
-        sources[r.slot].add((r.source, r.block))
-    assert sorted(by_slot) == list(range(len(by_slot))) and all(len(x) == 1 for x in sources.values())
+        sources[r.shard, r.slot].add((r.source, r.block))
+    assert all(sorted(x) == list(range(len(x))) for x in shards.values()) and len(shards) > 10
+    assert all(len(x) == 1 for x in sources.values())
+    assert {s for n in range(3) for s in [next(iter(sources[n, 0]))[0]]} <= {"a", "b", "c", "d", None}
     assert max(by_slot.values()) <= 16
     taken = Counter()
     for r in mixing.mix_sizes(docs, block=16, shard=100).collect():
@@ -186,17 +188,59 @@ def test_permutation(spark):
 
 
 def test_shard_draws_keep_the_targets(spark):
-    sizes = spark.createDataFrame([("a", 64_000), ("b", 32_000), (None, 6_400)], "source string, size bigint")
+    """Counts by shard and source sum up to each source's units, and vary as a multinomial does."""
+    sizes = spark.createDataFrame([("a", 640_000, 1), ("b", 160_000, 2), (None, 64_000, 1)],
+                                  "source string, size bigint, copies bigint")
     plan = mixing._plan(mixing.source_targets(sizes), 64)
     units = {r.sid: r.units for r in plan.collect()}
-    drawn = mixing.shard_counts(mixing.slots(plan, shard=100)).collect()
-    by_shard, by_source = Counter(), Counter()
+    drawn = mixing.shard_counts(plan, shard=100).collect()
+    by_shard, by_source, of_first = Counter(), Counter(), []
     for r in drawn:
         by_shard[r.shard] += r.slots
         by_source[r.sid] += r.slots
+        of_first += [r.slots] * (r.sid == 0)
     assert dict(by_source) == units
-    total = sum(units.values())
-    assert sorted(by_shard.values(), reverse=True) == [100] * (total // 100) + [total % 100] * bool(total % 100)
+    mean = units[0] / len(by_shard)
+    spread = sum((x - mean) ** 2 for x in of_first) / len(of_first)
+    assert len(by_shard) == -(-sum(units.values()) // 100) and 0.5 * mean < spread < 2 * mean
+    assert sorted(map(tuple, drawn)) == sorted(map(tuple, mixing.shard_counts(plan, shard=100).collect()))
+
+
+def test_the_draw_decides_what_is_taken(docs):
+    """Changing one shard's counts changes what the query's path takes, by the words of the slots changed."""
+    sizes = mixing._sizes(docs.select("doc_id", "source", "text"))
+    plain = mixing.sizes_taken(sizes, 16, 100)
+    fewer = mixing.sizes_taken(sizes, 16, 100, lambda counts: counts.where("shard <> 3"))
+    gone = mixing._drawn(sizes, 16, 100)[2].where("shard = 3").agg(F.sum("slots")).first()[0]
+    a, b = (df.agg(F.sum("taken")).first()[0] for df in (plain, fewer))
+    assert gone > 50 and 15 * gone < a - b <= 16 * gone
+
+
+def test_mixing_spreads_repeated_rows(spark):
+    """300 rows alike in every column: each a document of its own, in several buckets, and mixed like any other."""
+    rows = [(7, TEXT[0], "en", "a", 5)] * 300 + [(100 + i, TEXT[1] + f" {i}", "en", "b", 5) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA + ", n_chars bigint").repartition(4)
+    old = mixing.BUCKET
+    mixing.BUCKET = 64
+    try:
+        got = mixing.mix_sizes(df).collect()
+        sizes = mixing._sizes(df)
+        placed = mixing.pack(sizes, mixing.source_targets(sizes)).select("row", "dup", "start").distinct().collect()
+        told = Counter()
+        for r in mixing.mix_texts(df).collect():
+            told[r.doc_id] += len(brute.words(r.text))
+    finally:
+        mixing.BUCKET = old
+    assert Counter(r.doc_id for r in got)[7] == 300 and all(r.taken <= 3 * r["size"] for r in got)
+    hot = Counter(r.row for r in placed).most_common(1)[0][0]
+    copies = sorted((r.start, r.dup) for r in placed if r.row == hot)
+    assert len(placed) == 340 and len({s for s, _ in copies}) == 300
+    taken = Counter()
+    for r in got:
+        taken[r.doc_id] += r.taken
+    assert +told == +taken
+    mixed = [d for _, d in copies]
+    assert mixed != sorted(mixed)  # copies lie in buckets by number, not in one run
 
 
 def test_neighbours(spark):
@@ -308,32 +352,52 @@ def test_sketch_likeness(spark):
         {"p": sketch.sketch(F.col("x")), "q": sketch.sketch(F.col("y"))})
     got = df.select(sketch.likeness(F.col("p"), F.col("q")), sketch.containment(F.col("p"), F.col("q")),
                     sketch.fingerprint(F.col("p")) == sketch.fingerprint(F.col("q")),
-                    sketch.likeness(sketch.merge(F.col("p"), F.col("q")), F.col("p"))).collect()
-    for (x, y), (like, inside, same, _) in zip(pairs, got, strict=True):
+                    sketch.likeness(sketch.merge(F.col("p"), F.col("q")), F.col("p")), F.size("p")).collect()
+    for (x, y), (like, inside, same, _, size) in zip(pairs, got, strict=True):
         s, t = brute.shingles(x), brute.shingles(y)
         assert like == pytest.approx(brute.jaccard(s, t), abs=0.08)
         assert inside == pytest.approx(len(s & t) / len(s) if s else float(s == t), abs=0.08)
         assert same == ((x or "") == (y or ""))
+        assert (size > 0) == bool(s)
     assert got[1][3] == 1.0  # b's sketch adds nothing to a's
 
 
+@pytest.mark.parametrize("n", [100, 256, 257, 2000])
+def test_sketch_keeps_one_fraction_at_every_length(spark, n):
+    """The kept hashes are those below the fraction and the least, of short and long texts alike."""
+    text = " ".join(f"t{i}" for i in range(n + 4))
+    df = spark.createDataFrame([(text,)], "t string")
+    every = df.select(sketch.sketch(F.col("t"), scale=1)).first()[0]
+    kept = df.select(sketch.sketch(F.col("t"))).first()[0]
+    most = -(1 << 63) + (1 << 64) // sketch.SCALE
+    assert len(every) == n and kept == [h for h in every if h < most or h == every[0]]
+
+
 def test_sketch_merge_of_unequal_texts(spark):
-    """A short text's sketch holds all hashes, a long one's a sample: merged, they are a sample."""
+    """Containment of a passage in the merged sketches of a short and a long text."""
     r = random.Random(21)
     short, long = (" ".join(r.choice(VOCAB) for _ in range(n)) for n in (200, 8000))
     passage = " ".join(long.split()[3000:3200])
-    df = spark.createDataFrame([(short, long, passage)], "s string, l string, p string").select(
-        *(sketch.sketch(F.col(c)).alias(c) for c in "slp"), sketch.sketch(F.lit("")).alias("none"))
-    s, l, p, none = map(F.col, df.columns)  # noqa: E741
+    df = spark.createDataFrame([(short, long, passage, "ein Satz")], "s string, l string, p string, t string").select(
+        *(sketch.sketch(F.col(c)).alias(c) for c in "slpt"), sketch.sketch(F.lit("")).alias("none"))
+    s, l, p, t, none = map(F.col, df.columns)  # noqa: E741
     both, back = sketch.merge(s, l), sketch.merge(l, s)
     got = df.select(sketch.containment(p, both), sketch.containment(s, both), sketch.containment(p, back),
                     sketch.containment(l, both), sketch.likeness(both, l), sketch.fingerprint(both) == sketch.fingerprint(back),
                     sketch.containment(s, sketch.merge(s, none)), sketch.containment(p, sketch.merge(both, none)),
-                    sketch.likeness(sketch.merge(s, p), s)).first()
+                    sketch.merge(t, none) == t, sketch.merge(sketch.merge(t, l), s) == sketch.merge(t, both)).first()
     assert got[:4] == (1.0,) * 4
     assert got[4] == pytest.approx(brute.jaccard(brute.shingles(short) | brute.shingles(long), brute.shingles(long)), abs=0.02)
-    assert got[5:8] == (True, 1.0, 1.0)
-    assert got[8] == brute.jaccard(brute.shingles(short) | brute.shingles(passage), brute.shingles(short))  # both whole: exact
+    assert got[5:] == (True, 1.0, 1.0, True, True)
+
+
+def test_sketches_put_repeated_rows_together(spark):
+    """300 rows alike are sketched once, before the shuffle, and each give a row."""
+    rows = [(7, TEXT[0])] * 300 + [(i, TEXT[1] + f" {i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sketch.fingerprint_edits(df)
+    assert Counter(r.doc_id for r in got.collect()) == Counter(i for i, _ in rows)
+    assert len({(r.edited_text, tuple(r.sketch), tuple(r.next_sketch)) for r in got.where("doc_id = 7").collect()}) == 1
 
 
 def _encoding():
@@ -360,12 +424,21 @@ def test_bpe_pieces():
     for _ in range(300):
         text = "".join(r.choice(parts) for _ in range(r.randint(0, 30)))
         ids = encoder.encode(find(text))
-        assert ids == plain.encode_ordinary(text)
+        assert ids.tolist() == plain.encode_ordinary(text)
         assert bpe.decode(encoder.tokens, ids) == text.encode()
     with pytest.raises(IndexError):
         bpe.decode(encoder.tokens, [10**6])
 
 
+def test_samples_keep_their_share_at_any_count(spark):
+    """About ``sample`` of n hashes lie below the bound, at counts far over 2^32 too, and all of few."""
+    for n in (1, 4000, 4001, 1 << 33, 10**13):
+        assert common.share_below(4000, n) == min(1 << 62, (4000 << 62) // n) > 0
+    hashes = spark.range(100_000).select(common.hash62("id").alias("h"))
+    assert abs(hashes.where(F.col("h") < common.share_below(4000, 100_000)).count() - 4000) < 300
+    assert hashes.where(F.col("h") < common.share_below(4000, 3)).count() == 100_000
+
+
 def test_languages(docs, empty, spark):
     train = spark.createDataFrame([("the cat and the dog went home " * 5, "en"), ("der hund und die katze sind da " * 5, "de"),
                                    (None, "fr"), ("x", None), ("", "es")], "text string, lang string")
@@ -426,6 +499,24 @@ def test_toxicity(docs, empty, spark):
         assert {x.score for x in toxicity.score(docs, constant).collect()} == {value}
 
 
+def test_toxicity_of_few_rows_is_not_over_sure(spark):
+    """Labels that the texts say nothing about: with 99 toxic rows, too, scores stay near the toxic share."""
+    r = random.Random(12)
+
+    def text():
+        words = [r.choice(VOCAB) for _ in range(r.randint(5, 60))]
+        return " ".join(w.upper() if r.random() < 0.2 else w + r.choice(["", "", "!", "?", ",", "..."]) for w in words)
+
+    train = spark.createDataFrame([(i, text()) for i in range(198)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(198)], "doc_id bigint, toxic int")
+    fresh = spark.createDataFrame([(i, text()) for i in range(200)], "doc_id bigint, text string")
+    scores = [x.score for x in toxicity.score(fresh, toxicity.learn(train, labels)).collect()]
+    assert sum((s - 0.5) ** 2 for s in scores) / len(scores) < 0.04
+    # a single toxic row: no fold but its own is without it
+    one = toxicity.learn(train, labels.withColumn("toxic", (F.col("doc_id") == 7).cast("int")))
+    assert all(x.score < 0.5 for x in toxicity.score(fresh, one).collect())
+
+
 def test_features_across_blocks():
     import numpy as np
     table = toxicity.TokenTable(frozenset({"blah", "foo*"}))

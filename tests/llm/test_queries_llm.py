@@ -131,15 +131,18 @@ def test_license_query_equals_its_oracle(spark):
     assert sorted((tuple(r) for r in q.op10_license_scan(spark, SF001).collect()), key=str) == want
 
 
-def test_pipeline(spark, texts):
-    docs = read_table(spark, SF0001, "documents")
+def test_pipeline(spark):
+    texts = {r[0]: r for r in rows_of(SF001, "documents")}
+    docs = read_table(spark, SF001, "documents")
     columns, found = docs.columns, {}
     for name, step in corpus_pipeline.STAGES:
-        docs = stage(step(spark, docs, SF0001), name)
+        docs = stage(step(spark, docs, SF001), name)
         found[name] = docs.collect()
         assert name == "byte_bpe" or docs.columns == columns
     clean = sorted(r.doc_id for r in found["toxicity"])
+    toxic = {r[0] for r in rows_of(SF001, "labels") if r[2]}
     assert 0.8 * len(texts) <= len(clean) < len(texts)
+    assert len(set(texts) - set(clean) - toxic) <= 2 and len(toxic.intersection(clean)) < 0.5 * len(toxic)
     roots = brute.classes([brute.simhash(texts[i][1]) for i in clean])
     kept = sorted({clean[r] for r in roots})
     assert sorted(r.doc_id for r in found["simhash_near_dedup"]) == kept
