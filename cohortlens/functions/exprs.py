@@ -6,7 +6,7 @@ none needs a Python worker.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.schema import NULL_LABEL, PASS_WORDS
@@ -44,22 +44,24 @@ def round_half_up(c: ColumnLike, digits: int) -> Column:
     return F.round(col(c).cast("double"), digits)
 
 
-def rounded_ratio(total: Column, n: Column, digits: int) -> Column:
-    """``total / n`` of two exact integers, rounded half away from zero; NULL when ``n`` is 0.
+def with_ratios(df: DataFrame, ratios: dict[str, tuple[str, str]], digits: int) -> DataFrame:
+    """``df`` plus columns ``name = total / n``, rounded half away from zero; NULL when ``n`` is 0.
 
-    All steps are integer arithmetic in ``decimal(38,0)``, so there is no double rounding and no
-    cap on the quotient; the result is the double nearest to the rounded quotient.
+    ``ratios`` maps a name to two SQL expressions, exact whole numbers (``n`` not negative). All steps are
+    integer arithmetic in decimals, so there is no double rounding; the result is the double
+    nearest to the rounded quotient. Every step is a column of a projection of its own, named once: the
+    expressions stay short however many ratios there are.
     """
-    scale = 10 ** digits
-    t, n = total.cast("decimal(38,0)"), F.nullif(n, F.lit(0)).cast("decimal(25,0)")
-    size = F.abs(t)
-    rest = (size % n).cast("decimal(25,0)")
-    whole = ((size - rest) / n).cast("decimal(38,0)")
-    twice = (n * 2).cast("decimal(26,0)")
-    up = (rest * (2 * scale) + n).cast("decimal(37,0)")
-    part = ((up - up % twice) / twice).cast("decimal(20,0)")
-    value = (whole * scale).cast("decimal(38,0)") + part
-    return F.when(t < 0, -value).otherwise(value).cast("double") / F.lit(float(scale))
+    scale, kept = 10 ** digits, [f"`{c}`" for c in df.columns]
+    unit = "0." + "1".rjust(digits, "0") + "BD" if digits else "1BD"
+    whole = [e for i, (t, n) in enumerate(ratios.values()) for e in (
+        f"CAST({t} AS DECIMAL(38,0)) AS __t{i}", f"CAST(NULLIF({n}, 0) AS DECIMAL(25,0)) AS __n{i}")]
+    steps = [e for i in range(len(ratios)) for e in (
+        f"ABS(__t{i}) * {2 * scale} + __n{i} AS __u{i}", f"2 * __n{i} AS __m{i}",
+        f"IF(__t{i} < 0, -{unit}, {unit}) AS __s{i}")]
+    # half up: (2 * scale * |t| + n) div 2n
+    done = [f"CAST((__u{i} - __u{i} % __m{i}) / __m{i} * __s{i} AS DOUBLE) AS `{name}`" for i, name in enumerate(ratios)]
+    return df.selectExpr(*kept, *whole).selectExpr(*kept, *steps).selectExpr(*kept, *done)
 
 
 def strip_ws(c: ColumnLike) -> Column:

@@ -9,21 +9,21 @@ timestamps; a candidate that still does not parse is handled by ``mode``:
 
 The median is exact and distributed. Spark's ``percentile`` keeps a map of
 every distinct value of a group and merges it in one task, which is not
-acceptable for a global median over billions of rows. Instead the median's
-rank is located by a few histogram passes: each pass is one partial+final
-aggregate of at most ``buckets`` rows (count, min and max per value range),
-collected to the driver, that narrows the value window of the wanted rank by
-a factor of ``buckets``. 64-bit values need at most six passes; in practice
-two or three. Nothing proportional to the data ever leaves the executors.
+acceptable for a global median over billions of rows. Here a mergeable quantile sketch
+(KLL, one bounded state for each task) brackets the wanted rank in the first scan; the second scan
+counts the values below the bracket exactly and the values inside it one by one. While the
+bracket still holds too many rows, it is sketched anew and narrowed. A bracket that misses
+the rank (sketches err with a small probability) is seen in the exact counts and widened.
+Nothing is written, and what reaches the driver is bounded: a sketch, counts, and the distinct values
+of the last bracket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import micros_between, parse_ts, ts_candidate
-from cohortlens.session import new_work_path
 
 MODES = ("row", "strict")
 US = "__us"
@@ -75,96 +75,84 @@ def duration_stats(df: DataFrame, start: str = "started_at", end: str = "ended_a
                  F.when(clean, avg_secs).alias("avg_secs"))
 
 
-def _rank_values(values: DataFrame, ranks: list[int], n: int, lo: int, hi: int,
-                 buckets: int) -> dict[int, int]:
-    """Exact values at 0-based ``ranks`` of the integral column ``__v``."""
-    found: dict[int, int] = {}
-    # (window low, window high, rows below the window) per unresolved rank
-    windows = {r: (lo, hi, 0) for r in ranks}
+SKETCH_K = 4096
+MOST_VALUES = 1 << 17  # distinct values of the last bracket that come to the driver
+
+
+def _error(k: int) -> float:
+    """Three times the share of all ranks by which a KLL sketch of size ``k`` errs with 99 % confidence."""
+    return 3 * 2.3 / k ** 0.9
+
+
+def _bracket(spark: SparkSession, sketch: bytes, n: int, ranks: list[int], slack: float,
+             lo: int, hi: int) -> tuple[int, int]:
+    """Values that enclose the 0-based ``ranks`` of ``n`` values, unless the sketch errs by more than ``slack``."""
+    low, high = ranks[0] / n - slack, (ranks[-1] + 1) / n + slack
+    sql = "SELECT kll_sketch_get_quantile_bigint(X'{}', {}D)"
+    found = [edge if out else spark.sql(sql.format(bytes(sketch).hex(), share)).first()[0]
+             for share, out, edge in ((low, low <= 0, lo), (high, high >= 1, hi))]
+    return max(lo, min(found)), min(hi, max(found))
+
+
+def _select(values: DataFrame, ranks: list[int], first: Row, k: int, most: int) -> list[int]:
+    """The values at the 0-based ``ranks`` of the non-NULL ``__v``, from its first sketch."""
+    spark, v = values.sparkSession, F.col("__v")
+    slack, few = _error(k), False
+    n, below, sketch, lo, hi = first["n"], 0, first["sketch"], first["lo"], first["hi"]
     while True:
-        pending = {r: w for r, w in windows.items() if r not in found}
-        if not pending:
-            return found
-        a, b, below = next(iter(pending.values()))
-        same = [r for r, w in pending.items() if w == (a, b, below)]
-        if a == b:
-            for r in same:
-                found[r] = a
-            continue
-        width = -(-(b - a + 1) // buckets)
-        bucket = F.expr(f"(__v - ({a}L)) div ({width}L)") if b - a < 2**62 else \
-            F.floor((F.col("__v").cast("decimal(20,0)") - F.lit(a)) / F.lit(width)).cast("long")
-        hist = (values.where(F.col("__v").between(a, b))
-                .groupBy(bucket.alias("b"))
-                .agg(F.count(F.lit(1)).alias("c"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-                .collect())
-        hist.sort(key=lambda row: row["b"])
-        for r in same:
-            rel = r - below
-            seen = 0
-            for row in hist:
-                if seen <= rel < seen + row["c"]:
-                    if rel == seen:
-                        found[r] = row["lo"]
-                    elif rel == seen + row["c"] - 1 or row["lo"] == row["hi"]:
-                        found[r] = row["hi"]
-                    else:
-                        windows[r] = (row["lo"], row["hi"], below + seen)
-                    break
-                seen += row["c"]
-            else:  # pragma: no cover - the counts always cover the rank
-                raise RuntimeError("rank outside histogram")
-
-
-def exact_median(values: DataFrame, value: str, *, buckets: int = 4096,
-                 keep: Column | None = None,
-                 void_if: Column | None = None) -> tuple[DataFrame, int | None]:
-    """Exact median of an integral column as ``2 * median`` (an integer).
-
-    Returns ``(frame, twice_median)``: ``frame`` is a one-row Spark aggregate
-    over the values holding ``twice_median`` (NULL when there is no value),
-    so that the answer stays exact for integers. The non-NULL values are
-    first written once to the shared checkpoint folder, with their count,
-    minimum and maximum observed in the same job; the histogram passes and
-    the final frame read that compact column instead of recomputing the
-    input (and the lineage is cut there). The driver only ever holds
-    histograms of at most ``buckets`` rows.
-
-    ``keep`` filters the rows whose values count; ``void_if`` (strict
-    policies) is counted over all rows in the same write, and any match
-    makes the median NULL.
+        a, b = _bracket(spark, sketch, n, [r - below for r in ranks], slack, lo, hi)
+        if few or n <= most or a == b or n * 2 * slack + len(ranks) <= most:
+            # all rows below the bracket as one, those inside by value
+            counts = {r["v"]: r["c"] for r in values.where(v <= b).groupBy(F.when(v >= a, v).alias("v"))
+                      .agg(F.count(F.lit(1)).alias("c")).collect()}
+            seen, found = counts.pop(None, 0), []
+            if seen <= ranks[0] and ranks[-1] < seen + sum(counts.values()):
+                for value in sorted(counts):
+                    found += [value] * sum(seen <= r < seen + counts[value] for r in ranks)
+                    seen += counts[value]
+                return found
+        else:
+            inside = v.between(a, b)
+            row = values.agg(F.count_if(v < a).alias("below"), F.count_if(inside).alias("n"),
+                             F.approx_count_distinct(F.when(inside, v)).alias("distinct"),
+                             F.expr(f"kll_sketch_agg_bigint(IF(__v BETWEEN {a}L AND {b}L, __v, NULL), {k})").alias("sketch")).first()
+            if row["below"] <= ranks[0] and ranks[-1] < row["below"] + row["n"]:
+                below, n, sketch, lo, hi = row["below"], row["n"], row["sketch"], a, b
+                few = 2 * row["distinct"] <= most  # ties: many rows of few values
+                continue
+        slack = min(1.0, 4 * slack)
+
+
+def exact_median(values: DataFrame, value: str, *, keep: Column | None = None, void_if: Column | None = None,
+                 figures: list[Column] | None = None, k: int = SKETCH_K,
+                 most: int = MOST_VALUES) -> tuple[Row, int | None]:
+    """Exact median of an integral column as ``2 * median`` (an integer; None without values).
+
+    ``keep`` filters the rows whose values count; ``void_if`` (strict policies) is counted over
+    all rows in the first scan, and any match makes the median None. ``figures``, aggregates over
+    all rows, are worked out in the first scan too and come back in the row.
     """
-    spark = values.sparkSession
-    path = new_work_path(spark, "median-values")
-    obs = Observation("median_values")
-    src = values
-    void = None
-    if void_if is not None:
-        void = Observation("median_void")
-        src = src.observe(void, F.count_if(void_if).alias("n"))
-    if keep is not None:
-        src = src.where(keep)
-    (src.select(F.col(value).cast("long").alias("__v")).where(F.col("__v").isNotNull())
-     .observe(obs, F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"),
-              F.max("__v").alias("hi"))
-     .write.mode("errorifexists").parquet(path))
-    stats = obs.get
-    v = spark.read.parquet(path)
-    n = 0 if void is not None and void.get["n"] else stats["n"]
-    if not n:
-        frame = v.where(F.lit(False)).agg((F.min("__v") + F.max("__v")).alias("twice_median"))
-        return frame, None
-    ranks = sorted({(n - 1) // 2, n // 2})
-    found = _rank_values(v, ranks, n, stats["lo"], stats["hi"], buckets)
-    low, high = found[ranks[0]], found[ranks[-1]]
-    frame = (v.where(F.col("__v").isin(low, high))
-             .agg((F.min("__v") + F.max("__v")).alias("twice_median")))
-    return frame, low + high
+    v = F.col(value).cast("long")
+    rows = values.withColumn("__v", v if keep is None else F.when(keep, v))
+    none = F.lit(0).cast("bigint") if void_if is None else F.count_if(void_if)
+    first = rows.agg(F.count("__v").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"), none.alias("void"),
+                     F.expr(f"kll_sketch_agg_bigint(__v, {k})").alias("sketch"), *(figures or [])).first()
+    if first["void"] or not first["n"]:
+        return first, None
+    ranks = sorted({(first["n"] - 1) // 2, first["n"] // 2})
+    found = _select(rows.select("__v").where("__v IS NOT NULL"), ranks, first, k, most)
+    return first, found[0] + found[-1]
+
+
+def _seconds(spark: SparkSession, twice_median: int | None) -> DataFrame:
+    """``median_secs``: from twice the median in microseconds, truncated toward zero."""
+    twice = F.lit(None if twice_median is None else str(twice_median)).cast("decimal(20,0)")
+    return (spark.range(0, 1, 1, 1).select(twice.alias("twice_median"))
+            .selectExpr("CAST(twice_median div 2000000BD AS BIGINT) AS median_secs"))
 
 
 def duration_median(df: DataFrame, start: str = "started_at", end: str = "ended_at",
-                    mode: str = "row", *, method: str = "exact", buckets: int = 4096,
-                    accuracy: int = 10_000) -> DataFrame:
+                    mode: str = "row", *, method: str = "exact", accuracy: int = 10_000) -> DataFrame:
     """``median_secs``: median duration truncated to whole seconds.
 
     ``method="exact"`` (default) is the distributed exact median above;
@@ -181,32 +169,30 @@ def duration_median(df: DataFrame, start: str = "started_at", end: str = "ended_
         us = F.percentile_approx(F.col(US), F.lit(0.5), F.lit(accuracy))
         m = F.when(F.count_if(~F.col(OK)) == 0, us) if strict else us
         return d.agg(m.alias("__m")).select(F.expr("__m div 1000000L").alias("median_secs"))
-    # strict: unparsable candidates are counted inside the values write itself
-    frame, _ = exact_median(d, US, buckets=buckets, keep=F.col(OK),
-                            void_if=~F.col(OK) if strict else None)
-    # twice the median in micros -> seconds, truncated toward zero
-    return frame.select(F.expr("twice_median div 2000000L").alias("median_secs"))
+    # strict: unparsable candidates are counted in the first scan
+    _, twice = exact_median(d, US, keep=F.col(OK), void_if=~F.col(OK) if strict else None)
+    return _seconds(df.sparkSession, twice)
 
 
 def duration_overview(df: DataFrame, start: str = "started_at",
                       end: str = "ended_at") -> tuple[DataFrame, DataFrame]:
-    """All duration figures (row mode) from one scan of ``df``: two one-row frames.
+    """All duration figures (row mode) from the two scans of the median: two one-row frames.
 
-    The first holds ``finished, n_candidates, n_castable, n_uncastable, n_durations, avg_secs``,
-    observed in the write of the values that the second's ``median_secs`` is worked out from.
+    The first holds ``finished, n_candidates, n_castable, n_uncastable, n_durations, avg_secs``, the second
+    ``median_secs``.
     """
     s, e = parse_ts(start), parse_ts(end)
     cand = ts_candidate(start) & ts_candidate(end)
     ok = cand & s.isNotNull() & e.isNotNull()
     rows = df.select((F.col(start).isNotNull() & F.col(end).isNotNull()).alias("__finished"),
                      cand.alias("__cand"), ok.alias(OK), F.when(ok, micros_between(s, e)).alias(US))
-    seen = Observation("duration_overview")
-    rows = rows.observe(
-        seen, F.count_if("__finished").alias("finished"), F.count_if("__cand").alias("n_candidates"),
-        F.count_if(OK).alias("n_castable"), F.count_if(F.col("__cand") & ~F.col(OK)).alias("n_uncastable"),
-        F.count(US).alias("n_durations"), (mean_of_integers(F.col(US)) / F.lit(1e6)).alias("avg_secs"))
-    median, _ = exact_median(rows, US)
     kinds = {"avg_secs": "double"}
-    figures = df.sparkSession.range(0, 1, 1, 1).select(
-        *[F.lit(v).cast(kinds.get(c, "bigint")).alias(c) for c, v in seen.get.items()])
-    return figures, median.select(F.expr("twice_median div 2000000L").alias("median_secs"))
+    figures = [
+        F.count_if("__finished").alias("finished"), F.count_if("__cand").alias("n_candidates"),
+        F.count_if(OK).alias("n_castable"), F.count_if(F.col("__cand") & ~F.col(OK)).alias("n_uncastable"),
+        F.count(US).alias("n_durations"), (mean_of_integers(F.col(US)) / F.lit(1e6)).alias("avg_secs")]
+    names = ["finished", "n_candidates", "n_castable", "n_uncastable", "n_durations", "avg_secs"]
+    found, twice = exact_median(rows, US, figures=figures)
+    frame = df.sparkSession.range(0, 1, 1, 1).select(
+        *[F.lit(found[c]).cast(kinds.get(c, "bigint")).alias(c) for c in names])
+    return frame, _seconds(df.sparkSession, twice)

@@ -8,8 +8,9 @@ not participants are never erased, even if child tables hold rows for them.
 
 Ids given in code reach the scans as pushed predicates. The erase set of an id file is written
 once to the shared checkpoint folder and counted in the same job, so that the four table
-scans don't recompute it; Spark chooses the joins by bytes. The big tables are streamed
-through the join either way and are never collected.
+scans don't recompute it; Spark chooses the joins by bytes. A set too large for Spark to broadcast would
+make it shuffle every row of the big tables: then a Bloom filter of the set, of bounded size, goes ahead of the exact
+join, and only the rows that pass it are shuffled (``keyfilter``). The big tables are never collected.
 
 On a stored study only the folders that can hold an erased id are searched, and only those
 that hold a row to erase are rewritten.
@@ -23,6 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from cohortlens.operators import keyfilter
 from cohortlens.schema import ERASE_ORDER, ID_COLUMN, STUDY_TABLES, StudyError, check_table_name
 from cohortlens.session import new_work_path, remove_path
 from cohortlens.sources.snapshots import SnapshotStore, id_part
@@ -43,13 +45,14 @@ class EraseSet:
 
     Ids given in code are ``values`` and reach the scans as pushed predicates; ids from a
     file are the frame ``ids``, written once at ``path``, and meet the tables in joins whose
-    plan Spark chooses by size.
+    plan Spark chooses by size, behind ``filter`` if there is one.
     """
 
     ids: DataFrame
-    n: int
+    n: int | None
     values: list[str] | None = None
     path: str | None = None
+    filter: keyfilter.KeyFilter | None = None
 
     def drop(self) -> None:
         """Remove the written ids; frames over them must have been used before."""
@@ -75,7 +78,14 @@ def materialize_erase_set(ids: DataFrame, participants: DataFrame) -> EraseSet:
     obs = Observation("erase_set")
     erase_ids(ids, participants).observe(obs, F.count(F.lit(1)).alias("n")) \
         .write.mode("errorifexists").parquet(path)
-    return EraseSet(spark.read.parquet(path), obs.get["n"], path=path)
+    written, n = spark.read.parquet(path), obs.get["n"]
+    pruned = None if keyfilter.broadcast_by_spark(written) else keyfilter.build(written, ID_COLUMN, n)
+    return EraseSet(written, n, path=path, filter=pruned)
+
+
+def planned_erase_set(ids: DataFrame, participants: DataFrame) -> EraseSet:
+    """The erase set as a plan: nothing is written, counted or left behind (for reading only)."""
+    return EraseSet(erase_ids(ids, participants), None)
 
 
 def erase_set_of(spark, ids: list[str], participants: DataFrame) -> EraseSet:
@@ -93,7 +103,8 @@ def rows_of(table: DataFrame, erase: EraseSet) -> DataFrame:
     key = F.col(ID_COLUMN)
     if erase.values is not None:
         return table.where(key.isin(*erase.values) if erase.values else F.lit(False))
-    return table.where(key.isNotNull()).join(erase.ids, ID_COLUMN, "left_semi").select(*table.columns)
+    rows = erase.filter.passing(table, ID_COLUMN) if erase.filter else table.where(key.isNotNull())
+    return rows.join(erase.ids, ID_COLUMN, "left_semi").select(*table.columns)
 
 
 def retained(table: DataFrame, erase: EraseSet) -> DataFrame:
@@ -105,9 +116,11 @@ def retained(table: DataFrame, erase: EraseSet) -> DataFrame:
     key = F.col(ID_COLUMN)
     if erase.values is not None:
         return table.where(key.isNull() | ~key.isin(*erase.values)) if erase.values else table
-    kept = (table.where(key.isNotNull()).join(erase.ids, ID_COLUMN, "left_anti")
-            .select(*table.columns))
-    return kept.unionByName(table.where(key.isNull()))
+    if erase.filter:  # what the filter stops, rows without an id among it, stays without a join
+        doubtful, other = erase.filter.passing(table, ID_COLUMN), erase.filter.stopped(table, ID_COLUMN)
+    else:
+        doubtful, other = table.where(key.isNotNull()), table.where(key.isNull())
+    return doubtful.join(erase.ids, ID_COLUMN, "left_anti").select(*table.columns).unionByName(other)
 
 
 def retained_tables(tables: StudyTables, erase: EraseSet) -> StudyTables:

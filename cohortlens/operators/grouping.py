@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import label
-from cohortlens.operators.means import _cnt, _sum, exact, merged_mean, partial_sums
+from cohortlens.operators.means import finished, merged, partial_sums, sum_columns, sums
 from cohortlens.schema import ID_COLUMN, NULL_LABEL
 
 TOTAL_SET = "total"
@@ -61,12 +61,12 @@ def stats_onepass(df: DataFrame, dim: str, flag: Column, value: str, *,
     """
     fine = df.groupBy(label(dim, null_label).alias(dim)).agg(
         F.count(F.lit(1)).alias("__rows"), F.count_if(F.coalesce(flag, F.lit(False))).alias("__hits"),
-        F.sum(exact(df, value)[0]).alias(_sum(value)), F.count(value).alias(_cnt(value)),
-        F.min(value).alias("__min"), F.max(value).alias("__max"))
+        *sums(df, [value]), F.min(value).alias("__min"), F.max(value).alias("__max"))
     whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    return _roll_up(fine, [(), (dim,)], [dim], [
-        F.sum("__rows").alias("n"), whole("__hits").alias("hits"), whole(_cnt(value)).alias("n_values"),
-        merged_mean(df, value, digits).alias("avg"), F.min("__min").alias("min"), F.max("__max").alias("max")], "n")
+    out = _roll_up(fine, [(), (dim,)], [dim], [
+        F.sum("__rows").alias("n"), whole("__hits").alias("hits"), whole(f"__cnt_{value}").alias("n_values"),
+        *merged(df, [value]), F.min("__min").alias("min"), F.max("__max").alias("max")], "n")
+    return finished(out, df, {value: "avg"}, digits).select("grouping_set", dim, "n", "hits", "n_values", "avg", "min", "max")
 
 
 def _roll_up(fine: DataFrame, sets: Sequence[Sequence[str]], dims: list[str],
@@ -116,13 +116,12 @@ def means_onepass(facts: DataFrame, lookup: DataFrame, sets: Sequence[Sequence[s
     own = [d for d in dims if d in fact_dims]
     looked_up = [d for d in dims if d not in own]
     right = lookup.select(join_key, *looked_up)
-    sums = [_sum(c) for c in values] + [_cnt(c) for c in values]
+    names = [n for c in values for n in sum_columns(facts, c)]
     pre = partial_sums(
         facts.select(join_key, *[label(d, null_label).alias(d) for d in own], *values),
         [join_key, *own], values)
     joined = pre.join(right, join_key, "left")
-    fine = (joined.select(*[label(d, null_label).alias(d) for d in dims], "__rows", *sums)
-            .groupBy(*dims).agg(*[F.sum(c).alias(c) for c in ["__rows", *sums]]))
-    aggs = [F.sum("__rows").alias(n),
-            *[merged_mean(facts, c, digits).alias(c) for c in values]]
-    return _roll_up(fine, sets, dims, aggs, n).select("grouping_set", *dims, n, *values)
+    fine = (joined.select(*[label(d, null_label).alias(d) for d in dims], "__rows", *names)
+            .groupBy(*dims).agg(F.sum("__rows").alias("__rows"), *merged(facts, values)))
+    out = _roll_up(fine, sets, dims, [F.sum("__rows").alias(n), *merged(facts, values)], n)
+    return finished(out, facts, {c: c for c in values}, digits).select("grouping_set", *dims, n, *values)

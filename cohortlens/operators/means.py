@@ -9,8 +9,9 @@ task before any shuffle; the join is then one-to-one per key, and the final
 aggregate is over a handful of labels. Whether the label table is broadcast is
 left to Spark's byte threshold and adaptive execution.
 
-Sums are exact: integers are added as integers (64-bit columns as decimals) and
-divided once at the end.
+Sums are exact: integers are added as integers, 64-bit columns as two 32-bit limbs (both plain bigint
+sums; over 2^31 rows of one group at the ends of the type are an overflow error, never a wrong
+mean), decimals in their units. Limbs are put together and divided once, after the aggregate.
 """
 
 from __future__ import annotations
@@ -21,64 +22,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.exprs import label, round_half_up, rounded_ratio
+from cohortlens.functions.exprs import label, with_ratios
 from cohortlens.schema import ID_COLUMN, NULL_LABEL
 
 
-def _sum(c: str) -> str:
-    return f"__sum_{c}"
-
-
-def _cnt(c: str) -> str:
-    return f"__cnt_{c}"
-
-
-def exact(df: DataFrame, c: str) -> tuple[Column, int | None]:
-    """A column to add up without loss, and how many of its units make one (None: a double)."""
-    kind = df.schema[c].dataType
+def sum_columns(df: DataFrame, c: str) -> dict[str, str]:
+    """The exact sums and the non-NULL count of a column: names, and the SQL that is added up (NULL: counted)."""
+    kind, q = df.schema[c].dataType, f"`{c}`"
+    count = {f"__cnt_{c}": f"CAST({q} IS NOT NULL AS BIGINT)"}
     if isinstance(kind, T.LongType):
-        return F.col(c).cast("decimal(38,0)"), 1
+        # signed low limb, and the high limb with the carry that its sign takes
+        return {f"__high_{c}": f"shiftright({q}, 32) + shiftrightunsigned(shiftleft({q}, 32), 63)",
+                f"__sum_{c}": f"shiftright(shiftleft({q}, 32), 32)", **count}
     if isinstance(kind, T.IntegralType):
-        return F.col(c), 1
+        return {f"__sum_{c}": q, **count}
     if isinstance(kind, T.DecimalType):
-        units = F.col(c).cast(f"decimal(38,{kind.scale})") * F.lit(10 ** kind.scale).cast("decimal(38,0)")
-        return units.cast("decimal(38,0)"), 10 ** kind.scale
-    return F.col(c).cast("double"), None
+        return {f"__sum_{c}": f"CAST({q} * {10 ** kind.scale}BD AS DECIMAL(38,0))", **count}
+    return {f"__sum_{c}": f"CAST({q} AS DOUBLE)", **count}
 
 
-def rounded_mean(total: Column, n: Column, unit: int | None, digits: int) -> Column:
-    """Rounded mean from a sum of ``exact`` columns and a count; NULL when the count is 0."""
-    if unit is None:
-        return round_half_up(F.try_divide(total, n), digits)
-    return rounded_ratio(total, n * unit, digits)
+def sums(df: DataFrame, values: Sequence[str]) -> list[Column]:
+    """Aggregates of the rows of ``df`` that ``merged`` and ``finished`` take up."""
+    return [F.expr(f"SUM({e}) AS `{n}`") for c in values for n, e in sum_columns(df, c).items()]
 
 
-def partial_sums(df: DataFrame, keys: Sequence[str], values: Sequence[str],
-                 rows: str = "__rows") -> DataFrame:
-    """Per key: row count, and sum and non-null count of every value column."""
-    aggs = [F.count(F.lit(1)).alias(rows)]
-    for c in values:
-        aggs += [F.sum(exact(df, c)[0]).alias(_sum(c)), F.count(c).alias(_cnt(c))]
-    return df.groupBy(*keys).agg(*aggs)
+def merged(df: DataFrame, values: Sequence[str]) -> list[Column]:
+    """Aggregates of partial sums (``df``: the table whose columns were added up)."""
+    return [F.expr(f"SUM(`{n}`) AS `{n}`") for c in values for n in sum_columns(df, c)]
 
 
-def merged_mean(df: DataFrame, c: str, digits: int) -> Column:
-    """Rounded mean of ``c``, a column of ``df``, from its partial sums."""
-    unit = exact(df, c)[1]
-    total = F.col(_sum(c)) if unit is None else F.col(_sum(c)).cast("decimal(38,0)")
-    return rounded_mean(F.sum(total), F.sum(_cnt(c)), unit, digits)
+def finished(summed: DataFrame, df: DataFrame, values: dict[str, str], digits: int) -> DataFrame:
+    """``summed`` plus the rounded means of the columns ``values`` of ``df``, under the names they map to."""
+    plain, exact = [], {}
+    for c, name in values.items():
+        kind = df.schema[c].dataType
+        n = f"COALESCE(`__cnt_{c}`, 0)"
+        if isinstance(kind, T.LongType):
+            exact[name] = f"CAST(`__high_{c}` AS DECIMAL(38,0)) * 4294967296BD + `__sum_{c}`", n
+        elif isinstance(kind, T.IntegralType):
+            exact[name] = f"`__sum_{c}`", n
+        elif isinstance(kind, T.DecimalType):
+            exact[name] = f"`__sum_{c}`", f"CAST({n} AS DECIMAL(20,0)) * {10 ** kind.scale}BD"
+        else:
+            plain.append(f"ROUND(try_divide(`__sum_{c}`, {n}), {digits}) AS `{name}`")
+    out = with_ratios(summed, exact, digits) if exact else summed
+    return out.selectExpr("*", *plain) if plain else out
 
 
-def column_mean(df: DataFrame, c: str, digits: int) -> Column:
-    """Rounded mean of a column of ``df`` as one aggregate."""
-    value, unit = exact(df, c)
-    return rounded_mean(F.sum(value), F.count(c), unit, digits)
+def partial_sums(df: DataFrame, keys: Sequence[str], values: Sequence[str],
+                 rows: str = "__rows") -> DataFrame:
+    """Per key: row count, and sums and non-null count of every value column."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(rows), *sums(df, values))
 
 
 def means(df: DataFrame, values: Sequence[str], *, prefix: str = "avg_",
           digits: int = 2) -> DataFrame:
     """Overall rounded means, one column ``<prefix><value>`` each."""
-    return df.agg(*[column_mean(df, c, digits).alias(f"{prefix}{c}") for c in values])
+    names = {c: f"{prefix}{c}" for c in values}
+    return finished(df.agg(*sums(df, values)), df, names, digits).select(*names.values())
 
 
 def means_by(df: DataFrame, key: str, values: Sequence[str], *,
@@ -93,12 +94,12 @@ def means_by(df: DataFrame, key: str, values: Sequence[str], *,
     the ``(null)`` group. ``lookup`` must hold each join key at most once.
     """
     if lookup is None:
-        out = df.groupBy(label(key, null_label).alias(key)).agg(
-            F.count(F.lit(1)).alias(n), *[column_mean(df, c, digits).alias(c) for c in values])
+        out = df.groupBy(label(key, null_label).alias(key)).agg(F.count(F.lit(1)).alias(n), *sums(df, values))
     else:
         joined = partial_sums(df, [join_key], values).join(lookup.select(join_key, key), join_key, "left")
         out = joined.groupBy(label(key, null_label).alias(key)).agg(
-            F.sum("__rows").alias(n), *[merged_mean(df, c, digits).alias(c) for c in values])
+            F.sum("__rows").alias(n), *merged(df, values))
+    out = finished(out, df, {c: c for c in values}, digits).select(key, n, *values)
     if ordered:
         out = out.orderBy(F.col(n).desc(), F.col(key).asc_nulls_last())
     return out

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import rounded_ratio
-from cohortlens.operators.means import column_mean
+from cohortlens.functions.exprs import with_ratios
+from cohortlens.operators.means import finished, sums
 
 
 def rate(df: DataFrame, flag: Column, *, total: str = "total_rows", hits: str = "hits",
@@ -19,17 +19,12 @@ def rate(df: DataFrame, flag: Column, *, total: str = "total_rows", hits: str =
     """
     counted = df.agg(F.count(F.lit(1)).alias(total),
                      F.count_if(F.coalesce(flag, F.lit(False))).alias(hits))
-    pct = rounded_ratio(F.col(hits).cast("decimal(38,0)") * 100, F.col(total), digits)
-    return counted.select(total, hits, pct.alias(percent))
+    return with_ratios(counted, {percent: (f"100BD * `{hits}`", f"`{total}`")}, digits)
 
 
 def numeric_stats(df: DataFrame, value: str, *, n: str = "n", avg: str = "avg",
                   min_: str = "min", max_: str = "max", avg_digits: int = 0) -> DataFrame:
     """Non-NULL count, rounded mean, minimum and maximum of one column."""
-    return df.agg(
-        F.count(value).alias(n),
-        column_mean(df, value, avg_digits).alias(avg),
-        F.min(value).alias(min_),
-        F.max(value).alias(max_),
-    )
+    out = df.agg(F.count(value).alias(n), *sums(df, [value]), F.min(value).alias(min_), F.max(value).alias(max_))
+    return finished(out, df, {value: avg}, avg_digits).select(n, avg, min_, max_)
 

@@ -42,13 +42,14 @@ def inspect(store: SnapshotStore, *, section: str = "all", clear_table: str | No
         out = erasure.erase_participant(store, remove_participant, confirm)
         return ActionResult("remove_participant", out.ok, out.frames, out)
     if remove_participants_file:
-        # per-id status against the version the erase starts from (its files stay)
-        status = erasure.batch_status(scan_id_list(spark, remove_participants_file),
-                                      store.tables().participants)
+        # per-id status and rows against the version the erase starts from (its files stay)
+        before = store.tables()
+        status = erasure.batch_status(scan_id_list(spark, remove_participants_file), before.participants)
         ids = scan_id_list(spark, remove_participants_file, line_numbers=False)
+        detail = erasure.batch_detail(before, erasure.planned_erase_set(ids, before.participants))
         out = erasure.erase_participants(store, ids, confirm)
         return ActionResult("remove_participants_file", out.ok,
-                            {"status": status, **out.frames}, out)
+                            {"status": status, "detail": detail, **out.frames}, out)
     if clear_table:
         out = erasure.clear_table(store, clear_table, confirm)
         return ActionResult("clear_table", out.ok, out.frames, out)

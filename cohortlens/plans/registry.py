@@ -101,7 +101,7 @@ def _erase_retained(table: str, batch: bool) -> Query:
         apply_defaults(spark)
         if batch:
             tables, ids = _batch_inputs(spark, sf_dir)
-            erase = erasure.materialize_erase_set(ids, tables.participants)
+            erase = erasure.planned_erase_set(ids, tables.participants)
         else:
             tables, erase = _single_erase_set(spark, sf_dir)
         return erasure.retained(tables.get(table), erase)
@@ -117,7 +117,7 @@ def _batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
     tables, ids = _batch_inputs(spark, sf_dir)
-    return erasure.batch_summary(tables, erasure.materialize_erase_set(ids, tables.participants))
+    return erasure.batch_summary(tables, erasure.planned_erase_set(ids, tables.participants))
 
 
 # The fixture study tables published once per application; every erase or
@@ -217,7 +217,7 @@ def _export_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _batch_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
     tables, ids = _batch_inputs(spark, sf_dir)
-    return erasure.batch_detail(tables, erasure.materialize_erase_set(ids, tables.participants))
+    return erasure.batch_detail(tables, erasure.planned_erase_set(ids, tables.participants))
 
 
 def _clean_participants(spark: SparkSession, sf_dir: str):

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import passed_expr, rounded_ratio
+from cohortlens.functions.exprs import passed_expr, with_ratios
 from cohortlens.operators.counting import (count_by, count_by_pair, count_rows,
                                            count_where_not_null, top_by_count, top_counts)
 from cohortlens.operators.durations import (cast_report, duration_median, duration_overview,
@@ -353,14 +353,14 @@ def report_long_onepass(t: StudyTables) -> DataFrame:
     pieces.append(_long(median, "participants_duration_median", [], {"median_secs": F.col("median_secs")}))
     # S1-S4 from one aggregate by status and its total
     by_status = stats_onepass(t.code_submissions, "status", passed_expr(), "time_taken_ms")
-    pct = rounded_ratio(F.col("hits").cast("decimal(38,0)") * 100, F.col("n"), 2)
+    by_status = with_ratios(by_status, {"pct": ("100BD * hits", "n")}, 2)
     of_total = lambda name: F.when(is_total, F.lit(name))
     pieces.append(_long_entries(by_status, [F.col("status")], [
         (F.when(is_total, F.lit("submissions_total")).otherwise(F.lit("submissions_by_status")),
          F.when(is_total, F.lit("total_submissions")).otherwise(F.lit("n")), F.col("n")),
         (of_total("submissions_pass_rate"), "total_rows", F.col("n")),
         (of_total("submissions_pass_rate"), "passed_rows", F.col("hits")),
-        (of_total("submissions_pass_rate"), "pass_rate_percent", pct),
+        (of_total("submissions_pass_rate"), "pass_rate_percent", F.col("pct")),
         *[(of_total("submissions_time_stats"), metric, F.col(c)) for metric, c in (
             ("n_with_time", "n_values"), ("avg_ms", "avg"), ("min_ms", "min"), ("max_ms", "max"))],
     ]).where(F.col("report").isNotNull()))

@@ -8,7 +8,9 @@ Every table is laid out in ``parts`` folders by a hash of the participant id, ro
 a folder of their own. Erasing participants reads and rewrites the folders that hold them; the new
 manifest names all others where they are. Rows are rebalanced on the folder number before the write,
 so that AQE spreads a folder with a hot participant over several tasks and packs small ones together.
-Two writers at once are not kept apart.
+Within a file rows are sorted by id, and the id column has Parquet's Bloom filters (or a dictionary): a lookup
+of an id reads the row groups and pages that hold it, not the whole folder. Rows are counted by folder from the
+footers of the files written. Two writers at once are not kept apart.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +36,9 @@ MANIFEST_SCHEMA = ("table_name string, parts int, schema string, "
 PART = "cohortlens_part"
 NO_ID = -1  # folder of the rows without a participant id
 
+#: the filters' size follows the ids of each row group, up to Parquet's limit
+ID_FILTERS = {f"parquet.bloom.filter.enabled#{ID_COLUMN}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+
 
 def id_part(parts: int) -> Column:
     """Folder number of a row of a study table."""
@@ -114,10 +119,9 @@ class SnapshotStore:
         return self.spark.read.schema(schema).parquet(*paths)
 
     def tables(self, version: int | None = None, only: Iterable[int] | None = None) -> StudyTables:
-        """The tables of ``version`` (of their folders ``only``), with row counts from the manifest."""
+        """The tables of ``version`` (of their folders ``only``)."""
         entries = {t: e.within(only) for t, e in self.manifest(version).items()}
-        return StudyTables(**{t: self.read(entries[t]) for t in STUDY_TABLES},
-                           row_counts={t: entries[t].n_rows for t in STUDY_TABLES})
+        return StudyTables(**{t: self.read(entries[t]) for t in STUDY_TABLES})
 
     # -- writing -------------------------------------------------------------
 
@@ -129,15 +133,14 @@ class SnapshotStore:
         return os.path.join(self.root, "tables", table, uuid.uuid4().hex)
 
     def _write(self, name: str, rows: DataFrame, parts: int) -> Entry:
-        """Write a table's rows in folders; they are counted in the write itself."""
-        path, numbers = self._table_path(name), [NO_ID, *range(parts)]
-        obs = Observation(f"rows-{uuid.uuid4().hex}")
-        (rows.withColumn(PART, id_part(parts)).hint("rebalance", F.col(PART))
-         .observe(obs, *[F.count_if(F.col(PART) == p).alias(f"n_{p}") for p in numbers])
-         .write.mode("errorifexists").partitionBy(PART).parquet(path))
-        n = {p: obs.get[f"n_{p}"] for p in numbers}
+        """Write a table's rows in folders, sorted by id; footers give the rows of each folder."""
+        path = self._table_path(name)
+        (rows.withColumn(PART, id_part(parts)).hint("rebalance", F.col(PART)).sortWithinPartitions(PART, ID_COLUMN)
+         .write.mode("errorifexists").options(**ID_FILTERS).partitionBy(PART).parquet(path))
+        written = self.spark.read.schema(T.StructType([*rows.schema.fields, T.StructField(PART, T.IntegerType())]))
+        n = {r[PART]: r["n"] for r in written.parquet(path).groupBy(PART).agg(F.count(F.lit(1)).alias("n")).collect()}
         return Entry(name, parts, rows.schema.json(),
-                     {p: Folder(os.path.join(path, f"{PART}={p}"), n[p]) for p in numbers if n[p]})
+                     {p: Folder(os.path.join(path, f"{PART}={p}"), n[p]) for p in sorted(n)})
 
     def publish(self, changes: dict[str, DataFrame], note: str = "",
                 only: dict[str, Iterable[int]] | None = None) -> int:
@@ -215,8 +218,7 @@ def create_store(spark: SparkSession, root: str, tables: StudyTables,
     """Publish ``tables`` as version 1 of a new store at ``root``.
 
     ``parts`` is the number of folders of a table: what one participant's erasure rewrites is
-    about one of ``parts`` of it. Every write task may open a file in each of its folders, so a
-    few hundred suit a large study.
+    about one of ``parts`` of it. A few hundred suit a large study.
     """
     store = SnapshotStore(spark, root, parts)
     if store.latest_version() is not None:

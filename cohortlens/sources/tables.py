@@ -10,22 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.schema import ID_COLUMN, STUDY_TABLES, StudyError, check_table_name, validate
+from cohortlens.sources import jdbc, widening
 
 
 @dataclass(frozen=True)
 class StudyTables:
-    """The four study tables as lazy DataFrames.
-
-    ``row_counts`` holds exact row counts when they are known without a job
-    (tables read from a snapshot manifest); operators use them for size
-    checks instead of counting.
-    """
+    """The four study tables as lazy DataFrames."""
 
     participants: DataFrame
     code_submissions: DataFrame
     feedback: DataFrame
     events: DataFrame
-    row_counts: dict[str, int] | None = None
 
     def get(self, name: str) -> DataFrame:
         return getattr(self, check_table_name(name))
@@ -34,12 +29,8 @@ class StudyTables:
         for name in STUDY_TABLES:
             yield name, getattr(self, name)
 
-    def known_rows(self, name: str) -> int | None:
-        return (self.row_counts or {}).get(name)
-
     def with_table(self, name: str, df: DataFrame) -> StudyTables:
-        counts = {k: v for k, v in (self.row_counts or {}).items() if k != name} or None
-        return replace(self, **{check_table_name(name): df}, row_counts=counts)
+        return replace(self, **{check_table_name(name): df})
 
     def validated(self, check_keys: bool = False) -> StudyTables:
         """Check required columns; with ``check_keys`` also that every
@@ -70,10 +61,15 @@ def scan_table(spark: SparkSession, name: str, path: str | None = None,
     """Whole-table scan of an allow-listed study table.
 
     ``fmt``/``options`` go straight to ``spark.read``; a JDBC source is the
-    same call with ``fmt='jdbc'`` and ``options={'url': ..., 'dbtable': name}``.
-    Required columns are checked before any job runs; extra columns pass.
+    same call with ``fmt='jdbc'`` and ``options={'url': ..., 'dbtable': name}``, which gives a parallel
+    scan (``jdbc.scan``). Parquet files may differ in the width of their columns (``widening``).
+    Required columns are checked before any scan runs; extra columns pass.
     """
     check_table_name(name)
+    if fmt == "jdbc":
+        return validate(jdbc.scan(spark, dict(options or {})), name)
+    if fmt == "parquet" and path is not None:
+        return validate(widening.read_table(spark, path, options), name)
     reader = spark.read.format(fmt).options(**(options or {}))
     df = reader.load(path) if path is not None else reader.load()
     return validate(df, name)
@@ -82,8 +78,7 @@ def scan_table(spark: SparkSession, name: str, path: str | None = None,
 def table_options(name: str, fmt: str, options: dict[str, str] | None = None,
                   per_table: dict[str, dict[str, str]] | None = None) -> dict[str, str]:
     """Reader options of one table: the common ones, the table's own over them, and for JDBC
-    its name as ``dbtable``. Partition bounds (``partitionColumn``, ``lowerBound``, ``upperBound``,
-    ``numPartitions``) are a table's own options; without them a JDBC scan is one task."""
+    its name as ``dbtable``."""
     out = dict(options or {})
     if fmt == "jdbc":
         out["dbtable"] = name

@@ -1,0 +1,247 @@
+"""Means in limbs, the key filter before erasures, id filters of stored tables, split points of database scans."""
+
+import random
+import time
+from decimal import Decimal, ROUND_HALF_UP, localcontext
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from cohortlens.operators import erasure, keyfilter
+from cohortlens.operators.grouping import means_onepass
+from cohortlens.operators.means import means, means_by
+from cohortlens.plans import reports as R
+from cohortlens.plans.actions import inspect
+from cohortlens.schema import STUDY_TABLES, StudyError
+from cohortlens.session import new_work_path
+from cohortlens.sources import jdbc
+from cohortlens.sources.idlist import ids_frame
+from cohortlens.sources.snapshots import PART, create_store
+
+
+def exact_mean(values, digits):
+    with localcontext() as c:
+        c.prec = 80
+        return float((Decimal(sum(values)) / len(values)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
+# --- means --------------------------------------------------------------------
+
+@pytest.mark.parametrize("low, high", [(-2**62, 2**62), (2**62 - 9, 2**62 + 9), (-2**63, -2**63 + 5), (-3, 3)])
+def test_means_of_large_longs_are_exact(spark, low, high):
+    rng = random.Random(3)
+    rows = [(f"p{i % 7}", rng.choice(["a", "b", None]), rng.randint(low, high)) for i in range(300)]
+    df = spark.createDataFrame(rows, "participant_id string, g string, v long")
+    assert means(df, ["v"]).first()["avg_v"] == exact_mean([v for _, _, v in rows], 2)
+    want = {g or "(null)": exact_mean([v for _, h, v in rows if h == g], 2) for g in ("a", "b", None)}
+    assert {r["g"]: r["v"] for r in means_by(df, "g", ["v"]).collect()} == want
+    labels = spark.createDataFrame([(f"p{i}", "x" if i % 2 else None) for i in range(6)], "participant_id string, h string")
+    label = {f"p{i}": "x" if i < 6 and i % 2 else "(null)" for i in range(7)}
+    want = {h: exact_mean([v for p, _, v in rows if label[p] == h], 2) for h in ("x", "(null)")}
+    assert {r["h"]: r["v"] for r in means_by(df, "h", ["v"], lookup=labels).collect()} == want
+    got = {(r["grouping_set"], r["h"]): r["v"] for r in
+           means_onepass(df, labels, [(), ("h",), ("g",)], ["v"], fact_dims=["g"]).where("g is null").collect()}
+    assert got == {("total", None): exact_mean([v for _, _, v in rows], 2), **{("h", h): v for h, v in want.items()}}
+
+
+def test_means_of_other_kinds(spark):
+    df = spark.createDataFrame([(1, Decimal("0.005"), 0.25, None), (2, Decimal("0.004"), 0.5, None), (2, None, None, None)],
+                               "i int, d decimal(10,3), x double, z long")
+    row = means(df, ["i", "d", "x", "z"]).first()
+    assert (row.avg_i, row.avg_d, row.avg_x, row.avg_z) == (1.67, 0.0, 0.38, None)
+    half = spark.createDataFrame([(-1,), (-2,)] + [(0,)] * 198, "i long")  # -0.015 rounds away from zero
+    assert means(half, ["i"]).first()["avg_i"] == -0.02
+    assert means(df.where("i > 9"), ["i", "x"]).first().asDict() == {"avg_i": None, "avg_x": None}
+
+
+def test_building_a_mean_report_is_quick(tables001):
+    R.feedback_means_overall(tables001)
+    times = []
+    for _ in range(5):
+        at = time.perf_counter()
+        R.feedback_means_overall(tables001)
+        times.append(time.perf_counter() - at)
+    assert min(times) < 0.3
+
+
+# --- erasing behind a key filter ------------------------------------------------
+
+@pytest.fixture()
+def no_broadcast(spark):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for k in keys:
+        spark.conf.set(k, "-1")
+    yield
+    for k in keys:
+        spark.conf.unset(k)
+
+
+def test_key_filter_loses_no_key(spark):
+    keys = spark.range(0, 20000, 1).selectExpr("CAST(id * 7 AS STRING) AS k")
+    table = spark.range(0, 140000, 1).selectExpr("IF(id % 1000 = 1, NULL, CAST(id AS STRING)) AS k", "id AS word", "id AS other")
+    built = keyfilter.build(keys, "k", 20000)
+    inside, outside = built.passing(table, "k"), built.stopped(table, "k")
+    assert inside.columns == outside.columns == table.columns
+    assert inside.count() + outside.count() == 140000
+    hits = inside.join(keys, "k", "left_semi").count()
+    assert hits == table.join(keys, "k", "left_semi").count()
+    assert inside.count() < 1.1 * hits + 0.1 * 120000
+    assert outside.where("k IS NULL").count() == 140
+    # words are bounded however many keys there are
+    assert keyfilter.build(keys, "k", 10**12).size == keyfilter.MOST_WORDS
+
+
+def test_erase_shuffles_about_the_erased_rows(spark, tables001, no_broadcast):
+    ids = tables001.participants.where("participant_id LIKE '%7'").select("participant_id")
+    erase = erasure.materialize_erase_set(ids, tables001.participants)
+    assert erase.filter is not None
+    plain = erasure.EraseSet(erase.ids, erase.n)
+    for name in STUDY_TABLES:
+        table = tables001.get(name)
+        hit, kept = erasure.rows_of(table, erase), erasure.retained(table, erase)
+        assert hit.exceptAll(erasure.rows_of(table, plain)).isEmpty() and hit.count() == erasure.rows_of(table, plain).count()
+        assert kept.exceptAll(erasure.retained(table, plain)).isEmpty() and kept.count() == erasure.retained(table, plain).count()
+        entering = erase.filter.passing(table, "participant_id").count()
+        assert hit.count() <= entering <= hit.count() + 0.02 * table.count()
+        assert "BroadcastExchange" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_erase_sets_are_broadcast_without_a_filter(spark, tables001):
+    assert erasure.materialize_erase_set(ids_frame(spark, ["3"]), tables001.participants).filter is None
+
+
+# --- stored tables --------------------------------------------------------------
+
+def scanned_rows(df):
+    """Rows that the file scans of ``df`` have put out, from Spark's own plan metrics."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif kind == "FileSourceScanExec":
+            total += node.metrics().apply("numOutputRows").value()
+        for i in range(node.children().size()):
+            todo.append(node.children().apply(i))
+    return total
+
+
+def test_lookup_of_an_absent_id_reads_no_row_group(spark, tables001):
+    """Ids too many for a dictionary: the Bloom filter says that a row group doesn't hold an id within its range."""
+    many = spark.range(0, 400000, 1, 4).selectExpr(
+        "sha2(CAST(id AS STRING), 224) AS participant_id", "CAST(NULL AS STRING) AS skill_level",
+        "CAST(NULL AS STRING) AS intervention_type", "CAST(NULL AS STRING) AS snippet_id",
+        "CAST(NULL AS STRING) AS started_at", "CAST(NULL AS STRING) AS ended_at")
+    store = create_store(spark, new_work_path(spark, "filters"), tables001.with_table("participants", many), parts=2)
+    held = store.tables().participants
+    present = spark.sql("SELECT sha2('77', 224)").first()[0]
+    assert held.where(F.col("participant_id") == present).count() == 1
+    assert scanned_rows(held.where(F.col("participant_id") == present)) > 0
+    absent = spark.range(0, 40, 1, 1).selectExpr("sha2(concat('no', id), 224) AS a").collect()
+    read = [scanned_rows(held.where(F.col("participant_id") == r["a"])) for r in absent]
+    assert sum(n == 0 for n in read) >= 36  # about one in a hundred passes a Bloom filter by chance
+    files = spark.read.parquet(*[f.path for f in store.manifest()["participants"].folders.values()])
+    by_file = files.withColumn("f", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
+    assert by_file.groupBy("f").agg(F.expr("max(participant_id) > min(participant_id)").alias("spans")).where("NOT spans").isEmpty()
+
+
+def test_folder_counts_come_from_footers(spark, tables001):
+    """Many folders cost no expression each; their counts are those of the rows."""
+    store = create_store(spark, new_work_path(spark, "many"), tables001, parts=300)
+    for name, entry in store.manifest().items():
+        want = {r["p"]: r["n"] for r in tables001.get(name).groupBy(
+            F.when(F.col("participant_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("participant_id"), F.lit(300))).cast("int").alias("p"))
+            .agg(F.count("*").alias("n")).collect()}
+        assert {p: f.n_rows for p, f in entry.folders.items()} == want and PART not in entry.schema
+    out = inspect(store, remove_participants_file=_id_file(spark, "3\n7\nnobody\n3\n"),
+                  confirm="DELETE ALL 2 PARTICIPANTS")
+    assert out.outcome.status == "erased"
+    detail = {r["participant_id"]: r["total_rows"] for r in out.frames["detail"].collect()}
+    assert set(detail) == {"3", "7"} and sum(detail.values()) == out.frames["result"].first()["total_rows_deleted"]
+
+
+def _id_file(spark, text):
+    from cohortlens.plans.registry import write_id_file
+    return write_id_file(spark, text)
+
+
+# --- database scans (no database is run; the SQL is tried in DuckDB, in this process) --------------------------
+
+@pytest.mark.parametrize("keys", [[None, "a", "b", "it's", "z", "zz"] * 9, ["hot"] * 50 + list("abc"), [None] * 5, [],
+                                  ["only"], list(range(-50, 50)), [7] * 10 + [None], [1.5, -2.25, 1e300] * 4])
+@pytest.mark.parametrize("parts", [2, 3, 8, 64])
+def test_split_predicates_cover_each_row_once(spark, keys, parts):
+    kind = "VARCHAR" if any(isinstance(k, str) for k in keys) else "DOUBLE" if any(isinstance(k, float) for k in keys) else "BIGINT"
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE t (participant_id {kind}, n BIGINT)")
+    if keys:
+        con.executemany("INSERT INTO t VALUES (?, ?)", [(k, i) for i, k in enumerate(keys)])
+    firsts = [r[1] for r in sorted(con.execute(jdbc.split_query("t", "participant_id", parts)).fetchall())]
+    predicates = jdbc.split_predicates("participant_id", firsts)
+    assert len(predicates) <= parts + 1
+    runs = [con.execute(f"SELECT n FROM t WHERE {p}").fetchall() for p in predicates]
+    assert sorted(n for run in runs for n, in run) == list(range(len(keys)))
+    if len(set(keys)) == len(keys) >= parts:  # without ties the runs are even
+        assert max(map(len, runs)) <= -(-len(keys) // parts)
+    if keys:
+        frame = spark.createDataFrame([(k, i) for i, k in enumerate(keys)],
+                                      f"participant_id {kind.replace('VARCHAR', 'string')}, n bigint")
+        assert sum(frame.where(p).count() for p in predicates[:4]) == sum(map(len, runs[:4]))
+
+
+def test_split_names_and_literals():
+    with pytest.raises(StudyError):
+        jdbc.split_query("t", "x; DROP TABLE t", 4)
+    import datetime
+    assert jdbc.literal("o'k") == "'o''k'" and jdbc.literal(3) == "3"
+    assert jdbc.literal(datetime.date(2024, 1, 2)) == "DATE '2024-01-02'"
+    assert jdbc.literal(datetime.datetime(2024, 1, 2, 3, 4, 5)) == "TIMESTAMP '2024-01-02 03:04:05'"
+    with pytest.raises(StudyError):
+        jdbc.literal(True)
+
+
+# --- tables of several writers ------------------------------------------------------
+
+def test_tables_of_two_writers_report_the_same(spark, tables001):
+    """A study stored partly with narrow types, other column order and a column less reads as the plain one."""
+    from cohortlens.sources.tables import load_study
+    root = new_work_path(spark, "writers")
+    for name, df in tables001.items():
+        if name == "code_submissions":
+            narrow = df.where("submission_id % 2 = 0").selectExpr(
+                "status", "participant_id", "CAST(submission_id AS INT) AS submission_id", "CAST(tests_total AS TINYINT) AS tests_total",
+                "CAST(tests_passed AS SMALLINT) AS tests_passed", "CAST(time_taken_ms AS INT) AS time_taken_ms")
+            narrow.write.parquet(f"{root}/{name}")
+            df.where("submission_id % 2 = 1").write.mode("append").parquet(f"{root}/{name}")
+        else:
+            df.write.parquet(f"{root}/{name}")
+    study = load_study(spark, root)
+    assert dict(study.code_submissions.dtypes)["time_taken_ms"] == "bigint"
+    a, b = (R.report_long(R.section_report(t, "submissions")).collect() for t in (study, tables001))
+    assert sorted(map(str, a)) == sorted(map(str, b))
+
+
+def test_widening_rules(spark):
+    from pyspark.sql import types as T
+
+    from cohortlens.sources import widening
+    wide = lambda a, b: getattr(widening.wider(*(T.StructType.fromDDL(f"c {x}")[0].dataType for x in (a, b))), "simpleString", lambda: None)()
+    for a, b, c in (("int", "bigint", "bigint"), ("date", "timestamp", "timestamp"), ("date", "timestamp_ntz", "timestamp_ntz"),
+                    ("float", "double", "double"), ("int", "double", "double"), ("int", "float", "double"), ("smallint", "float", "float"),
+                    ("decimal(5,2)", "decimal(10,4)", "decimal(10,4)"), ("bigint", "decimal(10,2)", "decimal(21,2)"),
+                    ("string", "string", "string"), ("string", "int", None), ("bigint", "double", None),
+                    ("timestamp", "timestamp_ntz", None), ("decimal(38,0)", "decimal(38,10)", None)):
+        assert wide(a, b) == c and wide(b, a) == c, (a, b)
+    root = new_work_path(spark, "conflict")
+    spark.sql("SELECT 1 AS k, DATE '2024-01-02' AS d, 'x' AS s").write.parquet(root)
+    spark.sql("SELECT 5000000000 AS k, TIMESTAMP '2024-01-02 03:04:05' AS d, CAST(NULL AS STRING) AS t").write.mode("append").parquet(root)
+    rows = sorted(tuple(r) for r in widening.read_table(spark, root).select("k", F.col("d").cast("string"), "s", "t").collect())
+    assert rows == [(1, "2024-01-02 00:00:00", "x", None), (5000000000, "2024-01-02 03:04:05", None, None)]
+    spark.sql("SELECT 'one' AS k").write.mode("append").parquet(root)
+    with pytest.raises(StudyError, match="column 'k' is .* in .* and .* in .*"):
+        widening.read_table(spark, root)
