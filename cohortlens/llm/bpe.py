@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from .common import share, shared, text_slices
 
 LONG = 512
+CELLS = 1 << 18  # of a matrix
 CACHE_BYTES = 24 << 20
 ENTRY = 160  # bytes of a cached match beside its text and ids: two objects and their place in the table
 
@@ -176,9 +177,10 @@ class Encoder:
                 self.put([p], [self.long(data)])
             else:
                 buckets.setdefault(len(data) if len(data) <= 24 else -len(data).bit_length(), []).append((p, data))
-        for group in buckets.values():
-            for at in range(0, len(group), 8192):
-                part = group[at:at + 8192]
+        for length, group in buckets.items():
+            rows = CELLS // (length if length > 0 else 1 << -length)
+            for at in range(0, len(group), rows):
+                part = group[at:at + rows]
                 self.put([p for p, _ in part], self.matrix([d for _, d in part]))
 
     def put(self, pieces: list[str], ids: list[bytes]) -> None:

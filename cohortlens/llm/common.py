@@ -17,6 +17,8 @@ GAP_RE = r"[\x20\x09-\x0D]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # texts may be long: few rows to an Arrow batch
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -97,10 +99,28 @@ def shared(kind: type, broadcast) -> object:
     return model
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Components of the undirected graph ``edges(a, b)`` as ``(node, root)``, root the smallest node.
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(node, root)`` of all the edges ``(u, v)`` in one task."""
+    up: dict[int, int] = {}
 
-    Alternates the large-star and the small-star step until the edge set is a set of
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = root(x), root(y)
+            up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())],
+                                     names=["node", "root"])
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, few: int = 1 << 18) -> DataFrame:
+    """Components of the undirected graph ``edges(a, b)`` of longs as ``(node, root)``, root the smallest node.
+
+    Up to ``few`` edges, counted, are settled in one task. More of them alternate the large-star and the small-star step until the edge set is a set of
     stars. Each round is two aggregates and a join, written to the shared folder; only a
     count and a checksum come to the driver. Nodes without an edge to another node are absent.
     """
@@ -114,8 +134,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                     .where("u <> v").distinct(), "edges")
     seen = checked(current)
     for _ in range(max_rounds):
-        if seen[0] == 0:
-            break
+        if seen[0] <= few:
+            return current.coalesce(1).mapInArrow(_settled, "node bigint, root bigint")
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.join(low, "u").where("v > u")
