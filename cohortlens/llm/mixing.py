@@ -224,7 +224,9 @@ def mix_texts(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFr
                      F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("turn"))
              .groupBy("doc_id", "row", "dup", "turn")
              .agg(F.sort_array(F.collect_list(F.struct("offset", "words"))).alias("spans")))
-    spans = spans.select(F.col("row").alias("__r"), F.col("doc_id").alias("__d"), F.col("spans").alias("__spans"))
+    # the turns of a few copies together, so that the words of their text are cut once for all of them
+    spans = (spans.groupBy(F.col("row").alias("__r"), F.col("doc_id").alias("__d"), F.floor(F.col("dup") / 64).alias("__few"))
+             .agg(F.collect_list("spans").alias("__turns")).drop("__few"))
     # each distinct row's text once: its copies, and the passes over it, come from the spans
     texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), _row(docs).alias("__row"),
                         F.col("doc_id").alias("__id"))
@@ -233,7 +235,8 @@ def mix_texts(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFr
     words = F.regexp_extract_all(F.col("__doc")["text"], F.lit(f"({WORD_RE})"))
     picked = F.flatten(F.transform("__spans", lambda s: F.slice("__words", (s["offset"] + 1).cast("int"),
                                                                 s["words"].cast("int"))))
-    met = met.withColumn("__words", words).withColumn("__text", F.array_join(picked, " "))
+    met = (met.withColumn("__words", words).withColumn("__spans", F.explode("__turns"))
+           .withColumn("__text", F.array_join(picked, " ")))
     made = {"text": F.col("__text"), "n_chars": F.length("__text").cast(
         docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")}
     return met.select(*(made[c].alias(c) if c in made else F.col("__doc")[c].alias(c) for c in docs.columns))

@@ -213,3 +213,13 @@ def test_jaccard_shingles_far_between():
         may = {j for j in range(300) if 180 * int(np.minimum(counts[i], counts[j]).sum()) >= 80 * int(sizes[i] + sizes[j])}
         hit = set(tree.search(counts[i], int(sizes[i])).tolist())
         assert may <= hit and i in hit
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    from cohortlens.llm.common import connected_components
+    rng = random.Random(9)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    got = [sorted(map(tuple, connected_components(df, few=n).collect())) for n in (0, 1 << 18)]
+    assert got[0] == got[1] and {r for n, r in got[0] if n >= 1000} == {1000}
+    assert connected_components(df.limit(0)).collect() == []
