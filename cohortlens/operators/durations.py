@@ -111,16 +111,29 @@ def _select(values: DataFrame, ranks: list[int], first: Row, k: int, most: int)
                     found += [value] * sum(seen <= r < seen + counts[value] for r in ranks)
                     seen += counts[value]
                 return found
+            slack = 4 * slack
+            continue
+        # narrow: the bracket, or its half if the sketch can't tell more than the whole range
+        cut = b if (a, b) != (lo, hi) else a + (b - a) // 2
+        low, high = v.between(a, cut), (v > cut) & (v <= b)
+        sketched = [F.expr(f"kll_sketch_agg_bigint(IF(__v BETWEEN {x}L AND {y}L, __v, NULL), {k})") for x, y in
+                    ((a, cut), (min(cut + 1, b), b))]
+        row = values.agg(F.count_if(v < a).alias("below"), F.count_if(low).alias("n_low"), F.count_if(high).alias("n_high"),
+                         F.min(F.when(low, v)).alias("a"), F.max(F.when(low, v)).alias("top"),
+                         F.min(F.when(high, v)).alias("bottom"), F.max(F.when(high, v)).alias("b"),
+                         F.approx_count_distinct(F.when(low | high, v)).alias("distinct"),
+                         sketched[0].alias("low"), sketched[1].alias("high")).first()
+        middle = row["below"] + row["n_low"]
+        if not row["below"] <= ranks[0] <= ranks[-1] < middle + row["n_high"]:
+            slack = 4 * slack  # the sketch has missed
+            continue
+        if ranks[0] < middle <= ranks[-1]:
+            return [row["top"], row["bottom"]]
+        slack, few = _error(k), 2 * row["distinct"] <= most  # ties: many rows of few values
+        if ranks[0] < middle:
+            below, n, sketch, lo, hi = row["below"], row["n_low"], row["low"], row["a"], row["top"]
         else:
-            inside = v.between(a, b)
-            row = values.agg(F.count_if(v < a).alias("below"), F.count_if(inside).alias("n"),
-                             F.approx_count_distinct(F.when(inside, v)).alias("distinct"),
-                             F.expr(f"kll_sketch_agg_bigint(IF(__v BETWEEN {a}L AND {b}L, __v, NULL), {k})").alias("sketch")).first()
-            if row["below"] <= ranks[0] and ranks[-1] < row["below"] + row["n"]:
-                below, n, sketch, lo, hi = row["below"], row["n"], row["sketch"], a, b
-                few = 2 * row["distinct"] <= most  # ties: many rows of few values
-                continue
-        slack = min(1.0, 4 * slack)
+            below, n, sketch, lo, hi = middle, row["n_high"], row["high"], row["bottom"], row["b"]
 
 
 def exact_median(values: DataFrame, value: str, *, keep: Column | None = None, void_if: Column | None = None,

