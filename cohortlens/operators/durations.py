@@ -87,11 +87,12 @@ def _error(k: int) -> float:
 def _bracket(spark: SparkSession, sketch: bytes, n: int, ranks: list[int], slack: float,
              lo: int, hi: int) -> tuple[int, int]:
     """Values that enclose the 0-based ``ranks`` of ``n`` values, unless the sketch errs by more than ``slack``."""
-    low, high = ranks[0] / n - slack, (ranks[-1] + 1) / n + slack
-    sql = "SELECT kll_sketch_get_quantile_bigint(X'{}', {}D)"
-    found = [edge if out else spark.sql(sql.format(bytes(sketch).hex(), share)).first()[0]
-             for share, out, edge in ((low, low <= 0, lo), (high, high >= 1, hi))]
-    return max(lo, min(found)), min(hi, max(found))
+    low, high = max(0.0, ranks[0] / n - slack), min(1.0, (ranks[-1] + 1) / n + slack)
+    if high - low >= 1:
+        return lo, hi
+    cut = "kll_sketch_get_quantile_bigint(s, {}D)"
+    a, b = spark.sql(f"SELECT {cut.format(low)}, {cut.format(high)} FROM (SELECT X'{bytes(sketch).hex()}' AS s)").first()
+    return max(lo, min(a, b)), min(hi, max(a, b))
 
 
 def _select(values: DataFrame, ranks: list[int], first: Row, k: int, most: int) -> list[int]:
@@ -100,7 +101,8 @@ def _select(values: DataFrame, ranks: list[int], first: Row, k: int, most: int)
     slack, few = _error(k), False
     n, below, sketch, lo, hi = first["n"], 0, first["sketch"], first["lo"], first["hi"]
     while True:
-        a, b = _bracket(spark, sketch, n, [r - below for r in ranks], slack, lo, hi)
+        # few values are told apart as they are
+        a, b = (lo, hi) if few or n <= most else _bracket(spark, sketch, n, [r - below for r in ranks], slack, lo, hi)
         if few or n <= most or a == b or n * 2 * slack + len(ranks) <= most:
             # all rows below the bracket as one, those inside by value
             counts = {r["v"]: r["c"] for r in values.where(v <= b).groupBy(F.when(v >= a, v).alias("v"))
@@ -116,7 +118,7 @@ def _select(values: DataFrame, ranks: list[int], first: Row, k: int, most: int)
         # narrow: the bracket, or its half if the sketch can't tell more than the whole range
         cut = b if (a, b) != (lo, hi) else a + (b - a) // 2
         low, high = v.between(a, cut), (v > cut) & (v <= b)
-        sketched = [F.expr(f"kll_sketch_agg_bigint(IF(__v BETWEEN {x}L AND {y}L, __v, NULL), {k})") for x, y in
+        sketched = [F.expr(f"kll_sketch_agg_bigint(IF(__v BETWEEN CAST('{x}' AS BIGINT) AND CAST('{y}' AS BIGINT), __v, NULL), {k})") for x, y in
                     ((a, cut), (min(cut + 1, b), b))]
         row = values.agg(F.count_if(v < a).alias("below"), F.count_if(low).alias("n_low"), F.count_if(high).alias("n_high"),
                          F.min(F.when(low, v)).alias("a"), F.max(F.when(low, v)).alias("top"),
