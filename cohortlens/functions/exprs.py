@@ -22,8 +22,10 @@ TS_EXTENDED_PATTERN = (r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
 TS_BASIC_PATTERN = (r"^\s*([0-9]{4})([0-9]{2})([0-9]{2})T([0-9]{2})([0-9]{2})([0-9]{2})(\.[0-9]{1,6})?"
                     r"(Z|[+-][0-9]{2}(:?[0-9]{2})?)?\s*$")
 TS_BASIC_AS_EXTENDED = (r"\1-\2-\3T\4:\5:\6\7\8")  # back references by backslash
-# offsets without a colon, or without minutes, after a time
-TS_OFFSETS = ((r"(:[0-9.]+\s*[+-][0-9]{2})([0-9]{2})\s*$", r"\1:\2"), (r"(:[0-9.]+\s*[+-][0-9]{2})\s*$", r"\1:00"))
+# seconds are added where an offset follows the minute; offsets without a colon, or without minutes
+TS_OFFSETS = ((r"^(\s*[0-9-]+[T ][0-9]{1,2}:[0-9]{1,2})(\s*[ZU+-])", r"\1:00\2"),
+              (r"(:[0-9.]+\s*[+-][0-9]{2})([0-9]{2})\s*$", r"\1:\2"),
+              (r"(:[0-9.]+\s*[+-][0-9]{2})\s*$", r"\1:00"))
 
 # What Unicode counts as blank and str.strip() takes off
 BLANK_CLASS = (r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}"

@@ -10,8 +10,6 @@ timestamps parsed only in the two ISO forms.
 
 from __future__ import annotations
 
-from cohortlens.functions.exprs import (TS_BASIC_AS_EXTENDED, TS_BASIC_PATTERN, TS_CANDIDATE_PATTERN,
-                                        TS_EXTENDED_PATTERN, TS_OFFSETS)
 from cohortlens.schema import NULL_LABEL, PASS_WORDS, RATINGS, STUDY_TABLES
 from cohortlens.sources.fixtures import oracle_with_clause
 
@@ -56,17 +54,33 @@ def _pair_count(view: str, k1: str, k2: str) -> str:
         f"FROM {view} GROUP BY 1, 2 ORDER BY 1 NULLS LAST, 2 NULLS LAST")
 
 
+# Stated apart from the library's own patterns: the fields of a time are taken one by one and
+# put together by arithmetic, not by a cast.
+_FIELDS = "['y', 'mo', 'd', 'h', 'mi', 's', 'us', 'z']"
+_DASHED = (r"^\s*(\d{4})-(\d\d?)-(\d\d?)(?:[ T](\d\d?):(\d\d?)(?::(\d\d?)(?:\.(\d{1,6}))?)?"
+           r"\s*(Z|UTC|[-+]\d\d(?::?\d\d)?)?)?\s*$")
+_PLAIN = r"^\s*(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)(?:\.(\d{1,6}))?(Z|[-+]\d\d(?::?\d\d)?)?\s*$"
+
+
 def _stamp(c: str) -> str:
-    """A text column as a timestamp, by the two ISO forms."""
-    text = f"regexp_replace({c}, '{TS_BASIC_PATTERN}', '{TS_BASIC_AS_EXTENDED}')"
-    for pattern, new in TS_OFFSETS:
-        text = f"regexp_replace({text}, '{pattern}', '{new}')"
-    return f"(CASE WHEN regexp_matches({text}, '{TS_EXTENDED_PATTERN}') THEN TRY_CAST({text} AS TIMESTAMPTZ) END)"
+    """A text column as a UTC timestamp, by the two ISO forms; NULL for any other text or no such time."""
+    fields = (f"CASE WHEN regexp_matches({c}, '{_PLAIN}') THEN regexp_extract({c}, '{_PLAIN}', {_FIELDS}) "
+              f"ELSE regexp_extract({c}, '{_DASHED}', {_FIELDS}) END")
+    num = lambda x: f"COALESCE(TRY_CAST({x} AS BIGINT), 0)"
+    second = f"{num('f.s')} + {num("rpad(f.us, 6, '0')")} / 1e6"
+    local = f"TRY(make_timestamp({num('f.y')}, {num('f.mo')}, {num('f.d')}, {num('f.h')}, {num('f.mi')}, {second}))"
+    digits = "replace(f.z[2:], ':', '')"
+    minutes = (f"CASE WHEN f.z[1:1] IN ('+', '-') THEN (CASE f.z[1:1] WHEN '-' THEN -1 ELSE 1 END) * "
+               f"({num(f'({digits})[1:2]')} * 60 + {num(f'({digits})[3:4]')}) ELSE 0 END")
+    return (f"list_transform([{fields}], lambda f: CASE WHEN f.y <> '' AND {num('f.h')} < 24 AND {num('f.s')} < 60 "
+            f"THEN {local} - to_minutes({minutes}) END)[1]")
 
 
 def durations_cte(view: str = "st_participants") -> str:
     """Both texts must hold one of the marks of a timestamp; ``us`` is NULL where one isn't any."""
-    marked = " AND ".join(f"regexp_extract({c}, '{TS_CANDIDATE_PATTERN}') <> ''" for c in ("started_at", "ended_at"))
+    marks = [":", "+", "Z", "T", "-"]
+    marked = " AND ".join("(" + " OR ".join(f"contains({c}, '{m}')" for m in marks) + ")"
+                          for c in ("started_at", "ended_at"))
     return (f"durations AS (SELECT epoch_us({_stamp('ended_at')}) - epoch_us({_stamp('started_at')}) AS us "
             f"FROM {view} WHERE {marked})")
 
