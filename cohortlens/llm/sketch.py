@@ -9,7 +9,7 @@ Defined cases: a null text counts as empty; a text without words has no shingles
 fewer words than a shingle is one shingle. Two empty sketches are alike (1.0), an empty one and another are not
 (0.0). Rows are ordered by doc_id, null ids first; of rows with one doc_id the text hash decides; wholly repeated
 rows (same id, same text) count as one document and each give a row; they are put together before the
-shuffle, sketched once and dealt out again by a join. An empty table gives an empty result; other columns are not read.
+shuffle, sketched as one and dealt out again by a join. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,12 +20,7 @@ from pyspark.sql import functions as F
 from .common import GAP_RE, stage
 
 WORDS = 5
-SCALE = 4
-
-
-def _below(scale: int) -> Column:
-    """The signed hash under which the fraction ``1 / scale`` of all hashes lie."""
-    return F.lit(-(1 << 63) + (1 << 64) // scale)
+SCALE = 2
 
 
 def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
@@ -37,15 +32,21 @@ def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
         hashes = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
                                               lambda i: F.xxhash64(F.slice(w, i, words)))
                         ).otherwise(F.array().cast("array<bigint>"))
-        return _each(hashes, lambda h: F.sort_array(F.array_distinct(_below(h, scale, F.array_min(h)))))
+        return _each(hashes, lambda h: F.sort_array(F.array_distinct(_below_or_least(h, scale))))
 
     return _each(parts, kept)
 
 
-def _below(hashes: Column, scale: int, least: Column | None = None) -> Column:
-    """The hashes below the fraction ``1 / scale`` of the (signed) range, and ``least``."""
+def _below(hashes: Column, scale: int) -> Column:
+    """The hashes below the fraction ``1 / scale`` of the (signed) range."""
     most = F.lit(-(1 << 63) + (1 << 64) // scale - 1)
-    return F.filter(hashes, lambda x: x <= most if least is None else (x <= most) | (x == least))
+    return F.filter(hashes, lambda x: x <= most)
+
+
+def _below_or_least(hashes: Column, scale: int) -> Column:
+    """The hashes below the fraction or, if there are none, the least: it is among those below if there are any."""
+    return _each(_below(hashes, scale), lambda x: F.when((F.size(x) > 0) | (F.size(hashes) == 0), x)
+                 .otherwise(F.array(F.array_min(hashes))))
 
 
 def _each(value: Column, use) -> Column:
@@ -74,7 +75,7 @@ def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
 
 def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Sketch of two texts together."""
-    return _each(F.sort_array(F.array_union(a, b)), lambda h: _below(h, scale, F.array_min(h)))
+    return _each(F.sort_array(F.array_union(a, b)), lambda h: _below_or_least(h, scale))
 
 
 def _key(id_col: str = "doc_id") -> list[Column]:
@@ -83,11 +84,11 @@ def _key(id_col: str = "doc_id") -> list[Column]:
 
 
 def _previous(docs: DataFrame) -> DataFrame:
-    """For each key, the key and length of the document before it (before the first: the last)."""
+    """For each key, the key of the document before it (before the first: the last)."""
     keys = ["numbered", "id", "th"]
-    rows = docs.select(*_key(), F.length("text").alias("n")).groupBy(*keys).agg(F.first("n").alias("n"))
+    rows = docs.select(*_key()).distinct()
     ordered = stage(rows.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "order")
-    here = F.struct(*keys, "n")
+    here = F.struct(*keys)
     # each part's last key goes to the next part that has rows; the last part's to the first
     ends = ordered.groupBy("part").agg(F.max(here).alias("end"))
     by_part = Window.orderBy("part")
@@ -96,7 +97,7 @@ def _previous(docs: DataFrame) -> DataFrame:
     inside = ordered.withColumn("prev", F.lag(here).over(Window.partitionBy("part").orderBy(*keys)))
     return (inside.join(ends, "part")
             .select(*keys, F.coalesce("prev", "before").alias("prev"))
-            .select(*keys, *(F.col(f"prev.{k}").alias(f"p_{k}") for k in [*keys, "n"])))
+            .select(*keys, *(F.col(f"prev.{k}").alias(f"p_{k}") for k in keys)))
 
 
 def fingerprint_edits(docs: DataFrame, words: int = WORDS, scale: int = SCALE) -> DataFrame:
@@ -110,21 +111,20 @@ def fingerprint_edits(docs: DataFrame, words: int = WORDS, scale: int = SCALE) -
     keys = ["numbered", "id_", "th"]
     plain = F.coalesce("id", F.lit(0)).alias("id_")
     rows = docs.select(*_key()).select("numbered", plain, "th")
-    # the one shuffle of the texts, a row for each document with its sketch; the small frames come to its partitions
-    made = (docs.select(*_key(), "text").select("numbered", plain, "th", F.struct(
-        "text", sketch(F.col("text"), words, scale).alias("sketch")).alias("doc"))
-        .groupBy(*keys).agg(F.first("doc").alias("doc")).select(*keys, "doc.text", "doc.sketch"))
+    # a text goes to its own key and to the key of the document before it, and is sketched at both: the sketch, eight
+    # bytes for every kept shingle, would shuffle more than the text
+    made = docs.select(*_key(), "text").select("numbered", plain, "th", "text").dropDuplicates(keys)
     before = _previous(docs).select("numbered", plain, "th", "p_numbered", F.coalesce("p_id", F.lit(0)).alias("p_id"),
-                                    "p_th", "p_n")
-    # each document lends its start and its sketch to the document before it
-    ahead = made.join(before, keys).select(
-        F.col("p_numbered").alias("numbered"), F.col("p_id").alias("id_"), F.col("p_th").alias("th"),
-        F.expr("left(text, cast(floor(p_n / 4) as int))").alias("lent"), F.col("sketch").alias("next_sketch"))
+                                    "p_th")
+    ahead = made.join(before, keys).select(F.col("p_numbered").alias("numbered"), F.col("p_id").alias("id_"),
+                                           F.col("p_th").alias("th"), F.col("text").alias("next_text"))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = (made.join(ahead, keys)
-              .select(*keys, n.cast("long").alias("n_chars"), "sketch", "next_sketch",
-                      F.concat(F.left(F.col("text"), n - quarter), "lent").alias("edited_text"))
+              .select(*keys, n.cast("long").alias("n_chars"), sketch(F.col("text"), words, scale).alias("sketch"),
+                      sketch(F.col("next_text"), words, scale).alias("next_sketch"),
+                      F.concat(F.left(F.col("text"), n - quarter), F.left(F.col("next_text"), quarter))
+                      .alias("edited_text"))
               .withColumn("edited_sketch", sketch(F.col("edited_text"), words, scale)))
     return (rows.join(edited, keys)
             .select(F.when(F.col("numbered"), F.col("id_")).alias("doc_id"), "n_chars", "sketch", "next_sketch",

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -391,6 +392,28 @@ def test_sketch_merge_of_unequal_texts(spark):
     assert got[5:] == (True, 1.0, 1.0, True, True)
 
 
+def test_sketch_time_grows_with_the_text(spark):
+    """A text of 100,000 words, where a pass over all hashes for each hash takes minutes."""
+    df = spark.createDataFrame([(" ".join(f"t{i}" for i in range(100_000)), "ein Satz")], "t string, s string")
+    began = time.monotonic()
+    most, sizes = F.lit(-(1 << 63) + (1 << 64) // sketch.SCALE), []
+    for s in (sketch.sketch(F.col("t")), sketch.merge(sketch.sketch(F.col("t")), sketch.sketch(F.col("s")))):
+        sizes += df.select(s.alias("s")).select(F.size("s"), F.expr("s = sort_array(s)"), F.array_max("s") < most).first()
+    assert sizes[0] <= sizes[3] <= sizes[0] + 1 and sizes[0] == pytest.approx(99_996 / sketch.SCALE, rel=0.05)
+    assert sizes[1:3] == sizes[4:] == [True, True]
+    assert time.monotonic() - began < 60
+
+
+@pytest.mark.parametrize("text", ["x y", "", None, "a b c d e f"])
+def test_sketch_of_few_shingles_keeps_the_least(spark, text):
+    """Where no hash is below the fraction, the least is kept, in merged sketches too."""
+    df = spark.createDataFrame([(text,)], "t string")
+    every, kept, both = df.select(sketch.sketch(F.col("t"), scale=1), sketch.sketch(F.col("t"), scale=1 << 40),
+                                  sketch.merge(sketch.sketch(F.col("t"), scale=1 << 40),
+                                               sketch.sketch(F.lit("")), scale=1 << 40)).first()
+    assert kept == both == every[:1]
+
+
 def test_sketches_put_repeated_rows_together(spark):
     """300 rows alike are sketched once, before the shuffle, and each give a row."""
     rows = [(7, TEXT[0])] * 300 + [(i, TEXT[1] + f" {i}") for i in range(5)]
